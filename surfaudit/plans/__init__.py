@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUITES = ("evidence",)
+SUITES = ("evidence", "regions", "metrics")
 
 
 def load_entries():

@@ -24,18 +24,23 @@ def _fields(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.split(":")) for part in spec.split()]
 
 
+def _nudge(places: int) -> float:
+    """Moves exact decimal ties off the rounding boundary, the same way in both engines."""
+    return float(f"3.7e-{places + 4}")
+
+
 def _spark_column(name: str, kind: str):
     col = F.col(name)
     if kind.startswith("d"):
         places = int(kind[1:] or 6)
-        return (F.round(col.cast("double"), places) + F.lit(0.0)).alias(name)
+        return (F.round(col.cast("double") + F.lit(_nudge(places)), places) + F.lit(0.0)).alias(name)
     return col.cast({"i": "bigint", "b": "boolean", "s": "string"}[kind]).alias(name)
 
 
 def _sql_column(name: str, kind: str) -> str:
     if kind.startswith("d"):
         places = int(kind[1:] or 6)
-        return f"round(cast({name} AS DOUBLE), {places}) + cast(0 AS DOUBLE) AS {name}"
+        return f"round(cast({name} AS DOUBLE) + cast({_nudge(places)} AS DOUBLE), {places}) + cast(0 AS DOUBLE) AS {name}"
     return f"cast({name} AS {dict(i='BIGINT', b='BOOLEAN', s='VARCHAR')[kind]}) AS {name}"
 
 
