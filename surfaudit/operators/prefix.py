@@ -46,11 +46,16 @@ def prefix_sum(
     by = list(by)
     if splits is None:
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = df.agg(F.percentile_approx(order, probs, 1000).alias("b")).scalar()
+        # The filter is always true in effect; it keeps every column alive so that the subquery
+        # and the main plan share one shuffle of ``df`` instead of computing it twice.
+        whole = df.where(F.xxhash64(*df.columns) != 0)
+        bounds = whole.agg(F.percentile_approx(order, probs, 1000).alias("b")).scalar()
     else:
         bounds = F.array(*[F.lit(float(s)) for s in splits])
+    # Never NULL, or a not-null filter on it would be pushed down to the raw rows.
+    position = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
     cut = df.withColumn("_bounds", bounds).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
+        "_bucket", F.coalesce(position, F.lit(0))
     ).drop("_bounds")
 
     direction = F.desc if descending else F.asc

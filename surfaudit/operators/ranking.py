@@ -75,6 +75,7 @@ def suppress_close(
     candidate once every better neighbour is rejected, reject it once a better neighbour is
     kept.  Neighbours come from a cell equi-join, so nothing is ordered in one task.
     """
+    ranked = cut_lineage(ranked)
     node = ranked.select(priority, *axes)
     cell = {a: floor_div(F.col(a), distance) for a in axes}
     left = node.select("*", *[c.alias(f"_c{a}") for a, c in cell.items()])
@@ -90,29 +91,28 @@ def suppress_close(
         .where((F.col("_better") < F.col(priority)) & (F.sqrt(gap) < lit(distance)))
         .select(F.col(priority).alias("node"), F.col("_better").alias("better"))
     )
-    edges = cut_lineage(edges)
-    state = node.select(F.col(priority).alias("node")).join(
-        edges.select("node").distinct().withColumn("_open", F.lit(True)), "node", "left"
-    ).select("node", F.when(F.col("_open"), F.lit(0)).otherwise(F.lit(1)).alias("state"))  # 0 open, 1 kept, 2 out
+    # Open candidates are self rows (node, node); other rows say which better one is in the way.
+    open_rows = node.select(F.col(priority).alias("node"), F.col(priority).alias("better")).unionAll(edges)
+    kept = None
     while True:
-        state = cut_lineage(state)
-        if state.where("state = 0").isEmpty():
+        open_rows = cut_lineage(open_rows)
+        first_open = open_rows.agg(F.min("node")).first()[0]
+        if first_open is None:
             break
-        seen = (
-            edges.join(state.where("state = 0").select("node"), "node")
-            .join(state.select(F.col("node").alias("better"), F.col("state").alias("bs")), "better")
-            .groupBy("node")
-            .agg(F.max(F.when(F.col("bs") == 1, 2)).alias("out"), F.count_if(F.col("bs") == 0).alias("waiting"))
-        )
-        state = state.join(seen, "node", "left").select(
-            "node",
-            F.when(F.col("state") != 0, F.col("state"))
-            .when(F.col("out") == 2, F.lit(2))
-            .when(F.col("waiting") == 0, F.lit(1))
-            .otherwise(F.lit(0)).alias("state"),
-        )
-    kept = state.where("state = 1").select(F.col("node").alias(priority))
-    return top_ranked(ranked.join(kept, priority), [F.asc(priority)], limit)
+        # Everything better than the first open candidate is final.
+        if kept is not None and kept.where(F.col("node") < first_open).count() >= limit:
+            break
+        free = open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+        blocked = open_rows.join(free.select(F.col("node").alias("better")), "better", "left_semi").select("node")
+        gone = free.unionAll(blocked).distinct()
+        kept = free if kept is None else kept.unionAll(free)
+        open_rows = open_rows.join(gone, "node", "left_anti").join(
+            gone.select(F.col("node").alias("better")), "better", "left_anti"
+        ).select("node", "better")
+    if kept is None:
+        return ranked.withColumn("rank", F.lit(1)).limit(0)
+    chosen = kept.select(F.col("node").alias(priority))
+    return top_ranked(ranked.join(chosen, priority), [F.asc(priority)], limit)
 
 
 # -- sets -----------------------------------------------------------------------------------
@@ -132,8 +132,8 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
     per = both.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     out = per.agg(
-        F.count_if("l > 0").alias("left_keys"), F.count_if("r > 0").alias("right_keys"),
-        F.count_if("l > 0 and r = 0").alias("only_left"), F.count_if("r > 0 and l = 0").alias("only_right"),
+        F.count_if(F.expr("l > 0")).alias("left_keys"), F.count_if(F.expr("r > 0")).alias("right_keys"),
+        F.count_if(F.expr("l > 0 and r = 0")).alias("only_left"), F.count_if(F.expr("r > 0 and l = 0")).alias("only_right"),
         F.sum(F.greatest(F.col("l") - 1, F.lit(0))).alias("left_duplicates"),
         F.sum(F.greatest(F.col("r") - 1, F.lit(0))).alias("right_duplicates"),
     )
@@ -151,7 +151,7 @@ def mask_algebra(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         b.select(*keys, F.lit(False).alias("a"), F.lit(True).alias("b"))
     )
     return both.groupBy(*keys).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).select(
-        *keys, (F.col("a") & F.col("b")).alias("both"), (F.col("a") & ~F.col("b")).alias("only_a")
+        *keys, (F.col("a") & F.col("b")).alias("in_both"), (F.col("a") & ~F.col("b")).alias("only_a")
     )
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUITES = ("evidence", "regions", "metrics")
+SUITES = ("evidence", "scalar", "regions", "metrics", "ranking", "joins")
 
 
 def load_entries():

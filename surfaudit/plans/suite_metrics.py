@@ -6,6 +6,7 @@ from surfaudit.operators import metrics as m, prefix
 from surfaudit.plans import bindings as b
 from surfaudit.plans.registry import register
 from surfaudit.plans.suite_regions import REGIONS, regions
+from surfaudit.session import cut_lineage
 
 S = b.SCORED_ALL
 
@@ -73,7 +74,9 @@ def d29(spark, sf):
 
 
 def ranked_regions(spark, sf):
-    return regions(spark, sf).where("eligible").withColumn("ord", F.col("y0") * 100000 + F.col("x0"))
+    # The region table is read many times and is far smaller than the pixels behind it.
+    rows = regions(spark, sf).where("eligible").withColumn("ord", F.col("y0") * 100000 + F.col("x0"))
+    return cut_lineage(rows)
 
 
 def review_sql(score: str) -> str:
@@ -131,7 +134,7 @@ def d33(spark, sf):
   SELECT t.*, round(p.a * 100) AS s0, round(p.b * 100) AS s1 FROM truth t JOIN two p ON t.y = p.y AND t.x = p.x WHERE t.valid),
 {DIS},
 i AS (SELECT unnest(range(10)) AS bin),
-e AS (SELECT bin, (SELECT list(quantile_cont(d, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) FROM dis)[1] AS q FROM i),
+e AS (SELECT bin, (SELECT quantile_cont(d, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FROM dis) AS q FROM i),
 k AS (SELECT bin, q[bin + 1] AS lower, q[bin + 2] AS upper FROM e)
 SELECT k.bin, k.lower, k.upper, count(d) AS pixels, avg(CASE WHEN d IS NULL THEN NULL WHEN positive THEN 1.0 ELSE 0.0 END) AS prevalence,
        avg(fused) AS mean_score
