@@ -89,10 +89,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of unbounded groups, one row per group.
 
-    Spark's ``percentile`` keeps every distinct value of a group in one task; here
-    each position is read off the distributed cumulative counts instead.
+    Spark's ``percentile`` keeps every distinct value of a group in one task; here each
+    position is read off the distributed cumulative counts instead.
     """
-    ranked = prefix_sum(value_counts(df, value, by), "value", ["n"], by)
+    return quantiles_of_counts(value_counts(df, value, by), qs, by)
+
+
+def quantiles_of_counts(counts: DataFrame, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """The same from (by, value, n), where n may be a weight."""
+    ranked = prefix_sum(counts.select(*by, "value", "n"), "value", ["n"], by)
     picks, out = [], []
     for name, q in qs.items():
         h = (F.col("total_n") - 1) * F.lit(float(q))

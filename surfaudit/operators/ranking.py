@@ -18,24 +18,26 @@ def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(w))
 
 
-def rank_rows(df: DataFrame, order: str, tiebreak: str) -> DataFrame:
-    """Consecutive rank of every row by descending score, ties by ascending tie-break.
+def rank_rows(
+    df: DataFrame, order: str, tiebreak: str, by: Sequence[str] = (), descending: bool = True
+) -> DataFrame:
+    """Consecutive rank of every row by score, ties by ascending tie-break, within ``by``.
 
-    Each (score, tie-break) pair is one row, so the rank is the count of higher scores plus
-    the position inside the score.
+    The rank is the count of rows with a better score plus the position inside the tie group;
+    both are prefix sums, so neither a hot group nor a hot score is sorted in one task.
     """
-    counts = df.groupBy(F.col(order).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
-    before = prefix_sum(counts, "_s", ["n"], descending=True).select(
-        "_s", (F.col("cum_n") - F.col("n")).alias("_before")
+    by = list(by)
+    keyed = df.withColumn("_s", F.col(order).cast("double")).withColumn("_t", F.col(tiebreak).cast("double"))
+    tied = keyed.groupBy(*by, "_s", "_t").agg(F.count(F.lit(1)).alias("n"))
+    counts = tied.groupBy(*by, "_s").agg(F.sum("n").alias("n"))
+    before = prefix_sum(counts, "_s", ["n"], by, descending=descending).select(
+        *by, "_s", (F.col("cum_n") - F.col("n")).alias("_before")
     )
-    tied = df.select(F.col(order).cast("double").alias("_s"), F.col(tiebreak).cast("double").alias("_t")).groupBy("_s", "_t").agg(
-        F.count(F.lit(1)).alias("n")
+    inside = prefix_sum(tied, "_t", ["n"], [*by, "_s"]).select(*by, "_s", "_t", F.col("cum_n").alias("_pos"))
+    place = inside.join(before, [*by, "_s"]).select(
+        *by, "_s", "_t", (F.col("_before") + F.col("_pos")).alias("rank")
     )
-    inside = prefix_sum(tied, "_t", ["n"], ["_s"]).select("_s", "_t", F.col("cum_n").alias("_pos"))
-    keyed = df.withColumn("_s", F.col(order).cast("double")).withColumn("_t", F.col(tiebreak).cast("double"))
-    return keyed.join(inside, ["_s", "_t"]).join(before, "_s").withColumn(
-        "rank", F.col("_before") + F.col("_pos")
-    ).drop("_s", "_t", "_before", "_pos")
+    return keyed.join(place, [*by, "_s", "_t"]).drop("_s", "_t")
 
 
 def candidate_package(regions: DataFrame, score: str, n: int, prefix: str, tiebreak: str) -> DataFrame:

@@ -32,7 +32,7 @@ def b03(spark, sf):
 @register("b04_region_ids", "y:i x:i region:s block:s",
           f"""WITH {b.TRUTH} SELECT y, x,
  'y' || lpad(cast(y // 16 * 16 AS VARCHAR), 5, '0') || '_x' || lpad(cast(x // 16 * 16 AS VARCHAR), 5, '0') AS region,
- 'by' || lpad(cast(y // 64 AS VARCHAR), greatest(2, length(cast(y // 64 AS VARCHAR))), '0') || '_bx' || lpad(cast(x // 64 AS VARCHAR), 2, '0') AS block FROM truth""")
+ 'by' || lpad(cast(y // 64 AS VARCHAR), cast(greatest(2, length(cast(y // 64 AS VARCHAR))) AS INTEGER), '0') || '_bx' || lpad(cast(x // 64 AS VARCHAR), 2, '0') AS block FROM truth""")
 def b04(spark, sf):
     y, x = F.col("y"), F.col("x")
     return b.truth(spark, sf).select("y", "x", sc.region_id(y, x, 16).alias("region"), sc.block_id(y, x, 64).alias("block"))
