@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUITES = ("evidence", "scalar", "regions", "metrics", "ranking", "joins", "spatial")
+SUITES = ("evidence", "scalar", "regions", "metrics", "ranking", "joins", "spatial", "sampling")
 
 
 def load_entries():
