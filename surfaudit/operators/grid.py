@@ -32,11 +32,11 @@ def valid_vertices(grid: DataFrame, mode: str) -> DataFrame:
     return grid.where(vertex_valid(F.col("x"), F.col("y"), F.col("z"), mode))
 
 
-def _length(d: Sequence[Column]) -> Column:
+def length(d: Sequence[Column]) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def _cross(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+def cross(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
@@ -48,8 +48,8 @@ def neighbour_edges(grid: DataFrame, mode: str = "strict") -> DataFrame:
     """(v, u, direction, distance) of valid vertex pairs to the right (u) and below (v)."""
     table = stencil(valid_vertices(grid, mode), AXES, ((0, 0), (0, 1), (1, 0)))
     both = F.array(
-        F.struct(F.lit("u").alias("direction"), _length(_edge("01")).alias("distance")),
-        F.struct(F.lit("v").alias("direction"), _length(_edge("10")).alias("distance")),
+        F.struct(F.lit("u").alias("direction"), length(_edge("01")).alias("distance")),
+        F.struct(F.lit("v").alias("direction"), length(_edge("10")).alias("distance")),
     )
     return table.select("v", "u", F.explode(both).alias("e")).select("v", "u", "e.*").where("distance is not null")
 
@@ -85,9 +85,9 @@ def quad_cells(grid: DataFrame, mode: str = "strict") -> DataFrame:
     whole = F.lit(True)
     for a, b in CORNERS:
         whole = whole & F.col(f"x_{a}{b}").isNotNull()
-    normal = _cross(_edge("01"), _edge("10"))
+    normal = cross(_edge("01"), _edge("10"))
     return table.where(whole).select(
-        "v", "u", _length(normal).alias("area"), *[c.alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))]
+        "v", "u", length(normal).alias("area"), *[c.alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))]
     )
 
 
@@ -187,8 +187,8 @@ def surface_normals(grid: DataFrame) -> DataFrame:
         g = central_diff(g, c, "u", "v", alias=f"{c}_du")
     for c in AXES:
         g = central_diff(g, c, "v", "u", alias=f"{c}_dv")
-    normal = _cross([F.col(f"{c}_du") for c in AXES], [F.col(f"{c}_dv") for c in AXES])
-    norm = _length(normal) + lit(1e-9)
+    normal = cross([F.col(f"{c}_du") for c in AXES], [F.col(f"{c}_dv") for c in AXES])
+    norm = length(normal) + lit(1e-9)
     return valid_vertices(g, "positive").select(
         "v", "u", *AXES, *[(c / norm).alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))]
     )
@@ -225,7 +225,7 @@ def residuals(pairs: DataFrame, matrix, source=("sx", "sy", "sz"), target=("tx",
     moved = [
         lit(m[3, j]) + sum((lit(m[i, j]) * F.col(s) for i, s in enumerate(source)), lit(0)) for j in range(3)
     ]
-    return pairs.withColumn("residual", _length([a - F.col(t) for a, t in zip(moved, target)]))
+    return pairs.withColumn("residual", length([a - F.col(t) for a, t in zip(moved, target)]))
 
 
 def registration_report(pairs: DataFrame, block: int, folds: int, holdout: int, max_p50: float, max_p90: float) -> DataFrame:

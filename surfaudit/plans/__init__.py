@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUITES = ("evidence", "scalar", "regions", "metrics", "ranking", "joins", "spatial", "sampling", "ledger")
+SUITES = ("evidence", "scalar", "regions", "metrics", "ranking", "joins", "spatial", "sampling", "ledger", "tiles")
 
 
 def load_entries():

@@ -47,14 +47,15 @@ def c05(spark, sf):
     return joined.groupBy("v", "u").agg(F.count(F.lit(1)).alias("pixels"), F.avg("z").alias("mean_z"))
 
 
-# Support lattice: every fifth vertex of the grid, its height read from the data.
+# Support lattice, five times coarser: a node holds where its whole block of vertices does.
 def lattice(spark, sf):
-    g = b.grid(spark, sf).where("v % 5 = 0 and u % 5 = 0")
-    return g.select((F.col("v") / 5).cast("int").alias("v"), (F.col("u") / 5).cast("int").alias("u"),
-                    vertex_valid(F.col("x"), F.col("y"), F.col("z"), "not_all_sentinel").alias("ok"))
+    ok = vertex_valid(F.col("x"), F.col("y"), F.col("z"), "not_all_sentinel")
+    return b.grid(spark, sf).groupBy(
+        F.floor(F.col("v") / 5).cast("int").alias("v"), F.floor(F.col("u") / 5).cast("int").alias("u")
+    ).agg(F.bool_and(ok).alias("ok"))
 
 
-LATTICE = f"""{b.GRID}, lat AS (SELECT v // 5 AS v, u // 5 AS u, {b.NOT_ALL} AS ok FROM grid WHERE v % 5 = 0 AND u % 5 = 0),
+LATTICE = f"""{b.GRID}, lat AS (SELECT v // 5 AS v, u // 5 AS u, bool_and({b.NOT_ALL}) AS ok FROM grid GROUP BY 1, 2),
 sh AS (SELECT max(v) + 1 AS h, max(u) + 1 AS w FROM lat), {b.TRUTH}, cs AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM truth)"""
 
 
@@ -212,7 +213,7 @@ def c13(spark, sf):
 
 @register("c14_pair_uv", "v:i u:i tv:i tu:i sx:d tx:d",
           f"""WITH {b.GRID}, sh AS (SELECT max(v) + 1 AS h, max(u) + 1 AS w FROM grid),
-tg AS (SELECT v // 2 AS v, u // 2 AS u, x, y, z FROM grid WHERE v % 2 = 0 AND u % 2 = 0 AND {b.NOT_ALL}),
+tg AS (SELECT v // 2 AS v, u // 2 AS u, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM grid WHERE {b.NOT_ALL} GROUP BY 1, 2),
 ts AS (SELECT (h + 1) // 2 AS h, (w + 1) // 2 AS w FROM sh),
 s AS (SELECT g.*, round_even(v * cast(ts.h - 1 AS DOUBLE) / (sh.h - 1), 0) AS tv, round_even(u * cast(ts.w - 1 AS DOUBLE) / (sh.w - 1), 0) AS tu
   FROM grid g, sh, ts WHERE v % 4 = 0 AND u % 4 = 0 AND {b.NOT_ALL})
@@ -225,8 +226,10 @@ def uv_pairs(spark, sf, stride):
     g = b.grid(spark, sf)
     h, w = g.agg(F.max("v") + 1, F.max("u") + 1).first()
     ok = vertex_valid(F.col("x"), F.col("y"), F.col("z"), "not_all_sentinel")
-    target = g.where(ok & (F.col("v") % 2 == 0) & (F.col("u") % 2 == 0)).select(
-        (F.col("v") / 2).cast("int").alias("v"), (F.col("u") / 2).cast("int").alias("u"), "x", "y", "z")
+    # The target grid is half as dense: mean position of each 2 x 2 block of valid vertices.
+    target = g.where(ok).groupBy(
+        F.floor(F.col("v") / 2).cast("int").alias("v"), F.floor(F.col("u") / 2).cast("int").alias("u")
+    ).agg(*[F.avg(c).alias(c) for c in "xyz"])
     return jn.pair_uv(g.where(ok), target, (h, w), ((h + 1) // 2, (w + 1) // 2), stride)
 
 

@@ -71,7 +71,7 @@ def receipt_text(spark, sf):
         F.concat(F.lit("G"), (i % 4).cast("string")).alias("geometry_tier"), F.lit("complete").alias("status"),
         F.when(i % 11 != 0, checks).alias("go_checks"))
     return b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id").select(
-        F.col("doc_id"), F.sha2("text", 256).alias("sha"), "quality", F.to_json(doc).alias("value"))
+        F.col("doc_id"), F.sha2("text", 256).alias("sha"), "quality", "toxic", F.to_json(doc).alias("value"))
 
 
 RECEIPTS = """receipts AS (SELECT d.doc_id, sha256(d.text) AS sha, l.quality, l.toxic,
@@ -136,16 +136,16 @@ def a08(spark, sf):
 
 
 @register("a09_verify_content", "path:s problem:s",
-          f"""WITH {b.MANIFEST}, m AS (SELECT path, octet_length(encode(text)) + CASE WHEN doc_id % 70 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN doc_id % 90 = 7 THEN 'x' ELSE sha END AS s FROM manifest WHERE doc_id % 40 <> 3),
-f AS (SELECT path, octet_length(encode(text)) AS n, sha AS s FROM manifest WHERE doc_id % 55 <> 9)
+          f"""WITH {b.MANIFEST}, m AS (SELECT path, octet_length(encode(text)) + CASE WHEN doc_id % 70 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN doc_id % 90 = 7 THEN 'x' ELSE sha END AS s FROM manifest WHERE role <> 'de'),
+f AS (SELECT path, octet_length(encode(text)) AS n, sha AS s FROM manifest WHERE surface <> 'src4')
 SELECT * FROM (SELECT coalesce(m.path, f.path) AS path, CASE WHEN m.path IS NULL THEN 'unlisted' WHEN f.path IS NULL THEN 'missing' WHEN m.n <> f.n THEN 'size_mismatch'
   WHEN m.s <> f.s THEN 'hash_mismatch' END AS problem FROM m FULL JOIN f ON m.path = f.path) WHERE problem IS NOT NULL""")
 def a09(spark, sf):
     man = b.manifest(spark, sf)
     i = F.col("doc_id")
-    listed = man.where(i % 40 != 3).select(
+    listed = man.where("role <> 'de'").select(  # one language is not listed, one source not delivered
         "path", (F.octet_length("text") + F.when(i % 70 == 0, 1).otherwise(0)).alias("bytes"), F.when(i % 90 == 7, "x").otherwise(F.col("sha")).alias("sha"))
-    files = man.where(i % 55 != 9).select("path", F.encode("text", "UTF-8").alias("content"))
+    files = man.where("surface <> 'src4'").select("path", F.encode("text", "UTF-8").alias("content"))
     return ld.verify_content(files, listed)
 
 
@@ -257,14 +257,14 @@ def ledger(spark, sf):
         i.alias("artifact"), i.alias("evidence_id"), F.when(i % 50 == 0, "bad").otherwise(F.col("sha")).alias("declared_sha"),
         F.when(i % 3 == 0, "locked_validation").when(i % 7 == 0, "development").otherwise("post_hoc").alias("role"),
         (i % 4).alias("declared_groups"), (F.col("quality") == 1).alias("truth_independent"))
-    audits = r.where(i % 5 != 4).select(
+    audits = r.where(F.col("toxic") == 0).select(
         i.alias("artifact"), F.when(i % 31 == 0, "other").otherwise(F.col("sha")).alias("subject_sha"),
         (i % 5).alias("effective_groups"), (i % 5 >= 2).alias("gate_passed"))
     return ct.claim_ceiling(entries, receipts, audits)
 
 
 CLAIMS = f"""{RECEIPTS}, e AS (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 'bad' ELSE sha END AS declared,
-  CASE WHEN doc_id % 3 = 0 THEN 'locked_validation' WHEN doc_id % 7 = 0 THEN 'development' ELSE 'post_hoc' END AS role, doc_id % 5 <> 4 AS audited FROM receipts),
+  CASE WHEN doc_id % 3 = 0 THEN 'locked_validation' WHEN doc_id % 7 = 0 THEN 'development' ELSE 'post_hoc' END AS role, toxic = 0 AS audited FROM receipts),
 p AS (SELECT *, CASE WHEN declared <> sha THEN 'hash_mismatch' WHEN role = 'locked_validation' AND regime <> 'VALIDATION' THEN 'role_regime_mismatch'
    WHEN role = 'development' AND regime <> 'DEV' THEN 'role_regime_mismatch' WHEN audited AND doc_id % 31 = 0 THEN 'audit_not_bound' END AS problem,
   CASE WHEN audited THEN doc_id % 5 ELSE least(doc_id % 4, 1) END AS groups FROM e),
@@ -313,13 +313,13 @@ def selection(spark, sf):
     i = F.col("doc_id")
     man = b.manifest(spark, sf)
     host = F.when(i % 6 == 5, "https://other.org/").otherwise("https://data.org/")
-    files = man.where(i % 9 != 2).select("path", F.when(i % 10 != 3, F.col("bytes")).alias("bytes"), F.concat(host, "path").alias("url"))
-    wanted = man.select(F.col("path").alias("name")).unionAll(man.where(i % 25 == 0).select("path"))
-    return ct.select_manifest(wanted, files, "s", ["data.org"], "/1")
+    files = man.where("role <> 'de'").select("path", F.when(i % 10 != 3, F.col("bytes")).alias("bytes"), F.concat(host, "path").alias("url"))
+    wanted = man.select(F.col("path").alias("name")).unionAll(man.where("surface = 'src4' and role = 'fr'").select("path"))
+    return ct.select_manifest(wanted, files, "src1", ["data.org"], "/19")
 
 
-SELECTION = f"""{b.MANIFEST}, sel AS (SELECT path AS name, CASE WHEN doc_id % 9 <> 2 AND doc_id % 10 <> 3 THEN bytes END AS bytes,
- CASE WHEN doc_id % 25 = 0 THEN 'requested_twice' WHEN NOT starts_with(path, 's') THEN 'outside_prefix' WHEN contains(path, '/1') THEN 'forbidden_path' WHEN doc_id % 9 = 2 THEN 'absent'
+SELECTION = f"""{b.MANIFEST}, sel AS (SELECT path AS name, CASE WHEN role <> 'de' AND doc_id % 10 <> 3 THEN bytes END AS bytes,
+ CASE WHEN surface = 'src4' AND role = 'fr' THEN 'requested_twice' WHEN NOT starts_with(path, 'src1') THEN 'outside_prefix' WHEN contains(path, '/19') THEN 'forbidden_path' WHEN role = 'de' THEN 'absent'
       WHEN doc_id % 10 = 3 OR bytes <= 0 THEN 'unknown_size' WHEN doc_id % 6 = 5 THEN 'host_not_allowed' END AS problem FROM manifest)"""
 
 

@@ -273,7 +273,7 @@ def i12(spark, sf):
 
 @register("i12_residuals", "v:i u:i residual:d",
           f"""WITH {b.GRID}, sh AS (SELECT max(v) + 1 AS h, max(u) + 1 AS w FROM grid),
-tg AS (SELECT v // 2 AS v, u // 2 AS u, x, y, z FROM grid WHERE v % 2 = 0 AND u % 2 = 0 AND {b.NOT_ALL}), ts AS (SELECT (h + 1) // 2 AS h, (w + 1) // 2 AS w FROM sh),
+tg AS (SELECT v // 2 AS v, u // 2 AS u, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM grid WHERE {b.NOT_ALL} GROUP BY 1, 2), ts AS (SELECT (h + 1) // 2 AS h, (w + 1) // 2 AS w FROM sh),
 s AS (SELECT g.*, round_even(v * cast(ts.h - 1 AS DOUBLE) / (sh.h - 1), 0) AS tv, round_even(u * cast(ts.w - 1 AS DOUBLE) / (sh.w - 1), 0) AS tu
   FROM grid g, sh, ts WHERE v % 4 = 0 AND u % 4 = 0 AND {b.NOT_ALL})
 SELECT s.v, s.u, sqrt(pow(s.x + 1 - tg.x, 2) + pow(s.y + 2 - tg.y, 2) + pow(s.z + 3 - tg.z, 2)) AS residual FROM s JOIN tg ON tg.v = s.tv AND tg.u = s.tu""")
