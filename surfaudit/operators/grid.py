@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surfaudit.functions.scalar import floor_div, lit, vertex_valid
 from surfaudit.operators.prefix import exact_quantiles
 from surfaudit.operators.windows import central_diff
+from surfaudit.session import cut_lineage
 
 AXES = ("x", "y", "z")
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -55,13 +56,13 @@ def neighbour_edges(grid: DataFrame, mode: str = "strict") -> DataFrame:
 
 
 def grid_continuity(grid: DataFrame, spacing: float, tolerance: float, jump: float) -> DataFrame:
-    edges = neighbour_edges(grid)
-    q = exact_quantiles(edges, "distance", {"min": 0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "max": 1}, ["direction"])
-    jumps = edges.groupBy("direction").agg(
-        F.count_if(F.col("distance") > lit(spacing * jump)).alias("abrupt_jumps")
+    jumps = F.sum(F.when(F.col("value") > lit(spacing * jump), F.col("n")).otherwise(0))
+    q = exact_quantiles(
+        neighbour_edges(grid), "distance", {"min": 0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "max": 1}, ["direction"],
+        abrupt_jumps=jumps,
     )
     error = F.abs(F.col("p50") - lit(spacing)) / lit(spacing)
-    return q.join(jumps, "direction").withColumn("relative_error", error).withColumn(
+    return q.withColumn("relative_error", error).withColumn(
         "within_tolerance", error <= lit(tolerance)
     ).withColumnRenamed("n", "edges")
 
@@ -106,21 +107,21 @@ def _unit_dots(quads: DataFrame) -> DataFrame:
 
 
 def grid_topology(grid: DataFrame) -> DataFrame:
-    quads = quad_cells(grid)
+    """Quads, degenerate ones, and flips between neighbouring unit normals, one row."""
+    quads = cut_lineage(quad_cells(grid))  # one row per quad, read four times below
     median = exact_quantiles(quads, "area", {"q": 0.5}).select("q").scalar()
     base = quads.withColumn("_m", median).agg(
         F.count(F.lit(1)).alias("quads"),
         F.count_if(F.col("area") <= F.col("_m") * lit(0.01)).alias("degenerate"),
         F.max("_m").alias("median_area"),
     )
-    dots = _unit_dots(quads)
-    p01 = exact_quantiles(dots, "dot", {"q": 0.01}).select("q").scalar()
-    flips = dots.agg(
-        F.struct(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("dot") < 0).alias("flips"))
+    flips = F.sum(F.when(F.col("value") < 0, F.col("n")).otherwise(0))
+    dots = exact_quantiles(_unit_dots(quads), "dot", {"p01": 0.01}, flips=flips).select(
+        F.struct("n", "p01", "flips").alias("d")
     ).scalar()
-    return base.withColumn("_f", flips).withColumn("dot_p01", p01).select(
-        "quads", "degenerate", "median_area", F.col("_f.pairs").alias("normal_pairs"),
-        F.col("_f.flips").alias("normal_flips"), "dot_p01",
+    return base.withColumn("_d", dots).select(
+        "quads", "degenerate", "median_area", F.col("_d.n").alias("normal_pairs"),
+        F.col("_d.flips").alias("normal_flips"), F.col("_d.p01").alias("dot_p01"),
     )
 
 
@@ -141,13 +142,13 @@ def roi_geometry(px: DataFrame, grid: DataFrame, step: int, voxel_um: float, chu
     A chunk has a fixed pixel count, so its exact area percentile is bounded.
     """
     chunk = list(chunk)
-    quads = quad_cells(grid, "not_all_sentinel")
+    quads = cut_lineage(quad_cells(grid, "not_all_sentinel"))
     median = exact_quantiles(quads, "area", {"q": 0.5}).select("q").scalar()
     cell = px.select(
         *chunk, floor_div(F.col("y"), step).cast("int").alias("v"), floor_div(F.col("x"), step).cast("int").alias("u")
     )
     # Pixels collapse to grid cells with a count before the geometry is attached.
-    cells = cell.groupBy(*chunk, "v", "u").agg(F.count(F.lit(1)).alias("px"))
+    cells = cut_lineage(cell.groupBy(*chunk, "v", "u").agg(F.count(F.lit(1)).alias("px")))
     rows = cells.join(quads.select("v", "u", "area"), ["v", "u"], "left").withColumn("_m", median)
     scale = lit(voxel_um**2 / (step * step))
     out = rows.groupBy(*chunk).agg(

@@ -17,6 +17,7 @@ from surfaudit.operators.prefix import (
     quantile_column,
     value_ranks,
 )
+from surfaudit.session import cut_lineage
 
 
 def score_counts(
@@ -217,6 +218,7 @@ def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (), weight: str |
 
 def correlations(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Pearson and Spearman.  Pairs collapse to distinct (a, b) before ranks are attached."""
+    pairs = cut_lineage(pairs.select(a, b))  # two columns, read four times
     distinct = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(
         F.count(F.lit(1)).alias("w")
     )
@@ -229,6 +231,7 @@ def correlations(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def top_overlap(pairs: DataFrame, quantile: float, a: str = "a", b: str = "b") -> DataFrame:
     """Intersection, Jaccard and enrichment of the top quantile of both maps."""
+    pairs = cut_lineage(pairs.select(a, b))
     ta, tb = quantile_column(pairs, a, 1 - quantile), quantile_column(pairs, b, 1 - quantile)
     flags = pairs.withColumn("_ta", ta).withColumn("_tb", tb).withColumn(
         "_a", F.col(a) >= F.col("_ta")
@@ -254,7 +257,7 @@ def with_fusion(df: DataFrame, s0: str = "s0", s1: str = "s1") -> DataFrame:
 
 def disagreement_summary(df: DataFrame, label: str = "positive") -> DataFrame:
     """AP of +/- disagreement, its correlation with the label and class means."""
-    d = with_fusion(df)
+    d = cut_lineage(with_fusion(df).select(label, "disagreement"))
     long = d.select(
         label,
         F.explode(
@@ -287,7 +290,7 @@ def disagreement_summary(df: DataFrame, label: str = "positive") -> DataFrame:
 
 def disagreement_bins(df: DataFrame, bins: int, label: str = "positive") -> DataFrame:
     """Quantile-bin table: left-closed bins, the last closed on both sides, empty bins kept."""
-    d = with_fusion(df)
+    d = cut_lineage(with_fusion(df).select(label, "fused", "disagreement"))
     qs = {f"e{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(d, "disagreement", qs).select(F.array(*qs).alias("e")).scalar()
     # One pass: the edges are a single-row subquery, a pixel belongs to the bins that hold it.
@@ -319,8 +322,8 @@ def retained(df: DataFrame, fraction: float) -> DataFrame:
 
 
 def abstain(df: DataFrame, fraction: float, label: str = "positive") -> DataFrame:
-    """AP of the fused score before and after abstention, from one scan."""
-    d = with_fusion(df)
+    """AP of the fused score before and after abstention, from one scan of the pixels."""
+    d = cut_lineage(with_fusion(df).select(label, "fused", "disagreement"))
     cut = quantile_column(d, "disagreement", 1 - fraction)
     tagged = d.withColumn("_cut", cut).select(
         label, "fused",
@@ -359,8 +362,8 @@ def control_margin(df: DataFrame, chunk: Sequence[str], label: str, score: str)
 
 def baseline_table(df: DataFrame, label: str, scores: Sequence[str]) -> DataFrame:
     """AP and class means per score column, best AP flagged."""
-    long = unpivot_scores(df, [label], scores)
-    ap = average_precision(long, label, "score", ["name"])
+    long = unpivot_scores(cut_lineage(df.select(label, *scores)), [label], scores)
+    ap = cut_lineage(average_precision(long, label, "score", ["name"]))  # one row per score
     out = ap.join(class_margin(long, label, "score", ["name"]), "name")
     best = ap.agg(F.max_by("name", F.struct(F.round("ap", 12), F.col("name")))).scalar()
     return out.withColumn("_best", best).select(
@@ -372,7 +375,8 @@ def regional_gain(
     df: DataFrame, chunk: Sequence[str], label: str, model: str, baselines: Sequence[str]
 ) -> DataFrame:
     """Per-chunk AP of the model minus that of the best baseline overall, both-class chunks only."""
-    long = unpivot_scores(df, [*chunk, label], [model, *baselines])
+    px = cut_lineage(df.select(*chunk, label, model, *baselines))
+    long = unpivot_scores(px, [*chunk, label], [model, *baselines])
     overall = average_precision(long.where(F.col("name") != model), label, "score", ["name"])
     best = overall.agg(F.max_by("name", F.struct(F.round("ap", 12), F.col("name")))).scalar()
     per = average_precision(long, label, "score", [*chunk, "name"], both_classes=True)
@@ -392,7 +396,7 @@ def feature_audit(
     df: DataFrame, label: str, features: Sequence[str], block: Sequence[str]
 ) -> DataFrame:
     """Features ranked by direction-free AUC, with medians, standardised and block differences."""
-    long = unpivot_scores(df, [label, *block], features)
+    long = unpivot_scores(cut_lineage(df.select(label, *block, *features)), [label, *block], features)
     auc = roc_auc(long, label, "score", ["name"])
     medians = exact_quantiles(long, "score", {"med": 0.5}, ["name", label]).groupBy("name").agg(
         F.max(F.when(F.col(label), F.col("med"))).alias("positive_median"),
@@ -430,9 +434,9 @@ def score_ablation(
     long = unpivot_scores(regions, keep, scores)
     ap = average_precision(long, label, "score", ["name"]).select("name", "ap")
     review = review_metrics(long, "score", fraction, tiebreak, ["name"])
-    both = ap.join(review, "name")
+    both = cut_lineage(ap.join(review, "name"))  # one row per score
     base = both.where(F.col("name") == baseline).select(F.struct("ap", "enrichment").alias("b")).scalar()
-    best = ap.agg(F.max_by("name", F.struct(F.round("ap", 12), F.col("name")))).scalar()
+    best = both.agg(F.max_by("name", F.struct(F.round("ap", 12), F.col("name")))).scalar()
     return both.withColumn("_b", base).withColumn("_best", best).select(
         "name", "ap", (F.col("ap") - F.col("_b.ap")).alias("delta_ap"), "enrichment",
         (F.col("enrichment") - F.col("_b.enrichment")).alias("delta_enrichment"),

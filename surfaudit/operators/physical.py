@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from surfaudit.functions.scalar import lit
 from surfaudit.operators.components import component_areas, components
 from surfaudit.operators.prefix import prefix_sum, value_counts
+from surfaudit.session import cut_lineage
 
 UM2_PER_MM2 = 1e6
 UM2_PER_CM2 = 1e8
@@ -23,6 +24,7 @@ def fp_burden(px: DataFrame, min_mm2: float, tile: int = 256) -> DataFrame:
 
     Components below the minimum stay in the area but not in the retained rate.
     """
+    px = cut_lineage(px.select("y", "x", "accepted", "positive", "valid", "area_um2"))
     fp = F.col("accepted") & _negative()
     base = px.agg(
         F.count_if(_negative()).alias("negative_px"),
@@ -62,11 +64,12 @@ def evaluate_policies(
     Pixels are scanned once and fan out over the literal policy list; components are clipped
     at chunk borders.  Precision is NULL where nothing is accepted.
     """
-    cuts = top_cutoffs(px.where("valid"), score, fractions).scalar()
+    px = cut_lineage(px.where("valid").select("y", "x", "positive", "area_um2", score))
+    cuts = top_cutoffs(px, score, fractions).scalar()
     s = F.col(score)
     options = [("abstain_all", F.lit(False)), (f"score_gte_{threshold:g}", s >= lit(threshold))]
     options += [(f"top_{f:g}", s >= F.get("_cuts", F.lit(i))) for i, f in enumerate(fractions)]
-    long = px.where("valid").withColumn("_cuts", cuts).select(
+    long = px.withColumn("_cuts", cuts).select(
         "y", "x", "positive", "area_um2",
         F.explode(
             F.array(*[F.struct(F.lit(n).alias("policy"), F.coalesce(c, F.lit(False)).alias("accepted")) for n, c in options])

@@ -2,8 +2,8 @@
 
 ``Window.orderBy`` without ``partitionBy`` sends every row to one task.  Here rows
 are first collapsed to one per distinct value, the values are cut into ordered
-buckets, and the window runs inside a bucket; only the bucket totals (at most
-``buckets`` rows per group) are summed in sequence.  A row's bucket depends on its
+buckets, and the window runs inside a bucket; only the bucket totals (one row per
+bucket and group) are summed in sequence.  A row's bucket depends on its
 value alone, so a lost executor recomputes exactly the same buckets.
 """
 
@@ -13,7 +13,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+RADIX = 8  # split points are searched digit by digit in base RADIX
+
+
+def bucket_digits(df: DataFrame) -> int:
+    """Digits of the bucket number: about as many buckets as the cluster shuffles partitions."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = 1
+    while RADIX**digits < wanted and digits < 4:
+        digits += 1
+    return digits
+
+
+def _bucket(df: DataFrame, order: str, bounds: Column, digits: int) -> DataFrame:
+    """Adds ``_bucket``: the number of split points below the value, found by radix search.
+
+    Plain comparisons stay inside generated code, unlike a filter over the array.  The result
+    is never NULL, or a not-null filter on it would be pushed down to the raw rows.
+    """
+    out = df.withColumn("_bounds", bounds).withColumn("_bucket", F.lit(0))
+    step = RADIX**digits
+    while step > 1:
+        step //= RADIX
+        digit = F.lit(0)
+        for k in range(1, RADIX):
+            bound = F.get("_bounds", F.col("_bucket") + (k * step - 1))
+            digit = digit + F.when(bound < F.col(order), 1).otherwise(0)
+        out = out.withColumn("_bucket", F.col("_bucket") + digit * step)
+    return out.withColumn("_bucket", F.coalesce("_bucket", F.lit(0))).drop("_bounds")
 
 
 def value_counts(
@@ -34,33 +61,26 @@ def prefix_sum(
     cols: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
-    splits: Sequence[float] | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<col>`` (inclusive) and ``total_<col>`` along ``order`` within ``by``.
 
-    ``df`` holds one row per (by, order).  Split points are taken from an
-    approximate-quantile subquery (a single row of ``buckets`` numbers) unless the
-    caller knows the value range and passes ``splits``.
+    ``df`` holds one row per (by, order).  The RADIX ** digits - 1 split points come from an
+    approximate-quantile subquery, a single row.
     """
     by = list(by)
-    if splits is None:
-        probs = [i / buckets for i in range(1, buckets)]
-        # The filter is always true in effect; it keeps every column alive so that the subquery
-        # and the main plan share one shuffle of ``df`` instead of computing it twice.
-        whole = df.where(F.xxhash64(*df.columns) != 0)
-        bounds = whole.agg(F.percentile_approx(order, probs, 1000).alias("b")).scalar()
-    else:
-        bounds = F.array(*[F.lit(float(s)) for s in splits])
-    # Never NULL, or a not-null filter on it would be pushed down to the raw rows.
-    position = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
-    cut = df.withColumn("_bounds", bounds).withColumn(
-        "_bucket", F.coalesce(position, F.lit(0))
-    ).drop("_bounds")
+    digits = digits or bucket_digits(df)
+    buckets = RADIX**digits
+    probs = [i / buckets for i in range(1, buckets)]
+    # The filter is always true in effect; it keeps every column alive so that the subquery and
+    # the main plan share one shuffle of ``df`` instead of computing it twice.
+    whole = df.where(F.xxhash64(*df.columns) != 0)
+    bounds = whole.agg(F.percentile_approx(order, probs, max(1000, 8 * buckets)).alias("b")).scalar()
+    cut = _bucket(df, order, bounds, digits)
 
     direction = F.desc if descending else F.asc
     totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
-    # At most `buckets` rows per group reach these windows.
+    # One row per bucket and group reaches these windows.
     group = W.partitionBy(*(by or [F.lit(0)]))
     before = group.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -85,18 +105,23 @@ def prefix_sum(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = (), **extra: Column
 ) -> DataFrame:
     """Linear-interpolated quantiles of unbounded groups, one row per group.
 
     Spark's ``percentile`` keeps every distinct value of a group in one task; here each
     position is read off the distributed cumulative counts instead.
     """
-    return quantiles_of_counts(value_counts(df, value, by), qs, by)
+    return quantiles_of_counts(value_counts(df, value, by), qs, by, **extra)
+
 
+def quantiles_of_counts(
+    counts: DataFrame, qs: dict[str, float], by: Sequence[str] = (), **extra: Column
+) -> DataFrame:
+    """The same from (by, value, n), where n may be a weight.
 
-def quantiles_of_counts(counts: DataFrame, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """The same from (by, value, n), where n may be a weight."""
+    ``extra`` aggregates over (value, n) ride along in the same pass.
+    """
     ranked = prefix_sum(counts.select(*by, "value", "n"), "value", ["n"], by)
     picks, out = [], []
     for name, q in qs.items():
@@ -108,7 +133,8 @@ def quantiles_of_counts(counts: DataFrame, qs: dict[str, float], by: Sequence[st
         g = (F.col("n") - 1) * F.lit(float(q))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (g - F.floor(g))).alias(name))
-    return ranked.groupBy(*by).agg(F.sum("n").alias("n"), *picks).select(*by, "n", *out)
+    riders = [c.alias(k) for k, c in extra.items()]
+    return ranked.groupBy(*by).agg(F.sum("n").alias("n"), *picks, *riders).select(*by, "n", *out, *extra)
 
 
 def quantile_column(df: DataFrame, value: str, q: float) -> Column:

@@ -91,7 +91,7 @@ def i01_links(spark, sf):
 SELECT component, count(*) AS cells, sum(area_um2) AS area FROM c4 JOIN truth t ON c4.id = t.y * 2147483648 + t.x
 GROUP BY component HAVING sum(area_um2) >= 200000""")
 def i02(spark, sf):
-    labelled = cc.components(b.mask(spark, sf), tile=32)
+    labelled = cc.components(b.mask(spark, sf), tile=64)
     areas = labelled.join(b.truth(spark, sf).select("y", "x", "area_um2"), ["y", "x"])
     return cc.component_areas(areas, area="area_um2").where(F.col("area") >= 200000)
 
@@ -108,14 +108,14 @@ SPARSE = f"sparse AS (SELECT DISTINCT {b._yx_sql('l_orderkey')} FROM lineitem WH
           f"""WITH RECURSIVE {SPARSE}, {dense_sql('sparse', 'c8', 2)}, s AS (SELECT component, count(*) AS n FROM c8 GROUP BY component)
 SELECT count(*) AS components, max(n) AS largest, sum(n) AS cells, max(n) / cast(sum(n) AS DOUBLE) AS largest_fraction FROM s""")
 def i03(spark, sf):
-    return cc.component_summary(cc.component_areas(cc.components(sparse_mask(spark, sf), full=True, tile=32)))
+    return cc.component_summary(cc.component_areas(cc.components(sparse_mask(spark, sf), full=True, tile=64)))
 
 
 @register("i03_drop_small", "y:i x:i",
           f"""WITH RECURSIVE {SPARSE}, {dense_sql('sparse', 'c8', 2)}, s AS (SELECT component FROM c8 GROUP BY component HAVING count(*) >= 6)
 SELECT id // 2147483648 AS y, id % 2147483648 AS x FROM c8 WHERE component IN (SELECT component FROM s)""")
 def i03_drop(spark, sf):
-    return cc.drop_small(cc.components(sparse_mask(spark, sf), full=True, tile=32), 6)
+    return cc.drop_small(cc.components(sparse_mask(spark, sf), full=True, tile=64), 6)
 
 
 @register("i04_components_3d", "py:i px:i components:i largest:i cells:i largest_fraction:d",
@@ -149,7 +149,7 @@ SELECT *, fp_cm2 / negative_cm2 AS fp_fraction, (SELECT count(*) FROM a) AS comp
  (SELECT count(*) FROM a WHERE area >= 200000) AS components_retained, (SELECT count(*) FROM a WHERE area >= 200000) / negative_cm2 AS components_per_cm2 FROM n""")
 def d39(spark, sf):
     px = b.scored(spark, sf).withColumn("accepted", F.col("s0") >= F.lit(0.3))
-    return ph.fp_burden(px, 0.2, tile=32)
+    return ph.fp_burden(px, 0.2, tile=64)
 
 
 @register("d40_evaluate_policies",
