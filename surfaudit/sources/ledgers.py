@@ -69,8 +69,9 @@ def read_receipts(spark: SparkSession, glob: str) -> DataFrame:
 
 def normalize_listing(raw: DataFrame) -> DataFrame:
     """(name, bytes, created) from listings with alternative field names."""
-    first = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in raw.columns])
-    size = F.coalesce(*[F.col(n).cast("bigint") for n in ("total_bytes", "size", "bytes") if n in raw.columns])
+    have = lambda names: [F.col(n) if n in raw.columns else F.lit(None) for n in names]
+    first = lambda *names: F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in have(names)])
+    size = F.coalesce(*[c.cast("bigint") for c in have(("total_bytes", "size", "bytes"))])
     return raw.select(
         first("name", "ref", "file_name").alias("name"), size.alias("bytes"), first("creation_date", "date_created").alias("created")
     )
