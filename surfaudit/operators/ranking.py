@@ -73,48 +73,46 @@ def suppress_close(
 ) -> DataFrame:
     """Greedy non-maximum suppression: best priority first, skip centres closer than distance.
 
-    ``priority`` is a unique ascending order.  The greedy choice equals the fixpoint of: keep a
-    candidate once every better neighbour is rejected, reject it once a better neighbour is
-    kept.  Neighbours come from a cell equi-join, so nothing is ordered in one task.
+    ``priority`` is a unique ascending order.  Space is cut into cells whose points all lie
+    within the distance, so a cell keeps at most one point and only its best open point, the
+    leader, can be next.  A leader better than every leader in reach is kept, as the greedy loop
+    would; the open points around it go.  Work per round is linear in cells and open points: no
+    pairs of points are listed, however dense a cell is.
     """
+    dims = len(axes)
+    side = distance / dims**0.5 * (1 - 1e-9)
+    reach = int(dims**0.5) + 1
+    cells = [f"_c{a}" for a in axes]
     ranked = cut_lineage(ranked)
-    node = ranked.select(priority, *axes)
-    cell = {a: floor_div(F.col(a), distance) for a in axes}
-    left = node.select("*", *[c.alias(f"_c{a}") for a, c in cell.items()])
-    around = node.select(
-        F.col(priority).alias("_better"), *[F.col(a).alias(f"_{a}") for a in axes],
-        *[c.alias(f"_c{a}") for a, c in cell.items()],
+    points = ranked.select(
+        F.col(priority).alias("p"), *axes, *[floor_div(F.col(a), side).alias(c) for a, c in zip(axes, cells)]
     )
-    for a in axes:
-        around = around.withColumn(f"_c{a}", F.explode(F.array(*[F.col(f"_c{a}") + d for d in (-1, 0, 1)])))
-    gap = reduce(lambda s, a: s + (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")), axes, lit(0))
-    edges = (
-        left.join(around, [f"_c{a}" for a in axes])
-        .where((F.col("_better") < F.col(priority)) & (F.sqrt(gap) < lit(distance)))
-        .select(F.col(priority).alias("node"), F.col("_better").alias("better"))
-    )
-    # Open candidates are self rows (node, node); other rows say which better one is in the way.
-    open_rows = node.select(F.col(priority).alias("node"), F.col(priority).alias("better")).unionAll(edges)
-    kept = None
+
+    def around(df: DataFrame) -> DataFrame:
+        for c in cells:
+            df = df.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in range(-reach, reach + 1)])))
+        return df
+
+    gap = reduce(lambda t, a: t + (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")), axes, lit(0))
+    open_points, kept = cut_lineage(points), None
     while True:
-        open_rows = cut_lineage(open_rows)
-        first_open = open_rows.agg(F.min("node")).first()[0]
+        first_open = open_points.agg(F.min("p")).first()[0]
         if first_open is None:
             break
-        # Everything better than the first open candidate is final.
-        if kept is not None and kept.where(F.col("node") < first_open).count() >= limit:
+        # Everything better than the first open point is final.
+        if kept is not None and kept.where(F.col("p") < first_open).count() >= limit:
             break
-        free = open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
-        blocked = open_rows.join(free.select(F.col("node").alias("better")), "better", "left_semi").select("node")
-        gone = free.unionAll(blocked).distinct()
-        kept = free if kept is None else kept.unionAll(free)
-        open_rows = open_rows.join(gone, "node", "left_anti").join(
-            gone.select(F.col("node").alias("better")), "better", "left_anti"
-        ).select("node", "better")
+        leaders = open_points.groupBy(*cells).agg(F.min("p").alias("p"))
+        best_near = around(leaders).groupBy(*cells).agg(F.min("p").alias("best"))
+        chosen = leaders.join(best_near, cells).where("p = best").select("p")
+        chosen = cut_lineage(points.join(chosen, "p", "left_semi"))
+        shadow = around(chosen.select(*[F.col(a).alias(f"_{a}") for a in axes], *cells))
+        hit = open_points.join(shadow, cells).where(F.sqrt(gap) < lit(distance)).select("p").distinct()
+        kept = chosen.select("p") if kept is None else kept.unionAll(chosen.select("p"))
+        open_points = cut_lineage(open_points.join(hit, "p", "left_anti"))
     if kept is None:
         return ranked.withColumn("rank", F.lit(1)).limit(0)
-    chosen = kept.select(F.col("node").alias(priority))
-    return top_ranked(ranked.join(chosen, priority), [F.asc(priority)], limit)
+    return top_ranked(ranked.join(kept.withColumnRenamed("p", priority), priority), [F.asc(priority)], limit)
 
 
 # -- sets -----------------------------------------------------------------------------------

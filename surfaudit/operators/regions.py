@@ -85,20 +85,19 @@ def mask_summary(px: DataFrame, value: str) -> DataFrame:
 
 
 def label_stats(px: DataFrame, chunk: Sequence[str]) -> DataFrame:
-    """Valid and positive pixels per chunk, plus one total row (chunk columns NULL)."""
+    """Valid and positive pixels per chunk, plus one total row (chunk columns NULL).
+
+    Totals are GROUPING SETS over the chunk rows, so pixels are read once.
+    """
     per = px.groupBy(*chunk).agg(
         F.count_if("valid").alias("valid_px"),
         F.count_if(F.col("valid") & F.col("positive")).alias("positive_px"),
     ).withColumn("both", (F.col("positive_px") > 0) & (F.col("positive_px") < F.col("valid_px")))
-    total = per.agg(
+    return per.groupingSets([[F.col(c) for c in chunk], []], *chunk).agg(
         F.sum("valid_px").alias("valid_px"),
         F.sum("positive_px").alias("positive_px"),
         F.count_if("both").alias("both_chunks"),
     )
-    nulls = [F.lit(None).cast("int").alias(c) for c in chunk]
-    return per.select(*chunk, "valid_px", "positive_px", F.col("both").cast("bigint").alias("both_chunks")).unionByName(
-        total.select(*nulls, "valid_px", "positive_px", "both_chunks")
-    )
 
 
 def common_support(px: DataFrame, policies: Sequence[str], chunk: Sequence[str]) -> DataFrame:

@@ -193,11 +193,19 @@ def draw_weights(blocks: DataFrame, key: str, reps: int, seed: int) -> DataFrame
     return weights.join(numbered.select("idx", key), "idx").select("rep", key, "w")
 
 
-def resample(counts: DataFrame, block: str, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """(rep, keys, n, pos): collapsed block counts added up with their draw weights."""
+def resample(
+    counts: DataFrame, block: str, keys: Sequence[str], reps: int, seed: int, salts: int = 8
+) -> DataFrame:
+    """(rep, keys, n, pos): collapsed block counts added up with their draw weights.
+
+    A hot block is spread over ``salts`` tasks: its count rows are split by a hash of their
+    keys and its weights, at most one per replicate, are repeated.
+    """
     counts = cut_lineage(counts)
     weights = draw_weights(counts.select(block).distinct(), block, reps, seed)
-    return weights.join(counts, block).groupBy("rep", *keys).agg(
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(salted, [block, "_salt"]).groupBy("rep", *keys).agg(
         F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")
     )
 
