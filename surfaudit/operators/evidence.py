@@ -20,16 +20,27 @@ class Gates:
     max_disagreement: float = 0.3
 
 
-def collapse_groups(px: DataFrame, keys=("y", "x")) -> DataFrame:
-    """Median of the valid views of each independence group, one row per pixel and group.
+def _collapse(px: DataFrame, groups: Mapping, keys, score: Column) -> tuple[DataFrame, list]:
+    """Wide form: one column of views per group name, from a single hash aggregate.
 
-    A group here is the handful of views of one pixel, so the exact median is bounded.
+    Declared views become conditional aggregates, so the shuffle on the pixel key combines on
+    the map side and nothing is sorted or collected.
     """
-    return (
-        px.where(F.col("score").isNotNull())
-        .groupBy(*keys, "grp")
-        .agg(F.median("score").alias("score"), F.count(F.lit(1)).alias("views"))
+    slots = {view: f"_v{i}" for i, view in enumerate(groups)}
+    wide = px.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("view_id") == v, score)).alias(s) for v, s in slots.items()]
     )
+    names = list(dict.fromkeys(groups.values()))
+    return wide, [(g, [F.col(slots[v]) for v in groups if groups[v] == g]) for g in names]
+
+
+def collapse_groups(px: DataFrame, groups: Mapping, keys=("y", "x")) -> DataFrame:
+    """Median of the valid views of each independence group, one row per pixel and group."""
+    wide, members = _collapse(px, groups, keys, valid_score(F.col("score")))
+    rows = F.array(*[
+        F.struct(F.lit(g).alias("grp"), median_of(*cols).alias("score"), count_of(*cols).alias("views")) for g, cols in members
+    ])
+    return wide.select(*keys, F.explode(rows).alias("g")).select(*keys, "g.*").where("views > 0")
 
 
 def _decide(groups: list[Column], gates: Gates) -> dict[str, Column]:
@@ -61,25 +72,15 @@ def combine_evidence(
     """Per-pixel consensus of long pixels(keys, view_id, score).
 
     ``groups`` maps each declared view to its effective group (a short configuration, like
-    the list of score columns).  Views become conditional aggregates, so both medians need a
-    single hash aggregation on the pixel key, with map-side combine, and no sort.
+    the list of score columns).  Both medians follow from one hash aggregate.
     """
     if not 2 <= gates.min_groups <= len(set(groups.values())):
         raise ValueError("min_groups must lie between 2 and the number of groups")
     score = F.col("score")
     score = normalize(score, *normalise) if normalise else valid_score(score)
-    slots = {view: f"_v{i}" for i, view in enumerate(groups)}
-    wide = px.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("view_id") == v, score)).alias(s) for v, s in slots.items()]
-    )
-    names = list(dict.fromkeys(groups.values()))
-    collapsed = wide.select(
-        *keys,
-        *[
-            median_of(*[F.col(slots[v]) for v in groups if groups[v] == g]).alias(f"_g{i}")
-            for i, g in enumerate(names)
-        ],
-    )
+    wide, members = _collapse(px, groups, keys, score)
+    names = [g for g, _ in members]
+    collapsed = wide.select(*keys, *[median_of(*cols).alias(f"_g{i}") for i, (_, cols) in enumerate(members)])
     decided = _decide([F.col(f"_g{i}") for i in range(len(names))], gates)
     return collapsed.select(*keys, *[c.alias(k) for k, c in decided.items()])
 

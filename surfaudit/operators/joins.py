@@ -159,19 +159,19 @@ def sample_bilinear(points: DataFrame, image: DataFrame, shape: tuple[int, int],
 
 
 def sample_volume(points: DataFrame, vox: DataFrame, key: Sequence[str], how: str = "trilinear") -> DataFrame:
-    """Value of a sparse volume at fractional (pz, py, px); absent voxels are zero.
+    """(key, sample): value of a sparse volume at fractional (pz, py, px); absent voxels are zero.
 
-    Samples follow a surface and are few next to the volume, so each one is spread over its
+    ``key`` identifies a point.  Samples follow a surface and are few next to the volume, so each one is spread over its
     corners and the volume is read once, without a copy of it.
     """
     axes = ("z", "y", "x")
     if how == "nearest":
-        at = points.select(*points.columns, *[F.rint(f"p{a}").cast("int").alias(a) for a in axes])
+        at = points.select(*key, *[F.rint(f"p{a}").cast("int").alias(a) for a in axes])
         return at.join(vox.select(*axes, "v"), list(axes), "left").select(
-            *points.columns, F.coalesce(F.col("v").cast("double"), lit(0)).alias("sample")
+            *key, F.coalesce(F.col("v").cast("double"), lit(0)).alias("sample")
         )
     corners = F.array(*[F.lit(i) for i in range(8)])
-    spread = points.select(*points.columns, F.explode(corners).alias("_i"))
+    spread = points.select(*key, "pz", "py", "px", F.explode(corners).alias("_i"))
     weight = lit(1)
     cols = []
     for bit, a in enumerate(axes):
@@ -179,9 +179,10 @@ def sample_volume(points: DataFrame, vox: DataFrame, key: Sequence[str], how: st
         frac = F.col(f"p{a}") - F.floor(f"p{a}")
         weight = weight * F.when(on, frac).otherwise(1 - frac)
         cols.append((F.floor(f"p{a}") + on.cast("int")).cast("int").alias(a))
-    spread = spread.select(*points.columns, *cols, weight.alias("_w"))
+    # Corners of weight zero are never read.
+    spread = spread.select(*key, *cols, weight.alias("_w")).where("_w > 0")
     joined = spread.join(vox.select(*axes, "v"), list(axes), "left")
-    return joined.groupBy(*points.columns).agg(F.sum(F.col("_w") * F.coalesce("v", F.lit(0))).alias("sample"))
+    return joined.groupBy(*key).agg(F.sum(F.col("_w") * F.coalesce("v", F.lit(0))).alias("sample"))
 
 
 def resample_mask(mask: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -305,12 +306,36 @@ def pair_uv(
     )
 
 
+def _contenders(boxes: DataFrame, axes: Sequence[str], k: int, side: float) -> DataFrame:
+    """Boxes per cell that may be among the k nearest of some point of the cell.
+
+    k boxes have a largest distance of at most D to any point of the cell; a box whose smallest
+    distance exceeds D cannot matter, and of those that contain the cell only the k first do.
+    """
+    from surfaudit.operators.windows import rank_within
+
+    cells = [f"_k{a}" for a in axes]
+    norm = lambda parts: F.sqrt(reduce(lambda t, p: t + p * p, parts, lit(0)))
+    start, stop = {a: F.col(f"_k{a}") * lit(side) for a in axes}, {a: (F.col(f"_k{a}") + 1) * lit(side) for a in axes}
+    least = norm([F.greatest(F.col(f"{a}0") - stop[a], start[a] - F.col(f"{a}1"), lit(0)) for a in axes])
+    most = norm([F.greatest(F.col(f"{a}0") - start[a], stop[a] - F.col(f"{a}1"), lit(0)) for a in axes])
+    rated = boxes.withColumn("_min", least).withColumn("_max", most)
+    order = F.struct("_max", "_vol", "box_id")
+    top = rank_within(rated, cells, ["_max", "_vol", "box_id"], k)
+    limit = top.groupBy(*cells).agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    keep = (
+        (F.col("_n") < k) | (order <= F.col("_last")) | ((F.col("_max") > 0) & (F.col("_min") <= F.col("_last._max")))
+    )
+    return rated.join(limit, cells).where(keep).drop("_min", "_max", "_last", "_n")
+
+
 def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: int, radius: float) -> DataFrame:
     """The k nearest boxes of every point, ties by smaller volume and then by id.
 
     Points and boxes meet on grid cells of the current radius, so a round sees exactly the
-    boxes within it.  A point with k of them is finished; the rest double the radius, and once
-    the radius spans everything all boxes qualify.
+    boxes within it.  A cell first drops every box that k others beat for all of its points, so
+    a crowd of boxes over one place never meets the points there.  A point with k boxes is
+    finished; the rest go on with four times the radius until it spans everything.
     """
     from surfaudit.operators.windows import rank_within
 
@@ -331,7 +356,7 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
                 floor_div(F.col(f"{a}0") - lit(radius), radius), floor_div(F.col(f"{a}1") + lit(radius), radius)
             )
             wide = wide.withColumn(f"_k{a}", F.explode(cells))
-        near = keyed.join(wide, [f"_k{a}" for a in axes]).withColumn(
+        near = keyed.join(_contenders(wide, axes, k, radius), [f"_k{a}" for a in axes]).withColumn(
             "distance", box_distance([F.col(a) for a in axes], lo, hi)
         ).where(F.col("distance") <= lit(radius))
         best = rank_within(near, ["point_id"], ["distance", "_vol", "box_id"], k).select(
@@ -346,7 +371,7 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
         open_points = cut_lineage(open_points.join(full, "point_id", "left_anti"))
         if open_points.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     return reduce(DataFrame.unionByName, done)
 
 

@@ -18,7 +18,7 @@ decided AS (
 @register("d01_collapse_groups", "y:i x:i grp:s score:d views:i",
           f"WITH {b.CELLS} SELECT y, x, grp, median(score) AS score, count(*) AS views FROM cells GROUP BY y, x, grp")
 def d01(spark, sf):
-    return ev.collapse_groups(b.cells(spark, sf))
+    return ev.collapse_groups(b.raw_pixels(spark, sf), b.VIEW_GROUPS)
 
 
 def consensus(spark, sf):

@@ -242,7 +242,7 @@ def c15(spark, sf):
     points = b.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 173).cast("double").alias("y"),
         (F.col("c_custkey") * 31 % 167).cast("double").alias("x"))
-    return jn.nearest_boxes(points, b.boxes(spark, sf), ["y", "x"], 3, 16.0)
+    return jn.nearest_boxes(points, b.boxes(spark, sf), ["y", "x"], 3, 8.0)
 
 
 @register("c17_validate_reviews", "candidate_id:i problem:s times:i",
