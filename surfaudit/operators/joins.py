@@ -306,7 +306,7 @@ def pair_uv(
     )
 
 
-def _contenders(boxes: DataFrame, axes: Sequence[str], k: int, side: float) -> DataFrame:
+def _contenders(rated: DataFrame, cells: Sequence[str], k: int) -> DataFrame:
     """Boxes per cell that may be among the k nearest of some point of the cell.
 
     k boxes have a largest distance of at most D to any point of the cell; a box whose smallest
@@ -314,28 +314,23 @@ def _contenders(boxes: DataFrame, axes: Sequence[str], k: int, side: float) -> D
     """
     from surfaudit.operators.windows import rank_within
 
-    cells = [f"_k{a}" for a in axes]
-    norm = lambda parts: F.sqrt(reduce(lambda t, p: t + p * p, parts, lit(0)))
-    start, stop = {a: F.col(f"_k{a}") * lit(side) for a in axes}, {a: (F.col(f"_k{a}") + 1) * lit(side) for a in axes}
-    least = norm([F.greatest(F.col(f"{a}0") - stop[a], start[a] - F.col(f"{a}1"), lit(0)) for a in axes])
-    most = norm([F.greatest(F.col(f"{a}0") - start[a], stop[a] - F.col(f"{a}1"), lit(0)) for a in axes])
-    rated = boxes.withColumn("_min", least).withColumn("_max", most)
     order = F.struct("_max", "_vol", "box_id")
     top = rank_within(rated, cells, ["_max", "_vol", "box_id"], k)
     limit = top.groupBy(*cells).agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n"))
     keep = (
         (F.col("_n") < k) | (order <= F.col("_last")) | ((F.col("_max") > 0) & (F.col("_min") <= F.col("_last._max")))
     )
-    return rated.join(limit, cells).where(keep).drop("_min", "_max", "_last", "_n")
+    return rated.join(limit, list(cells)).where(keep).drop("_min", "_max", "_last", "_n")
 
 
-def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: int, radius: float) -> DataFrame:
+def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: int, side: float) -> DataFrame:
     """The k nearest boxes of every point, ties by smaller volume and then by id.
 
-    Points and boxes meet on grid cells of the current radius, so a round sees exactly the
-    boxes within it.  A cell first drops every box that k others beat for all of its points, so
-    a crowd of boxes over one place never meets the points there.  A point with k boxes is
-    finished; the rest go on with four times the radius until it spans everything.
+    Points are held in cells of the given side.  A round looks for boxes within a radius of
+    each cell that still has open points: cells and boxes meet on a grid of that radius, a cell
+    drops every box that k others beat for all of its points, and only then do points and boxes
+    meet.  A point with k boxes within the radius is finished; the rest go on with four times
+    the radius until it spans everything.
     """
     from surfaudit.operators.windows import rank_within
 
@@ -343,23 +338,35 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
     spans = boxes.agg(*[F.min(f"{a}0").alias(f"l{a}") for a in axes], *[F.max(f"{a}1").alias(f"h{a}") for a in axes]).first()
     reach = points.agg(*[F.min(a).alias(f"l{a}") for a in axes], *[F.max(a).alias(f"h{a}") for a in axes]).first()
     if spans[0] is None or reach[0] is None:
-        return None
+        raise ValueError("points and boxes must not be empty")
     diameter = sum((max(spans[f"h{a}"], reach[f"h{a}"]) - min(spans[f"l{a}"], reach[f"l{a}"])) ** 2 for a in axes) ** 0.5
-    open_points, done = points, []
+    cells, coarse = [f"_k{a}" for a in axes], [f"_r{a}" for a in axes]
+    norm = lambda parts: F.sqrt(reduce(lambda t, p: t + p * p, parts, lit(0)))
+    start = {a: F.col(f"_k{a}") * lit(side) for a in axes}
+    stop = {a: (F.col(f"_k{a}") + 1) * lit(side) for a in axes}
+    least = norm([F.greatest(F.col(f"{a}0") - stop[a], start[a] - F.col(f"{a}1"), lit(0)) for a in axes])
+    most = norm([F.greatest(F.col(f"{a}0") - start[a], stop[a] - F.col(f"{a}1"), lit(0)) for a in axes])
+
+    open_points = points.select("point_id", *axes, *[floor_div(F.col(a), side).alias(c) for a, c in zip(axes, cells)])
+    boxes, radius, done = boxes.withColumn("_vol", box_volume(lo, hi)), side, []
     while True:
-        keyed = open_points.select(
-            "point_id", *axes, *[floor_div(F.col(a), radius).alias(f"_k{a}") for a in axes]
+        held = open_points.select(*cells).distinct().select(
+            *cells, *[floor_div(start[a], radius).alias(r) for a, r in zip(axes, coarse)]
         )
-        wide = boxes.withColumn("_vol", box_volume(lo, hi))
-        for a in axes:
-            cells = F.sequence(
-                floor_div(F.col(f"{a}0") - lit(radius), radius), floor_div(F.col(f"{a}1") + lit(radius), radius)
+        wide = boxes
+        for a, r in zip(axes, coarse):
+            # A cell starts at most radius + side before the box and radius after it.
+            near = F.sequence(
+                floor_div(F.col(f"{a}0") - lit(radius + side), radius), floor_div(F.col(f"{a}1") + lit(radius), radius)
             )
-            wide = wide.withColumn(f"_k{a}", F.explode(cells))
-        near = keyed.join(_contenders(wide, axes, k, radius), [f"_k{a}" for a in axes]).withColumn(
+            wide = wide.withColumn(r, F.explode(near))
+        rated = held.join(wide, coarse).drop(*coarse).withColumn("_min", least).withColumn("_max", most).where(
+            F.col("_min") <= lit(radius)
+        )
+        met = open_points.join(_contenders(rated, cells, k), cells).withColumn(
             "distance", box_distance([F.col(a) for a in axes], lo, hi)
         ).where(F.col("distance") <= lit(radius))
-        best = rank_within(near, ["point_id"], ["distance", "_vol", "box_id"], k).select(
+        best = rank_within(met, ["point_id"], ["distance", "_vol", "box_id"], k).select(
             "point_id", "box_id", "distance", F.col("_vol").alias("volume"), "rank"
         )
         if radius >= diameter:
