@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surfaudit.functions.scalar import lit, url_host
+from surfaudit.functions.scalar import url_host
 
 # The vocabularies a configuration may use.
 REGIMES = ("DEV", "VALIDATION", "DISCOVERY")

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from surfaudit.operators import metrics as m, sampling as sp
+from surfaudit.operators import sampling as sp
 from surfaudit.plans import bindings as b
 from surfaudit.plans.registry import register
-from surfaudit.plans.suite_metrics import ap_sql
 
 S = b.SCORED_ALL
 

@@ -1,6 +1,5 @@
 """Sources, sinks, contracts, gates, claims and incremental runs."""
 
-import io
 import json
 
 import numpy as np
