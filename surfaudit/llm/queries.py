@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surfaudit.llm.common import table
 from surfaudit.llm.simhash import simhash_components
+from surfaudit.llm.substring import dedup_substrings
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +20,29 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_simhash_components": op6_simhash_components,
 }
-ORACLES: dict[str, str] = {}
+
+OP2_SQL = r"""
+WITH w AS (
+    SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
+), win AS (
+    SELECT doc_id, s, list_aggregate(ws[s:s + 19], 'string_agg', ' ') AS k
+    FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20) AS t
+), again AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) AS t WHERE r > 1
+), gone AS (
+    SELECT DISTINCT doc_id, s + o AS i FROM again, generate_series(0, 19) AS g(o)
+), word AS (
+    SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+ORACLES = {
+    "op2_substring_dedup": OP2_SQL,
+}
