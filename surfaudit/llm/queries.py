@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surfaudit.llm.common import table
+from surfaudit.llm.decontaminate import contamination_report
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.substring import dedup_substrings
 
@@ -14,6 +15,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, "contaminated")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -21,6 +28,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op6_simhash_components": op6_simhash_components,
 }
 
@@ -43,6 +51,35 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+OP3_SQL = r"""
+WITH w AS (
+    SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents
+), b AS (
+    SELECT item_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM benchmark
+), bw AS (
+    SELECT DISTINCT item_id, n, list_aggregate(ws[s:s + n - 1], 'string_agg', ' ') AS k
+    FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS s FROM b WHERE len(ws) > 0) AS t
+), lens AS (
+    SELECT DISTINCT n FROM bw
+), dw AS (
+    SELECT doc_id, n, s, list_aggregate(ws[s:s + n - 1], 'string_agg', ' ') AS k
+    FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s FROM w, lens WHERE len(ws) >= n) AS t
+), hit AS (
+    SELECT DISTINCT doc_id, dw.n, s, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n
+), words AS (
+    SELECT doc_id, count(DISTINCT s + o) AS n_hit FROM hit, generate_series(0, 9) AS g(o) WHERE o < n GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) AS t GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
+"""
+
 ORACLES = {
+    "op3_decontaminate": OP3_SQL,
     "op2_substring_dedup": OP2_SQL,
 }
