@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from surfaudit.llm.bpe import decode_ids, encode_texts
 from surfaudit.llm.common import table
 from surfaudit.llm.decontaminate import contamination_report
 from surfaudit.llm.simhash import simhash_components
@@ -21,6 +22,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, "contaminated")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_texts(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(decode_ids("ids", "offsets"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,6 +39,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash_components": op6_simhash_components,
 }
 
