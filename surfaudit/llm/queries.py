@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surfaudit.llm.bpe import decode_ids, encode_texts
 from surfaudit.llm.common import table
 from surfaudit.llm.decontaminate import contamination_report
+from surfaudit.llm.language import identify_languages
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.substring import dedup_substrings
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,6 +42,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,

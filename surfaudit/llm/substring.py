@@ -173,3 +173,18 @@ def dedup_substrings(
     cuts = keyed.join(runs, ["doc", "mark"], "left").select("row", cut("text", "runs").alias("cut"))
     added = ("n_words", "n_removed", "kept")
     return cuts.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[F.col("cut")[c].alias(c) for c in added])
+
+
+def drop_repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the repeated spans cut out of ``text`` and ``n_chars`` set anew.
+
+    A text that loses nothing stays as it is, white space included; one that loses every word
+    goes with its row.  All other columns stay.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    cut = dedup_substrings(whole, window, gram).where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
