@@ -8,6 +8,7 @@ from surfaudit.llm.bpe import decode_ids, encode_texts
 from surfaudit.llm.common import table
 from surfaudit.llm.decontaminate import contamination_report
 from surfaudit.llm.language import identify_languages
+from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.substring import dedup_substrings
 
@@ -41,12 +42,19 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash_components": op6_simhash_components,
+    "op10_kd_shards": op10_kd_shards,
 }
 
 OP2_SQL = r"""
