@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surfaudit.llm.bpe import decode_ids, encode_texts
 from surfaudit.llm.common import table
 from surfaudit.llm.decontaminate import contamination_report
+from surfaudit.llm.html_text import page_texts
 from surfaudit.llm.language import identify_languages
 from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.substring import dedup_substrings
+from surfaudit.llm.vectors import near_vectors
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,14 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=16)
     none = F.lit(None).cast("int").alias("grown_shard")
@@ -54,6 +64,8 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash_components": op6_simhash_components,
+    "op7_html_text": op7_html_text,
+    "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
 }
 
