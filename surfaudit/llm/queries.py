@@ -9,6 +9,8 @@ from surfaudit.llm.common import table
 from surfaudit.llm.decontaminate import contamination_report
 from surfaudit.llm.html_text import page_texts
 from surfaudit.llm.language import identify_languages
+from surfaudit.llm.lm_scoring import score_documents
+from surfaudit.llm.resampling import clean_ids, resample, target_share
 from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.substring import dedup_substrings
@@ -39,6 +41,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return resample(table(spark, sf_dir, "documents"), clean_ids(labels), target_share(labels))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +55,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), clean_ids(table(spark, sf_dir, "labels")))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -63,8 +74,10 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_simhash_components": op6_simhash_components,
     "op7_html_text": op7_html_text,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
 }
