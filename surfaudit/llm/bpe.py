@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surfaudit.llm.common import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
+SLICE_CHARS = 1 << 20  # text whose pieces are held at once
 LONG_PIECE = 64  # bytes from which merges are kept in a heap
 BLOCK = 64
 NONE = 1 << 30
@@ -233,26 +234,32 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def encode_texts(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """(doc_id, ids, offsets): token ids and the byte at which each token starts.
 
     Special tokens are ordinary text here.  Null and empty texts have no token; rows that repeat
-    a doc_id, or have none, are rows of their own.
+    a doc_id, or have none, are rows of their own.  With ``decoded`` the same task decodes the ids
+    again, into a column of bytes.
     """
     path = ranks_path or public_tokenizers.path(RANKS)
+    names = ["doc_id", "ids", "offsets", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for part in slices([len(t or "") for t in texts]):
+            for part in slices([len(t or "") for t in texts], SLICE_CHARS):
                 ids = vocabulary.encode([t or "" for t in texts[part]])
                 offsets = [vocabulary.offsets(x).astype(np.int32) for x in ids]
                 columns = [batch.column("doc_id").slice(part.start, len(ids)), _lists(ids, pa.int32()), _lists(offsets, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "offsets"])
+                if decoded:
+                    columns.append(pa.array(list(map(vocabulary.decode, ids, offsets)), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, offsets array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, offsets array<int>" + ", decoded binary" * decoded)
 
 
 def decode_ids(ids: Column | str, offsets: Column | str, ranks_path: str | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surfaudit.llm.bpe import decode_ids, encode_texts
+from surfaudit.llm.bpe import encode_texts
 from surfaudit.llm.common import table
 from surfaudit.llm.decontaminate import contamination_report
 from surfaudit.llm.html_text import page_texts
@@ -33,11 +33,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_texts(table(spark, sf_dir, "documents"))
+    coded = encode_texts(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decode_ids("ids", "offsets"), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
