@@ -7,9 +7,10 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from surfaudit.functions.scalar import floor_div
+from surfaudit.operators.prefix import join_by
 from surfaudit.session import cut_lineage
 
 # Strides that turn coordinates into one row-major id; rasters stay below 2^31 columns and
@@ -75,28 +76,25 @@ def tile_labels(coords: np.ndarray, offsets: Sequence[tuple[int, ...]]) -> np.nd
             root = root[root]
 
 
-def cell_id(axes: Sequence[str]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for a, s in zip(axes, PLANE[len(axes)]):
-        total = total + F.col(a).cast("bigint") * F.lit(s)
-    return total
-
-
 def components(
     mask: DataFrame,
     full: bool = False,
-    tile: int = 256,
+    tile: int | None = None,
     by: Sequence[str] = (),
     axes: Sequence[str] = ("y", "x"),
     clip: bool = False,
 ) -> DataFrame:
     """Adds ``component`` to mask cells: the row-major id of the component's first cell.
 
-    Cells are labelled inside tiles of fixed size (at most tile ** dims cells per group), then
-    only labels that touch across tile borders enter the component graph.  With ``clip`` tiles
-    are chunks whose borders separate components.  ``full`` joins diagonal neighbours too.
+    ``by`` names the surface (or volume) a cell lies on; surfaces never touch, so a component is
+    (by, component), and a NULL is a surface of its own.  Cells are labelled inside tiles of
+    fixed size (at most tile ** dims cells per group: 256 in two dimensions and 32 in three
+    unless given), then only labels that touch across tile borders enter the component graph.
+    With ``clip`` tiles are chunks whose borders separate components.  ``full`` joins diagonal
+    neighbours too.  Coordinates outside the range of the ids raise.
     """
     by, axes = list(by), list(axes)
+    tile = tile or (256 if len(axes) == 2 else 32)
     offsets = forward_offsets(len(axes), full)
     strides = PLANE[len(axes)]
     tiles = [f"_t{a}" for a in axes]
@@ -107,6 +105,8 @@ def components(
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(axes, ignore_index=True)
         coords = pdf[axes].to_numpy(dtype=np.int64)
+        if coords.min() < 0 or any(coords[:, k].max() >= strides[k - 1] // strides[k] for k in range(1, len(axes))):
+            raise ValueError(f"coordinates {axes} are beyond the range of component ids")
         first = coords[tile_labels(coords, offsets)]
         pdf["label"] = first @ np.asarray(strides, dtype=np.int64)
         return pdf[[*by, *axes, "label"]]
@@ -117,8 +117,6 @@ def components(
     if clip:
         return labelled.withColumnRenamed("label", "component")
 
-    if by:
-        raise ValueError("components across tiles are found in one raster at a time")
     labelled = cut_lineage(labelled)  # the labels are read three times below
     edge_cell = None
     for a in axes:
@@ -126,13 +124,18 @@ def components(
         hit = (rest == 0) | (rest == tile - 1)
         edge_cell = hit if edge_cell is None else edge_cell | hit
     border = labelled.where(edge_cell)
+    node = F.struct(*by, "label") if by else F.col("label")
     steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
     moved = border.withColumn("_o", F.explode(steps)).select(
-        *[(F.col(a) + F.get("_o", F.lit(i))).alias(a) for i, a in enumerate(axes)], F.col("label").alias("src")
+        *by, *[(F.col(a) + F.get("_o", F.lit(i))).alias(a) for i, a in enumerate(axes)], node.alias("src")
     )
-    edges = moved.join(border.withColumnRenamed("label", "dst"), axes).where("src <> dst").select("src", "dst")
-    merged = connected_components(edges).select(F.col("node").alias("label"), "component")
-    return labelled.join(merged, "label", "left").select(*axes, F.coalesce("component", "label").alias("component"))
+    edges = join_by(moved, border.select(*by, *axes, node.alias("dst")), by, on=axes).where("src <> dst").select("src", "dst")
+    merged = connected_components(edges)
+    if by:
+        merged = merged.select("node.*", F.col("component.label").alias("component"))
+    else:
+        merged = merged.select(F.col("node").alias("label"), "component")
+    return join_by(labelled, merged, by, "left", ["label"]).select(*by, *axes, F.coalesce("component", "label").alias("component"))
 
 
 def component_areas(labelled: DataFrame, by: Sequence[str] = (), area: str | None = None) -> DataFrame:
@@ -147,7 +150,7 @@ def component_summary(sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).withColumn("largest_fraction", F.col("largest") / F.col("cells"))
 
 
-def drop_small(labelled: DataFrame, minimum: int) -> DataFrame:
+def drop_small(labelled: DataFrame, minimum: int, by: Sequence[str] = ()) -> DataFrame:
     """Cells of components with at least ``minimum`` cells."""
-    keep = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum)
-    return labelled.join(keep.select("component"), "component", "left_semi")
+    keep = labelled.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum)
+    return join_by(labelled, keep.select(*by, "component"), by, "left_semi", ["component"])

@@ -19,6 +19,8 @@ TRACKS = ("A", "B", "C")
 TIERS = ("G0", "G1", "G2", "G3")
 ROLES = ("locked_validation", "development", "post_hoc")
 FROZEN = "frozen_before_ground_truth"
+POST_HOC = "post_hoc_diagnostic"
+AUDIT_SCHEMA = "independence-audit/1.0"
 
 
 class ContractError(ValueError):
@@ -28,7 +30,7 @@ class ContractError(ValueError):
 def require(violations: DataFrame, what: str) -> None:
     bad = [r.asDict() for r in violations.limit(5).collect()]
     if bad:
-        raise ContractError(f"{what}: {bad}")
+        raise ContractError(f"{what}: {violations.count()} violations, such as {bad}")
 
 
 def check_rows(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
@@ -143,25 +145,31 @@ def geometry_tier(audit: DataFrame) -> DataFrame:
 def claim_ceiling(ledger: DataFrame, receipts: DataFrame, audits: DataFrame) -> DataFrame:
     """What each evidence receipt may support.
 
-    A receipt must match its ledger hash and its role's regime.  Groups without an audit bound
-    to the receipt's hash count as at most one.  Only a locked result with every check passed,
-    tier G2 or G3, two audited groups and independent ground truth is eligible.
+    A receipt must match its ledger hash, the schema the ledger expects and its role's regime; a
+    post-hoc receipt must say what it is.  An audit must match its own ledger hash and schema and
+    be bound to the receipt's hash; groups without one count as at most one.  Only a locked
+    result with every check passed, tier G2 or G3, two audited groups and independent ground
+    truth is eligible.  A missing value never satisfies a condition.
     """
-    both = ledger.join(receipts, "artifact", "left").join(
-        audits.select("artifact", "subject_sha", "effective_groups", "gate_passed"), "artifact", "left"
-    )
-    role, regime = F.col("role"), F.col("regime")
+    own = audits.select("artifact", "subject_sha", "effective_groups", "gate_passed", "audit_sha", "audit_schema", F.lit(True).alias("_audited"))
+    both = ledger.join(receipts, "artifact", "left").join(own, "artifact", "left")
+    both = both.withColumn("go_checks", F.coalesce("go_checks", F.create_map().cast("map<string,boolean>")))
+    role, audited = F.coalesce("role", F.lit("")), F.coalesce("_audited", F.lit(False))
+    same = lambda a, b: F.coalesce(F.col(a) == (F.col(b) if isinstance(b, str) else b), F.lit(False))
     problem = (
         F.when(F.col("sha").isNull(), "missing_receipt")
         .when(~role.isin(*ROLES), "unknown_role")
-        .when(F.col("sha") != F.col("declared_sha"), "hash_mismatch")
-        .when((role == "locked_validation") & (regime != "VALIDATION"), "role_regime_mismatch")
-        .when((role == "development") & (regime != "DEV"), "role_regime_mismatch")
-        .when(F.col("subject_sha").isNotNull() & (F.col("subject_sha") != F.col("sha")), "audit_not_bound")
+        .when(~same("sha", "declared_sha"), "hash_mismatch")
+        .when(~same("schema_version", "expected_schema"), "schema_mismatch")
+        .when((role == "locked_validation") & ~same("regime", F.lit("VALIDATION")), "role_regime_mismatch")
+        .when((role == "development") & ~same("regime", F.lit("DEV")), "role_regime_mismatch")
+        .when((role == "post_hoc") & ~same("analysis_type", F.lit(POST_HOC)), "not_post_hoc")
+        .when(audited & ~same("audit_sha", "declared_audit_sha"), "audit_hash_mismatch")
+        .when(audited & ~same("audit_schema", F.lit(AUDIT_SCHEMA)), "audit_schema_mismatch")
+        .when(audited & ~same("subject_sha", "sha"), "audit_not_bound")
     )
-    audited = F.col("subject_sha").isNotNull()
     groups = F.when(audited, F.col("effective_groups")).otherwise(F.least(F.col("declared_groups"), F.lit(1)))
-    checks = F.map_values("go_checks")
+    checks = F.transform(F.map_values("go_checks"), lambda ok: F.coalesce(ok, F.lit(False)))
     eligible = (
         (role == "locked_validation") & (F.size(checks) > 0) & F.forall(checks, lambda ok: ok)
         & F.col("tier").isin("G2", "G3") & F.col("gate_passed") & (F.col("groups") >= 2)

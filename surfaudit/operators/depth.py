@@ -22,12 +22,16 @@ def depth_features(vox: DataFrame, c0: int, c1: int, keys=("y", "x")) -> DataFra
 
 
 def pool_depth(vox: DataFrame, depth: int, planes: int, pool: int, keys=("y", "x")) -> DataFrame:
-    """Centred pooling of ``planes`` groups of ``pool`` layers, mean rounded half to even."""
+    """Centred pooling of ``planes`` groups of ``pool`` layers, mean rounded half to even.
+
+    Every pixel of ``vox`` has all planes; layers that are not stored are zero.
+    """
     if planes * pool > depth:
         raise ValueError("pooling needs more layers than the volume has")
     start = math.ceil((depth - planes * pool) / 2)
-    inside = vox.where((F.col("z") >= start) & (F.col("z") < start + planes * pool))
-    # Layers that are not stored are zero, so the divisor is the pool size.
-    return inside.groupBy(*keys, floor_div(F.col("z") - start, pool).alias("plane")).agg(
-        F.rint(F.sum("v") / lit(pool)).cast("bigint").alias("v")
-    )
+    # One conditional sum per plane (a parameter), so a pixel is one row of a hash aggregate.
+    plane = floor_div(F.col("z") - start, pool)
+    inside = (F.col("z") >= start) & (F.col("z") < start + planes * pool)
+    sums = [F.coalesce(F.sum(F.when(inside & (plane == p), F.col("v"))), F.lit(0)) for p in range(planes)]
+    wide = vox.groupBy(*keys).agg(F.array(*[F.rint(s / lit(pool)).cast("bigint") for s in sums]).alias("_planes"))
+    return wide.select(*keys, F.posexplode("_planes").alias("plane", "v"))

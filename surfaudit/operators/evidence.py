@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import count_of, fuse, lit, median_of, normalize, valid_score
+from surfaudit.operators.contracts import require
+from surfaudit.operators.prefix import join_by
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,20 @@ class Gates:
     max_disagreement: float = 0.3
 
 
+def undeclared_views(px: DataFrame, groups: Mapping, keys=("y", "x")) -> DataFrame:
+    """(key, problem): views without a declared group, and views read twice on a pixel."""
+    per = px.groupBy(*keys, "view_id").agg(F.count(F.lit(1)).alias("n"))
+    found = per.groupBy("view_id").agg(F.count_if(F.col("n") > 1).alias("twice"))
+    unknown = ~F.coalesce(F.col("view_id").isin(*groups), F.lit(False))
+    problems = F.array_compact(F.array(F.when(unknown, "undeclared_view"), F.when(F.col("twice") > 0, "repeated_reading")))
+    return found.select(F.coalesce(F.col("view_id").cast("string"), F.lit("NULL")).alias("key"), F.explode(problems).alias("problem"))
+
+
+def require_declared(px: DataFrame, groups: Mapping, keys=("y", "x")) -> None:
+    """Raises on readings that the consensus would ignore or merge."""
+    require(undeclared_views(px, groups, keys), "views")
+
+
 def _collapse(px: DataFrame, groups: Mapping, keys, score: Column) -> tuple[DataFrame, list]:
     """Wide form: one column of views per group name, from a single hash aggregate.
 
@@ -85,14 +101,19 @@ def combine_evidence(
     return collapsed.select(*keys, *[c.alias(k) for k, c in decided.items()])
 
 
-def evidence_report(maps: DataFrame) -> DataFrame:
-    """Accepted pixels over all pixels of the canvas, valid or not."""
+def evidence_report(maps: DataFrame, canvas: tuple[int, int]) -> DataFrame:
+    """Accepted pixels over all pixels of the canvas (height, width), stored or not.
+
+    A pixel without a row has no valid group and no support.
+    """
+    pixels = F.lit(canvas[0] * canvas[1]).cast("bigint")
     return maps.agg(
-        F.count(F.lit(1)).alias("pixels"),
         F.count_if("accepted").alias("accepted_pixels"),
-        F.try_divide(F.count_if("accepted"), F.count(F.lit(1))).alias("accepted_fraction"),
-        F.max("valid_groups").alias("max_valid_groups"),
-        F.avg("support").alias("mean_support"),
+        F.coalesce(F.max("valid_groups"), F.lit(0)).alias("max_valid_groups"),
+        F.coalesce(F.sum("support"), lit(0)).alias("_support"),
+    ).select(
+        pixels.alias("pixels"), "accepted_pixels", F.try_divide("accepted_pixels", pixels).alias("accepted_fraction"),
+        "max_valid_groups", F.try_divide("_support", pixels).alias("mean_support"),
     )
 
 
@@ -124,7 +145,7 @@ def robust_mad(df: DataFrame, value: str, by: str) -> DataFrame:
     """
     v = F.col(value).cast("double")
     cut = df.groupBy(by).agg(F.percentile(v, [0.01, 0.99]).alias("_cut"))
-    clipped = df.join(cut, by).withColumn(
+    clipped = join_by(df, cut, [by]).withColumn(
         "_c", F.greatest(F.get("_cut", F.lit(0)), F.least(F.get("_cut", F.lit(1)), v))
     )
     mid = clipped.groupBy(by).agg(
@@ -132,11 +153,11 @@ def robust_mad(df: DataFrame, value: str, by: str) -> DataFrame:
         F.stddev_pop("_c").alias("_std"),
         F.max(F.get("_cut", F.lit(1)) - F.get("_cut", F.lit(0))).alias("_span"),
     )
-    centred = clipped.join(mid, by)
+    centred = join_by(clipped, mid, [by])
     mad = centred.groupBy(by).agg(F.median(F.abs(F.col("_c") - F.col("_med"))).alias("_mad"))
     scale = lit(1.4826) * F.col("_mad")
     scale = F.when(scale < lit(1e-6), F.greatest("_std", F.col("_span") / 2, lit(1))).otherwise(scale)
-    return centred.join(mad, by).withColumn("scaled", (F.col("_c") - F.col("_med")) / scale).select(
+    return join_by(centred, mad, [by]).withColumn("scaled", (F.col("_c") - F.col("_med")) / scale).select(
         *df.columns, "scaled"
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,19 +51,23 @@ def crossfit(
     """Out-of-fold scores (keep, label, fold, score) for rows of (fold, role).
 
     Each fold trains on its train rows and scores its test rows.  Rows are written once and
-    read per fold.
+    read per fold.  Features are standardised by mean and population deviation; a constant
+    feature is only centred.
     """
     rows = cut_lineage(df.select(*keep, *features, label, fold, "role"))
-    assemble = VectorAssembler(inputCols=list(features), outputCol="raw")
-    scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     parts = []
     for f in _folds(rows, label, fold):
         train = balanced(rows.where((F.col(fold) == f) & (F.col("role") == "train")), label).withColumn(
             "y", F.col(label).cast("double")
         )
-        model = Pipeline(stages=[assemble, scale, *stages(train)]).fit(train)
+        moments = train.agg(*[g(c).alias(f"{n}_{i}") for i, c in enumerate(features) for n, g in (("m", F.avg), ("d", F.stddev_pop))]).first()
+        scaled = {
+            c: (F.col(c) - F.lit(moments[f"m_{i}"])) / F.lit(moments[f"d_{i}"] or 1.0) for i, c in enumerate(features)
+        }
+        model = Pipeline(stages=[assemble, *stages(train)]).fit(train.withColumns(scaled))
         test = rows.where((F.col(fold) == f) & (F.col("role") == "test"))
-        scored = model.transform(test).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+        scored = model.transform(test.withColumns(scaled)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
         parts.append(scored.select(*keep, label, fold, "score"))
     return oof_scores(parts)
 

@@ -26,11 +26,10 @@ def provenance_links(views: DataFrame, fields: Sequence[str]) -> DataFrame:
     by_value = shared.join(hub, ["field", "value"]).where("g <> hub").select(
         F.col("g").alias("src"), F.col("hub").alias("dst"), "field", "value", F.lit("shared_value").alias("reason")
     )
-    gap = long.where(F.col("value").isNull()).agg(F.min("field")).scalar()
+    # One row per incomplete field: the fields are a parameter, so the array is short.
+    gaps = long.where(F.col("value").isNull()).agg(F.sort_array(F.collect_set("field"))).scalar()
     start = first.agg(F.min("g")).scalar()
-    by_gap = first.withColumn("field", gap).withColumn("dst", start).where(
-        F.col("field").isNotNull() & (F.col("g") != F.col("dst"))
-    ).select(
+    by_gap = first.withColumn("field", F.explode(gaps)).withColumn("dst", start).where(F.col("g") != F.col("dst")).select(
         F.col("g").alias("src"), "dst", "field", F.lit(None).cast("string").alias("value"),
         F.lit("missing_provenance").alias("reason"),
     )

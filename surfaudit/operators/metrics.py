@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surfaudit.functions.scalar import fuse, lit
 from surfaudit.operators.prefix import (
     exact_quantiles,
+    join_by,
     prefix_sum,
     quantile_column,
     value_ranks,
@@ -94,7 +95,7 @@ def histogram_ap(df: DataFrame, label: str, score: str, bins: int, by: Sequence[
 
     ends = df.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     if by:
-        bounded = df.join(ends, list(by))
+        bounded = join_by(df, ends, by)
     else:
         row = ends.select(F.struct("_lo", "_hi").alias("e")).scalar()
         bounded = df.withColumn("_e", row).select("*", "_e._lo", "_e._hi")
@@ -172,15 +173,14 @@ def review_metrics(
     tied = regions.withColumn("score", F.col(score).cast("double")).select(
         *by, "score", F.col(tiebreak).cast("double").alias("_tb"), "positive_px", "valid_px"
     )
-    join_on = [*by, "score"]
-    at_cut = tied.join(full.where("room is not null").select(*by, F.col("cut").alias("score"), "room"), join_on)
+    at_cut = join_by(tied, full.where("room is not null").select(*by, F.col("cut").alias("score"), "room"), by, on=["score"])
     per = at_cut.groupBy(*by, "_tb", "room").agg(
         F.count(F.lit(1)).alias("n"), F.sum("positive_px").alias("p"), F.sum("valid_px").alias("v")
     )
     inside = prefix_sum(per, "_tb", ["n"], by).where("cum_n <= room")
     part = inside.groupBy(*by).agg(F.sum("p").alias("p_cut"), F.sum("v").alias("v_cut"))
     if by:
-        out = full.join(part, by, "left")
+        out = join_by(full, part, by, "left")
     else:
         row = part.select(F.struct("p_cut", "v_cut").alias("c")).scalar()
         out = full.withColumn("_c", row).select("*", "_c.p_cut", "_c.v_cut")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from surfaudit.functions.scalar import lit
 from surfaudit.operators.components import component_areas, components
-from surfaudit.operators.prefix import prefix_sum, value_counts
+from surfaudit.operators.prefix import join_by, prefix_sum, value_counts
 from surfaudit.session import cut_lineage
 
 UM2_PER_MM2 = 1e6
@@ -19,31 +19,30 @@ def _negative():
     return F.col("valid") & ~F.col("positive")
 
 
-def fp_burden(px: DataFrame, min_mm2: float, tile: int = 256) -> DataFrame:
+def fp_burden(px: DataFrame, min_mm2: float, tile: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Negative area, false-positive pixels and area, and retained components per negative cm2.
 
-    Components below the minimum stay in the area but not in the retained rate.
+    One row per surface ``by``.  Components below the minimum stay in the area but not in the
+    retained rate.
     """
-    px = cut_lineage(px.select("y", "x", "accepted", "positive", "valid", "area_um2"))
+    by = list(by)
     fp = F.col("accepted") & _negative()
-    base = px.agg(
+    base = px.groupBy(*by).agg(
         F.count_if(_negative()).alias("negative_px"),
         (F.sum(F.when(_negative(), F.col("area_um2"))) / lit(UM2_PER_CM2)).alias("negative_cm2"),
         F.count_if(fp).alias("fp_px"),
         (F.coalesce(F.sum(F.when(fp, F.col("area_um2"))), lit(0)) / lit(UM2_PER_CM2)).alias("fp_cm2"),
     )
-    hits = px.where(fp).select("y", "x", "area_um2")
-    sizes = component_areas(components(hits, tile=tile).join(hits, ["y", "x"]), area="area_um2")
-    counts = sizes.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("all"), F.count_if(F.col("area") >= lit(min_mm2 * UM2_PER_MM2)).alias("kept")
-        )
-    ).scalar()
-    return base.withColumn("_c", counts).select(
-        "negative_px", "negative_cm2", "fp_px", "fp_cm2",
-        F.try_divide("fp_cm2", "negative_cm2").alias("fp_fraction"),
-        F.col("_c.all").alias("components_all"), F.col("_c.kept").alias("components_retained"),
-        F.try_divide(F.col("_c.kept"), F.col("negative_cm2")).alias("components_per_cm2"),
+    hits = cut_lineage(px.where(fp).select(*by, "y", "x", "area_um2"))  # the hits alone, read twice
+    labelled = join_by(components(hits, tile=tile, by=by), hits, by, on=["y", "x"])
+    counts = component_areas(labelled, by, "area_um2").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("components_all"), F.count_if(F.col("area") >= lit(min_mm2 * UM2_PER_MM2)).alias("components_retained")
+    )
+    out = join_by(base, counts, by, "left").fillna(0, ["components_all", "components_retained"])
+    return out.select(
+        *by, "negative_px", "negative_cm2", "fp_px", "fp_cm2",
+        F.try_divide("fp_cm2", "negative_cm2").alias("fp_fraction"), "components_all", "components_retained",
+        F.try_divide("components_retained", "negative_cm2").alias("components_per_cm2"),
     )
 
 

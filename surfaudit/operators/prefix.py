@@ -18,29 +18,43 @@ RADIX = 8  # split points are searched digit by digit in base RADIX
 
 def bucket_digits(df: DataFrame) -> int:
     """Digits of the bucket number: about as many buckets as the cluster shuffles partitions."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
     digits = 1
-    while RADIX**digits < wanted and digits < 4:
+    while RADIX**digits < (int(wanted) if wanted.isdigit() else 200):
         digits += 1
     return digits
 
 
-def _bucket(df: DataFrame, order: str, bounds: Column, digits: int) -> DataFrame:
-    """Adds ``_bucket``: the number of split points below the value, found by radix search.
+def group_key(by: Sequence[str]) -> Column:
+    """One never-null key for the columns ``by``: structs are equal where both sides are NULL."""
+    return F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+
+
+def join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner", on: Sequence[str] = ()) -> DataFrame:
+    """Equi-join on ``by`` that keeps NULL groups together, and on the never-null columns ``on``."""
+    l = left.withColumn("_by", group_key(by))
+    r = right.withColumn("_by", group_key(by)).drop(*by)
+    if not by and on:
+        return left.join(right, list(on), how)
+    return l.join(r, ["_by", *on], how).drop("_by")
+
+
+def split_bucket(df: DataFrame, order: str, bounds: Column, digits: int, name: str = "_bucket") -> DataFrame:
+    """Adds column ``name``: the number of split points below the value, found by radix search.
 
     Plain comparisons stay inside generated code, unlike a filter over the array.  The result
     is never NULL, or a not-null filter on it would be pushed down to the raw rows.
     """
-    out = df.withColumn("_bounds", bounds).withColumn("_bucket", F.lit(0))
+    out = df.withColumn("_bounds", bounds).withColumn(name, F.lit(0))
     step = RADIX**digits
     while step > 1:
         step //= RADIX
         digit = F.lit(0)
         for k in range(1, RADIX):
-            bound = F.get("_bounds", F.col("_bucket") + (k * step - 1))
+            bound = F.get("_bounds", F.col(name) + (k * step - 1))
             digit = digit + F.when(bound < F.col(order), 1).otherwise(0)
-        out = out.withColumn("_bucket", F.col("_bucket") + digit * step)
-    return out.withColumn("_bucket", F.coalesce("_bucket", F.lit(0))).drop("_bounds")
+        out = out.withColumn(name, F.col(name) + digit * step)
+    return out.withColumn(name, F.coalesce(name, F.lit(0))).drop("_bounds")
 
 
 def value_counts(
@@ -65,7 +79,7 @@ def prefix_sum(
 ) -> DataFrame:
     """Add ``cum_<col>`` (inclusive) and ``total_<col>`` along ``order`` within ``by``.
 
-    ``df`` holds one row per (by, order).  The RADIX ** digits - 1 split points come from an
+    ``df`` holds one row per (by, order); a NULL group is a group of its own.  The RADIX ** digits - 1 split points come from an
     approximate-quantile subquery, a single row.
     """
     by = list(by)
@@ -76,26 +90,26 @@ def prefix_sum(
     # the main plan share one shuffle of ``df`` instead of computing it twice.
     whole = df.where(F.xxhash64(*df.columns) != 0)
     bounds = whole.agg(F.percentile_approx(order, probs, max(1000, 8 * buckets)).alias("b")).scalar()
-    cut = _bucket(df, order, bounds, digits)
+    cut = split_bucket(df, order, bounds, digits).withColumn("_by", group_key(by))
 
     direction = F.desc if descending else F.asc
-    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
+    totals = cut.groupBy("_by", "_bucket").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
     # One row per bucket and group reaches these windows.
-    group = W.partitionBy(*(by or [F.lit(0)]))
+    group = W.partitionBy("_by")
     before = group.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
+        "_by",
         "_bucket",
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols],
         *[F.sum(f"_s_{c}").over(group).alias(f"total_{c}") for c in cols],
     )
     inside = (
-        W.partitionBy(*by, "_bucket")
+        W.partitionBy("_by", "_bucket")
         .orderBy(direction(order))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     return (
-        cut.join(offsets, [*by, "_bucket"])
+        cut.join(offsets, ["_by", "_bucket"])
         .select(
             *df.columns,
             *[(F.col(f"_o_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in cols],

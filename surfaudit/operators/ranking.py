@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit
-from surfaudit.operators.prefix import prefix_sum, value_counts
+from surfaudit.operators.prefix import RADIX, bucket_digits, group_key, prefix_sum, split_bucket, value_counts
 from surfaudit.session import cut_lineage
 
 
@@ -19,25 +19,38 @@ def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def rank_rows(
-    df: DataFrame, order: str, tiebreak: str, by: Sequence[str] = (), descending: bool = True
+    df: DataFrame, order: str, tiebreak: str | Sequence[str], by: Sequence[str] = (), descending: bool = True
 ) -> DataFrame:
-    """Consecutive rank of every row by score, ties by ascending tie-break, within ``by``.
+    """Consecutive rank of every row by score, ties by ascending tie-breaks, within ``by``.
 
-    The rank is the count of rows with a better score plus the position inside the tie group;
-    both are prefix sums, so neither a hot group nor a hot score is sorted in one task.
+    NULL scores come last, NULL tie-breaks first, and a NULL group is a group of its own.  Rows
+    equal in all of these are numbered in any order.  Rows fall into ordered buckets by split
+    points of the score; a score heavy enough to be a split point has buckets of its own, cut by
+    split points of the first tie-break.  So one shuffle numbers all rows, in buckets that
+    neither a hot group nor a hot score fills, and bucket counts give the offsets.
     """
-    by = list(by)
-    keyed = df.withColumn("_s", F.col(order).cast("double")).withColumn("_t", F.col(tiebreak).cast("double"))
-    tied = keyed.groupBy(*by, "_s", "_t").agg(F.count(F.lit(1)).alias("n"))
-    counts = tied.groupBy(*by, "_s").agg(F.sum("n").alias("n"))
-    before = prefix_sum(counts, "_s", ["n"], by, descending=descending).select(
-        *by, "_s", (F.col("cum_n") - F.col("n")).alias("_before")
-    )
-    inside = prefix_sum(tied, "_t", ["n"], [*by, "_s"]).select(*by, "_s", "_t", F.col("cum_n").alias("_pos"))
-    place = inside.join(before, [*by, "_s"]).select(
-        *by, "_s", "_t", (F.col("_before") + F.col("_pos")).alias("rank")
-    )
-    return keyed.join(place, [*by, "_s", "_t"]).drop("_s", "_t")
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    keyed = df.withColumn("_s", F.col(order).cast("double")).withColumn("_t", F.col(ties[0]).cast("double"))
+    keyed = keyed.withColumn("_s", F.when(~F.isnan("_s"), F.col("_s"))).withColumn("_by", group_key(by))
+    digits = bucket_digits(df)
+    buckets = RADIX**digits
+    probs = [i / buckets for i in range(1, buckets)]
+    # Two short lists of numbers, taken once, so that every later pass cuts alike.
+    points = keyed.agg(*[F.percentile_approx(c, probs, max(1000, 8 * buckets)) for c in ("_s", "_t")]).first()
+    score_points, tie_points = (F.array(*[F.lit(float(v)) for v in p or []]).cast("array<double>") for p in points)
+    cut = split_bucket(keyed, "_s", score_points, digits, "_b")
+    at_point = F.coalesce(F.get(score_points, F.col("_b")) == F.col("_s"), F.lit(False)) | F.col("_s").isNull()
+    cut = split_bucket(cut.withColumn("_eq", at_point.cast("int")), "_t", tie_points, digits, "_sub")
+    cut = cut.withColumn("_sub", F.when(F.col("_eq") == 1, F.col("_sub")).otherwise(0)).withColumn("_none", F.col("_s").isNull().cast("int"))
+
+    direction = F.desc if descending else F.asc
+    place = ["_none", "_b", "_eq", "_sub"]
+    before = W.partitionBy("_by").orderBy("_none", direction("_b"), direction("_eq"), "_sub").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy("_by", *place).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_by", *place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_by", *place).orderBy(direction("_s"), *[F.asc(t) for t in ties])
+    numbered = cut.withColumn("_row", F.row_number().over(inside)).join(offsets, ["_by", *place])
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_row")).alias("rank"))
 
 
 def candidate_package(regions: DataFrame, score: str, n: int, prefix: str, tiebreak: str) -> DataFrame:

@@ -8,28 +8,34 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit, region_id
-from surfaudit.operators.prefix import exact_quantiles
+from surfaudit.operators.prefix import exact_quantiles, join_by
 
 
-def summarize_regions(px: DataFrame, size: int, min_valid: float, score: str = "score") -> DataFrame:
-    """One row per size x size region of pixels(y, x, positive, valid, score).
+def summarize_regions(px: DataFrame, size: int, min_valid: float, canvas: tuple[int, int], score: str = "score") -> DataFrame:
+    """One row per size x size region of the canvas, from pixels(y, x, positive, valid, score).
 
-    Statistics are NULL without valid pixels.  A region holds at most size * size pixels, so
-    its exact percentiles are bounded.
+    The valid fraction is taken of the region's area on the canvas (height, width), so pixels
+    that are not stored count as invalid.  Statistics are NULL without valid pixels.  A region
+    holds at most size * size pixels, so its exact percentiles are bounded.
     """
+    high, wide = (-(-n // size) for n in canvas)
+    side = lambda r, n: F.least(F.lit(size), F.lit(n) - F.col(r) * size)
+    frame = px.sparkSession.range(high * wide).select(
+        F.floor(F.col("id") / wide).cast("bigint").alias("ry"), (F.col("id") % wide).alias("rx")
+    ).withColumn("footprint", side("ry", canvas[0]) * side("rx", canvas[1]))
     v = F.when(F.col("valid"), F.col(score))
     pct = F.percentile(v, [0.95, 0.99])
     valid = F.count_if("valid")
+    found = px.groupBy(floor_div(F.col("y"), size).alias("ry"), floor_div(F.col("x"), size).alias("rx")).agg(
+        valid.alias("valid_px"),
+        F.count_if(F.col("valid") & F.col("positive")).alias("positive_px"),
+        F.avg(v).alias("mean"),
+        pct.alias("_p"),
+        F.max(v).alias("max"),
+    )
     return (
-        px.groupBy(floor_div(F.col("y"), size).alias("ry"), floor_div(F.col("x"), size).alias("rx"))
-        .agg(
-            F.count(F.lit(1)).alias("footprint"),
-            valid.alias("valid_px"),
-            F.count_if(F.col("valid") & F.col("positive")).alias("positive_px"),
-            F.avg(v).alias("mean"),
-            pct.alias("_p"),
-            F.max(v).alias("max"),
-        )
+        frame.join(found, ["ry", "rx"], "left")
+        .fillna(0, ["valid_px", "positive_px"])
         .select(
             region_id(F.col("ry") * size, F.col("rx") * size, size).alias("region_id"),
             (F.col("ry") * size).alias("y0"),
@@ -265,7 +271,7 @@ def review_summary(reviews: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("reviews"), F.sum("seconds").alias("total_seconds"),
         F.avg("confidence").alias("mean_confidence"),
     ).withColumn("_all", total)
-    return base.join(q.drop("n"), "response").withColumn("share", F.col("reviews") / F.col("_all")).drop("_all")
+    return join_by(base, q.drop("n"), ["response"], "left").withColumn("share", F.col("reviews") / F.col("_all")).drop("_all")
 
 
 def roi_sanity(px: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -103,6 +103,11 @@ TRUTH = f"""truth AS (
                o_orderpriority <> '5-LOW' AS valid, o_totalprice AS area_um2 FROM orders))"""
 
 
+def canvas(spark: SparkSession, sf: str) -> tuple[int, int]:
+    """Height and width of the raster."""
+    return truth(spark, sf).agg(F.max("y") + 1).first()[0], WIDTH
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled pixels with two model scores: truth columns plus s0, s1."""
     both = two_views(spark, sf).select("y", "x", F.col("a").alias("s0"), F.col("b").alias("s1"))

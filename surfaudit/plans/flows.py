@@ -39,8 +39,13 @@ def effective_mapping(views: DataFrame, job: ConsensusJob) -> dict:
     return mapping
 
 
-def run_consensus(px: DataFrame, views: DataFrame, job: ConsensusJob, maps_path: str, report_path: str) -> DataFrame:
-    """Contract, independence audit, collapse, consensus, map and report sinks."""
+def run_consensus(
+    px: DataFrame, views: DataFrame, job: ConsensusJob, canvas: tuple[int, int], maps_path: str, report_path: str
+) -> DataFrame:
+    """Contract, independence audit, collapse, consensus, map and report sinks.
+
+    Readings of undeclared views, and two readings of one view on a pixel, are violations.
+    """
     if job.regime not in ct.REGIMES:
         raise ct.ContractError(f"regime must be one of {ct.REGIMES}")
     thresholds = {
@@ -48,9 +53,10 @@ def run_consensus(px: DataFrame, views: DataFrame, job: ConsensusJob, maps_path:
     }
     ct.require(ct.view_contract(views, job.gates.min_groups, thresholds), "view contract")
     mapping = effective_mapping(views, job)
+    ev.require_declared(px, mapping)
     maps = ev.combine_evidence(px, mapping, job.gates, normalise=job.value_range)
     write_maps(maps.withColumn("cy", F.floor(F.col("y") / 256)), maps_path, ["cy"])
-    report = ev.evidence_report(px.sparkSession.read.parquet(maps_path)).withColumn(
+    report = ev.evidence_report(px.sparkSession.read.parquet(maps_path), canvas).withColumn(
         "effective_groups", F.lit(len(set(mapping.values())))
     ).withColumn("regime", F.lit(job.regime))
     write_report(report, report_path)
@@ -93,10 +99,10 @@ def evaluate_locked(
 
 
 def region_package(
-    px: DataFrame, size: int, min_valid: float, positive_px: int, scores: Sequence[str], baseline: str, n: int, prefix: str
+    px: DataFrame, size: int, min_valid: float, canvas: tuple[int, int], positive_px: int, scores: Sequence[str], baseline: str, n: int, prefix: str
 ) -> tuple[DataFrame, DataFrame]:
     """Region audit, score ablation and the ranked candidate package, from one region table."""
-    regions = cut_lineage(rg.summarize_regions(px, size, min_valid))
+    regions = cut_lineage(rg.summarize_regions(px, size, min_valid, canvas))
     ranked = regions.where("eligible").withColumn("ord", F.col("y0") * (1 << 31) + F.col("x0")).withColumn(
         "label", F.col("positive_px") >= positive_px
     )

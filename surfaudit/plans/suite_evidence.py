@@ -32,12 +32,12 @@ def d02(spark, sf):
 
 
 @register("d03_evidence_report", "pixels:i accepted_pixels:i accepted_fraction:d max_valid_groups:i mean_support:d",
-          f"""WITH {b.CELLS}, {CONSENSUS}
-SELECT count(*) AS pixels, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS accepted_pixels,
-       avg(CASE WHEN accepted THEN 1.0 ELSE 0.0 END) AS accepted_fraction,
-       max(valid_groups) AS max_valid_groups, avg(support) AS mean_support FROM decided""")
+          f"""WITH {b.CELLS}, {CONSENSUS}, {b.TRUTH}, cs AS (SELECT (max(y) + 1) * {b.WIDTH} AS n FROM truth)
+SELECT max(n) AS pixels, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS accepted_pixels,
+       sum(CASE WHEN accepted THEN 1.0 ELSE 0.0 END) / max(n) AS accepted_fraction,
+       max(valid_groups) AS max_valid_groups, sum(support) / max(n) AS mean_support FROM decided, cs""")
 def d03(spark, sf):
-    return ev.evidence_report(consensus(spark, sf))
+    return ev.evidence_report(consensus(spark, sf), b.canvas(spark, sf))
 
 
 @register("d04_consistency_maps", "y:i x:i disagreement:d consensus:d retained:b",

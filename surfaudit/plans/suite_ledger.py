@@ -66,7 +66,7 @@ def receipt_text(spark, sf):
     i = F.col("doc_id")
     checks = F.create_map(F.lit("quality"), F.col("quality") == 1, F.lit("clean"), F.col("toxic") == 0)
     doc = F.struct(
-        F.lit("receipt/1.0").alias("schema_version"),
+        F.when(i % 17 == 0, "receipt/0.9").otherwise("receipt/1.0").alias("schema_version"),
         F.when(i % 3 == 0, "VALIDATION").when(i % 3 == 1, "DEV").otherwise("DISCOVERY").alias("regime"),
         F.concat(F.lit("G"), (i % 4).cast("string")).alias("geometry_tier"), F.lit("complete").alias("status"),
         F.when(i % 11 != 0, checks).alias("go_checks"))
@@ -251,25 +251,28 @@ def l05(spark, sf):
 def ledger(spark, sf):
     r = ld.parse_receipts(receipt_text(spark, sf))
     i = F.col("doc_id")
-    receipts = r.select(i.alias("artifact"), "sha", "regime", F.col("geometry_tier").alias("tier"),
-                        F.coalesce("go_checks", F.create_map().cast("map<string,boolean>")).alias("go_checks"))
+    receipts = r.select(i.alias("artifact"), "sha", "regime", F.col("geometry_tier").alias("tier"), "go_checks", "schema_version",
+                        F.when(i % 5 != 0, ct.POST_HOC).alias("analysis_type"))
     entries = r.select(
         i.alias("artifact"), i.alias("evidence_id"), F.when(i % 50 == 0, "bad").otherwise(F.col("sha")).alias("declared_sha"),
-        F.when(i % 3 == 0, "locked_validation").when(i % 7 == 0, "development").otherwise("post_hoc").alias("role"),
-        (i % 4).alias("declared_groups"), (F.col("quality") == 1).alias("truth_independent"))
+        F.when(i % 43 == 0, None).when(i % 3 == 0, "locked_validation").when(i % 7 == 0, "development").otherwise("post_hoc").alias("role"),
+        F.lit("receipt/1.0").alias("expected_schema"), F.concat(F.lit("a"), i.cast("string")).alias("declared_audit_sha"), (i % 4).alias("declared_groups"), (F.col("quality") == 1).alias("truth_independent"))
     audits = r.where(F.col("toxic") == 0).select(
         i.alias("artifact"), F.when(i % 31 == 0, "other").otherwise(F.col("sha")).alias("subject_sha"),
-        (i % 5).alias("effective_groups"), (i % 5 >= 2).alias("gate_passed"))
+        (i % 5).alias("effective_groups"), (i % 5 >= 2).alias("gate_passed"),
+        F.when(i % 37 != 0, F.concat(F.lit("a"), i.cast("string"))).alias("audit_sha"),
+        F.when(i % 29 == 0, "other/1.0").otherwise(ct.AUDIT_SCHEMA).alias("audit_schema"))
     return ct.claim_ceiling(entries, receipts, audits)
 
 
 CLAIMS = f"""{RECEIPTS}, e AS (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 'bad' ELSE sha END AS declared,
-  CASE WHEN doc_id % 3 = 0 THEN 'locked_validation' WHEN doc_id % 7 = 0 THEN 'development' ELSE 'post_hoc' END AS role, toxic = 0 AS audited FROM receipts),
-p AS (SELECT *, CASE WHEN declared <> sha THEN 'hash_mismatch' WHEN role = 'locked_validation' AND regime <> 'VALIDATION' THEN 'role_regime_mismatch'
-   WHEN role = 'development' AND regime <> 'DEV' THEN 'role_regime_mismatch' WHEN audited AND doc_id % 31 = 0 THEN 'audit_not_bound' END AS problem,
+  CASE WHEN doc_id % 43 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'locked_validation' WHEN doc_id % 7 = 0 THEN 'development' ELSE 'post_hoc' END AS role, toxic = 0 AS audited FROM receipts),
+p AS (SELECT *, CASE WHEN role IS NULL THEN 'unknown_role' WHEN declared <> sha THEN 'hash_mismatch' WHEN doc_id % 17 = 0 THEN 'schema_mismatch' WHEN role = 'locked_validation' AND regime <> 'VALIDATION' THEN 'role_regime_mismatch'
+   WHEN role = 'development' AND regime <> 'DEV' THEN 'role_regime_mismatch' WHEN role = 'post_hoc' AND doc_id % 5 = 0 THEN 'not_post_hoc'
+   WHEN audited AND doc_id % 37 = 0 THEN 'audit_hash_mismatch' WHEN audited AND doc_id % 29 = 0 THEN 'audit_schema_mismatch' WHEN audited AND doc_id % 31 = 0 THEN 'audit_not_bound' END AS problem,
   CASE WHEN audited THEN doc_id % 5 ELSE least(doc_id % 4, 1) END AS groups FROM e),
 claims AS (SELECT doc_id AS evidence_id, role, tier, groups, checks_passed, checks_total, problem,
-  role = 'locked_validation' AND checks_total > 0 AND checks_passed = checks_total AND tier IN ('G2', 'G3') AND audited AND doc_id % 5 >= 2 AND groups >= 2 AND quality = 1 AND problem IS NULL AS eligible FROM p)"""
+  coalesce(role, '') = 'locked_validation' AND checks_total > 0 AND checks_passed = checks_total AND tier IN ('G2', 'G3') AND audited AND doc_id % 5 >= 2 AND groups >= 2 AND quality = 1 AND problem IS NULL AS eligible FROM p)"""
 
 
 @register("l06_claim_ceiling", "evidence_id:i role:s tier:s groups:i checks_passed:i checks_total:i problem:s eligible:b",

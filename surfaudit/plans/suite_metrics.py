@@ -45,6 +45,14 @@ def d26_continuous(spark, sf):
     return m.average_precision(px, "positive", "o_totalprice")
 
 
+@register("d26_average_precision_null_group", "g:i n:i positives:i ap:d9",
+          f"""WITH {S}, px AS (SELECT CASE WHEN y % 3 <> 0 THEN y % 3 ELSE -1 END AS g, positive, s0 FROM scored), {ap_sql('px', 'g', 's0')}
+SELECT nullif(g, -1) AS g, n, positives, ap FROM ap""")
+def d26_null(spark, sf):
+    px = b.scored(spark, sf).withColumn("g", F.when(F.col("y") % 3 != 0, F.col("y") % 3))
+    return m.average_precision(px, "positive", "s0", ["g"])
+
+
 @register("d27_class_margin", "positive_mean:d negative_mean:d margin:d",
           f"""WITH {S} SELECT avg(s0) FILTER (WHERE positive) AS positive_mean, avg(s0) FILTER (WHERE NOT positive) AS negative_mean,
 avg(s0) FILTER (WHERE positive) - avg(s0) FILTER (WHERE NOT positive) AS margin FROM scored""")

@@ -16,6 +16,16 @@ def e02(spark, sf):
     return rk.rank_rows(b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
+@register("e02_rank_rows_nulls", "g:i o_orderkey:i rank:i",
+          """WITH r AS (SELECT CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 3 END AS g, o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 50 END AS s FROM orders)
+SELECT g, o_orderkey, row_number() OVER (PARTITION BY g ORDER BY s DESC NULLS LAST, o_orderkey) AS rank FROM r""")
+def e02_nulls(spark, sf):
+    key = F.col("o_orderkey")
+    rows = b.table(spark, sf, "orders").select(
+        F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 3).alias("g"), key, F.when(key % 7 != 0, key % 50).alias("s"))
+    return rk.rank_rows(rows, "s", "o_orderkey", ["g"])
+
+
 @register("e04_contiguous_folds", "cell:i fold:i",
           "SELECT cell, ntile(7) OVER (ORDER BY cell) - 1 AS fold FROM (SELECT DISTINCT l_orderkey AS cell FROM lineitem)")
 def e04(spark, sf):
@@ -108,9 +118,7 @@ t AS (SELECT k.p AS prio, row_number() OVER (ORDER BY k.p) AS rank FROM s)
 SELECT t.rank, points, bz, by_, bx FROM t JOIN r ON r.prio = t.prio WHERE t.rank <= 12""")
 def f04(spark, sf):
     bins = cut_lineage(density_bins(b.points3(spark, sf), DENSITY_SIZES).withColumnRenamed("by", "by_"))
-    # One unique order over (points desc, bin): bin counts and indices packed into a tie-break.
-    tie = (F.col("bz") * 1000000 + F.col("by_") * 1000 + F.col("bx"))
-    ranked = rk.rank_rows(bins.withColumn("tie", tie), "points", "tie").select(
+    ranked = rk.rank_rows(bins, "points", ["bz", "by_", "bx"]).select(
         F.col("rank").alias("prio"), "points", "bz", "by_", "bx", F.col("z_med").alias("z"), F.col("y_med").alias("y"), F.col("x_med").alias("x"))
     return rk.suppress_close(ranked, ["z", "y", "x"], "prio", 60.0, 12)
 

@@ -35,16 +35,19 @@ regions AS (
          ry * 16 AS y0, rx * 16 AS x0, valid_px, positive_px,
          positive_px / cast(nullif(valid_px, 0) AS DOUBLE) AS positive_fraction, mean, p95, p99, mx AS "max",
          valid_px / cast(footprint AS DOUBLE) >= cast(0.5 AS DOUBLE) AS eligible
-  FROM (SELECT cast(floor(y / cast(16 AS DOUBLE)) AS BIGINT) AS ry, cast(floor(x / cast(16 AS DOUBLE)) AS BIGINT) AS rx,
-               count(*) AS footprint, count(*) FILTER (WHERE valid) AS valid_px,
+  FROM (SELECT f.ry, f.rx, footprint, coalesce(valid_px, 0) AS valid_px, coalesce(positive_px, 0) AS positive_px, mean, p95, p99, mx
+        FROM (SELECT ry, rx, least(16, h - ry * 16) * least(16, {b.WIDTH} - rx * 16) AS footprint
+              FROM (SELECT h, unnest(range((h + 15) // 16)) AS ry FROM (SELECT max(y) + 1 AS h FROM truth)) CROSS JOIN (SELECT unnest(range(({b.WIDTH} + 15) // 16)) AS rx)) AS f
+        LEFT JOIN (SELECT cast(floor(y / cast(16 AS DOUBLE)) AS BIGINT) AS ry, cast(floor(x / cast(16 AS DOUBLE)) AS BIGINT) AS rx,
+               count(*) FILTER (WHERE valid) AS valid_px,
                count(*) FILTER (WHERE valid AND positive) AS positive_px,
                avg(score) FILTER (WHERE valid) AS mean, quantile_cont(score, 0.95) FILTER (WHERE valid) AS p95,
                quantile_cont(score, 0.99) FILTER (WHERE valid) AS p99, max(score) FILTER (WHERE valid) AS mx
-        FROM px GROUP BY 1, 2))"""
+        FROM px GROUP BY 1, 2) AS a ON a.ry = f.ry AND a.rx = f.rx))"""
 
 
 def regions(spark, sf):
-    return rg.summarize_regions(labelled(spark, sf), SIZE, 0.5)
+    return rg.summarize_regions(labelled(spark, sf), SIZE, 0.5, b.canvas(spark, sf))
 
 
 @register("d09_summarize_regions",

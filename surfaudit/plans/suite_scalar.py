@@ -134,7 +134,8 @@ def b13(spark, sf):
 
 
 @register("b14_pool_depth", "y:i x:i plane:i v:i",
-          f"""WITH {b.VOXELS} SELECT y, x, (z - 1) // 2 AS plane, round_even(sum(v) / cast(2 AS DOUBLE), 0) AS v FROM voxels WHERE z >= 1 AND z < 7 GROUP BY 1, 2, 3""")
+          f"""WITH {b.VOXELS}, p AS (SELECT y, x, unnest(range(3)) AS plane FROM (SELECT DISTINCT y, x FROM voxels))
+SELECT p.y, p.x, plane, round_even(coalesce(sum(v), 0) / cast(2 AS DOUBLE), 0) AS v FROM p LEFT JOIN voxels AS x ON x.y = p.y AND x.x = p.x AND x.z >= 1 AND x.z < 7 AND (x.z - 1) // 2 = plane GROUP BY 1, 2, 3""")
 def b14(spark, sf):
     return depth.pool_depth(b.voxels(spark, sf), 7, 3, 2)
 

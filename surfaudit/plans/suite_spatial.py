@@ -25,25 +25,34 @@ def four_sql(cells: str, out: str, keys: str = "", extra: str = "") -> str:
 {out} AS (SELECT {k}id, min(lab) AS component FROM {out}_r GROUP BY {k}id)"""
 
 
-def dense_sql(cells: str, out: str, dims: int, keys: str = "") -> str:
-    """Full (8- or 26-) connected components through an explicit offset table."""
+def dense_sql(cells: str, out: str, dims: int, keys: str = "", full: bool = True, rounds: int = 9, hops: int = 7) -> str:
+    """Components by hooking every label to the smallest one next to it and jumping along labels.
+
+    Large components stay cheap, unlike a recursion over (cell, label) pairs.  A round at least
+    halves the labels that still touch; the rounds and hops given are more than the rasters need.
+    """
     ks = [c.strip() for c in keys.split(",") if c.strip()]
     k = "".join(f"{c}, " for c in ks)
-    a_k = "".join(f"a.{c}, " for c in ks)
-    r_k = "".join(f"r.{c}, " for c in ks)
-    on = "".join(f" AND a.{c} = b.{c}" for c in ks)
-    on_r = "".join(f" AND r.{c} = e.{c}" for c in ks)
+    on = "".join(f" AND a.{c} IS NOT DISTINCT FROM b.{c}" for c in ks)
     axes = ["z", "y", "x"][-dims:]
-    ident = "y * 2147483648 + x" if dims == 2 else "z * 4398046511104 + y * 2097152 + x"
+    cell = "cast(y AS BIGINT) * 2147483648 + x" if dims == 2 else "cast(z AS BIGINT) * 4398046511104 + cast(y AS BIGINT) * 2097152 + x"
     offs = ", ".join(f"d{a}" for a in axes)
     table = " CROSS JOIN ".join(f"(SELECT unnest([-1, 0, 1]) AS d{a})" for a in axes)
     join = " AND ".join(f"b.{a} = a.{a} + o.d{a}" for a in axes)
-    zero = " AND ".join(f"d{a} = 0" for a in axes)
-    return f"""{out}_n AS (SELECT *, cast({ident.replace('y *', 'cast(y AS BIGINT) *').replace('z *', 'cast(z AS BIGINT) *')} AS BIGINT) AS id FROM {cells}),
-{out}_o AS (SELECT {offs} FROM {table} WHERE NOT ({zero})),
-{out}_e AS (SELECT {a_k}a.id AS src, b.id AS dst FROM {out}_n a CROSS JOIN {out}_o o JOIN {out}_n b ON {join}{on}),
-{out}_r AS (SELECT {k}id, id AS lab FROM {out}_n UNION SELECT {r_k}e.dst, r.lab FROM {out}_r r JOIN {out}_e e ON r.id = e.src{on_r} AND r.lab < e.dst),
-{out} AS (SELECT {k}id, min(lab) AS component FROM {out}_r GROUP BY {k}id)"""
+    size = " + ".join(f"abs(d{a})" for a in axes)
+    order = "".join(f"{c} NULLS FIRST, " for c in ks)
+    parts = [f"""{out}_n AS MATERIALIZED (SELECT *, {cell} AS cell, row_number() OVER (ORDER BY {order}{cell}) AS id FROM {cells}),
+{out}_o AS (SELECT {offs} FROM {table} WHERE {size} {">= 1" if full else "= 1"}),
+{out}_e AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM {out}_n a CROSS JOIN {out}_o o JOIN {out}_n b ON {join}{on}),
+{out}_l0 AS MATERIALIZED (SELECT id, id AS lab FROM {out}_n)"""]
+    for r in range(rounds):
+        parts.append(f"""{out}_m{r} AS MATERIALIZED (SELECT l.lab AS r, min(n.lab) AS p FROM {out}_e e JOIN {out}_l{r} l ON l.id = e.src JOIN {out}_l{r} n ON n.id = e.dst
+  WHERE n.lab < l.lab GROUP BY l.lab),
+{out}_p{r}_0 AS MATERIALIZED (SELECT k.lab AS r, coalesce(m.p, k.lab) AS p FROM (SELECT DISTINCT lab FROM {out}_l{r}) k LEFT JOIN {out}_m{r} m ON m.r = k.lab)""")
+        parts += [f"{out}_p{r}_{h + 1} AS MATERIALIZED (SELECT a.r, b.p FROM {out}_p{r}_{h} a JOIN {out}_p{r}_{h} b ON b.r = a.p)" for h in range(hops)]
+        parts.append(f"{out}_l{r + 1} AS MATERIALIZED (SELECT l.id, p.p AS lab FROM {out}_l{r} l JOIN {out}_p{r}_{hops} p ON p.r = l.lab)")
+    parts.append(f"{out} AS (SELECT {''.join('n.' + c + ', ' for c in ks)}n.cell AS id, f.cell AS component FROM {out}_n n JOIN {out}_l{rounds} l ON l.id = n.id JOIN {out}_n f ON f.id = l.lab)")
+    return ",\n".join(parts)
 
 
 # -- independence -------------------------------------------------------------------------
@@ -96,34 +105,36 @@ def i02(spark, sf):
     return cc.component_areas(areas, area="area_um2").where(F.col("area") >= 200000)
 
 
-def sparse_mask(spark, sf):
-    """Pixels of the highest score alone, below the percolation point of 8 neighbours."""
-    return b.table(spark, sf, "lineitem").where(F.col("l_discount") >= 0.1).select(*b._yx("l_orderkey")).distinct()
-
-
-SPARSE = f"sparse AS (SELECT DISTINCT {b._yx_sql('l_orderkey')} FROM lineitem WHERE l_discount >= cast(0.1 AS DOUBLE))"
+@register("i02_components_by_surface", "surface:i component:i cells:i",
+          f"""WITH surf AS (SELECT DISTINCT CASE WHEN l_linenumber <= 3 THEN l_linenumber END AS surface, {b._yx_sql('l_orderkey')} FROM lineitem WHERE l_discount >= cast(0.05 AS DOUBLE)),
+{dense_sql('surf', 'cs', 2, 'surface', full=False)} SELECT surface, component, count(*) AS cells FROM cs GROUP BY 1, 2""")
+def i02_surface(spark, sf):
+    """Three surfaces and one without a name, whose coordinates overlap."""
+    cells = b.table(spark, sf, "lineitem").where(F.col("l_discount") >= 0.05).select(
+        F.when(F.col("l_linenumber") <= 3, F.col("l_linenumber")).alias("surface"), *b._yx("l_orderkey")).distinct()
+    return cc.component_areas(cc.components(cells, tile=16, by=["surface"]), ["surface"]).select("surface", "component", "cells")
 
 
 @register("i03_components_8", "components:i largest:i cells:i largest_fraction:d",
-          f"""WITH RECURSIVE {SPARSE}, {dense_sql('sparse', 'c8', 2)}, s AS (SELECT component, count(*) AS n FROM c8 GROUP BY component)
+          f"""WITH {b.MASK}, {dense_sql('mask', 'c8', 2)}, s AS (SELECT component, count(*) AS n FROM c8 GROUP BY component)
 SELECT count(*) AS components, max(n) AS largest, sum(n) AS cells, max(n) / cast(sum(n) AS DOUBLE) AS largest_fraction FROM s""")
 def i03(spark, sf):
-    return cc.component_summary(cc.component_areas(cc.components(sparse_mask(spark, sf), full=True, tile=64)))
+    return cc.component_summary(cc.component_areas(cc.components(b.mask(spark, sf), full=True, tile=64)))
 
 
 @register("i03_drop_small", "y:i x:i",
-          f"""WITH RECURSIVE {SPARSE}, {dense_sql('sparse', 'c8', 2)}, s AS (SELECT component FROM c8 GROUP BY component HAVING count(*) >= 6)
+          f"""WITH {b.MASK}, {dense_sql('mask', 'c8', 2)}, s AS (SELECT component FROM c8 GROUP BY component HAVING count(*) >= 6)
 SELECT id // 2147483648 AS y, id % 2147483648 AS x FROM c8 WHERE component IN (SELECT component FROM s)""")
 def i03_drop(spark, sf):
-    return cc.drop_small(cc.components(sparse_mask(spark, sf), full=True, tile=64), 6)
+    return cc.drop_small(cc.components(b.mask(spark, sf), full=True, tile=64), 6)
 
 
 @register("i04_components_3d", "py:i px:i components:i largest:i cells:i largest_fraction:d",
-          f"""WITH RECURSIVE {b.VOXELS}, v AS (SELECT y // 32 AS py, x // 32 AS px, z, y, x FROM voxels WHERE v >= 45), {dense_sql('v', 'c26', 3, 'py, px')},
+          f"""WITH {b.VOXELS}, v AS (SELECT y // 32 AS py, x // 32 AS px, z, y, x FROM voxels WHERE v >= 25), {dense_sql('v', 'c26', 3, 'py, px')},
 s AS (SELECT py, px, component, count(*) AS n FROM c26 GROUP BY 1, 2, 3)
 SELECT py, px, count(*) AS components, max(n) AS largest, sum(n) AS cells, max(n) / cast(sum(n) AS DOUBLE) AS largest_fraction FROM s GROUP BY py, px""")
 def i04(spark, sf):
-    v = b.voxels(spark, sf).where("v >= 45").select(
+    v = b.voxels(spark, sf).where("v >= 25").select(
         F.floor(F.col("y") / 32).cast("int").alias("py"), F.floor(F.col("x") / 32).cast("int").alias("px"), "z", "y", "x")
     labelled = cc.components(v, full=True, tile=32, by=["py", "px"], axes=("z", "y", "x"), clip=True)
     return cc.component_summary(cc.component_areas(labelled, ["py", "px"]), ["py", "px"])
@@ -152,6 +163,23 @@ def d39(spark, sf):
     return ph.fp_burden(px, 0.2, tile=64)
 
 
+@register("d39_fp_burden_by_surface",
+          "surface:i negative_px:i negative_cm2:d fp_px:i fp_cm2:d fp_fraction:d components_all:i components_retained:i components_per_cm2:d",
+          f"""WITH {b.SCORED_ALL}, sf AS (SELECT s.*, k.surface FROM scored s CROSS JOIN (SELECT unnest([1, 2, 3, NULL]) AS surface) k WHERE (y + x) % 4 <> coalesce(surface, 0)),
+fp AS (SELECT surface, y, x FROM sf WHERE s0 >= cast(0.3 AS DOUBLE) AND NOT positive), {dense_sql('fp', 'cf', 2, 'surface', full=False)},
+a AS (SELECT surface, component, sum(area_um2) AS area FROM cf JOIN truth t ON cf.id = cast(t.y AS BIGINT) * 2147483648 + t.x GROUP BY 1, 2),
+c AS (SELECT surface, count(*) AS ca, count(*) FILTER (WHERE area >= 200000) AS cr FROM a GROUP BY 1),
+n AS (SELECT surface, count(*) AS negative_px, sum(area_um2) / 1e8 AS negative_cm2, count(*) FILTER (WHERE s0 >= cast(0.3 AS DOUBLE)) AS fp_px,
+  sum(area_um2) FILTER (WHERE s0 >= cast(0.3 AS DOUBLE)) / 1e8 AS fp_cm2 FROM sf WHERE NOT positive GROUP BY 1)
+SELECT n.*, fp_cm2 / negative_cm2 AS fp_fraction, ca AS components_all, cr AS components_retained, cr / negative_cm2 AS components_per_cm2
+FROM n JOIN c ON n.surface IS NOT DISTINCT FROM c.surface""")
+def d39_surface(spark, sf):
+    """Every pixel on three surfaces and one without a name, each with holes of its own."""
+    surface = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(None).cast("int")))
+    px = b.scored(spark, sf).withColumn("surface", surface).where((F.col("y") + F.col("x")) % 4 != F.coalesce("surface", F.lit(0)))
+    return ph.fp_burden(px.withColumn("accepted", F.col("s0") >= F.lit(0.3)), 0.2, tile=16, by=["surface"])
+
+
 @register("d40_evaluate_policies",
           "policy:s pixels:i accepted_px:i true_px:i precision:d recall:d fp_fraction:d components:i components_per_cm2:d",
           f"""WITH RECURSIVE {b.SCORED_ALL},

@@ -7,30 +7,25 @@ from surfaudit.operators import fitting as ft, metrics as m, tiles as tl
 from surfaudit.operators.sampling import buffered_folds
 from surfaudit.plans import bindings as b
 from surfaudit.plans.registry import register
-from surfaudit.plans.suite_spatial import SPARSE, sparse_mask
 from surfaudit.session import cut_lineage
 
 DISK = "k AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) WHERE dy * dy + dx * dx <= 4)"
 CANVAS = f"cs AS (SELECT max(y) + 1 AS h, {b.WIDTH} AS w FROM truth)"
 
 
-def canvas_of(spark, sf):
-    return b.truth(spark, sf).agg(F.max("y") + 1).first()[0], b.WIDTH
-
-
 @register("i05_dilate", "y:i x:i",
-          f"""WITH {SPARSE}, {b.TRUTH}, {CANVAS}, {DISK} SELECT DISTINCT s.y + dy AS y, s.x + dx AS x FROM sparse s CROSS JOIN k CROSS JOIN cs
+          f"""WITH {b.MASK}, {b.TRUTH}, {CANVAS}, {DISK} SELECT DISTINCT s.y + dy AS y, s.x + dx AS x FROM mask s CROSS JOIN k CROSS JOIN cs
 WHERE s.y + dy >= 0 AND s.y + dy < h AND s.x + dx >= 0 AND s.x + dx < w""")
 def i05(spark, sf):
-    return tl.dilate(sparse_mask(spark, sf), 2, canvas_of(spark, sf))
+    return tl.dilate(b.mask(spark, sf), 2, b.canvas(spark, sf))
 
 
 @register("i05_close", "y:i x:i",
-          f"""WITH {SPARSE}, {b.TRUTH}, {CANVAS}, {DISK}, d AS (SELECT DISTINCT s.y + dy AS y, s.x + dx AS x FROM sparse s CROSS JOIN k CROSS JOIN cs
+          f"""WITH {b.MASK}, {b.TRUTH}, {CANVAS}, {DISK}, d AS (SELECT DISTINCT s.y + dy AS y, s.x + dx AS x FROM mask s CROSS JOIN k CROSS JOIN cs
 WHERE s.y + dy >= 0 AND s.y + dy < h AND s.x + dx >= 0 AND s.x + dx < w)
 SELECT y - dy AS y, x - dx AS x FROM d CROSS JOIN k GROUP BY 1, 2 HAVING count(*) = 13""")
 def i05_close(spark, sf):
-    return tl.close(sparse_mask(spark, sf), 2, canvas_of(spark, sf))
+    return tl.close(b.mask(spark, sf), 2, b.canvas(spark, sf))
 
 
 def patches(spark, sf):
@@ -70,7 +65,7 @@ def raster(spark, sf):
 
 def structured(spark, sf):
     px = raster(spark, sf)
-    canvas = canvas_of(spark, sf)
+    canvas = b.canvas(spark, sf)
     return px.join(tl.structural_map(px, canvas, tl.StructureParams(), tile=64), ["y", "x"]), canvas
 
 
@@ -88,7 +83,7 @@ def j02(spark, sf):
 @register("j03_candidate_masks",
           "ry:i rx:i mask_px:i skeleton_px:i components:i iou_low:d iou_high:d high_retention:d stable:b")
 def j03(spark, sf):
-    return tl.candidate_masks(raster(spark, sf), 64, canvas_of(spark, sf), [0.8, 0.9, 1.0], 0.9, 1, 6, 0.5, 0.5)
+    return tl.candidate_masks(raster(spark, sf), 64, b.canvas(spark, sf), [0.8, 0.9, 1.0], 0.9, 1, 6, 0.5, 0.5)
 
 
 @register("j04_patch_features",
@@ -127,13 +122,15 @@ def j05(spark, sf):
     return tl.render_surface(grid, b.voxels(spark, sf), (height, b.WIDTH), 2, [-1.0, 0.0, 1.0])
 
 
-FEATURES = ["mean", "std", "max", "range", "slope", "center_contrast"]
+LAYERS = 64  # length of the supplied profiles
+FEATURES = [*[f"layer_{i}" for i in range(LAYERS)], "mean", "std", "min", "max", "range", "argmax", "slope", "center_contrast"]
 
 
 def folded(spark, sf):
+    """All layers of a profile and its eight summary features."""
     rows = b.profiles(spark, sf)
-    f = profile_features(F.col("layers"))
-    table = rows.select("pixel", "positive", *[f[n].alias(n) for n in FEATURES])
+    f = profile_features(F.col("layers")) | {f"layer_{i}": F.get("layers", F.lit(i)).cast("double") for i in range(LAYERS)}
+    table = rows.select("pixel", "positive", *[f[n].cast("double").alias(n) for n in FEATURES])
     return buffered_folds(cut_lineage(table), "pixel", 3, 10)
 
 
@@ -144,7 +141,7 @@ def k01(spark, sf):
 
 @register("k02_crossfit_gbt", "fold:i n:i auc:d")
 def k02(spark, sf):
-    scores = ft.crossfit_gbt(folded(spark, sf), FEATURES, "positive", "fold", ["pixel"], rounds=5)
+    scores = ft.crossfit_gbt(folded(spark, sf), FEATURES, "positive", "fold", ["pixel"], rounds=100)
     return m.roc_auc(scores, "positive", "score", ["fold"]).select("fold", "n", "auc")
 
 

@@ -98,15 +98,21 @@ def test_review_contract(rows):
 @pytest.mark.parametrize("change,eligible,problem", [
     ({}, True, None), ({"role": "post_hoc"}, False, None), ({"declared_sha": "x"}, False, "hash_mismatch"), ({"tier": "G1"}, False, None),
     ({"regime": "DEV"}, False, "role_regime_mismatch"), ({"subject_sha": "other"}, False, "audit_not_bound"), ({"subject_sha": None}, False, None),
+    ({"schema": "other"}, False, "schema_mismatch"), ({"role": None}, False, "unknown_role"), ({"regime": None}, False, "role_regime_mismatch"),
+    ({"role": "post_hoc", "analysis": None}, False, "not_post_hoc"), ({"audit_sha": "x"}, False, "audit_hash_mismatch"),
+    ({"audit_schema": "x"}, False, "audit_schema_mismatch"), ({"go_checks": None}, False, None), ({"go_checks": {"a": None}}, False, None),
     ({"truth_independent": False}, False, None), ({"go_checks": {"a": True, "b": False}}, False, None), ({"go_checks": {}}, False, None),
 ])
 def test_claim_needs_every_condition(rows, change, eligible, problem):
     v = {"role": "locked_validation", "declared_sha": "s", "sha": "s", "regime": "VALIDATION", "tier": "G2", "subject_sha": "s",
-         "truth_independent": True, "go_checks": {"a": True}} | change
-    ledger = rows("artifact int, evidence_id int, declared_sha string, role string, declared_groups int, truth_independent boolean",
-                  [(1, 1, v["declared_sha"], v["role"], 3, v["truth_independent"])])
-    receipts = rows("artifact int, sha string, regime string, tier string, go_checks map<string,boolean>", [(1, v["sha"], v["regime"], v["tier"], v["go_checks"])])
-    audits = rows("artifact int, subject_sha string, effective_groups int, gate_passed boolean", [(1, v["subject_sha"], 2, True)] if v["subject_sha"] else [])
+         "truth_independent": True, "go_checks": {"a": True}, "schema": "r/1", "analysis": ct.POST_HOC, "audit_sha": "a",
+         "audit_schema": ct.AUDIT_SCHEMA} | change
+    ledger = rows("artifact int, evidence_id int, declared_sha string, role string, declared_groups int, truth_independent boolean, expected_schema string, "
+                  "declared_audit_sha string", [(1, 1, v["declared_sha"], v["role"], 3, v["truth_independent"], "r/1", "a")])
+    receipts = rows("artifact int, sha string, regime string, tier string, go_checks map<string,boolean>, schema_version string, analysis_type string",
+                    [(1, v["sha"], v["regime"], v["tier"], v["go_checks"], v["schema"], v["analysis"])])
+    audits = rows("artifact int, subject_sha string, effective_groups int, gate_passed boolean, audit_sha string, audit_schema string",
+                  [(1, v["subject_sha"], 2, True, v["audit_sha"], v["audit_schema"])] if v["subject_sha"] else [])
     r = ct.claim_ceiling(ledger, receipts, audits).first()
     assert (r["eligible"], r["problem"]) == (eligible, problem)
     if v["subject_sha"] is None:

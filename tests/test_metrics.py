@@ -162,10 +162,14 @@ def test_single_class_chunks_have_no_gain(rows):
 def test_region_summary_and_empty_region(rows):
     df = rows("y int, x int, positive boolean, valid boolean, score double",
               [(0, 0, True, True, 1.0), (0, 1, False, True, 2.0), (1, 0, True, False, 9.0), (0, 2, True, False, 4.0)])
-    out = {r["region_id"]: r for r in rg.summarize_regions(df, 2, 0.5).collect()}
+    out = {r["region_id"]: r for r in rg.summarize_regions(df, 2, 0.5, (4, 3)).collect()}
     first = out["y00000_x00000"]
     assert (first["valid_px"], first["positive_px"], first["max"], first["eligible"]) == (2, 1, 2.0, True)
     assert out["y00000_x00002"]["mean"] is None and not out["y00000_x00002"]["eligible"]
+    # A region without a stored pixel is there; absent pixels count as invalid.
+    assert len(out) == 4 and out["y00002_x00000"]["valid_px"] == 0 and not out["y00002_x00000"]["eligible"]
+    sparse = rows("y int, x int, positive boolean, valid boolean, score double", [(0, 0, True, True, 1.0), (0, 1, True, True, 1.0)])
+    assert not rg.summarize_regions(sparse, 16, 0.5, (16, 16)).first()["eligible"]
 
 
 def test_pair_counts_match_enumeration(rows):
