@@ -85,25 +85,25 @@ BLOCKED = f"{S}, bl AS (SELECT *, cast(cy * 1000 + cx AS BIGINT) AS block, (s0 +
 
 
 @register("h05_block_bootstrap", "valid_replicates:i low:d high:d mean:d",
-          f"""WITH {BLOCKED}, {draws_sql('bl', 'block', 200, 17)},
+          f"""WITH {BLOCKED}, {draws_sql('bl', 'block', 2000, 17)},
 c AS (SELECT block, s0 AS s, count(*) AS n, sum(CASE WHEN positive THEN 1 ELSE 0 END) AS pos FROM bl GROUP BY 1, 2),
 w AS (SELECT rep, s, sum(w * n) AS n, sum(w * pos) AS pos FROM dw JOIN c ON dw.block = c.block GROUP BY rep, s),
 {curve_sql('w', 'rep', 'k')} {interval_sql('k', 'ap')}""")
 def h05(spark, sf):
-    return sp.block_bootstrap(blocked(spark, sf), "positive", "s0", "block", 200, 17)
+    return sp.block_bootstrap(blocked(spark, sf), "positive", "s0", "block", 2000, 17)
 
 
 @register("h06_mean_bootstrap", "valid_replicates:i low:d high:d mean:d",
-          f"""WITH {BLOCKED}, u AS (SELECT block, avg(s0) AS m FROM bl GROUP BY block), {draws_sql('u', 'block', 200, 23)},
+          f"""WITH {BLOCKED}, u AS (SELECT block, avg(s0) AS m FROM bl GROUP BY block), {draws_sql('u', 'block', 2000, 23)},
 v AS (SELECT rep, sum(w * m) / cast(sum(w) AS DOUBLE) AS value FROM dw JOIN u ON dw.block = u.block GROUP BY rep) {interval_sql('v', 'value')}""")
 def h06(spark, sf):
-    return sp.mean_bootstrap(blocked(spark, sf), "block", "s0", 200, 23)
+    return sp.mean_bootstrap(blocked(spark, sf), "block", "s0", 2000, 23)
 
 
 # The cut is a quantile of replicated disagreements; scores are scaled to whole numbers so
 # that the comparison is exact in both engines.
 @register("h07_gain_bootstrap", "gain:s valid_replicates:i low:d high:d mean:d",
-          f"""WITH {BLOCKED}, q AS (SELECT block, positive, round(s0 * 100) AS s0, round(s1 * 100) AS s1 FROM bl), {draws_sql('q', 'block', 60, 29)},
+          f"""WITH {BLOCKED}, q AS (SELECT block, positive, round(s0 * 100) AS s0, round(s1 * 100) AS s1 FROM bl), {draws_sql('q', 'block', 2000, 29)},
 c AS (SELECT block, s0, s1, count(*) AS n, sum(CASE WHEN positive THEN 1 ELSE 0 END) AS pos FROM q GROUP BY 1, 2, 3),
 w AS (SELECT rep, s0, s1, sum(w * n) AS n, sum(w * pos) AS pos FROM dw JOIN c ON dw.block = c.block GROUP BY 1, 2, 3),
 e AS (SELECT rep, abs(s0 - s1) AS d, unnest(range(cast(n AS BIGINT))) AS i FROM w), ct AS (SELECT rep, quantile_cont(d, 0.8) AS cut FROM e GROUP BY rep),
@@ -115,11 +115,11 @@ o AS (SELECT rep, max(ap) FILTER (WHERE name = 'fused') AS f, max(ap) FILTER (WH
 v AS (SELECT 'fusion' AS gain, f - b AS value FROM o WHERE ok UNION ALL SELECT 'abstention', k - f FROM o WHERE ok) {interval_sql('v', 'value', 'gain')}""")
 def h07(spark, sf):
     px = blocked(spark, sf).withColumn("s0", F.round(F.col("s0") * 100)).withColumn("s1", F.round(F.col("s1") * 100))
-    return sp.gain_bootstrap(px, "positive", "block", 0.2, 60, 29)
+    return sp.gain_bootstrap(px, "positive", "block", 0.2, 2000, 29)
 
 
 @register("h08_paired_bootstrap", "metric:s valid_replicates:i low:d high:d mean:d",
-          f"""WITH {BLOCKED}, {draws_sql('bl', 'block', 100, 31)},
+          f"""WITH {BLOCKED}, {draws_sql('bl', 'block', 1000, 31)},
 l AS (SELECT block, positive, 'fused' AS name, fused AS s FROM bl UNION ALL SELECT block, positive, 's0', s0 FROM bl),
 c AS (SELECT block, name, s, count(*) AS n, sum(CASE WHEN positive THEN 1 ELSE 0 END) AS pos FROM l GROUP BY 1, 2, 3),
 w AS (SELECT rep, name, s, sum(w * n) AS n, sum(w * pos) AS pos FROM dw JOIN c ON dw.block = c.block GROUP BY 1, 2, 3), {curve_sql('w', 'rep, name', 'k')},
@@ -127,7 +127,7 @@ d AS (SELECT a.rep, a.auc - z.auc AS auc, a.ap - z.ap AS ap FROM k a JOIN k z ON
 v AS (SELECT 'auc' AS metric, auc AS value FROM d UNION ALL SELECT 'ap', CASE WHEN auc IS NOT NULL THEN ap END FROM d) {interval_sql('v', 'value', 'metric')}""")
 def h08(spark, sf):
     px = blocked(spark, sf).withColumn("fused", (F.col("s0") + F.col("s1")) / 2)
-    return sp.paired_bootstrap(px, "positive", "fused", "s0", "block", 100, 31)
+    return sp.paired_bootstrap(px, "positive", "fused", "s0", "block", 1000, 31)
 
 
 @register("h09_buffered_folds", "fold:i role:s rows:i ymin:i ymax:i",
@@ -169,8 +169,8 @@ def spread_metric(counts):
 
 
 @register("u01_user_metric_bootstrap", "valid_replicates:i low:d high:d mean:d",
-          f"""WITH {BLOCKED}, {draws_sql('bl', 'block', 200, 17)},
+          f"""WITH {BLOCKED}, {draws_sql('bl', 'block', 2000, 17)},
 c AS (SELECT block, count(*) FILTER (WHERE s0 >= cast(0.5 AS DOUBLE)) AS n, count(*) FILTER (WHERE positive AND s0 >= cast(0.5 AS DOUBLE)) AS pos FROM bl GROUP BY 1),
 v AS (SELECT rep, sum(w * pos) / cast(nullif(sum(w * n), 0) AS DOUBLE) AS value FROM dw JOIN c ON dw.block = c.block GROUP BY rep) {interval_sql('v', 'value')}""")
 def u01(spark, sf):
-    return sp.block_bootstrap(blocked(spark, sf), "positive", "s0", "block", 200, 17, spread_metric)
+    return sp.block_bootstrap(blocked(spark, sf), "positive", "s0", "block", 2000, 17, spread_metric)
