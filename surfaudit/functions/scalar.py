@@ -92,12 +92,18 @@ def parse_text(text: Column, pattern: str, group: int = 1) -> Column:
 
 # The name formats that are parsed.
 CHUNK_NAME = r"^0\.(\d+)\.(\d+)$"
-VOLUME_NAME = r"^(\d+)-([0-9.]+)um"
-ENERGY_NAME = r"(\d+)keV"
+VOLUME_NAME = r"^(\d+)-(\d+(?:\.\d+)?)um-"
+ENERGY_NAME = r"-(\d+)keV-"
 VOLUME_IN_URL = r"volume-(\d+)"
 BLOCK_ROW = r"^by(\d+)_"
 
 
+def parse_required(text: Column, pattern: str, group: int = 1) -> Column:
+    """``parse_text`` that fails on a text without a match, for names a job cannot do without."""
+    found = parse_text(text, pattern, group)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no match for "), F.lit(pattern), F.lit(": "), F.coalesce(text, F.lit("NULL")))).cast("string"))
+
+
 def chunk_key(path: Column) -> tuple[Column, Column]:
     name = F.substring_index(path, "/", -1)
     return parse_int(name, CHUNK_NAME, 1), parse_int(name, CHUNK_NAME, 2)

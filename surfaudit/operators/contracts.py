@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import url_host
 
-# The vocabularies a configuration may use.
+# The vocabularies a configuration may use, and the statuses a decision may have.
 REGIMES = ("DEV", "VALIDATION", "DISCOVERY")
 TRACKS = ("A", "B", "C")
 TIERS = ("G0", "G1", "G2", "G3")
 ROLES = ("locked_validation", "development", "post_hoc")
+CONTINUE, NO_GO_LABELS = "CONTINUE_GEOMETRY_GATES", "NO_GO_LABEL_DIVERSITY_UPPER_BOUND"
+NO_REGISTRATION, NO_SUPPORT = "NO_GO_REGISTRATION", "NO_GO_NO_COMMON_GEOMETRY_SUPPORT"
+SINGLE_CLASS, COMPARE = "NO_GO_SINGLE_CLASS_COMMON_SUPPORT", "GO_SCORE_COMPARISON"
 FROZEN = "frozen_before_ground_truth"
 POST_HOC = "post_hoc_diagnostic"
 AUDIT_SCHEMA = "independence-audit/1.0"
@@ -123,8 +126,8 @@ def partition_gate(stats: DataFrame, min_positive: int, min_negative: int, min_b
             "negative": F.col("negative_px") >= min_negative,
             "both": F.col("both_chunks") >= min_both,
         },
-        "CONTINUE_GEOMETRY_GATES",
-        "NO_GO_LABEL_DIVERSITY",
+        CONTINUE,
+        NO_GO_LABELS,
     )
 
 

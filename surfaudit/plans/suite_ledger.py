@@ -220,18 +220,18 @@ def l02(spark, sf):
 
 
 @register("l03_ladder", "cy:i cx:i status:s",
-          f"""WITH {b.TRUTH}, {LABEL_STATS} SELECT cy, cx, CASE WHEN valid_px < 500 THEN 'NO_GO_REGISTRATION' WHEN positive_px = 0 THEN 'NO_GO_NO_SUPPORT'
-WHEN both_chunks = 0 THEN 'NO_GO_SINGLE_CLASS' ELSE 'GO' END AS status FROM flag""")
+          f"""WITH {b.TRUTH}, {LABEL_STATS} SELECT cy, cx, CASE WHEN valid_px < 500 THEN 'NO_GO_REGISTRATION' WHEN positive_px = 0 THEN 'NO_GO_NO_COMMON_GEOMETRY_SUPPORT'
+WHEN both_chunks = 0 THEN 'NO_GO_SINGLE_CLASS_COMMON_SUPPORT' ELSE 'GO_SCORE_COMPARISON' END AS status FROM flag""")
 def l03(spark, sf):
     stats = rg.label_stats(b.truth(spark, sf), ["cy", "cx"]).where("cy is not null")
-    return ct.ladder(stats, [(F.col("valid_px") < 500, "NO_GO_REGISTRATION"), (F.col("positive_px") == 0, "NO_GO_NO_SUPPORT"),
-                             (F.col("both_chunks") == 0, "NO_GO_SINGLE_CLASS")], "GO")
+    return ct.ladder(stats, [(F.col("valid_px") < 500, ct.NO_REGISTRATION), (F.col("positive_px") == 0, ct.NO_SUPPORT),
+                             (F.col("both_chunks") == 0, ct.SINGLE_CLASS)], ct.COMPARE)
 
 
 @register("l04_partition_gate", "valid_px:i positive_px:i negative_px:i both_chunks:i passed:b status:s",
           f"""WITH {b.TRUTH}, {LABEL_STATS}, t AS (SELECT sum(valid_px) AS valid_px, sum(positive_px) AS positive_px, sum(valid_px) - sum(positive_px) AS negative_px, sum(both_chunks) AS both_chunks FROM flag)
 SELECT *, positive_px >= 1000 AND negative_px >= 1000 AND both_chunks >= 20 AS passed,
- CASE WHEN positive_px >= 1000 AND negative_px >= 1000 AND both_chunks >= 20 THEN 'CONTINUE_GEOMETRY_GATES' ELSE 'NO_GO_LABEL_DIVERSITY' END AS status FROM t""")
+ CASE WHEN positive_px >= 1000 AND negative_px >= 1000 AND both_chunks >= 20 THEN 'CONTINUE_GEOMETRY_GATES' ELSE 'NO_GO_LABEL_DIVERSITY_UPPER_BOUND' END AS status FROM t""")
 def l04(spark, sf):
     stats = rg.label_stats(b.truth(spark, sf), ["cy", "cx"]).where("cy is not null")
     return ct.partition_gate(stats, 1000, 1000, 20)

@@ -40,22 +40,22 @@ def b04(spark, sf):
 
 @register("b05_parse_names", "doc_id:i cy:i cx:i volume:i um:s kev:i block_row:i",
           """WITH n AS (SELECT doc_id, source || '/0.' || cast(doc_id % 17 AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '.' || cast(doc_id % 13 AS VARCHAR) END AS chunk,
-  'x/volume-' || cast(doc_id AS VARCHAR) || '.zarr' AS url, cast(doc_id AS VARCHAR) || '-2.4um-' || CASE WHEN doc_id % 3 = 0 THEN '53keV' ELSE 'none' END AS vol,
+  'x/volume-' || cast(doc_id AS VARCHAR) || '.zarr' AS url, cast(doc_id AS VARCHAR) || '-2.4um-' || CASE WHEN doc_id % 3 = 0 THEN '53keV-a' WHEN doc_id % 3 = 1 THEN '53keV' ELSE 'none' END AS vol,
   'by' || lpad(cast(doc_id % 40 AS VARCHAR), 2, '0') || '_bx01' AS block FROM documents)
 SELECT doc_id, cast(nullif(regexp_extract(chunk, '/0\\.(\\d+)\\.(\\d+)$', 1), '') AS BIGINT) AS cy, cast(nullif(regexp_extract(chunk, '/0\\.(\\d+)\\.(\\d+)$', 2), '') AS BIGINT) AS cx,
- cast(nullif(regexp_extract(url, 'volume-(\\d+)', 1), '') AS BIGINT) AS volume, nullif(regexp_extract(vol, '^(\\d+)-([0-9.]+)um', 2), '') AS um,
- cast(nullif(regexp_extract(vol, '(\\d+)keV', 1), '') AS BIGINT) AS kev, cast(regexp_extract(block, '^by(\\d+)_', 1) AS BIGINT) AS block_row FROM n""")
+ cast(nullif(regexp_extract(url, 'volume-(\\d+)', 1), '') AS BIGINT) AS volume, nullif(regexp_extract(vol, '^(\\d+)-(\\d+(\\.\\d+)?)um-', 2), '') AS um,
+ cast(nullif(regexp_extract(vol, '-(\\d+)keV-', 1), '') AS BIGINT) AS kev, cast(regexp_extract(block, '^by(\\d+)_', 1) AS BIGINT) AS block_row FROM n""")
 def b05(spark, sf):
     i, text = F.col("doc_id"), lambda c: c.cast("string")
     n = b.table(spark, sf, "documents").select(
         "doc_id",
         F.concat("source", F.lit("/0."), text(i % 17), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("."), text(i % 13)))).alias("chunk"),
         F.concat(F.lit("x/volume-"), text(i), F.lit(".zarr")).alias("url"),
-        F.concat(text(i), F.lit("-2.4um-"), F.when(i % 3 == 0, "53keV").otherwise("none")).alias("vol"),
+        F.concat(text(i), F.lit("-2.4um-"), F.when(i % 3 == 0, "53keV-a").when(i % 3 == 1, "53keV").otherwise("none")).alias("vol"),
         F.concat(F.lit("by"), F.lpad(text(i % 40), 2, "0"), F.lit("_bx01")).alias("block"))
     cy, cx = sc.chunk_key(F.col("chunk"))
     return n.select("doc_id", cy.alias("cy"), cx.alias("cx"), sc.parse_int(F.col("url"), sc.VOLUME_IN_URL).alias("volume"),
-                    sc.parse_text(F.col("vol"), sc.VOLUME_NAME, 2).alias("um"), sc.parse_int(F.col("vol"), sc.ENERGY_NAME).alias("kev"),
+                    sc.parse_required(F.col("vol"), sc.VOLUME_NAME, 2).alias("um"), sc.parse_int(F.col("vol"), sc.ENERGY_NAME).alias("kev"),
                     sc.parse_int(F.col("block"), sc.BLOCK_ROW).alias("block_row"))
 
 

@@ -95,8 +95,8 @@ def test_consensus_job_writes_maps_and_refuses_false_independence(spark, rows):
     px = rows("y int, x int, view_id string, score double", [(0, x, v, 0.9) for x in range(3) for v in "pq"])
     good = rows(VIEWS, [(1, "p", "a", "s1", "f"), (2, "q", "b", "s2", "f")])
     job = ConsensusJob("DEV", ev.Gates(), ["acq"])
-    report = run_consensus(px, good, job, (2, 2), scratch(spark, "m"), scratch(spark, "r")).first()
-    assert (report["pixels"], report["accepted_pixels"], report["effective_groups"]) == (3, 3, 2)
+    report = run_consensus(px, good, job, (1, 4), scratch(spark, "m"), scratch(spark, "r")).first()
+    assert (report["pixels"], report["accepted_pixels"], report["effective_groups"]) == (4, 3, 2)
     bad = rows(VIEWS, [(1, "p", "a", "s1", "f"), (2, "q", "b", "s1", "f")])
     with pytest.raises(ct.ContractError):
         run_consensus(px, bad, job, (2, 2), scratch(spark, "m"), scratch(spark, "r"))

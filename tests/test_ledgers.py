@@ -129,7 +129,7 @@ def test_gates_fail_on_undefined_metrics(rows):
 def test_partition_gate(rows):
     stats = rows("valid_px int, positive_px int", [(100, 10), (100, 0)])
     assert ct.partition_gate(stats, 5, 5, 1).first()["status"] == "CONTINUE_GEOMETRY_GATES"
-    assert ct.partition_gate(stats, 5, 5, 2).first()["status"] == "NO_GO_LABEL_DIVERSITY"
+    assert ct.partition_gate(stats, 5, 5, 2).first()["status"] == ct.NO_GO_LABELS
 
 
 def test_scalar_contracts():
