@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -37,9 +38,10 @@ NAMED = frozenset(  # words of a class or id that say the same
     "cookie cookies consent gdpr notice notices notification alert toast popup modal overlay paywall subscribe subscription newsletter "
     "signup login search menu nav navbar navigation breadcrumb breadcrumbs pagination pager topbar masthead footer colophon copyright "
     "sidebar aside rail widget widgets related recommended share sharing social comment comments commentlist respond reply replies "
-    "disqus discussion form".split()
+    "disqus discussion reactions feedback form".split()
 )
-REMARKS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+NAMED_STEMS = ("cookie", "advert", "sponsor", "newsletter", "breadcrumb", "sidebar", "subscri", "navbar", "commentlist", "commentform", "commentbox")
+REMARKS = frozenset("comment comments commentlist commentbox respond reply replies disqus discussion reactions feedback".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 # An element in the first column ends the nearest open one of the second, unless one of the third is in between.
 IMPLIED_END = {
@@ -61,8 +63,8 @@ class _Events(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.banned, self.core = ["html"], [-1], [False], [False]
-        self.open = [0]
+        self.tag, self.parent, self.banned, self.core, self.inside = ["html"], [-1], [False], [False], [False]
+        self.open, self.open_tags = [0], Counter()
         self.lines: list[tuple[int, int, list[tuple[int, str]]]] = []  # (element, tags, pieces)
         self.pieces: list[tuple[int, str]] = []
         self.tags = 0
@@ -74,9 +76,12 @@ class _Events(HTMLParser):
         self.pieces = []
 
     def _close_to(self, names: tuple[str, ...], barriers) -> None:
+        if not any(self.open_tags[n] for n in names):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[i]]
             if tag in names:
+                self.open_tags.subtract(self.tag[k] for k in self.open[i:])
                 del self.open[i:]
                 return
             if tag in barriers:
@@ -98,7 +103,9 @@ class _Events(HTMLParser):
         self.parent.append(self.open[-1])
         self.banned.append(banned)
         self.core.append(core)
+        self.inside.append(self.inside[self.open[-1]] or tag in ("article", "main"))
         self.open.append(len(self.tag) - 1)
+        self.open_tags[tag] += 1
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -121,10 +128,10 @@ class _Events(HTMLParser):
             return False, False
         if tag in ("article", "main") or role in ("main", "article"):
             return hidden or bool(words & REMARKS), not words & (REMARKS | {"related", "teaser", "ad", "promo"})
-        inside = any(self.tag[i] in ("article", "main") for i in self.open)
         if tag == "header" or "header" in words:
-            return not inside, False
-        return hidden or tag in SILENT or role in ROLES or bool(words & NAMED), False
+            return not self.inside[self.open[-1]], False
+        named = bool(words & NAMED) or any(w.startswith(NAMED_STEMS) for w in words)
+        return hidden or tag in SILENT or role in ROLES or named, False
 
 
 def _smoothed(ratios: list[float]) -> list[float]:
