@@ -22,6 +22,8 @@ HEADLINE = [
     "i02_components_area",
     "i09_grid_topology",
     "j01_structural_map",
+    "j04_patch_features",         # patches against a surface
+    "j04_patch_distances",
     "l06_claim_ceiling",
 ]
 

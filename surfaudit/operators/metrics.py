@@ -216,28 +216,32 @@ def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (), weight: str |
     )
 
 
+def _counted(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows collapsed to (cols, w), combined on the map side, and kept for several readers."""
+    return cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")))
+
+
 def correlations(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pearson and Spearman.  Pairs collapse to distinct (a, b) before ranks are attached."""
-    pairs = cut_lineage(pairs.select(a, b))  # two columns, read four times
-    distinct = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(
-        F.count(F.lit(1)).alias("w")
-    )
-    ra = value_ranks(pairs, a).select(a, F.col("avg_rank").alias("ra"))
-    rb = value_ranks(pairs, b).select(b, F.col("avg_rank").alias("rb"))
+    """Pearson and Spearman.  Pairs collapse to counts of (a, b) before anything is kept."""
+    counts = _counted(pairs, a, b)
+    distinct = counts.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ra = value_ranks(counts, a, weight="w").select(a, F.col("avg_rank").alias("ra"))
+    rb = value_ranks(counts, b, weight="w").select(b, F.col("avg_rank").alias("rb"))
     ranked = distinct.join(ra, a).join(rb, b)
     rho = pearson(ranked, "ra", "rb", weight="w").select(F.col("pearson").alias("spearman"))
-    return pearson(pairs, a, b).withColumn("spearman", rho.scalar())
+    return pearson(distinct, a, b, weight="w").withColumn("spearman", rho.scalar())
 
 
 def top_overlap(pairs: DataFrame, quantile: float, a: str = "a", b: str = "b") -> DataFrame:
     """Intersection, Jaccard and enrichment of the top quantile of both maps."""
-    pairs = cut_lineage(pairs.select(a, b))
-    ta, tb = quantile_column(pairs, a, 1 - quantile), quantile_column(pairs, b, 1 - quantile)
-    flags = pairs.withColumn("_ta", ta).withColumn("_tb", tb).withColumn(
+    counts = _counted(pairs, a, b)
+    ta, tb = quantile_column(counts, a, 1 - quantile, "w"), quantile_column(counts, b, 1 - quantile, "w")
+    flags = counts.withColumn("_ta", ta).withColumn("_tb", tb).withColumn(
         "_a", F.col(a) >= F.col("_ta")
     ).withColumn("_b", F.col(b) >= F.col("_tb"))
-    both, either = F.count_if(F.col("_a") & F.col("_b")), F.count_if(F.col("_a") | F.col("_b"))
-    share = F.try_divide(both, F.count(F.lit(1)))
+    weight = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
+    both, either = weight(F.col("_a") & F.col("_b")), weight(F.col("_a") | F.col("_b"))
+    share = F.try_divide(both, F.sum("w"))
     return flags.agg(
         F.max("_ta").alias("threshold_a"),
         F.max("_tb").alias("threshold_b"),
@@ -257,25 +261,31 @@ def with_fusion(df: DataFrame, s0: str = "s0", s1: str = "s1") -> DataFrame:
 
 def disagreement_summary(df: DataFrame, label: str = "positive") -> DataFrame:
     """AP of +/- disagreement, its correlation with the label and class means."""
-    d = cut_lineage(with_fusion(df).select(label, "disagreement"))
+    d = _counted(with_fusion(df), label, "disagreement")
     long = d.select(
         label,
+        "w",
         F.explode(
             F.array(
                 F.struct(F.lit("high").alias("name"), F.col("disagreement").alias("score")),
                 F.struct(F.lit("low").alias("name"), (-F.col("disagreement")).alias("score")),
             )
         ).alias("p"),
-    ).select(label, "p.*")
-    ap = average_precision(long, label, "score", ["name"]).agg(
+    ).select(label, "w", "p.*")
+    ap = rank_metrics(score_counts(long, label, "score", ["name"], "w"), ["name"]).agg(
         F.struct(
             F.max(F.when(F.col("name") == "high", F.col("ap"))).alias("high"),
             F.max(F.when(F.col("name") == "low", F.col("ap"))).alias("low"),
         ).alias("ap")
     )
-    r = pearson(d.withColumn("_y", F.col(label).cast("double")), "disagreement", "_y").select("pearson")
-    means = class_margin(d, label, "disagreement").select("positive_mean", "negative_mean")
-    base = d.agg(F.count(F.lit(1)).alias("pixels"), F.avg(F.col(label).cast("double")).alias("prevalence"))
+    r = pearson(d.withColumn("_y", F.col(label).cast("double")), "disagreement", "_y", weight="w").select("pearson")
+    mean = lambda value, on: F.try_divide(
+        F.sum(F.when(on & value.isNotNull(), value * F.col("w"))), F.sum(F.when(on & value.isNotNull(), F.col("w")))
+    )
+    means = d.agg(
+        mean(F.col("disagreement"), F.col(label)).alias("positive_mean"), mean(F.col("disagreement"), ~F.col(label)).alias("negative_mean")
+    )
+    base = d.agg(F.sum("w").alias("pixels"), mean(F.col(label).cast("double"), F.lit(True)).alias("prevalence"))
     return (
         base.withColumn("_ap", ap.scalar())
         .withColumn("label_pearson", r.scalar())
@@ -290,9 +300,9 @@ def disagreement_summary(df: DataFrame, label: str = "positive") -> DataFrame:
 
 def disagreement_bins(df: DataFrame, bins: int, label: str = "positive") -> DataFrame:
     """Quantile-bin table: left-closed bins, the last closed on both sides, empty bins kept."""
-    d = cut_lineage(with_fusion(df).select(label, "fused", "disagreement"))
+    d = _counted(with_fusion(df), label, "fused", "disagreement")
     qs = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(d, "disagreement", qs).select(F.array(*qs).alias("e")).scalar()
+    edges = exact_quantiles(d, "disagreement", qs, weight="w").select(F.array(*qs).alias("e")).scalar()
     # One pass: the edges are a single-row subquery, a pixel belongs to the bins that hold it.
     placed = d.withColumn("_e", edges).withColumn(
         "bin",
@@ -301,9 +311,9 @@ def disagreement_bins(df: DataFrame, bins: int, label: str = "positive") -> Data
         ).otherwise(F.size(F.filter("_e", lambda e: e <= F.col("disagreement"))) - 1),
     )
     stats = placed.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("pixels"),
-        F.avg(F.col(label).cast("double")).alias("prevalence"),
-        F.avg("fused").alias("mean_score"),
+        F.sum("w").alias("pixels"),
+        F.try_divide(F.sum(F.col(label).cast("double") * F.col("w")), F.sum(F.when(F.col(label).isNotNull(), F.col("w")))).alias("prevalence"),
+        F.try_divide(F.sum(F.col("fused") * F.col("w")), F.sum(F.when(F.col("fused").isNotNull(), F.col("w")))).alias("mean_score"),
     )
     frame = (
         df.sparkSession.range(1)
@@ -323,17 +333,17 @@ def retained(df: DataFrame, fraction: float) -> DataFrame:
 
 def abstain(df: DataFrame, fraction: float, label: str = "positive") -> DataFrame:
     """AP of the fused score before and after abstention, from one scan of the pixels."""
-    d = cut_lineage(with_fusion(df).select(label, "fused", "disagreement"))
-    cut = quantile_column(d, "disagreement", 1 - fraction)
+    d = _counted(with_fusion(df), label, "fused", "disagreement")
+    cut = quantile_column(d, "disagreement", 1 - fraction, "w")
     tagged = d.withColumn("_cut", cut).select(
-        label, "fused",
+        label, "fused", "w",
         F.explode(
             F.when(F.col("disagreement") <= F.col("_cut"), F.array(F.lit("all"), F.lit("kept"))).otherwise(
                 F.array(F.lit("all"))
             )
         ).alias("part"),
     )
-    ap = average_precision(tagged, label, "fused", ["part"])
+    ap = rank_metrics(score_counts(tagged, label, "fused", ["part"], "w"), ["part"])
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
     return ap.agg(
         pick("all", "n").alias("pixels"), pick("kept", "n").alias("kept_pixels"),
@@ -362,9 +372,13 @@ def control_margin(df: DataFrame, chunk: Sequence[str], label: str, score: str)
 
 def baseline_table(df: DataFrame, label: str, scores: Sequence[str]) -> DataFrame:
     """AP and class means per score column, best AP flagged."""
-    long = unpivot_scores(cut_lineage(df.select(label, *scores)), [label], scores)
-    ap = cut_lineage(average_precision(long, label, "score", ["name"]))  # one row per score
-    out = ap.join(class_margin(long, label, "score", ["name"]), "name")
+    counts = cut_lineage(score_counts(unpivot_scores(df, [label], scores), label, "score", ["name"]))
+    pos, neg = F.col("pos"), F.col("n") - F.col("pos")
+    mean = lambda w: F.try_divide(F.sum(F.when(w > 0, F.col("score") * w)), F.sum(w))
+    margins = counts.groupBy("name").agg(mean(pos).alias("positive_mean"), mean(neg).alias("negative_mean"))
+    margins = margins.withColumn("margin", F.col("positive_mean") - F.col("negative_mean"))
+    ap = cut_lineage(rank_metrics(counts, ["name"]))  # one row per score
+    out = ap.join(margins, "name")
     best = ap.agg(F.max_by("name", F.struct(F.round("ap", 12), F.col("name")))).scalar()
     return out.withColumn("_best", best).select(
         "name", "ap", "positive_mean", "negative_mean", "margin", (F.col("name") == F.col("_best")).alias("best")
@@ -375,11 +389,12 @@ def regional_gain(
     df: DataFrame, chunk: Sequence[str], label: str, model: str, baselines: Sequence[str]
 ) -> DataFrame:
     """Per-chunk AP of the model minus that of the best baseline overall, both-class chunks only."""
-    px = cut_lineage(df.select(*chunk, label, model, *baselines))
-    long = unpivot_scores(px, [*chunk, label], [model, *baselines])
-    overall = average_precision(long.where(F.col("name") != model), label, "score", ["name"])
+    long = unpivot_scores(df, [*chunk, label], [model, *baselines])
+    counts = cut_lineage(score_counts(long, label, "score", [*chunk, "name"]))
+    whole = counts.where(F.col("name") != model).groupBy("name", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    overall = rank_metrics(whole, ["name"])
     best = overall.agg(F.max_by("name", F.struct(F.round("ap", 12), F.col("name")))).scalar()
-    per = average_precision(long, label, "score", [*chunk, "name"], both_classes=True)
+    per = rank_metrics(counts, [*chunk, "name"], both_classes=True)
     per = per.withColumn("_best", best)
     return (
         per.groupBy(*chunk)

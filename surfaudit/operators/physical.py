@@ -63,7 +63,7 @@ def evaluate_policies(
     Pixels are scanned once and fan out over the literal policy list; components are clipped
     at chunk borders.  Precision is NULL where nothing is accepted.
     """
-    px = cut_lineage(px.where("valid").select("y", "x", "positive", "area_um2", score))
+    px = px.where("valid").select("y", "x", "positive", "area_um2", score)
     cuts = top_cutoffs(px, score, fractions).scalar()
     s = F.col(score)
     options = [("abstain_all", F.lit(False)), (f"score_gte_{threshold:g}", s >= lit(threshold))]
@@ -81,7 +81,7 @@ def evaluate_policies(
         (F.sum(F.when(~pos, F.col("area_um2"))) / lit(UM2_PER_CM2)).alias("negative_cm2"),
         (F.coalesce(F.sum(F.when(acc & ~pos, F.col("area_um2"))), lit(0)) / lit(UM2_PER_CM2)).alias("fp_cm2"),
     )
-    hits = long.where(acc & ~pos).select("policy", "y", "x", "area_um2")
+    hits = cut_lineage(long.where(acc & ~pos).select("policy", "y", "x", "area_um2"))  # the hits alone, read twice
     clipped = components(hits, tile=chunk, by=["policy"], clip=True)
     kept = (
         component_areas(clipped.join(hits, ["policy", "y", "x"]), ["policy"], "area_um2")

@@ -58,14 +58,18 @@ def split_bucket(df: DataFrame, order: str, bounds: Column, digits: int, name: s
 
 
 def value_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), **sums: Column
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, **sums: Column
 ) -> DataFrame:
-    """One row per (group, value) with ``n`` and further sums; NULL and NaN values drop out."""
+    """One row per (group, value) with ``n`` and further sums; NULL and NaN values drop out.
+
+    A weight repeats a row that many times.
+    """
     v = F.col(value).cast("double")
+    n = F.sum(weight) if weight else F.count(F.lit(1))
     return (
         df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*by, v.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+        .agg(n.alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
 
 
@@ -119,14 +123,14 @@ def prefix_sum(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = (), **extra: Column
+    df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = (), weight: str | None = None, **extra: Column
 ) -> DataFrame:
     """Linear-interpolated quantiles of unbounded groups, one row per group.
 
     Spark's ``percentile`` keeps every distinct value of a group in one task; here each
     position is read off the distributed cumulative counts instead.
     """
-    return quantiles_of_counts(value_counts(df, value, by), qs, by, **extra)
+    return quantiles_of_counts(value_counts(df, value, by, weight), qs, by, **extra)
 
 
 def quantiles_of_counts(
@@ -151,9 +155,9 @@ def quantiles_of_counts(
     return ranked.groupBy(*by).agg(F.sum("n").alias("n"), *picks, *riders).select(*by, "n", *out, *extra)
 
 
-def quantile_column(df: DataFrame, value: str, q: float) -> Column:
+def quantile_column(df: DataFrame, value: str, q: float, weight: str | None = None) -> Column:
     """One global quantile as a scalar subquery, usable in any expression."""
-    return exact_quantiles(df, value, {"q": q}).select("q").scalar()
+    return exact_quantiles(df, value, {"q": q}, weight=weight).select("q").scalar()
 
 
 def hist_percentile(df: DataFrame, value: str, qs: dict[str, float]) -> DataFrame:
@@ -170,9 +174,9 @@ def hist_percentile(df: DataFrame, value: str, qs: dict[str, float]) -> DataFram
     )
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Average rank of each distinct value: rows below it plus (ties + 1) / 2."""
-    ranked = prefix_sum(value_counts(df, value, by), "value", ["n"], by)
+    ranked = prefix_sum(value_counts(df, value, by, weight), "value", ["n"], by)
     return ranked.select(
         *by,
         F.col("value").alias(value),
