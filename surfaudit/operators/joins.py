@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surfaudit.functions.scalar import box_distance, box_volume, floor_div, lit
 from surfaudit.session import cut_lineage
 
+CHUNK = 64  # side of the chunks by which sparse looks are pruned
+BROADCAST_CHUNKS = 100_000  # chunk keys (a few MB) up to which a look counts as sparse
+
 
 def align(a: DataFrame, b: DataFrame, keys=("y", "x")) -> DataFrame:
     """Pixels valid in both maps: keys, a, b."""
@@ -104,6 +107,21 @@ def _clamp(c: Column, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(c, F.lit(n - 1))).cast("int")
 
 
+def chunks_wanted(cells: DataFrame, wanted: DataFrame, axes: Sequence[str], size: int = CHUNK) -> DataFrame:
+    """Those ``cells`` that lie in a chunk with a wanted cell, for a sparse look into a large array.
+
+    Chunk keys are few next to cells: up to BROADCAST_CHUNKS of them are broadcast and the array is
+    cut down while it is scanned, before any shuffle.  With more keys the look is not sparse, and
+    all cells are handed on to the join that follows.
+    """
+    at = lambda: [floor_div(F.col(a), size).alias(f"_k{a}") for a in axes]
+    keys = cut_lineage(wanted.select(*at()).distinct())
+    if keys.count() > BROADCAST_CHUNKS:
+        return cells
+    names = [f"_k{a}" for a in axes]
+    return cells.select("*", *at()).join(F.broadcast(keys), names, "left_semi").drop(*names)
+
+
 def sample_support(
     px: DataFrame, lattice: DataFrame, canvas: tuple[int, int], shape: tuple[int, int]
 ) -> DataFrame:
@@ -141,12 +159,17 @@ def sample_support(
 
 
 def sample_bilinear(points: DataFrame, image: DataFrame, shape: tuple[int, int], value: str = "score") -> DataFrame:
-    """Bilinear value at fractional (fy, fx) with clamped corners; the image is (y, x, value)."""
+    """Bilinear value at fractional (fy, fx) with clamped corners; the image is (y, x, value).
+
+    Only the chunks of the image that hold a corner are read into quads.
+    """
     lattice = image.select(F.col("y").alias("v"), F.col("x").alias("u"), F.col(value).alias("_val"))
-    table = quads(lattice, "_val", *shape)
     fy, fx = F.col("fy"), F.col("fx")
     wy, wx = fy - F.floor(fy), fx - F.floor(fx)
     placed = points.withColumn("v", _clamp(F.floor(fy), shape[0])).withColumn("u", _clamp(F.floor(fx), shape[1]))
+    reach = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1)).alias(c)
+    corners = placed.select("v", "u").distinct().select(reach("v"), "u").select("v", reach("u"))
+    table = quads(chunks_wanted(lattice, corners, ["v", "u"]), "_val", *shape)
     # Left of the first pixel both corners clamp to it.
     q = lambda a, b: F.coalesce(
         F.when((fy < 0) & (fx < 0), F.col("q00")).when(fy < 0, F.col(f"q0{b}")).when(fx < 0, F.col(f"q{a}0")).otherwise(F.col(f"q{a}{b}")),
@@ -162,12 +185,12 @@ def sample_volume(points: DataFrame, vox: DataFrame, key: Sequence[str], how: st
     """(key, sample): value of a sparse volume at fractional (pz, py, px); absent voxels are zero.
 
     ``key`` identifies a point.  Samples follow a surface and are few next to the volume, so each one is spread over its
-    corners and the volume is read once, without a copy of it.
+    corners and the volume is read once, without a copy of it; chunks without a corner are left out while it is scanned.
     """
     axes = ("z", "y", "x")
     if how == "nearest":
         at = points.select(*key, *[F.rint(f"p{a}").cast("int").alias(a) for a in axes])
-        return at.join(vox.select(*axes, "v"), list(axes), "left").select(
+        return at.join(chunks_wanted(vox.select(*axes, "v"), at, axes), list(axes), "left").select(
             *key, F.coalesce(F.col("v").cast("double"), lit(0)).alias("sample")
         )
     corners = F.array(*[F.lit(i) for i in range(8)])
@@ -181,7 +204,7 @@ def sample_volume(points: DataFrame, vox: DataFrame, key: Sequence[str], how: st
         cols.append((F.floor(f"p{a}") + on.cast("int")).cast("int").alias(a))
     # Corners of weight zero are never read.
     spread = spread.select(*key, *cols, weight.alias("_w")).where("_w > 0")
-    joined = spread.join(vox.select(*axes, "v"), list(axes), "left")
+    joined = spread.join(chunks_wanted(vox.select(*axes, "v"), spread, axes), list(axes), "left")
     return joined.groupBy(*key).agg(F.sum(F.col("_w") * F.coalesce("v", F.lit(0))).alias("sample"))
 
 

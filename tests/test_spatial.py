@@ -252,3 +252,15 @@ def test_flat_surface_renders_its_volume(rows):
     out = {(r["y"], r["x"], r["offset"]): r["v"] for r in tl.render_surface(g, vox, (5, 5), 2, [-1.0, 0.0, 1.0]).collect()}
     middle, side = out[(4, 4, 0.0)], {out[(4, 4, -1.0)], out[(4, 4, 1.0)]}
     assert middle == 22 and side == {12, 32}
+
+
+def test_samplers_leave_out_chunks_without_a_point(rows):
+    from surfaudit.operators import joins as jn
+
+    vox = rows("z int, y int, x int, v int", [(0, y, x, y + x) for y in range(0, 300, 3) for x in range(0, 300, 3)])
+    wanted = rows("z int, y int, x int", [(0, 5, 5), (0, 290, 70)])
+    kept = jn.chunks_wanted(vox, wanted, ["z", "y", "x"], 64).collect()
+    assert {(r["y"] // 64, r["x"] // 64) for r in kept} == {(0, 0), (4, 1)}
+    points = rows("id int, pz double, py double, px double", [(1, 0.0, 6.0, 9.0), (2, 0.0, 290.5, 70.0)])
+    got = {r["id"]: r["sample"] for r in jn.sample_volume(points, vox, ["id"]).collect()}
+    assert got[1] == 15.0
