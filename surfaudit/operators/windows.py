@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from surfaudit.functions.scalar import lit
+from surfaudit.functions.scalar import floor_div, lit
 from surfaudit.operators.prefix import dense_index
 
 
@@ -24,22 +24,39 @@ def contiguous_folds(df: DataFrame, key: str, k: int) -> DataFrame:
     return dense_index(df, key).select(key, fold_of(F.col("idx"), F.col("n_keys"), k).alias("fold"))
 
 
+SEGMENT = 1024  # cells of a raster line that one window holds
+
+
+def _segmented(df: DataFrame, along: str, size: int, before: int, after: int) -> DataFrame:
+    """Adds ``_seg`` (and ``_own``): each cell once in its segment, and in the segments next to it
+    whose last ``before`` or next ``after`` cells reach it."""
+    own, place = floor_div(F.col(along), size), F.pmod(F.col(along), F.lit(size))
+    reach = F.array_compact(F.array(own, F.when(place < after, own - 1), F.when(place >= size - before, own + 1)))
+    return df.withColumn("_own", own).withColumn("_seg", F.explode(reach))
+
+
 def central_diff(
-    grid: DataFrame, col: str, along: str, across: str, half: bool = False, alias: str | None = None
+    grid: DataFrame, col: str, along: str, across: str, half: bool = False, alias: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Central difference along one axis of dense rows.
+    """Central difference along one axis.
 
     Inside it is next - previous, at an edge twice the one-sided difference; ``half`` halves
-    both, which is the usual numerical gradient.  One window partition is one raster line.
+    both, which is the usual numerical gradient.  A missing cell is an edge to its neighbours,
+    and a cell without any neighbour has no difference.  A window is one segment of a line with
+    one cell of its neighbours, so no long line is sorted in one task.
     """
-    w = W.partitionBy(across).orderBy(along)
-    prev, nxt, here = F.lag(col).over(w), F.lead(col).over(w), F.col(col)
+    w = W.partitionBy(*by, across, "_seg").orderBy(along)
+    cells = _segmented(grid, along, SEGMENT, 1, 1)
+    here = F.col(col)
+    prev = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(col).over(w))
+    nxt = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(col).over(w))
     diff = (
         F.when(prev.isNull(), (nxt - here) * lit(2))
         .when(nxt.isNull(), (here - prev) * lit(2))
         .otherwise(nxt - prev)
     )
-    return grid.withColumn(alias or f"d{col}", diff / lit(2) if half else diff)
+    out = cells.withColumn(alias or f"d{col}", diff / lit(2) if half else diff)
+    return out.where("_seg = _own").drop("_seg", "_own")
 
 
 def smooth_first_min(df: DataFrame, by: Sequence[str], order: str, col: str) -> DataFrame:
@@ -68,7 +85,7 @@ def window_sums(mask: DataFrame, height: int, width: int, k: int) -> DataFrame:
     """Mask pixels inside every k x k window, keyed by its top-left corner.
 
     A summed-area table in two passes: prefix sums along rows, then along columns, each minus
-    the prefix k steps back.  A window partition is one raster line, never the whole raster.
+    the prefix k steps back.  A window partition is a segment of a line and the k - 1 cells after it.
     """
     spark = mask.sparkSession
     canvas = spark.range(height).select(
@@ -77,14 +94,14 @@ def window_sums(mask: DataFrame, height: int, width: int, k: int) -> DataFrame:
     marked = canvas.join(mask.select("y", "x", F.lit(1).alias("m")), ["y", "x"], "left").fillna(0, ["m"])
 
     def slide(df, col, along, across, out):
-        w = W.partitionBy(across).orderBy(along)
-        total = df.withColumn("_c", F.sum(col).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        return total.withColumn(out, F.col("_c") - F.coalesce(F.lag("_c", k).over(w), F.lit(0))).drop("_c")
-
-    rows = slide(marked, "m", "x", "y", "r").where(F.col("x") >= k - 1).select("y", (F.col("x") - (k - 1)).alias("x"), "r")
-    return slide(rows, "r", "y", "x", "total").where(F.col("y") >= k - 1).select(
-        (F.col("y") - (k - 1)).alias("y"), "x", "total"
-    )
+        w = W.partitionBy(across, "_seg").orderBy(along)
+        cells = _segmented(df, along, max(SEGMENT, k), 0, k - 1)
+        total = cells.withColumn("_c", F.sum(col).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        summed = total.withColumn(out, F.lead("_c", k - 1).over(w) - F.coalesce(F.lag("_c", 1).over(w), F.lit(0)))
+        return summed.where((F.col("_seg") == F.col("_own")) & F.col(out).isNotNull()).drop("_c", "_seg", "_own")
+
+    rows = slide(marked, "m", "x", "y", "r").select("y", "x", "r")
+    return slide(rows, "r", "y", "x", "total").select("y", "x", "total")
 
 
 def densest_window(mask: DataFrame, height: int, width: int, k: int) -> DataFrame:

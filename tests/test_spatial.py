@@ -264,3 +264,19 @@ def test_samplers_leave_out_chunks_without_a_point(rows):
     points = rows("id int, pz double, py double, px double", [(1, 0.0, 6.0, 9.0), (2, 0.0, 290.5, 70.0)])
     got = {r["id"]: r["sample"] for r in jn.sample_volume(points, vox, ["id"]).collect()}
     assert got[1] == 15.0
+
+
+def test_differences_stop_at_gaps_and_cross_segments(rows):
+    from surfaudit.operators import windows as wn
+
+    line = rows("u int, v int, z double", [(u, 0, float(u * u)) for u in [0, 1, 3, *range(1020, 1030)]])
+    got = {r["u"]: r["dz"] for r in wn.central_diff(line, "z", "u", "v").collect()}
+    assert (got[0], got[1], got[3]) == (2.0, 2.0, None)
+    assert all(got[u] == 4.0 * u for u in range(1021, 1029))
+
+
+def test_window_sums_cross_segments(rows):
+    from surfaudit.operators import windows as wn
+
+    out = {(r["y"], r["x"]): r["total"] for r in wn.window_sums(rows(YX, [(0, 1023), (1, 1024), (2, 5)]), 3, 1030, 2).collect()}
+    assert len(out) == 2 * 1029 and out[(0, 1023)] == 2 and out[(1, 1024)] == 1 and out[(1, 4)] == 1 and sum(out.values()) == 2 + 4 + 2
