@@ -129,7 +129,26 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sims AS (
+    SELECT a.vec_id AS s, b.vec_id AS t, list_cosine_similarity(a.e, b.e) AS c FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id
+), p AS (
+    SELECT s, t FROM sims WHERE isfinite(c) AND c >= CAST(0.9 AS DOUBLE)
+), r AS (
+    SELECT vec_id AS id, vec_id AS lab FROM v UNION SELECT p.t, r.lab FROM r JOIN p ON p.s = r.id AND r.lab < p.t
+), c AS (
+    SELECT id, min(lab) AS component_id FROM r GROUP BY id
+), n AS (
+    SELECT s, count(*) AS n FROM p GROUP BY s
+)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.s = v.vec_id
+"""
+
 ORACLES = {
+    "op9_near_vectors": OP9_SQL,
     "op3_decontaminate": OP3_SQL,
     "op2_substring_dedup": OP2_SQL,
 }
