@@ -14,6 +14,7 @@ from surfaudit.session import checkpoint_dir
 
 NO_ID = -(1 << 63)  # stands for a null id inside an operator; it sorts before all others
 MEMO_WORDS = 1 << 20  # words a task remembers the hash of before it starts afresh
+BLOCK_BYTES = 16 << 20  # text of a block of documents that is handled together
 SLICE_BYTES = 1 << 22  # text handled at once inside a batch
 
 
@@ -28,6 +29,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_blocks(rows: DataFrame, ids: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, text) and ``ids`` (_id) with a ``block`` that sends equal ids together.
+
+    A block has about ``block_bytes`` of text.  Rows without an id are dealt by their text.
+    """
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    own = F.when(F.col("doc_id").isNotNull(), place("doc_id")).otherwise(place("text"))
+    target = F.col("_id").cast("bigint")
+    return rows.select("doc_id", "text", own.alias("block")), ids.select(target.alias("_id"), place(target).alias("block"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

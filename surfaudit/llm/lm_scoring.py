@@ -2,24 +2,20 @@
 
 Target and background model have the same order, the same smoothing and one closed vocabulary,
 the 256 bytes, so no token is unknown to either.  Counts cover all documents.  A model has a row
-per ORDER-gram met, and it stays distributed: documents are dealt into blocks, a block asks for
-the grams that occur in it, and the losses it needs meet it in its task.
+per ORDER-gram met, and it stays distributed: documents are dealt into blocks together with the
+ids of the target, a block counts its grams, and the losses it needs meet it in its task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surfaudit.llm.common import materialize, slices, text_bytes
+from surfaudit.llm.common import BLOCK_BYTES, in_blocks, materialize, slices
 
 ORDER = 4
 START = b"\xff" * (ORDER - 1)  # comes before every text; no UTF-8 text holds this byte
-BLOCK_BYTES = 16 << 20
-HELD_GRAMS = 1 << 22  # grams a task sums up before it hands them on
 
 
 def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -33,29 +29,28 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return grams[held[ORDER - 1 :] != 0xFF], size
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    unique, where = np.unique(all_keys, return_inverse=True)
-    return unique, np.bincount(where, weights=all_counts, minlength=len(unique)).astype(np.int64)
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all rows of column ``text``."""
+def _merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of two lists of (distinct gram, count)."""
+    unique, where = np.unique(np.concatenate((one[0], two[0])), return_inverse=True)
+    return unique, np.bincount(where, weights=np.concatenate((one[1], two[1])), minlength=len(unique)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["gram", "n"])
-        for batch in batches:
-            held = text_bytes(batch)
-            for part in slices([len(t or b"") for t in held]):
-                own, n = np.unique(_grams(held[part])[0], return_counts=True)
-                keys, counts = _merged([keys, own], [counts, n])
-                if len(keys) >= HELD_GRAMS:
-                    yield batch_of()
-                    keys, counts = keys[:0], counts[:0]
-        yield batch_of()
 
-    return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+def _counts(group: pa.Table, ids: pa.Table) -> pa.Table:
+    """(block, gram, b, t): grams of a block's texts, in all of them and in those with a target id."""
+    texts, doc_ids = group.column("text").cast(pa.binary()).to_pylist(), group.column("doc_id").to_pylist()
+    wanted = set(ids.column("_id").to_pylist())
+    none = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+    every, target = none, none
+    for part in slices([len(t or b"") for t in texts]):
+        grams, size = _grams(texts[part])
+        every = _merged(every, np.unique(grams, return_counts=True))
+        chosen = np.repeat([i is not None and i in wanted for i in doc_ids[part]], size)
+        target = _merged(target, np.unique(grams[chosen], return_counts=True))
+    keys, b = every
+    t = np.zeros(len(keys), dtype=np.int64)
+    t[np.searchsorted(keys, target[0])] = target[1]
+    block = np.full(len(keys), group.column("block")[0].as_py() if len(texts) else 0, dtype=np.int64)
+    return pa.Table.from_arrays([pa.array(block), pa.array(keys.astype(np.int64)), pa.array(b), pa.array(t)], ["block", "gram", "b", "t"])
 
 
 def _chance(count: str, seen: Column, kinds: Column, lower: Column) -> Column:
@@ -64,12 +59,11 @@ def _chance(count: str, seen: Column, kinds: Column, lower: Column) -> Column:
     return F.when(whole > 0, (F.col(count) + kinds * lower) / whole).otherwise(lower)
 
 
-def gram_losses(background: DataFrame, target: DataFrame) -> DataFrame:
-    """(gram, loss_background, loss_target): negative log probability of a gram's last byte after the others."""
-    both = background.select("gram", F.col("n").alias("b"), F.lit(0).cast("bigint").alias("t")).unionAll(
-        target.select("gram", F.lit(0).cast("bigint").alias("b"), F.col("n").alias("t"))
-    )
-    counts = materialize(both.groupBy("gram").agg(F.sum("b").alias("b"), F.sum("t").alias("t")))
+def gram_losses(counts: DataFrame) -> DataFrame:
+    """(gram, loss_background, loss_target): negative log probability of a gram's last byte after the others.
+
+    ``counts`` has the occurrences of each gram in the background, ``b``, and in the target, ``t``.
+    """
     lower = None
     for order in range(1, ORDER + 1):
         tail = F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1))
@@ -94,25 +88,15 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
 
     Losses are means per byte in nats; ``ce_diff`` is target minus background, so the smaller the
     closer to the target.  ``target_ids`` has the ids (column ``_id``) of the target's documents;
-    the background is all of ``docs``.  A null or empty text has no token and null losses.  Equal
-    rows get equal scores; a null id is in no target.
+    the background is all of ``docs``.  A null or empty text has no token and null losses.  Rows
+    that share an id lie in one block and are in the target together; a null id is in no target.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-    losses = gram_losses(
-        gram_counts(rows.select("text")), gram_counts(rows.join(target_ids, rows.doc_id == target_ids["_id"], "left_semi").select("text"))
-    )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)))
-
-    def asked(group: pa.Table) -> pa.Table:
-        texts = group.column("text").cast(pa.binary()).to_pylist()
-        keys = np.zeros(0, dtype=np.uint32)
-        for part in slices([len(t or b"") for t in texts]):
-            keys = np.union1d(keys, _grams(texts[part])[0])
-        block = pa.array(np.full(len(keys), group.column("block")[0].as_py(), dtype=np.int64))
-        return pa.Table.from_arrays([block, pa.array(keys.astype(np.int64))], ["block", "gram"])
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    dealt, targets = in_blocks(rows, target_ids, BLOCK_BYTES)
+    found = dealt.groupBy("block").cogroup(targets.groupBy("block")).applyInArrow(_counts, "block bigint, gram bigint, b bigint, t bigint")
+    met = materialize(found)
+    counts = materialize(met.groupBy("gram").agg(F.sum("b").alias("b"), F.sum("t").alias("t")))
+    losses = gram_losses(counts)
 
     def scored(group: pa.Table, model: pa.Table) -> pa.Table:
         key = model.column("gram").to_numpy()
@@ -134,9 +118,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
         means = [pa.array(np.concatenate(s) / np.maximum(n, 1) if sizes else np.zeros(0), mask=none) for s in sums]
         return pa.Table.from_arrays([group.column("doc_id"), pa.array(n), *means], ["doc_id", "n_tokens", "loss_target", "loss_background"])
 
-    wanted = dealt.groupBy("block").applyInArrow(asked, "block bigint, gram bigint")
-    models = wanted.join(losses, "gram").select("block", "gram", "loss_target", "loss_background")
-    found = dealt.groupBy("block").cogroup(models.groupBy("block")).applyInArrow(
+    models = met.select("block", "gram").join(losses, "gram").select("block", "gram", "loss_target", "loss_background")
+    out = dealt.groupBy("block").cogroup(models.groupBy("block")).applyInArrow(
         scored, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double"
     )
-    return found.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
+    return out.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
