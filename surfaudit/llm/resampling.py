@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from surfaudit.llm.common import WordHashes, materialize, mix
+from surfaudit.llm.common import BLOCK_BYTES, WordHashes, in_blocks, materialize, mix
 
 BUCKETS = 10_000
 SEED = 11
@@ -30,21 +30,27 @@ def _features(text: str | None, memo: WordHashes) -> np.ndarray:
     return (np.concatenate((mix(tokens), pairs)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences of every bucket in column ``text`` of all rows: BUCKETS numbers, whatever the input."""
+def _counts(group: pa.Table, ids: pa.Table) -> pa.Table:
+    """(bucket, raw, target): occurrences in a block's texts, in all of them and in those with a target id."""
+    memo, wanted = WordHashes(), set(ids.column("_id").to_pylist())
+    raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for text, doc in zip(group.column("text").to_pylist(), group.column("doc_id").to_pylist()):
+        own = np.bincount(_features(text, memo), minlength=BUCKETS)
+        raw += own
+        if doc is not None and doc in wanted:
+            target += own
+    some = np.flatnonzero(raw)
+    return pa.Table.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = WordHashes(), np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total += np.bincount(_features(text, memo), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return out
+def bucket_counts(rows: DataFrame, target_ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of every bucket in the target and in all texts: BUCKETS numbers each, whatever the input."""
+    dealt, targets = in_blocks(rows, target_ids, BLOCK_BYTES)
+    found = dealt.groupBy("block").cogroup(targets.groupBy("block")).applyInArrow(_counts, "bucket bigint, raw bigint, target bigint")
+    target, raw = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for r in found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+        target[r["bucket"]], raw[r["bucket"]] = r["target"], r["raw"]
+    return target, raw
 
 
 def clean_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -57,9 +63,7 @@ def log_weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
     """(doc_id, mark, log_weight) per row; null where a text has no n-gram.  ``mark`` is a hash of the text."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    raw = bucket_counts(rows.select("text"))
-    target = bucket_counts(rows.join(target_ids, rows.doc_id == target_ids["_id"], "left_semi").select("text"))
-    smooth = [np.log((c + 1) / (c.sum() + BUCKETS)) for c in (target, raw)]
+    smooth = [np.log((c + 1) / (c.sum() + BUCKETS)) for c in bucket_counts(rows, target_ids)]
     ratio = smooth[0] - smooth[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
