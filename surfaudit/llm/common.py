@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from surfaudit.session import checkpoint_dir
 
 NO_ID = -(1 << 63)  # stands for a null id inside an operator; it sorts before all others
-MEMO_WORDS = 1 << 20  # words a task remembers the hash of before it starts afresh
+MEMO_WORDS = 1 << 18  # words a task remembers the hash of before it starts afresh
 BLOCK_BYTES = 16 << 20  # text of a block of documents that is handled together
+ROWS_AT_ONCE = 256  # texts of a batch that are held outside it
 SLICE_BYTES = 1 << 22  # text handled at once inside a batch
 
 
@@ -47,9 +48,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    """UTF-8 of a text column, without decoding it."""
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def text_bytes(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
+    """UTF-8 of a text column, without decoding it and a few rows at a time."""
+    column = batch.column(name)
+    for i in range(0, len(column), ROWS_AT_ONCE):
+        yield from column.slice(i, ROWS_AT_ONCE).cast(pa.binary()).to_pylist()
 
 
 def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[slice]:
