@@ -123,17 +123,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(by_print, "fp").select("doc_id", "mark", "fp", "component_id", "node")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
     """One row of each component, with all columns: the one with the smallest doc_id.
 
-    A row without doc_id stays only if its component has none with one.  Rows that share the
-    doc_id are told apart by their texts, and of equal rows one stays.
+    ``components`` has (doc_id, mark, node) for each row of ``docs``.  A row without doc_id stays
+    only if its component has none with one.  Rows that share the doc_id are told apart by their
+    texts, and of equal rows one stays.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    keep = simhash_components(docs).groupBy("node").agg(F.min(order).alias("k"))
+    keep = components.groupBy("node").agg(F.min(order).alias("k"))
     keep = keep.select(F.coalesce("k.doc_id", F.lit(NO_ID)).alias("_id"), F.col("k.mark").alias("_mark")).distinct()
     marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_mark": F.xxhash64("text")})
     # The join leaves rows dealt and sorted by these keys, so the window adds no shuffle.
     same = W.partitionBy("_id", "_mark").orderBy("_id", "_mark")
     kept = marked.join(keep, ["_id", "_mark"], "left_semi").withColumn("_row", F.row_number().over(same))
     return kept.where("_row = 1").select(*docs.columns)
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component of close fingerprints."""
+    return keep_first(docs, simhash_components(docs))
