@@ -2,8 +2,8 @@
 
 Events become lines (one per block of text) with their text-to-tag ratio; ratios are smoothed
 with a Gaussian and lines above the threshold are content (the CETR method of Weninger, Hsu and
-Han, 2010).  The content region is the element that holds the bulk of those lines, so its short
-lines come along; parts of the page that are named or marked up as menus, adverts, comments and
+Han, 2010).  The content region is the element that holds the bulk of those lines, or all articles,
+so its short lines come along, as do headings before it and content lines beside it; parts of the page that are named or marked up as menus, adverts, comments and
 the like are cut out of it.
 """
 
@@ -28,6 +28,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(  # elements whose text is never part of an article
     "aside audio button canvas datalist dialog footer form head iframe input label math menu nav noscript object optgroup option "
@@ -163,14 +164,13 @@ def main_text(html: str | None) -> str:
     for i in range(1, n):
         banned[i] = banned[parent[i]] or (events.banned[i] and not (holds[i] and not events.core[i]))
 
-    lines, links = [], [0] * n
+    lines, own, links = [], [], [0] * n  # own: link text of a line
     for element, tags, pieces in events.lines:
         text = " ".join("".join(t for e, t in pieces if not banned[e]).split())
         if text and not banned[element]:
             lines.append((element, tags, text))
-            for e, t in pieces:
-                if not banned[e] and _inside(e, element, tag, parent):
-                    links[element] += len("".join(t.split()))
+            own.append(sum(len("".join(t.split())) for e, t in pieces if not banned[e] and _inside(e, element, tag, parent)))
+            links[element] += own[-1]
     if not lines:
         return ""
     ratios = _smoothed([len(text) / max(1, tags) for _, tags, text in lines])
@@ -190,18 +190,27 @@ def main_text(html: str | None) -> str:
         links[up] += links[i]
         if largest[up] < 0 or bulk[i] >= bulk[largest[up]]:
             largest[up] = i
-    region = _region(events, banned, bulk, largest)
+    raw = [len(text) / max(1, tags) for _, tags, text in lines]
+    solid = [hot[i] and raw[i] >= threshold and own[i] < LINK_SHARE * len("".join(lines[i][2].split())) for i in range(len(lines))]
+    regions, scope = _regions(events, banned, bulk, largest, [e for (e, _, _), s in zip(lines, solid) if s])
 
-    menu, within = [False] * n, [False] * n
+    menu, within, near = [False] * n, [False] * n, [False] * n
     for i in range(n):
         up = parent[i]
-        within[i] = i == region or (up >= 0 and within[up])
+        within[i] = i in regions or (up >= 0 and within[up])
+        near[i] = i == scope or (up >= 0 and near[up])
         listed = tag[i] in ("ul", "ol", "dl") and chars[i] > 0 and links[i] >= LINK_SHARE * chars[i]
         menu[i] = listed or (up >= 0 and menu[up])
-    kept = [i for i, (element, _, _) in enumerate(lines) if within[element] and not menu[element]]
-    if tag[region] in ("html", "body"):  # no element of its own: from the first content line to the last
+    kept = [i for i, (element, _, _) in enumerate(lines) if not menu[element] and (within[element] or (near[element] and solid[i]))]
+    if all(tag[r] in ("html", "body") for r in regions):  # no element of its own: from the first content line to the last
         strong = [i for i in kept if hot[i]]
         kept = [i for i in kept if strong and strong[0] <= i <= strong[-1]]
+    elif kept and not any(tag[lines[i][0]] == "h1" for i in kept):  # its title stands outside
+        before = [i for i in range(kept[0]) if tag[lines[i][0]] in HEADINGS and not menu[lines[i][0]]]
+        title = [i for i in before if tag[lines[i][0]] == "h1"][-1:]
+        while before and before[-1] == kept[0] - 1:
+            kept.insert(0, before.pop())
+        kept = sorted({*kept, *title})
     return "\n".join(lines[i][2] for i in kept)
 
 
@@ -214,20 +223,35 @@ def _inside(element: int, line: int, tag: list[str], parent: list[int]) -> bool:
     return tag[element] == "a"
 
 
-def _region(events: _Events, banned: list[bool], bulk: list[int], largest: list[int]) -> int:
-    """The article or main element with most content if it has enough of it, else the smallest element with the bulk."""
-    total = bulk[0]
+def _regions(events: _Events, banned: list[bool], bulk: list[int], largest: list[int], solid: list[int]) -> tuple[set[int], int]:
+    """The elements taken whole, and the one around them whose other content lines (their elements: ``solid``) come along.
+
+    All articles if they have enough of the content, or the main element; else the smallest
+    element with the bulk, gone into only while no content line stays outside.
+    """
+    total, parent = bulk[0], events.parent
+
+    def inside(element: int, outer: int) -> bool:
+        while element > outer:
+            element = parent[element]
+        return element == outer
+
     for names in (("article",), ("main",)):
         own = [i for i, core in enumerate(events.core) if core and not banned[i] and (events.tag[i] in names or names == ("main",))]
-        best = max(own, key=lambda i: (bulk[i], -i), default=None)
-        if best is not None and bulk[best] >= TRUSTED * total:
-            return best
+        own = [i for i in own if bulk[i] > 0]
+        top = [i for i in own if not any(k < i and inside(i, k) for k in own)]
+        if top and sum(bulk[i] for i in top) >= TRUSTED * total:
+            around = [i for i, core in enumerate(events.core) if core and not banned[i] and all(i < k and inside(k, i) for k in top)]
+            return set(top), max(around, default=-1)
     at = 0
     while largest[at] >= 0 and events.tag[largest[at]] in BLOCKS and bulk[largest[at]] >= BULK * total and bulk[largest[at]] > 0:
-        if events.tag[largest[at]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
+        into = largest[at]
+        if events.tag[into] in (*HEADINGS, "p", "li", "td", "blockquote", "pre"):
             break
-        at = largest[at]
-    return at
+        if any(inside(e, at) and not inside(e, into) for e in solid):
+            return {into}, at
+        at = into
+    return {at}, -1
 
 
 def extract_text(html: Column | str) -> Column:
