@@ -31,7 +31,7 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(  # elements whose text is never part of an article
-    "aside audio button canvas datalist dialog footer form head iframe input label math menu nav noscript object optgroup option "
+    "annotation annotation-xml aside audio button canvas datalist dialog footer form head iframe input label menu nav noscript object optgroup option "
     "script select style svg template textarea title video".split()
 )
 NAMED = frozenset(  # words of a class or id that say the same
@@ -42,6 +42,7 @@ NAMED = frozenset(  # words of a class or id that say the same
     "disqus discussion reactions feedback form".split()
 )
 NAMED_STEMS = ("cookie", "advert", "sponsor", "newsletter", "breadcrumb", "sidebar", "subscri", "navbar", "commentlist", "commentform", "commentbox")
+THREADS = frozenset("comment comments commentlist commentbox respond reply replies disqus".split())  # as dense as articles
 REMARKS = frozenset("comment comments commentlist commentbox respond reply replies disqus discussion reactions feedback".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 # An element in the first column ends the nearest open one of the second, unless one of the third is in between.
@@ -65,6 +66,7 @@ class _Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.banned, self.core, self.inside = ["html"], [-1], [False], [False], [False]
+        self.doubtful = [False]  # cut out for a name alone
         self.open, self.open_tags = [0], Counter()
         self.lines: list[tuple[int, int, list[tuple[int, str]]]] = []  # (element, tags, pieces)
         self.pieces: list[tuple[int, str]] = []
@@ -99,7 +101,8 @@ class _Events(HTMLParser):
             self.pieces.append((self.open[-1], " "))
         if tag in VOID:
             return
-        banned, core = self._judge(tag, attrs)
+        banned, core, doubtful = self._judge(tag, attrs)
+        self.doubtful.append(doubtful)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
         self.banned.append(banned)
@@ -119,20 +122,23 @@ class _Events(HTMLParser):
     def handle_data(self, data):
         self.pieces.append((self.open[-1], data))
 
-    def _judge(self, tag, attrs) -> tuple[bool, bool]:
-        """(cut out, is the article's own element)."""
+    def _judge(self, tag, attrs) -> tuple[bool, bool, bool]:
+        """(cut out, is the article's own element, cut out for a name that a part of an article may bear)."""
         given = {k: v or "" for k, v in attrs}
         words = {w.lower() for w in _WORD.findall(f"{given.get('class', '')} {given.get('id', '')}")}
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
         role = given.get("role", "").lower()
         if tag in ("html", "body"):
-            return False, False
+            return False, False, False
         if tag in ("article", "main") or role in ("main", "article"):
-            return hidden or bool(words & REMARKS), not words & (REMARKS | {"related", "teaser", "ad", "promo"})
+            return hidden or bool(words & REMARKS), not words & (REMARKS | {"related", "teaser", "ad", "promo"}), False
         if tag == "header" or "header" in words:
-            return not self.inside[self.open[-1]], False
+            return not self.inside[self.open[-1]], False, False
+        if tag in HEADINGS or tag == "p":  # ids of these are made from their text
+            words = {w.lower() for w in _WORD.findall(given.get("class", ""))}
         named = bool(words & NAMED) or any(w.startswith(NAMED_STEMS) for w in words)
-        return hidden or tag in SILENT or role in ROLES or named, False
+        other = hidden or tag in SILENT or role in ROLES or bool(words & THREADS)
+        return other or named, False, named and not other
 
 
 def _smoothed(ratios: list[float]) -> list[float]:
@@ -160,10 +166,63 @@ def main_text(html: str | None) -> str:
         while events.core[i] and at >= 0 and not holds[at]:
             holds[at] = True
             at = parent[at]
-    banned = [False] * n
-    for i in range(1, n):
-        banned[i] = banned[parent[i]] or (events.banned[i] and not (holds[i] and not events.core[i]))
+    cut = [events.banned[i] and not (holds[i] and not events.core[i]) for i in range(n)]
+    text, regions = _select(events, cut)
+    within = [False] * n
+    for i in range(n):
+        up = parent[i]
+        within[i] = i > 0 and (within[up] or events.inside[up] or (up in regions and tag[up] not in ("html", "body")))
+    doubtful = [i for i in range(n) if events.doubtful[i] and cut[i] and within[i]]
+    if doubtful:
+        for i in doubtful:
+            cut[i] = False
+        if not _clear(events, cut, doubtful):
+            return text
+        text, _ = _select(events, cut)
+    return text
+
+
+def _below(cut: list[bool], parent: list[int]) -> list[bool]:
+    out = [False] * len(cut)
+    for i in range(1, len(cut)):
+        out[i] = out[parent[i]] or cut[i]
+    return out
+
+
+def _clear(events: _Events, cut: list[bool], doubtful: list[int]) -> bool:
+    """Cuts those of ``doubtful`` without a line as dense as content, or with links for text; True if one stays."""
+    tag, parent, n = events.tag, events.parent, len(events.tag)
+    banned = _below(cut, parent)
+    densest, chars, links, ratios = [0.0] * n, [0] * n, [0] * n, []
+    for element, tags, pieces in events.lines:
+        size = len(" ".join("".join(t for e, t in pieces if not banned[e]).split()))
+        if size and not banned[element]:
+            ratios.append(size / max(1, tags))
+            for e, t in pieces:
+                if not banned[e]:
+                    densest[e] = max(densest[e], ratios[-1] if e == element else len(t) / 2)  # inline: its own text and two tags
+                    chars[e] += len("".join(t.split()))
+                    links[e] += len("".join(t.split())) if _inside(e, element, tag, parent) else 0
+    for i in range(n - 1, 0, -1):
+        up = parent[i]
+        densest[up] = max(densest[up], densest[i])
+        chars[up] += chars[i]
+        links[up] += links[i]
+    threshold = _threshold(_smoothed(ratios)) if ratios else 0.0
+    for i in doubtful:
+        cut[i] = densest[i] < threshold or links[i] >= LINK_SHARE * chars[i]
+    return not all(cut[i] for i in doubtful)
+
+
+def _threshold(ratios: list[float]) -> float:
+    mean = sum(ratios) / len(ratios)
+    return min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
 
+
+def _select(events: _Events, cut: list[bool]) -> tuple[str, set[int]]:
+    """The text that is left without the elements of ``cut``, and the elements it was taken from."""
+    tag, parent, n = events.tag, events.parent, len(events.tag)
+    banned = _below(cut, parent)
     lines, own, links = [], [], [0] * n  # own: link text of a line
     for element, tags, pieces in events.lines:
         text = " ".join("".join(t for e, t in pieces if not banned[e]).split())
@@ -172,10 +231,9 @@ def main_text(html: str | None) -> str:
             own.append(sum(len("".join(t.split())) for e, t in pieces if not banned[e] and _inside(e, element, tag, parent)))
             links[element] += own[-1]
     if not lines:
-        return ""
+        return "", set()
     ratios = _smoothed([len(text) / max(1, tags) for _, tags, text in lines])
-    mean = sum(ratios) / len(ratios)
-    threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
+    threshold = _threshold(ratios)
     hot = [r >= threshold for r in ratios]
 
     chars, bulk = [0] * n, [0] * n  # all text and content text below an element
@@ -211,7 +269,7 @@ def main_text(html: str | None) -> str:
         while before and before[-1] == kept[0] - 1:
             kept.insert(0, before.pop())
         kept = sorted({*kept, *title})
-    return "\n".join(lines[i][2] for i in kept)
+    return "\n".join(lines[i][2] for i in kept), regions
 
 
 def _inside(element: int, line: int, tag: list[str], parent: list[int]) -> bool:

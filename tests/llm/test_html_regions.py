@@ -3,7 +3,7 @@
 import pytest
 
 from surfaudit.llm.html_text import main_text
-from tests.llm.test_operators import CLEAN, PARA
+from tests.llm.test_operators import CLEAN, LONG, PARA
 
 
 @pytest.mark.parametrize(
@@ -19,3 +19,19 @@ from tests.llm.test_operators import CLEAN, PARA
 )
 def test_regions(html, text):
     assert main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article><h1>T</h1>{PARA}<section id='discussion'><h2>D</h2>{PARA}</section></article>", f"T\n{CLEAN}\nD\n{CLEAN}"),
+        (f"<article><h1 id=search>T</h1>{PARA}<h2 id='related-work'>R</h2>{PARA}<h2 id='search-methods'>S</h2>{PARA}</article>", f"T\n{CLEAN}\nR\n{CLEAN}\nS\n{CLEAN}"),
+        (f"<div class=story>{PARA}<p class='notice'>{CLEAN}</p><section id='social-impact'>{PARA}</section>{PARA * 2}</div>", "\n".join([CLEAN] * 5)),
+        (f"<article>{PARA}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p></article>", f"{CLEAN}\nLet x=1 be"),
+        (f"<article>{PARA}<div class=related><a href=1>{CLEAN}</a></div><div class='ad'>Buy</div>{PARA}</article>", f"{CLEAN}\n{CLEAN}"),
+        (f"<article>{PARA}<p>{LONG}<span class=share>Share</span></p></article>", f"{CLEAN}\n{CLEAN}"),
+        (f"<article>{PARA}<section id=comments>{PARA}</section></article>", CLEAN),
+    ],
+)
+def test_names_inside_the_article(html, text):
+    assert main_text(html) == text
