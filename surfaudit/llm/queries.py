@@ -14,6 +14,7 @@ from surfaudit.llm.resampling import clean_ids, resample, target_share
 from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.substring import dedup_substrings
+from surfaudit.llm.turn_trie import conversation_trie
 from surfaudit.llm.vectors import near_vectors
 
 
@@ -69,6 +70,11 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations; see ``conversation_trie``."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -80,8 +86,46 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
+# CRC-32 of a string of ASCII characters {0}, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda q: CAST(ascii(q) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)"""
+
+OP12_SQL = """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS b, {crc} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t) AS d
+), turns AS (
+    SELECT c.conv_id, 0 AS part, i, r, x FROM c JOIN t ON t.conv_id = c.b AND t.i <= c.h
+    UNION ALL SELECT c.conv_id, 1 AS part, i, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h
+), p AS (
+    SELECT c.conv_id, coalesce(list({{'r': r, 'x': x}} ORDER BY part, i) FILTER (WHERE r IS NOT NULL), []) AS k
+    FROM c LEFT JOIN turns ON turns.conv_id = c.conv_id GROUP BY c.conv_id
+), m AS (
+    SELECT conv_id, k[1:d] AS k, d, len(k) = d AS ends FROM (SELECT conv_id, k, unnest(generate_series(0, len(k))) AS d FROM p) AS e
+), n AS (
+    SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM m GROUP BY k, d
+), kids AS (
+    SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY k[1:d - 1]
+), own AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(n.k[d].x) END AS saved
+    FROM n LEFT JOIN kids ON kids.k = n.k
+), sums AS (
+    SELECT k, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT k[1:e] AS k, leaf, saved FROM (SELECT k, n_children = 0 AS leaf, saved, unnest(generate_series(0, d)) AS e FROM own) AS o) AS a GROUP BY k
+)
+SELECT own.conv_id, CAST(own.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, own.n_convs, CAST(own.n_children AS BIGINT) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN sums ON sums.k = own.k LEFT JOIN n AS up ON own.d > 0 AND up.d = own.d - 1 AND up.k = own.k[1:own.d - 1]
+""".format(crc=CRC32_SQL.format("s"))
+
 OP2_SQL = r"""
 WITH w AS (
     SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
@@ -148,6 +192,7 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.s = v.vec_id
 """
 
 ORACLES = {
+    "op12_conversation_trie": OP12_SQL,
     "op9_near_vectors": OP9_SQL,
     "op3_decontaminate": OP3_SQL,
     "op2_substring_dedup": OP2_SQL,
