@@ -13,6 +13,7 @@ from surfaudit.llm.lm_scoring import score_documents
 from surfaudit.llm.resampling import clean_ids, resample, target_share
 from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
+from surfaudit.llm.spelling import spelling_variants
 from surfaudit.llm.substring import dedup_substrings
 from surfaudit.llm.turn_trie import conversation_trie
 from surfaudit.llm.vectors import near_vectors
@@ -75,6 +76,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its form and root; see ``spelling_variants``."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -87,10 +93,12 @@ QUERIES = {
     "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-# CRC-32 of a string of ASCII characters {0}, bit by bit.
-CRC32_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda q: CAST(ascii(q) AS BIGINT))),
+# CRC-32 of the UTF-8 of a string {0} of code points below 2048, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({0}, ''), lambda q: CASE
+    WHEN unicode(q) < 128 THEN [CAST(unicode(q) AS BIGINT)] ELSE [192 + (CAST(unicode(q) AS BIGINT) >> 6), 128 + (CAST(unicode(q) AS BIGINT) & 63)] END))),
     lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)"""
 
 OP12_SQL = """
@@ -191,7 +199,40 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_
 FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.s = v.vec_id
 """
 
+OP13_SQL = """
+WITH RECURSIVE d AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), r AS (
+    SELECT doc, w, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(t, '[A-Za-zÀ-ÿ]+')) AS w FROM d) AS e WHERE length(w) >= 7 GROUP BY doc, w
+), h AS (
+    SELECT w, n, {crc} AS h FROM (SELECT w, n, doc || ':' || w AS s FROM r) AS k
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h
+    ) AS s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), hole AS (
+    SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words) AS u
+), pairs AS (
+    SELECT x.word AS u, y.word AS v, y.n AS vn FROM hole AS x JOIN hole AS y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM words AS x JOIN hole AS y ON x.word = y.a || y.b
+    UNION SELECT y.word, x.word, x.n FROM words AS x JOIN hole AS y ON x.word = y.a || y.b
+), best AS (
+    SELECT u, count(*) AS n_near, max(vn) AS most FROM pairs GROUP BY u
+), named AS (
+    SELECT best.u, n_near, most, min(v) AS v FROM best JOIN pairs ON pairs.u = best.u AND vn = most GROUP BY best.u, n_near, most
+), f AS (
+    SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * words.n THEN v END AS form, CASE WHEN most >= 10 * words.n THEN most END AS form_n
+    FROM words LEFT JOIN named ON named.u = words.word
+), walk AS (
+    SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f AS last ON last.word = walk.at AND last.form IS NULL
+""".format(crc=CRC32_SQL.format("s"))
+
 ORACLES = {
+    "op13_spelling_variants": OP13_SQL,
     "op12_conversation_trie": OP12_SQL,
     "op9_near_vectors": OP9_SQL,
     "op3_decontaminate": OP3_SQL,
