@@ -67,6 +67,65 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
+HASHED_BYTES = 1 << 20  # whose word hashes are computed at once
+LONG_WORD = 1 << 8  # longer words are hashed one by one
+
+
+class Words:
+    """Words of several texts: runs of anything but ASCII white space, found in one buffer.
+
+    ``start`` and ``end`` are byte places, ``text`` is the number of the text a word lies in and
+    ``first`` the number of the first word of each text (and of all words at its end).
+    """
+
+    def __init__(self, texts: list[bytes | None], apart: np.ndarray | None = None):
+        """``apart``: True for the bytes between words, a line feed among them; white space if not given."""
+        size = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+        # The white space after each text ends its last word.
+        self.bytes = np.frombuffer(b"".join(x for t in texts for x in (t or b"", b"\n")), dtype=np.uint8)
+        solid = ~(WHITE if apart is None else apart)[self.bytes]
+        turn = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        if len(solid) and solid[0]:
+            turn = np.concatenate(([0], turn))
+        self.start, self.end = turn[::2], turn[1::2]
+        begin = np.cumsum(size + 1) - size - 1
+        self.first = np.append(np.searchsorted(self.start, begin), len(self.start))
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self._solid = solid
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, place): all words with one space after each, and where each word starts there."""
+        keep = self._solid.copy()
+        keep[self.end] = True
+        out = np.where(self._solid, self.bytes, np.uint8(0x20))[keep]
+        size = self.end - self.start + 1
+        return out, np.cumsum(size) - size
+
+    def hashes(self) -> np.ndarray:
+        """One 64-bit hash per word, from the word alone."""
+        out = np.zeros(len(self), dtype=np.uint64)
+        i = 0
+        while i < len(self):
+            base = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, base + HASHED_BYTES, side="right")))
+            if self.end[j - 1] - base <= HASHED_BYTES:
+                power, inverse = powers(HASHED_BYTES + 1)
+                part = self.bytes[base : self.end[j - 1]]
+                sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(_BYTE[part] * power[: len(part)], dtype=np.uint64, out=sums[1:])
+                a, b = self.start[i:j] - base, self.end[i:j] - base
+                out[i:j] = mix((sums[b] - sums[a]) * inverse[a])
+            i = j
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD):
+            out[k] = xxhash.xxh64_intdigest(self.bytes[self.start[k] : self.end[k]])
+        return out
+
+
 class WordHashes(dict):
     """word -> XXH64, remembered up to a bound."""
 
@@ -89,21 +148,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_powers = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if n > len(_powers[0]):
+        size = max(2 * len(_powers[0]), n)
+        for i, base in enumerate((SpanHashes.BASE, pow(SpanHashes.BASE, -1, 1 << 64))):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
 class SpanHashes:
     """Hash of any span of a sequence of word hashes, from prefix sums modulo 2^64."""
 
     BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-    power = np.ones(1, dtype=np.uint64)
-    inverse = np.ones(1, dtype=np.uint64)
 
     def __init__(self, tokens: np.ndarray):
         n = len(tokens)
-        if n >= len(SpanHashes.power):
-            size = max(2 * len(SpanHashes.power), n + 1)
-            for name, base in (("power", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(SpanHashes, name, np.cumprod(steps, dtype=np.uint64))
+        self.power, self.inverse = powers(n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(tokens * self.power[:n], dtype=np.uint64, out=self.sums[1:])
 

@@ -15,6 +15,7 @@ from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.spelling import spelling_variants
 from surfaudit.llm.substring import dedup_substrings
+from surfaudit.llm.toxicity import score_toxicity
 from surfaudit.llm.turn_trie import conversation_trie
 from surfaudit.llm.vectors import near_vectors
 
@@ -71,6 +72,11 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every whole text; see ``score_toxicity``."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all conversations; see ``conversation_trie``."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
