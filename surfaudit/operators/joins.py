@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import box_distance, box_volume, floor_div, lit
-from surfaudit.session import cut_lineage
+from surfaudit.session import cut_lineage, scratch
 
 CHUNK = 64  # side of the chunks by which sparse looks are pruned
-BROADCAST_CHUNKS = 100_000  # chunk keys (a few MB) up to which a look counts as sparse
 
 
 def align(a: DataFrame, b: DataFrame, keys=("y", "x")) -> DataFrame:
@@ -110,16 +110,16 @@ def _clamp(c: Column, n: int) -> Column:
 def chunks_wanted(cells: DataFrame, wanted: DataFrame, axes: Sequence[str], size: int = CHUNK) -> DataFrame:
     """Those ``cells`` that lie in a chunk with a wanted cell, for a sparse look into a large array.
 
-    Chunk keys are few next to cells: up to BROADCAST_CHUNKS of them are broadcast and the array is
-    cut down while it is scanned, before any shuffle.  With more keys the look is not sparse, and
-    all cells are handed on to the join that follows.
+    Chunk keys are few next to cells.  They are written first, so that Spark knows their size: it
+    broadcasts them where they are small and cuts the array down while it is scanned, and joins by
+    chunk where they are not.  An array in a ``ChunkStore`` is read by chunk from the start.
     """
     at = lambda: [floor_div(F.col(a), size).alias(f"_k{a}") for a in axes]
-    keys = cut_lineage(wanted.select(*at()).distinct())
-    if keys.count() > BROADCAST_CHUNKS:
-        return cells
+    folder = scratch(cells.sparkSession, "chunk-keys")
+    wanted.select(*at()).distinct().write.parquet(folder)
     names = [f"_k{a}" for a in axes]
-    return cells.select("*", *at()).join(F.broadcast(keys), names, "left_semi").drop(*names)
+    keys = cells.sparkSession.read.parquet(folder)
+    return cells.select("*", *at()).join(keys, names, "left_semi").drop(*names)
 
 
 def sample_support(
@@ -181,13 +181,23 @@ def sample_bilinear(points: DataFrame, image: DataFrame, shape: tuple[int, int],
     return placed.join(table, ["v", "u"], "left").select(*points.columns, blended.alias("sample"))
 
 
-def sample_volume(points: DataFrame, vox: DataFrame, key: Sequence[str], how: str = "trilinear") -> DataFrame:
+class VoxelReader(Protocol):
+    """A user's way to a volume: values at points, absent voxels zero; ``ChunkStore`` is one."""
+
+    def sample(self, points: DataFrame, key: Sequence[str], how: str) -> DataFrame: ...
+
+
+def sample_volume(points: DataFrame, vox: DataFrame | VoxelReader, key: Sequence[str], how: str = "trilinear") -> DataFrame:
     """(key, sample): value of a sparse volume at fractional (pz, py, px); absent voxels are zero.
 
+    ``vox`` is a table (z, y, x, v) or a reader.
+
     ``key`` identifies a point.  Samples follow a surface and are few next to the volume, so each one is spread over its
     corners and the volume is read once, without a copy of it; chunks without a corner are left out while it is scanned.
     """
     axes = ("z", "y", "x")
+    if not isinstance(vox, DataFrame):
+        return vox.sample(points, key, "nearest" if how == "nearest" else "linear")
     if how == "nearest":
         at = points.select(*key, *[F.rint(f"p{a}").cast("int").alias(a) for a in axes])
         return at.join(chunks_wanted(vox.select(*axes, "v"), at, axes), list(axes), "left").select(

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from surfaudit.functions.scalar import lit
-from surfaudit.operators.joins import sample_volume
+from surfaudit.operators.joins import VoxelReader, sample_volume
 from surfaudit.operators.windows import smooth_first_min
 
 
-def probe_samples(points: DataFrame, vox: DataFrame, steps) -> DataFrame:
-    """(point_id, step, side, sample): nearest voxel at 0 and at +/- every step along the normal."""
+def probe_samples(points: DataFrame, vox: DataFrame | VoxelReader, steps) -> DataFrame:
+    """(point_id, step, side, sample): nearest voxel at 0 and at +/- every step along the normal.
+
+    ``vox`` is a voxel table or a reader, for instance a ``ChunkStore``.
+    """
     places = [(0.0, 1)] + [(float(s), side) for s in steps for side in (1, -1)]
     offsets = F.array(*[F.struct(lit(s).alias("step"), F.lit(side).alias("side")) for s, side in places])
     spread = points.select("*", F.explode(offsets).alias("o")).select(
@@ -19,7 +22,7 @@ def probe_samples(points: DataFrame, vox: DataFrame, steps) -> DataFrame:
     return sample_volume(spread, vox, ["point_id", "step", "side"], "nearest").select("point_id", "step", "side", "sample")
 
 
-def seating_score(points: DataFrame, vox: DataFrame, steps, bright: float = 40, min_coverage: float = 0.25) -> DataFrame:
+def seating_score(points: DataFrame, vox: DataFrame | VoxelReader, steps, bright: float = 40, min_coverage: float = 0.25) -> DataFrame:
     """Gap to the neighbouring sheet, coverage, contrast and score of a surface in a volume.
 
     The profile of mean brightness over steps is smoothed and its first local minimum is the

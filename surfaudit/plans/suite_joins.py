@@ -6,6 +6,8 @@ from surfaudit.functions.scalar import vertex_valid
 from surfaudit.operators import joins as jn, metrics as m, regions as rg
 from surfaudit.plans import bindings as b
 from surfaudit.plans.registry import register
+from surfaudit.session import scratch
+from surfaudit.sources.chunks import ChunkStore, assemble_pixels
 
 
 @register("c01_align", "y:i x:i a:d b:d", f"WITH {b.CELLS}, {b.TWO_VIEWS} SELECT y, x, a, b FROM two")
@@ -117,23 +119,38 @@ def c07(spark, sf):
         "y", "x", F.col("center").alias("center_ok"), F.col("any").alias("any_ok"), F.col("all").alias("all_ok"))
 
 
-@register("c08_sample_bilinear", "o_orderkey:i sample:d5",
-          f"""WITH {b.TRUTH}, sh AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM truth),
+C08 = f"""WITH {b.TRUTH}, sh AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM truth),
 p AS (SELECT o_orderkey, o_custkey % 131 - cast(0.5 AS DOUBLE) + (o_orderkey % 4) / cast(4 AS DOUBLE) AS fy,
       o_custkey % 127 - cast(0.5 AS DOUBLE) + (o_orderkey % 3) / cast(4 AS DOUBLE) AS fx FROM orders),
 k AS (SELECT *, fy - floor(fy) AS wy, fx - floor(fx) AS wx, greatest(0, least(h - 1, floor(fy))) AS v0, greatest(0, least(w - 1, floor(fx))) AS u0,
       CASE WHEN fy < 0 THEN 0 ELSE least(h - 1, greatest(0, least(h - 1, floor(fy))) + 1) END AS v1,
       CASE WHEN fx < 0 THEN 0 ELSE least(w - 1, greatest(0, least(w - 1, floor(fx))) + 1) END AS u1 FROM p, sh)
 SELECT o_orderkey, a.area_um2 * (1 - wy) * (1 - wx) + b.area_um2 * (1 - wy) * wx + c.area_um2 * wy * (1 - wx) + d.area_um2 * wy * wx AS sample
-FROM k JOIN truth a ON a.y = v0 AND a.x = u0 JOIN truth b ON b.y = v0 AND b.x = u1 JOIN truth c ON c.y = v1 AND c.x = u0 JOIN truth d ON d.y = v1 AND d.x = u1""")
+FROM k JOIN truth a ON a.y = v0 AND a.x = u0 JOIN truth b ON b.y = v0 AND b.x = u1 JOIN truth c ON c.y = v1 AND c.x = u0 JOIN truth d ON d.y = v1 AND d.x = u1"""
+
+@register("c08_sample_bilinear", "o_orderkey:i sample:d5",
+          C08)
 def c08(spark, sf):
     shape = b.truth(spark, sf).agg(F.max("y") + 1, F.max("x") + 1).first()
+    points = bilinear_points(spark, sf).withColumnsRenamed({"py": "fy", "px": "fx"})
+    return jn.sample_bilinear(points, b.truth(spark, sf), (shape[0], shape[1]), "area_um2")
+
+
+def bilinear_points(spark, sf):
     half = F.lit(0.5)
-    points = b.table(spark, sf, "orders").select(
+    return b.table(spark, sf, "orders").select(
         "o_orderkey",
-        (F.col("o_custkey") % 131 - half + (F.col("o_orderkey") % 4) / F.lit(4.0)).alias("fy"),
-        (F.col("o_custkey") % 127 - half + (F.col("o_orderkey") % 3) / F.lit(4.0)).alias("fx"))
-    return jn.sample_bilinear(points, b.truth(spark, sf), (shape[0], shape[1]), "area_um2")
+        (F.col("o_custkey") % 131 - half + (F.col("o_orderkey") % 4) / F.lit(4.0)).alias("py"),
+        (F.col("o_custkey") % 127 - half + (F.col("o_orderkey") % 3) / F.lit(4.0)).alias("px"))
+
+
+@register("c08_sample_stored", "o_orderkey:i sample:d5",
+          C08)
+def c08_stored(spark, sf):
+    image = b.truth(spark, sf)
+    shape = image.agg(F.max("y") + 1, F.max("x") + 1).first()
+    store = ChunkStore(scratch(spark, "image"), ("y", "x"), 32).write(image, "area_um2")
+    return store.sample(bilinear_points(spark, sf), ["o_orderkey"], shape=(shape[0], shape[1]))
 
 
 def probe_points(spark, sf):
@@ -151,17 +168,30 @@ PROBE = f"""probe AS (SELECT o_orderkey, 2 + (o_custkey % 5) / cast(4 AS DOUBLE)
   o_orderkey % {b.WIDTH} + (o_custkey % 4) / cast(4 AS DOUBLE) AS px FROM orders)"""
 
 
-@register("c09_sample_trilinear", "o_orderkey:i sample:d",
-          f"""WITH {b.VOXELS}, {PROBE},
+C09 = f"""WITH {b.VOXELS}, {PROBE},
 c AS (SELECT o_orderkey, pz, py, px, unnest(range(8)) AS i FROM probe),
 w AS (SELECT o_orderkey, floor(pz) + i % 2 AS z, floor(py) + (i // 2) % 2 AS y, floor(px) + i // 4 AS x,
   (CASE WHEN i % 2 = 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END) * (CASE WHEN (i // 2) % 2 = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END)
   * (CASE WHEN i // 4 = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM c)
-SELECT o_orderkey, sum(w * coalesce(v, 0)) AS sample FROM w LEFT JOIN voxels v ON v.z = w.z AND v.y = w.y AND v.x = w.x GROUP BY o_orderkey""")
+SELECT o_orderkey, sum(w * coalesce(v, 0)) AS sample FROM w LEFT JOIN voxels v ON v.z = w.z AND v.y = w.y AND v.x = w.x GROUP BY o_orderkey"""
+
+
+@register("c09_sample_trilinear", "o_orderkey:i sample:d",
+          C09)
 def c09(spark, sf):
     return jn.sample_volume(probe_points(spark, sf), b.voxels(spark, sf), ["o_orderkey"])
 
 
+@register("c09_sample_stored", "o_orderkey:i sample:d",
+          C09)
+def c09_stored(spark, sf):
+    return jn.sample_volume(probe_points(spark, sf), voxel_store(spark, sf), ["o_orderkey"])
+
+
+def voxel_store(spark, sf):
+    return ChunkStore(scratch(spark, "voxels"), size=16, slab=2).write(b.voxels(spark, sf), "v")
+
+
 @register("c09_sample_nearest", "o_orderkey:i sample:d",
           f"""WITH {b.VOXELS}, {PROBE}
 SELECT o_orderkey, coalesce(v, 0) AS sample FROM probe LEFT JOIN voxels v
@@ -211,6 +241,17 @@ def c13(spark, sf):
     return jn.assemble_window(b.boxes(spark, sf), chunks, 16)
 
 
+@register("c13_assemble_pixels", "box_id:i y:i x:i value:d covered:b",
+          f"""WITH {b.BOXES}, {b.TRUTH}, ch AS (SELECT DISTINCT y // 16 AS ky, x // 16 AS kx FROM truth),
+line AS (SELECT box_id, unnest(range(y0, y1)) AS y, x0, x1 FROM boxes), px AS (SELECT box_id, y, unnest(range(x0, x1)) AS x FROM line)
+SELECT box_id, px.y, px.x, t.area_um2 AS value, ch.ky IS NOT NULL AS covered
+FROM px LEFT JOIN truth t ON t.y = px.y AND t.x = px.x LEFT JOIN ch ON ch.ky = px.y // 16 AND ch.kx = px.x // 16""")
+def c13_pixels(spark, sf):
+    store = ChunkStore(scratch(spark, "truth"), ("y", "x"), 16).write(b.truth(spark, sf), "area_um2")
+    boxes = b.boxes(spark, sf)
+    return assemble_pixels(boxes, store.chunks(jn.chunk_cover(boxes, {"y": 16, "x": 16})), 16)
+
+
 @register("c14_pair_uv", "v:i u:i tv:i tu:i sx:d tx:d",
           f"""WITH {b.GRID}, sh AS (SELECT max(v) + 1 AS h, max(u) + 1 AS w FROM grid),
 tg AS (SELECT v // 2 AS v, u // 2 AS u, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM grid WHERE {b.NOT_ALL} GROUP BY 1, 2),

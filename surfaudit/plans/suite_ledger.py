@@ -8,7 +8,8 @@ from surfaudit.plans.registry import register
 from surfaudit.plans.suite_evidence import CONSENSUS, consensus
 from surfaudit.plans.suite_metrics import ap_sql
 from surfaudit.plans.suite_regions import LABEL_STATS, REGIONS, regions
-from surfaudit.sources import arrays, ledgers as ld
+from surfaudit.session import scratch
+from surfaudit.sources import arrays, bands, ledgers as ld
 from surfaudit.streaming import incremental as inc
 
 
@@ -23,6 +24,17 @@ def a01(spark, sf):
     return arrays.decode_arrays(arrays.encode_chunks(b.two_views(spark, sf), "a", 16), ["y", "x"])
 
 
+@register("a01_read_bands", "path:s y:i x:i value:d",
+          f"""WITH {b.CELLS}, {b.TWO_VIEWS}, c AS (SELECT DISTINCT y // 64 AS ky, x // 64 AS kx FROM two),
+g AS (SELECT ky, kx, cast(ky AS VARCHAR) || '_' || cast(kx AS VARCHAR) || '.npy' AS path, i // 64 AS y, i % 64 AS x FROM (SELECT *, unnest(range(4096)) AS i FROM c))
+SELECT g.path, g.y, g.x, t.a AS value FROM g LEFT JOIN two t ON t.y = g.ky * 64 + g.y AND t.x = g.kx * 64 + g.x""")
+def a01_bands(spark, sf):
+    folder = scratch(spark, "arrays")
+    bands.write_array_files(arrays.encode_chunks(b.two_views(spark, sf), "a", 64), folder)
+    found = bands.read_array_bands(spark, folder, ["y", "x"], elements=1000)
+    return found.withColumn("path", F.substring_index("path", "/", -1))
+
+
 @register("a02_read_regions", "region_id:s valid_px:i positive_px:i mean:d",
           f"WITH {REGIONS} SELECT region_id, valid_px, positive_px, mean FROM regions WHERE eligible")
 def a02(spark, sf):

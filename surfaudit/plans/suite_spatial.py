@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from surfaudit.operators import components as cc, grid as gr, independence as ind, physical as ph, probe
 from surfaudit.plans import bindings as b
 from surfaudit.plans.registry import register
-from surfaudit.plans.suite_joins import uv_pairs
+from surfaudit.plans.suite_joins import uv_pairs, voxel_store
 
 
 def four_sql(cells: str, out: str, keys: str = "", extra: str = "") -> str:
@@ -351,8 +351,7 @@ def i14(spark, sf):
     return gr.out_of_bounds(b.grid(spark, sf), (102, 2200, 2400))
 
 
-@register("d08_seating_score", "gap:d coverage:d contrast:d score:d surface_mean:d",
-          f"""WITH {b.VOXELS}, {b.TRUTH},
+SEATING = f"""WITH {b.VOXELS}, {b.TRUTH},
 p AS (SELECT y * 1000 + x AS pid, cast(3 AS DOUBLE) AS pz, cast(y AS DOUBLE) AS py, cast(x AS DOUBLE) AS px, cast(1 AS DOUBLE) AS nz, (x % 3) / cast(4 AS DOUBLE) AS ny FROM truth WHERE valid),
 o AS (SELECT 0 AS step, 1 AS side UNION ALL SELECT s, d FROM (SELECT unnest([1, 2, 3]) AS s) CROSS JOIN (SELECT unnest([1, -1]) AS d)),
 q AS (SELECT pid, step, side, round_even(pz + nz * step * side, 0) AS z, round_even(py + ny * step * side, 0) AS y, px AS x FROM p CROSS JOIN o),
@@ -363,9 +362,24 @@ l AS (SELECT step, round(sm, 9) AS r, round(lag(sm) OVER w, 9) AS a, round(lead(
 g AS (SELECT coalesce(min(step) FILTER (WHERE a IS NOT NULL AND c IS NOT NULL AND r <= a AND r <= c), arg_min(step, r)) AS gap FROM l),
 t AS (SELECT pid, max(gap) AS gap, max(s) FILTER (WHERE step = 0) AS ce, max(s) FILTER (WHERE step = gap AND side = -1) AS be, max(s) FILTER (WHERE step = gap AND side = 1) AS af FROM s, g GROUP BY pid)
 SELECT max(gap) AS gap, avg(CASE WHEN ce > 20 THEN 1.0 ELSE 0.0 END) AS coverage, avg(ce - (be + af) / 2) FILTER (WHERE ce > 20) AS contrast,
- avg(ce - (be + af) / 2) FILTER (WHERE ce > 20) * avg(CASE WHEN ce > 20 THEN 1.0 ELSE 0.0 END) AS score, avg(ce) FILTER (WHERE ce > 20) AS surface_mean FROM t""")
+ avg(ce - (be + af) / 2) FILTER (WHERE ce > 20) * avg(CASE WHEN ce > 20 THEN 1.0 ELSE 0.0 END) AS score, avg(ce) FILTER (WHERE ce > 20) AS surface_mean FROM t"""
+
+
+@register("d08_seating_score", "gap:d coverage:d contrast:d score:d surface_mean:d",
+          SEATING)
 def d08(spark, sf):
-    points = b.truth(spark, sf).where("valid").select(
+    return probe.seating_score(seating_points(spark, sf), b.voxels(spark, sf), [1, 2, 3], bright=20, min_coverage=0.05)
+
+
+def seating_points(spark, sf):
+    return b.truth(spark, sf).where("valid").select(
         (F.col("y") * 1000 + F.col("x")).alias("point_id"), F.lit(3.0).alias("pz"), F.col("y").cast("double").alias("py"),
         F.col("x").cast("double").alias("px"), F.lit(1.0).alias("nz"), ((F.col("x") % 3) / F.lit(4.0)).alias("ny"), F.lit(0.0).alias("nx"))
-    return probe.seating_score(points, b.voxels(spark, sf), [1, 2, 3], bright=20, min_coverage=0.05)
+
+
+@register("u02_probe_reader", "gap:d coverage:d contrast:d score:d surface_mean:d",
+          SEATING)
+def u02(spark, sf):
+    """The probe on a reader in place of a voxel table."""
+    return probe.seating_score(seating_points(spark, sf), voxel_store(spark, sf), [1, 2, 3], bright=20, min_coverage=0.05)
+

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surfaudit.session import checkpoint_dir
+from surfaudit.session import scratch  # noqa: F401  also part of this module's interface
 
 CATALOG = (
     "id string, scans array<struct<id: string, px: double, energy: double>>, "
@@ -18,11 +17,6 @@ RECEIPT = (
 )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # -- scans --------------------------------------------------------------------------------
 
 
