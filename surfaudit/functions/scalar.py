@@ -81,6 +81,17 @@ def block_id(y: Column, x: Column, size: int) -> Column:
     return F.format_string("by%02d_bx%02d", floor_div(y, size), floor_div(x, size))
 
 
+def interleaved(y: Column, x: Column) -> Column:
+    """Morton code of a pixel: the bits of y and x, 31 of each, in turn; near pixels have near codes."""
+    def spread(c: Column) -> Column:
+        c = c.cast("bigint").bitwiseAND(F.lit((1 << 31) - 1))
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return F.shiftleft(spread(y), 1).bitwiseOR(spread(x))
+
+
 def parse_int(text: Column, pattern: str, group: int = 1) -> Column:
     """A captured integer, NULL where the pattern does not match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("bigint")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from surfaudit.operators import components as cc, grid as gr, independence as ind, physical as ph, probe
+from surfaudit.operators.geometry_audit import Criteria, Volume, geometry_audit
 from surfaudit.plans import bindings as b
 from surfaudit.plans.registry import register
 from surfaudit.plans.suite_joins import uv_pairs, voxel_store
@@ -383,3 +384,50 @@ def u02(spark, sf):
     """The probe on a reader in place of a voxel table."""
     return probe.seating_score(seating_points(spark, sf), voxel_store(spark, sf), [1, 2, 3], bright=20, min_coverage=0.05)
 
+
+L05 = "valid:i partial_sentinel:i largest_fraction:d within_tolerance:b abrupt_jumps:i degenerate_quads:i normal_flips:i supervised:i unsupported:i out_of_bounds:i candidates:i passing:i tier:s blockers:s"
+
+
+def audit_sql(rule: str, jump: float, share: float) -> str:
+    """One row of audits of the grid's vertices for which ``rule`` holds."""
+    return f"""WITH {b.GRID.replace('grid AS (', 'every AS (', 1)}, grid AS (SELECT * FROM every WHERE {rule}), {EDGES}, {quads_sql(b.STRICT)}, {b.VOXELS}, {b.TRUTH},
+vv AS (SELECT v AS y, u AS x FROM grid WHERE {b.STRICT}), {dense_sql('vv', 'c8', 2)},
+ss AS (SELECT DISTINCT cy * 1000 + cx AS box_id, y, x FROM truth WHERE valid AND positive),
+lf AS (SELECT max(n) / cast(sum(n) AS DOUBLE) AS largest_fraction FROM (SELECT count(*) AS n FROM c8 GROUP BY component)),
+co AS (SELECT bool_and(ok) AS within_tolerance, sum(j) AS abrupt_jumps FROM (SELECT abs(quantile_cont(distance, 0.5) - 20) / 20 <= cast(0.05 AS DOUBLE) AS ok,
+  count(*) FILTER (WHERE distance > cast({20 * jump} AS DOUBLE)) AS j FROM edges GROUP BY direction)),
+md AS (SELECT median(area) AS m FROM quads),
+tp AS (SELECT (SELECT count(*) FROM quads, md WHERE area <= m * cast(0.01 AS DOUBLE)) AS degenerate_quads, (SELECT count(*) FROM dots WHERE dot < 0) AS normal_flips),
+mp AS (SELECT count(*) AS supervised, count(*) FILTER (WHERE g.v IS NULL) AS unsupported
+  FROM (SELECT DISTINCT y, x FROM ss) AS p LEFT JOIN (SELECT v, u FROM grid WHERE {b.STRICT}) AS g ON g.v = p.y // 5 AND g.u = p.x // 5),
+ob AS (SELECT count(*) AS valid, count(*) FILTER (WHERE NOT (z >= 0 AND z < 2200 AND y >= 0 AND y < 20000 AND x >= 0 AND x < 20000)) AS out_of_bounds FROM grid WHERE {b.STRICT}),
+ps AS (SELECT count(*) AS partial_sentinel FROM grid WHERE (x = -1 OR y = -1 OR z = -1) AND NOT (x = -1 AND y = -1 AND z = -1)),
+hit AS (SELECT y, x, bool_or(v > 0) AS h, bool_or(v > 0 AND z >= 2 AND z < 5) AS ch FROM voxels GROUP BY y, x),
+cd AS (SELECT box_id, avg(CASE WHEN coalesce(h, false) THEN 1.0 ELSE 0.0 END) AS f, avg(CASE WHEN coalesce(ch, false) THEN 1.0 ELSE 0.0 END) AS c
+  FROM ss LEFT JOIN hit ON hit.y = ss.y AND hit.x = ss.x GROUP BY box_id),
+ct AS (SELECT count(*) AS candidates, count(*) FILTER (WHERE f >= cast({share} AS DOUBLE) AND c >= cast({share} AS DOUBLE)) AS passing FROM cd),
+al AS (SELECT *, partial_sentinel = 0 AND largest_fraction >= cast(0.99 AS DOUBLE) AND within_tolerance AND abrupt_jumps = 0 AND degenerate_quads = 0 AND normal_flips = 0
+  AND unsupported = 0 AS go, valid > 0 AND out_of_bounds = 0 AS bo, candidates > 0 AND passing = candidates AS co FROM lf, co, tp, mp, ob, ps, ct)
+SELECT *, CASE WHEN go AND bo AND co THEN 'G2' ELSE 'G1' END AS tier,
+ concat_ws(',', CASE WHEN NOT bo THEN 'volume_bounds' END, CASE WHEN NOT co THEN 'ct_support' END, CASE WHEN NOT go THEN 'grid_checks' END) AS blockers FROM al"""
+
+
+def audited(spark, sf, rule, jump, share):
+    grid = b.grid(spark, sf)
+    h, w = grid.agg(F.max("v") + 1, F.max("u") + 1).first()
+    marked = b.truth(spark, sf).where("valid and positive").select((F.col("cy") * 1000 + F.col("cx")).alias("box_id"), "y", "x").distinct()
+    volume, criteria = Volume((2200, 20000, 20000), True, (2, 5)), Criteria(20, 0.05, jump, share, share)
+    audit = geometry_audit(grid.where(rule), (h, w), (5 * h, 5 * w), marked, b.voxels(spark, sf), volume, criteria)
+    return audit.withColumn("blockers", F.concat_ws(",", "blockers"))
+
+
+@register("l05_geometry_from_audits", L05, audit_sql("true", 1.075, 0.9))
+def l05_audits(spark, sf):
+    """The tier of the grid as it is, from its own audits."""
+    return audited(spark, sf, "true", 1.075, 0.9)
+
+
+@register("l05_geometry_whole_vertices", L05, audit_sql("x <> -1", 1.5, 0.1))
+def l05_whole(spark, sf):
+    """The same of vertices with an x only, and wider criteria."""
+    return audited(spark, sf, "x <> -1", 1.5, 0.1)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from surfaudit.functions.scalar import interleaved
 from surfaudit.session import scratch  # noqa: F401  also part of this module's interface
 
 CATALOG = (
@@ -125,9 +126,16 @@ def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 # -- sinks ------------------------------------------------------------------------------------
 
 
-def write_maps(maps: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Per-pixel maps as parquet, clustered so that each partition folder gets few files."""
-    maps.repartition(*partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+def write_maps(maps: DataFrame, path: str, partitions: Sequence[str], tasks: int | None = None) -> None:
+    """Per-pixel maps as parquet, in the order of a curve through the pixels of each partition folder.
+
+    A folder is dealt over as many tasks as its share of the rows asks for, whatever its size, and
+    a file holds a compact piece of it, so readers of a window skip files and row groups by the
+    bounds of y and x.  Maps have columns y and x.
+    """
+    order = [*partitions, interleaved(F.col("y"), F.col("x"))]
+    dealt = maps.repartitionByRange(tasks, *order) if tasks else maps.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
 def write_report(report: DataFrame, path: str, form: str = "json") -> None:

@@ -181,3 +181,22 @@ def test_a_band_takes_little_memory(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     planned, count = map(int, done.stdout.split())
     assert planned == -(-200_000_000 // bands.BAND_ELEMENTS) and count == 200_000_000 - (planned - 1) * bands.BAND_ELEMENTS
+
+
+def test_maps_of_one_surface_are_many_compact_files(spark, tmp_path):
+    from surfaudit.sources.ledgers import write_maps
+
+    maps = spark.range(128 * 128).select(F.lit("s").alias("surface"), (F.col("id") % 128).cast("int").alias("y"), F.floor(F.col("id") / 128).cast("int").alias("x"), F.rand(1).alias("v"))
+    write_maps(maps, str(tmp_path / "maps"), ["surface"], tasks=8)
+    files = [os.path.join(d, n) for d, _, names in os.walk(tmp_path / "maps") for n in names if n.endswith(".parquet")]
+    assert len(files) >= 6
+    back = spark.read.parquet(str(tmp_path / "maps"))
+    assert back.count() == 128 * 128 and back.select("y", "x").distinct().count() == 128 * 128
+    boxes = back.groupBy(F.input_file_name()).agg(((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1)).alias("a"), F.count("*").alias("n")).collect()
+    assert sum(r.a for r in boxes) <= 2.5 * sum(r.n for r in boxes)
+    from surfaudit.functions.scalar import interleaved
+
+    code = lambda y, x: sum(((y >> i & 1) << 2 * i + 1) | ((x >> i & 1) << 2 * i) for i in range(31))
+    pairs = [(0, 0), (1, 2), (5, 9), (2**31 - 1, 0), (123456789, 987654321)]
+    got = spark.createDataFrame(pairs, "y int, x int").select("y", "x", interleaved(F.col("y"), F.col("x")).alias("m")).collect()
+    assert all(r.m == code(r.y, r.x) for r in got)
