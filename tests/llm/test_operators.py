@@ -2,6 +2,7 @@
 
 import base64
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -21,6 +22,7 @@ from surfaudit.llm.html_text import main_text, page_texts
 from surfaudit.llm.language import identify_languages, keep_identified
 from surfaudit.llm.lm_scoring import START, score_documents
 from surfaudit.llm.resampling import clean_ids, kth_largest, resample
+from surfaudit.llm import sharding
 from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import MAX_BITS, drop_near_copies, fingerprint, fingerprint_links, simhash_components
 from surfaudit.llm.substring import dedup_substrings, drop_repeated_spans
@@ -404,6 +406,51 @@ def test_shards(spark, odd_docs, no_docs):
     assert shard_documents(no_docs, shards=16).count() == 0
 
 
+def test_equal_rows_and_a_hot_text_in_many_shards(spark):
+    """Half of all rows are one row, and a shard is a small part of it: sizes stay near equal."""
+    rows = [(7, "one row " * 10)] * 3000 + [(i, f"text {i} " * 9) for i in range(1000)] + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    found = shard_documents(df, shards=300).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in found:
+        size[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    mean = sum(size.values()) / 300
+    assert len(found) == len(rows) and len(size) == 300 and all(abs(s - mean) <= 110 for s in size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def brute_cut(points, leaves, axis_of):
+    """Shards of (keys, bytes) points by exact weighted medians, with the operator's choice of axes."""
+    if leaves == 1 or not points:
+        return [points]
+    axis = axis_of(points)
+    points = sorted(points, key=lambda p: p[0][axis])
+    left, total, best = (leaves + 1) // 2, sum(b for _, b in points), None
+    want, run = total * left / leaves, 0
+    for i, (_, b) in enumerate(points):
+        if run + b >= want:
+            best = i + 1 if run + b - want < want - run else i
+            break
+        run += b
+    return brute_cut(points[:best], left, axis_of) + brute_cut(points[best:], leaves - left, axis_of)
+
+
+def test_shards_equal_a_brute_force_tree(spark):
+    draw = random.Random(8)
+    rows = [(i, " ".join(f"w{draw.randrange(99)}" for _ in range(draw.randrange(1, 60))), draw.choice(["en", "de"]), f"s{draw.randrange(5)}", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    groups = sharding._groups(sharding._rows(df, "doc_id", "text").cache()).collect()
+    points = [((*r["keys"],), r["bytes"]) for r in groups]
+    spread = lambda p: max(range(4), key=lambda a: (max(k[a] for k, _ in p) - min(k[a] for k, _ in p), -a))
+    want = [sum(b for _, b in shard) for shard in brute_cut(points, 11, spread)]
+    size = Counter()
+    for r in shard_documents(df, shards=11).collect():
+        size[r.shard] += r["size"]
+    # A median is exact to a grain, so cuts may differ by one text.
+    assert all(abs(size[i] - w) <= 2 * 250 for i, w in enumerate(want)) and sum(size.values()) == sum(want)
+
+
 def test_shards_by_target_and_hot_text(spark):
     """A third of all rows have one text: it is dealt out, and the rest stays together."""
     rows = [(i, "hot text " * 20) for i in range(500)] + [(500 + i, f"text {i} " * 12) for i in range(1000)]
