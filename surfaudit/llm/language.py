@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from surfaudit.llm.common import slices
+
 UNKNOWN = "und"
 DICTIONARY_BYTES = 1 << 17  # of text per language: the bound of the labelled sample ...
 ALL_BYTES = 1 << 25  # ... and of all languages together; more labels mean shorter dictionaries
@@ -16,6 +21,7 @@ PIECE_CHARS = 1024  # taken from one labelled text, at a place its hash chooses
 SPARE = 3  # candidates drawn for each piece wanted
 LEVEL = 9
 BLOCK_BYTES = 2048  # a text is packed block by block, each against the dictionary alone
+SLICE = 1 << 20  # bytes of text that a filtering task holds outside its batch
 MIN_MARGIN = 0.01  # share of the second smallest size by which the smallest has to be smaller ...
 MARGIN_BYTES = 64  # ... for texts of so many bytes of letters; shorter ones cannot show a margin
 LETTERS = regex.compile(r"\p{L}+")
@@ -139,6 +145,19 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is accepted, with all columns as they are."""
+    """Rows of ``docs`` whose language is accepted, with all columns as they are.
+
+    Rows without text, with an empty one or without a letter go; rows that repeat a doc_id are
+    judged one by one, and texts whole.  Rows go through a task a few at a time.
+    """
     learned = learn_dictionaries(docs.where(~held_out()))
-    return docs.where(language_of(F.col("text"), learned)["accepted"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(learned)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for part in slices(sizes, SLICE):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield rows.filter(pa.array([packer.judge(t)[3] for t in rows.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
