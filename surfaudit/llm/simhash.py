@@ -133,11 +133,12 @@ def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     keep = components.groupBy("node").agg(F.min(order).alias("k"))
     keep = keep.select(F.coalesce("k.doc_id", F.lit(NO_ID)).alias("_id"), F.col("k.mark").alias("_mark")).distinct()
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_mark": F.xxhash64("text")})
+    # The row travels in a struct, so that no column of it can meet one of these names.
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_mark"))
     # The join leaves rows dealt and sorted by these keys, so the window adds no shuffle.
     same = W.partitionBy("_id", "_mark").orderBy("_id", "_mark")
     kept = marked.join(keep, ["_id", "_mark"], "left_semi").withColumn("_row", F.row_number().over(same))
-    return kept.where("_row = 1").select(*docs.columns)
+    return kept.where("_row = 1").select("row.*")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
