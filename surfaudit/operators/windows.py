@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit
@@ -24,6 +26,7 @@ def contiguous_folds(df: DataFrame, key: str, k: int) -> DataFrame:
     return dense_index(df, key).select(key, fold_of(F.col("idx"), F.col("n_keys"), k).alias("fold"))
 
 
+TILE = 256  # cells a side of the tiles that window sums are made in
 SEGMENT = 1024  # cells of a raster line that one window holds
 
 
@@ -81,34 +84,55 @@ def smooth_first_min(df: DataFrame, by: Sequence[str], order: str, col: str) ->
     )
 
 
-def window_sums(mask: DataFrame, height: int, width: int, k: int) -> DataFrame:
-    """Mask pixels inside every k x k window, keyed by its top-left corner.
+def window_sums(mask: DataFrame, height: int, width: int, k: int, empty: bool = True) -> DataFrame:
+    """Mask pixels inside every k x k window, keyed by its top-left corner: (y, x, total).
 
-    A summed-area table in two passes: prefix sums along rows, then along columns, each minus
-    the prefix k steps back.  A window partition is a segment of a line and the k - 1 cells after it.
+    A stored pixel goes to the tiles in which windows over it start, four at most, and a tile has a
+    summed-area table of its own cells and the k - 1 beyond; no canvas is laid out.  A task holds
+    one tile of max(TILE, k) cells a side.  Repeated pixels count each; pixels off the canvas do
+    not.  With ``empty`` windows far from any pixel are there too, with zero.
     """
-    spark = mask.sparkSession
-    canvas = spark.range(height).select(
-        F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x")
-    )
-    marked = canvas.join(mask.select("y", "x", F.lit(1).alias("m")), ["y", "x"], "left").fillna(0, ["m"])
-
-    def slide(df, col, along, across, out):
-        w = W.partitionBy(across, "_seg").orderBy(along)
-        cells = _segmented(df, along, max(SEGMENT, k), 0, k - 1)
-        total = cells.withColumn("_c", F.sum(col).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        summed = total.withColumn(out, F.lead("_c", k - 1).over(w) - F.coalesce(F.lag("_c", 1).over(w), F.lit(0)))
-        return summed.where((F.col("_seg") == F.col("_own")) & F.col(out).isNotNull()).drop("_c", "_seg", "_own")
-
-    rows = slide(marked, "m", "x", "y", "r").select("y", "x", "r")
-    return slide(rows, "r", "y", "x", "total").select("y", "x", "total")
+    side, down, across = max(TILE, k), height - k + 1, width - k + 1
+    on = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    cells = mask.where(on).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"))
+    for a, t in (("y", "ty"), ("x", "tx")):
+        starts = F.array_distinct(F.array(*[floor_div(F.greatest(F.col(a) - d, F.lit(0)), side).cast("int") for d in (0, k - 1)]))
+        cells = cells.withColumn(t, F.explode(starts))
+
+    def table(group: pa.Table) -> pa.Table:
+        y0, x0 = (group.column(t)[0].as_py() * side for t in ("ty", "tx"))
+        h, w = min(side, down - y0), min(side, across - x0)
+        if h <= 0 or w <= 0:
+            return pa.table({c: pa.array([], t) for c, t in (("y", pa.int32()), ("x", pa.int32()), ("total", pa.int64()))})
+        sums = np.zeros((h + k, w + k), dtype=np.int64)
+        y, x = (group.column(c).to_numpy() - o for c, o in (("y", y0), ("x", x0)))
+        inside = (y < h + k - 1) & (x < w + k - 1)
+        np.add.at(sums, (y[inside] + 1, x[inside] + 1), group.column("n").to_numpy()[inside])
+        sums = sums.cumsum(axis=0).cumsum(axis=1)
+        total = sums[k:, k:] - sums[:-k, k:] - sums[k:, :-k] + sums[:-k, :-k]
+        at = np.indices(total.shape)
+        return pa.table({"y": (at[0] + y0).ravel().astype("int32"), "x": (at[1] + x0).ravel().astype("int32"), "total": total.ravel()})
+
+    found = cells.groupBy("ty", "tx").applyInArrow(table, "y int, x int, total bigint")
+    if not empty or down <= 0 or across <= 0:
+        return found
+    rows, columns = -(-down // side), -(-across // side)
+    tiles = mask.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).cast("int").alias("ty"), (F.col("id") % columns).cast("int").alias("tx"))
+    bare = tiles.join(cells.select("ty", "tx").distinct(), ["ty", "tx"], "left_anti")
+    place = lambda t, n: F.explode(F.sequence(F.col(t) * side, F.least(F.col(t) * side + side, F.lit(n)) - 1))
+    bare = bare.withColumn("y", place("ty", down)).withColumn("x", place("tx", across))
+    return found.unionAll(bare.select("y", "x", F.lit(0).cast("bigint").alias("total")))
 
 
 def densest_window(mask: DataFrame, height: int, width: int, k: int) -> DataFrame:
-    """The fullest k x k window, the first in row-major order on a tie."""
+    """The fullest k x k window, the first in row-major order on a tie; only windows near a pixel are looked at.
+
+    Of an empty mask it is the first window of all; a canvas smaller than a window has none.
+    """
     best = F.max(F.struct("total", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
-    return window_sums(mask, height, width, k).agg(best.alias("b")).select(
-        (-F.col("b.y")).alias("y"), (-F.col("b.x")).alias("x"), F.col("b.total").alias("total")
+    first = F.when(F.lit(k <= min(height, width)), F.lit(0))
+    return window_sums(mask, height, width, k, empty=False).where("total > 0").agg(best.alias("b")).select(
+        F.coalesce(-F.col("b.y"), first).alias("y"), F.coalesce(-F.col("b.x"), first).alias("x"), F.coalesce("b.total", first.cast("bigint")).alias("total")
     )
 
 

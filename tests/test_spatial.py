@@ -280,3 +280,23 @@ def test_window_sums_cross_segments(rows):
 
     out = {(r["y"], r["x"]): r["total"] for r in wn.window_sums(rows(YX, [(0, 1023), (1, 1024), (2, 5)]), 3, 1030, 2).collect()}
     assert len(out) == 2 * 1029 and out[(0, 1023)] == 2 and out[(1, 1024)] == 1 and out[(1, 4)] == 1 and sum(out.values()) == 2 + 4 + 2
+
+
+def test_window_sums_equal_numpy(rows, monkeypatch):
+    from surfaudit.operators import windows as wn
+
+    monkeypatch.setattr(wn, "TILE", 8)
+    draw = np.random.default_rng(6)
+    cells = [(int(y), int(x)) for y, x in zip(draw.integers(0, 20, 40), draw.integers(0, 60, 40)) if x < 25 or x > 50] + [(3, 3)] * 5 + [(25, 2), (-1, 4)]
+    full = np.zeros((20, 60), dtype=int)
+    for y, x in cells:
+        if 0 <= y < 20:
+            full[y, x] += 1
+    for k in (1, 3, 11):
+        want = {(y, x): int(full[y : y + k, x : x + k].sum()) for y in range(21 - k) for x in range(61 - k)}
+        assert {(r["y"], r["x"]): r["total"] for r in wn.window_sums(rows(YX, cells), 20, 60, k).collect()} == want
+        best = wn.densest_window(rows(YX, cells), 20, 60, k).first()
+        assert (best["total"], -best["y"], -best["x"]) == max((t, -y, -x) for (y, x), t in want.items())
+    none = rows(YX, cells).where("false")
+    assert tuple(wn.densest_window(none, 20, 60, 3).first()) == (0, 0, 0)
+    assert tuple(wn.densest_window(none, 2, 60, 3).first()) == (None, None, None)
