@@ -383,17 +383,24 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
     open_points = points.select("point_id", *axes, *[floor_div(F.col(a), side).alias(c) for a, c in zip(axes, cells)])
     boxes, radius, done = boxes.withColumn("_vol", box_volume(lo, hi)), side, []
     while True:
-        held = open_points.select(*cells).distinct().select(
-            *cells, *[floor_div(start[a], radius).alias(r) for a, r in zip(axes, coarse)]
+        # A box lies on the grid whose cells are as wide as itself, so it covers a few of them
+        # whatever its extent; a cell of points looks on each grid that holds boxes.
+        extent = F.greatest(*[b - a for a, b in zip(lo, hi)], lit(radius))
+        level = F.ceil(F.log2(extent / lit(radius)) - lit(1e-9)).cast("int")
+        sized = boxes.withColumn("_level", level)
+        levels = [r[0] for r in sized.select("_level").distinct().collect()]  # powers of two: some dozens at most
+        width = lit(radius) * F.pow(lit(2), F.col("_level"))
+        held = open_points.select(*cells).distinct().withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]))).select(
+            *cells, "_level", *[F.floor(start[a] / width).cast("bigint").alias(r) for a, r in zip(axes, coarse)]
         )
-        wide = boxes
+        wide = sized
         for a, r in zip(axes, coarse):
             # A cell starts at most radius + side before the box and radius after it.
             near = F.sequence(
-                floor_div(F.col(f"{a}0") - lit(radius + side), radius), floor_div(F.col(f"{a}1") + lit(radius), radius)
+                F.floor((F.col(f"{a}0") - lit(radius + side)) / width).cast("bigint"), F.floor((F.col(f"{a}1") + lit(radius)) / width).cast("bigint")
             )
             wide = wide.withColumn(r, F.explode(near))
-        rated = held.join(wide, coarse).drop(*coarse).withColumn("_min", least).withColumn("_max", most).where(
+        rated = held.join(wide, [*coarse, "_level"]).drop(*coarse, "_level").withColumn("_min", least).withColumn("_max", most).where(
             F.col("_min") <= lit(radius)
         )
         met = open_points.join(_contenders(rated, cells, k), cells).withColumn(

@@ -172,6 +172,21 @@ def test_nearest_boxes_against_brute_force(rows):
         assert [found[i][k] for k in (1, 2, 3, 4)] == [b[0] for b in sorted(boxes, key=key)[:4]]
 
 
+def test_nearest_of_boxes_of_all_sizes(rows):
+    """Boxes 10^5 wide among small ones: on the grid of the small ones they would be 10^8 rows each."""
+    rng = random.Random(4)
+    boxes = [(i, y := rng.randrange(300), y + rng.randrange(1, 9), x := rng.randrange(300), x + rng.randrange(1, 9)) for i in range(20)]
+    boxes += [(100, -50_000, 50_000, 20, 100_020), (101, 10, 3_000, 10, 40), (102, 150, 151, -90_000, 90_000), (103, 0, 64, 0, 64)]
+    pts = [(i, float(rng.randrange(-50, 360)), float(rng.randrange(300))) for i in range(12)] + [(90, 40_000.0, 99_000.0)]
+    got = jn.nearest_boxes(rows("point_id int, y double, x double", pts), rows("box_id int, y0 int, y1 int, x0 int, x1 int", boxes), ["y", "x"], 3, 8.0)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["point_id"], {})[r["rank"]] = r["box_id"]
+    for i, y, x in pts:
+        key = lambda b: (math.hypot(max(b[1] - y, y - b[2], 0), max(b[3] - x, x - b[4], 0)), (b[2] - b[1]) * (b[4] - b[3]), b[0])
+        assert [found[i][k] for k in (1, 2, 3)] == [b[0] for b in sorted(boxes, key=key)[:3]]
+
+
 def test_support_rectangles(rows):
     box = "box_id int, y0 int, y1 int, x0 int, x1 int"
     out = {(r["ky"], r["kx"]): r["covered"] for r in jn.overlap_fraction(rows(box, [(1, 5, 15, 0, 10)]), 10).collect()}
