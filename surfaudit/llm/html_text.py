@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -189,10 +190,26 @@ def _below(cut: list[bool], parent: list[int]) -> list[bool]:
     return out
 
 
+def _ends(parent: list[int]) -> list[int]:
+    """Where the elements below each one end: elements stand in page order, so these are a run."""
+    end = list(range(1, len(parent) + 1))
+    for i in range(len(parent) - 1, 0, -1):
+        end[parent[i]] = max(end[parent[i]], end[i])
+    return end
+
+
+def _links(tag: list[str], parent: list[int]) -> list[int]:
+    """The innermost link around each element, itself included; -1 for none."""
+    out = [-1] * len(tag)
+    for i in range(len(tag)):
+        out[i] = i if tag[i] == "a" else out[parent[i]] if i else -1
+    return out
+
+
 def _clear(events: _Events, cut: list[bool], doubtful: list[int]) -> bool:
     """Cuts those of ``doubtful`` without a line as dense as content, or with links for text; True if one stays."""
     tag, parent, n = events.tag, events.parent, len(events.tag)
-    banned = _below(cut, parent)
+    banned, end, link = _below(cut, parent), _ends(parent), _links(tag, parent)
     densest, chars, links, ratios = [0.0] * n, [0] * n, [0] * n, []
     for element, tags, pieces in events.lines:
         size = len(" ".join("".join(t for e, t in pieces if not banned[e]).split()))
@@ -202,7 +219,7 @@ def _clear(events: _Events, cut: list[bool], doubtful: list[int]) -> bool:
                 if not banned[e]:
                     densest[e] = max(densest[e], ratios[-1] if e == element else len(t) / 2)  # inline: its own text and two tags
                     chars[e] += len("".join(t.split()))
-                    links[e] += len("".join(t.split())) if _inside(e, element, tag, parent) else 0
+                    links[e] += len("".join(t.split())) if _inside(e, element, link, end) else 0
     for i in range(n - 1, 0, -1):
         up = parent[i]
         densest[up] = max(densest[up], densest[i])
@@ -222,13 +239,13 @@ def _threshold(ratios: list[float]) -> float:
 def _select(events: _Events, cut: list[bool]) -> tuple[str, set[int]]:
     """The text that is left without the elements of ``cut``, and the elements it was taken from."""
     tag, parent, n = events.tag, events.parent, len(events.tag)
-    banned = _below(cut, parent)
+    banned, end, link = _below(cut, parent), _ends(parent), _links(tag, parent)
     lines, own, links = [], [], [0] * n  # own: link text of a line
     for element, tags, pieces in events.lines:
         text = " ".join("".join(t for e, t in pieces if not banned[e]).split())
         if text and not banned[element]:
             lines.append((element, tags, text))
-            own.append(sum(len("".join(t.split())) for e, t in pieces if not banned[e] and _inside(e, element, tag, parent)))
+            own.append(sum(len("".join(t.split())) for e, t in pieces if not banned[e] and _inside(e, element, link, end)))
             links[element] += own[-1]
     if not lines:
         return "", set()
@@ -250,7 +267,7 @@ def _select(events: _Events, cut: list[bool]) -> tuple[str, set[int]]:
             largest[up] = i
     raw = [len(text) / max(1, tags) for _, tags, text in lines]
     solid = [hot[i] and raw[i] >= threshold and own[i] < LINK_SHARE * len("".join(lines[i][2].split())) for i in range(len(lines))]
-    regions, scope = _regions(events, banned, bulk, largest, [e for (e, _, _), s in zip(lines, solid) if s])
+    regions, scope = _regions(events, banned, bulk, largest, end, [e for (e, _, _), s in zip(lines, solid) if s])
 
     menu, within, near = [False] * n, [False] * n, [False] * n
     for i in range(n):
@@ -272,41 +289,35 @@ def _select(events: _Events, cut: list[bool]) -> tuple[str, set[int]]:
     return "\n".join(lines[i][2] for i in kept), regions
 
 
-def _inside(element: int, line: int, tag: list[str], parent: list[int]) -> bool:
-    """The piece is link text."""
-    while element > 0 and element != line:
-        if tag[element] == "a":
-            return True
-        element = parent[element]
-    return tag[element] == "a"
+def _inside(element: int, line: int, link: list[int], end: list[int]) -> bool:
+    """The piece is link text: a link lies between it and its line."""
+    return link[element] >= 0 and (link[element] >= line or not line <= element < end[line])
 
 
-def _regions(events: _Events, banned: list[bool], bulk: list[int], largest: list[int], solid: list[int]) -> tuple[set[int], int]:
+def _regions(events: _Events, banned: list[bool], bulk: list[int], largest: list[int], end: list[int], solid: list[int]) -> tuple[set[int], int]:
     """The elements taken whole, and the one around them whose other content lines (their elements: ``solid``) come along.
 
     All articles if they have enough of the content, or the main element; else the smallest
     element with the bulk, gone into only while no content line stays outside.
     """
-    total, parent = bulk[0], events.parent
-
-    def inside(element: int, outer: int) -> bool:
-        while element > outer:
-            element = parent[element]
-        return element == outer
-
+    total, solid = bulk[0], sorted(solid)
+    lines_in = lambda e: bisect_left(solid, end[e]) - bisect_left(solid, e)
     for names in (("article",), ("main",)):
         own = [i for i, core in enumerate(events.core) if core and not banned[i] and (events.tag[i] in names or names == ("main",))]
         own = [i for i in own if bulk[i] > 0]
-        top = [i for i in own if not any(k < i and inside(i, k) for k in own)]
+        top: list[int] = []
+        for i in own:
+            if not top or i >= end[top[-1]]:
+                top.append(i)
         if top and sum(bulk[i] for i in top) >= TRUSTED * total:
-            around = [i for i, core in enumerate(events.core) if core and not banned[i] and all(i < k and inside(k, i) for k in top)]
+            around = [i for i, core in enumerate(events.core) if core and not banned[i] and i < top[0] and top[-1] < end[i]]
             return set(top), max(around, default=-1)
     at = 0
     while largest[at] >= 0 and events.tag[largest[at]] in BLOCKS and bulk[largest[at]] >= BULK * total and bulk[largest[at]] > 0:
         into = largest[at]
         if events.tag[into] in (*HEADINGS, "p", "li", "td", "blockquote", "pre"):
             break
-        if any(inside(e, at) and not inside(e, into) for e in solid):
+        if lines_in(at) > lines_in(into):
             return {into}, at
         at = into
     return {at}, -1
@@ -323,6 +334,11 @@ def extract_text(html: Column | str) -> Column:
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) per row of ``pages``; repeated rows and null ids are rows of their own."""
+    """(page_id, url, text, n_chars) per row of ``pages``; repeated rows and null ids are rows of their own.
+
+    Null and empty html, and a page without text, give an empty text.  Pages are read whole; the
+    work per element does not grow with the length of the page or the depth of its nesting.  Other
+    columns are not read.
+    """
     found = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extract_text(F.col(html_col)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
