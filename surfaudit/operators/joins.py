@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import box_distance, box_volume, floor_div, lit
+from surfaudit.operators.prefix import join_by
 from surfaudit.session import cut_lineage, scratch
 
 CHUNK = 64  # side of the chunks by which sparse looks are pruned
@@ -21,19 +22,20 @@ def align(a: DataFrame, b: DataFrame, keys=("y", "x")) -> DataFrame:
     return left.join(right, list(keys))
 
 
-def shifted_join(a: DataFrame, b: DataFrame, dy: int, dx: int) -> DataFrame:
-    """Score of a at (y, x) beside that of b at (y - dy, x - dx)."""
-    moved = b.select((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("score").alias("b"))
-    return a.select("y", "x", F.col("score").alias("a")).join(moved, ["y", "x"])
+def shifted_join(a: DataFrame, b: DataFrame, dy: int, dx: int, by: Sequence[str] = ()) -> DataFrame:
+    """Score of a at (y, x) beside that of b at (y - dy, x - dx), surface by surface; a NULL in ``by`` is one of its own."""
+    moved = b.select(*by, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("score").alias("b"))
+    return join_by(a.select(*by, "y", "x", F.col("score").alias("a")), moved, list(by), on=["y", "x"])
 
 
-def shifted_views(px: DataFrame, shifts: Sequence[tuple[int, int]]) -> DataFrame:
-    """Every negative-control shift of pixels(y, x, a, b) in one join: (dy, dx, a, b)."""
+def shifted_views(px: DataFrame, shifts: Sequence[tuple[int, int]], by: Sequence[str] = ()) -> DataFrame:
+    """Every negative-control shift of pixels(by, y, x, a, b) in one join: (by, dy, dx, y, x, a, b)."""
+    by = list(by)
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in shifts])
-    moved = px.select("y", "x", "b", F.explode(offsets).alias("s")).select(
-        "s.dy", "s.dx", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "b"
+    moved = px.select(*by, "y", "x", "b", F.explode(offsets).alias("s")).select(
+        *by, "s.dy", "s.dx", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "b"
     )
-    return moved.join(px.select("y", "x", "a"), ["y", "x"]).select("dy", "dx", "y", "x", "a", "b")
+    return join_by(moved, px.select(*by, "y", "x", "a"), by, on=["y", "x"]).select(*by, "dy", "dx", "y", "x", "a", "b")
 
 
 def pairs(df: DataFrame, by: Sequence[str], order: str, differ: str, keep: Sequence[str], salts: int = 8) -> DataFrame:

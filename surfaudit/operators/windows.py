@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit
-from surfaudit.operators.prefix import dense_index
+from surfaudit.operators.prefix import dense_index, join_by
 
 
 def fold_of(idx: Column, n: Column, k: int) -> Column:
@@ -84,17 +84,18 @@ def smooth_first_min(df: DataFrame, by: Sequence[str], order: str, col: str) ->
     )
 
 
-def window_sums(mask: DataFrame, height: int, width: int, k: int, empty: bool = True) -> DataFrame:
-    """Mask pixels inside every k x k window, keyed by its top-left corner: (y, x, total).
+def window_sums(mask: DataFrame, height: int, width: int, k: int, empty: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Mask pixels inside every k x k window of each surface, keyed by its top-left corner: (by, y, x, total).
 
     A stored pixel goes to the tiles in which windows over it start, four at most, and a tile has a
     summed-area table of its own cells and the k - 1 beyond; no canvas is laid out.  A task holds
     one tile of max(TILE, k) cells a side.  Repeated pixels count each; pixels off the canvas do
     not.  With ``empty`` windows far from any pixel are there too, with zero.
     """
-    side, down, across = max(TILE, k), height - k + 1, width - k + 1
+    by, side, down, across = list(by), max(TILE, k), height - k + 1, width - k + 1
+    kinds = dict(mask.dtypes)
     on = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
-    cells = mask.where(on).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"))
+    cells = mask.where(on).groupBy(*by, "y", "x").agg(F.count(F.lit(1)).alias("n"))
     for a, t in (("y", "ty"), ("x", "tx")):
         starts = F.array_distinct(F.array(*[floor_div(F.greatest(F.col(a) - d, F.lit(0)), side).cast("int") for d in (0, k - 1)]))
         cells = cells.withColumn(t, F.explode(starts))
@@ -103,7 +104,8 @@ def window_sums(mask: DataFrame, height: int, width: int, k: int, empty: bool =
         y0, x0 = (group.column(t)[0].as_py() * side for t in ("ty", "tx"))
         h, w = min(side, down - y0), min(side, across - x0)
         if h <= 0 or w <= 0:
-            return pa.table({c: pa.array([], t) for c, t in (("y", pa.int32()), ("x", pa.int32()), ("total", pa.int64()))})
+            places = pa.table({c: pa.array([], t) for c, t in (("y", pa.int32()), ("x", pa.int32()), ("total", pa.int64()))})
+            return pa.table([*[group.column(c).slice(0, 0) for c in by], *places.columns], names=[*by, *places.column_names])
         sums = np.zeros((h + k, w + k), dtype=np.int64)
         y, x = (group.column(c).to_numpy() - o for c, o in (("y", y0), ("x", x0)))
         inside = (y < h + k - 1) & (x < w + k - 1)
@@ -111,28 +113,35 @@ def window_sums(mask: DataFrame, height: int, width: int, k: int, empty: bool =
         sums = sums.cumsum(axis=0).cumsum(axis=1)
         total = sums[k:, k:] - sums[:-k, k:] - sums[k:, :-k] + sums[:-k, :-k]
         at = np.indices(total.shape)
-        return pa.table({"y": (at[0] + y0).ravel().astype("int32"), "x": (at[1] + x0).ravel().astype("int32"), "total": total.ravel()})
+        surface = [group.column(c).take(pa.array(np.zeros(total.size, dtype=np.int64))) for c in by]
+        places = [pa.array((at[0] + y0).ravel().astype("int32")), pa.array((at[1] + x0).ravel().astype("int32")), pa.array(total.ravel())]
+        return pa.table([*surface, *places], names=[*by, "y", "x", "total"])
 
-    found = cells.groupBy("ty", "tx").applyInArrow(table, "y int, x int, total bigint")
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "y int", "x int", "total bigint"])
+    found = cells.groupBy(*by, "ty", "tx").applyInArrow(table, schema)
     if not empty or down <= 0 or across <= 0:
         return found
     rows, columns = -(-down // side), -(-across // side)
-    tiles = mask.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).cast("int").alias("ty"), (F.col("id") % columns).cast("int").alias("tx"))
-    bare = tiles.join(cells.select("ty", "tx").distinct(), ["ty", "tx"], "left_anti")
+    surfaces = cells.select(*by).distinct() if by else mask.sparkSession.range(1).select()
+    tiles = surfaces.withColumn("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows * columns - 1).cast("bigint")))).select(
+        *by, F.floor(F.col("id") / columns).cast("int").alias("ty"), (F.col("id") % columns).cast("int").alias("tx")
+    )
+    bare = join_by(tiles, cells.select(*by, "ty", "tx").distinct(), by, "left_anti", ["ty", "tx"])
     place = lambda t, n: F.explode(F.sequence(F.col(t) * side, F.least(F.col(t) * side + side, F.lit(n)) - 1))
     bare = bare.withColumn("y", place("ty", down)).withColumn("x", place("tx", across))
-    return found.unionAll(bare.select("y", "x", F.lit(0).cast("bigint").alias("total")))
+    return found.unionAll(bare.select(*by, "y", "x", F.lit(0).cast("bigint").alias("total")))
 
 
-def densest_window(mask: DataFrame, height: int, width: int, k: int) -> DataFrame:
-    """The fullest k x k window, the first in row-major order on a tie; only windows near a pixel are looked at.
+def densest_window(mask: DataFrame, height: int, width: int, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The fullest k x k window of each surface, the first in row-major order on a tie; only windows near a pixel are looked at.
 
-    Of an empty mask it is the first window of all; a canvas smaller than a window has none.
+    Of an empty mask it is the first window of all; a canvas smaller than a window has none.  With
+    ``by`` a surface without pixels is not there.
     """
     best = F.max(F.struct("total", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
     first = F.when(F.lit(k <= min(height, width)), F.lit(0))
-    return window_sums(mask, height, width, k, empty=False).where("total > 0").agg(best.alias("b")).select(
-        F.coalesce(-F.col("b.y"), first).alias("y"), F.coalesce(-F.col("b.x"), first).alias("x"), F.coalesce("b.total", first.cast("bigint")).alias("total")
+    return window_sums(mask, height, width, k, False, by).where("total > 0").groupBy(*by).agg(best.alias("b")).select(
+        *by, F.coalesce(-F.col("b.y"), first).alias("y"), F.coalesce(-F.col("b.x"), first).alias("x"), F.coalesce("b.total", first.cast("bigint")).alias("total")
     )
 
 

@@ -135,6 +135,18 @@ MASK = f"""mask AS (
   SELECT DISTINCT {_yx_sql('l_orderkey')} FROM lineitem WHERE l_discount >= cast(0.09 AS DOUBLE))"""
 
 
+def surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Three surfaces and one without a name, whose coordinates overlap: surface, y, x, a, b."""
+    return table(spark, sf, "lineitem").where(F.col("l_discount") >= F.lit(0.05)).groupBy(
+        F.when(F.col("l_linenumber") <= 3, F.col("l_linenumber")).alias("surface"), *_yx("l_orderkey")
+    ).agg(F.max("l_quantity").alias("a"), F.max("l_tax").alias("b"))
+
+
+SURFACES = f"""surfaces AS (
+  SELECT CASE WHEN l_linenumber <= 3 THEN l_linenumber END AS surface, {_yx_sql('l_orderkey')}, max(l_quantity) AS a, max(l_tax) AS b
+  FROM lineitem WHERE l_discount >= cast(0.05 AS DOUBLE) GROUP BY 1, 2, 3)"""
+
+
 # -- volumes and profiles ---------------------------------------------------------------
 
 

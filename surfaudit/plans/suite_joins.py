@@ -208,6 +208,15 @@ def c10(spark, sf):
     return m.pearson(shifted, "a", "b", ["dy", "dx"])
 
 
+@register("c10_shifted_by_surface", "surface:i dy:i dx:i n:i a:d b:d",
+          f"""WITH {b.SURFACES}, s AS (SELECT * FROM (VALUES (0, 0), (3, 0), (0, 5), (-4, 2)) t(dy, dx))
+SELECT p.surface, dy, dx, count(*) AS n, avg(p.a) AS a, avg(q.b) AS b FROM s JOIN surfaces q ON true
+JOIN surfaces p ON p.surface IS NOT DISTINCT FROM q.surface AND p.y = q.y + dy AND p.x = q.x + dx GROUP BY p.surface, dy, dx""")
+def c10_by_surface(spark, sf):
+    shifted = jn.shifted_views(b.surfaces(spark, sf), [(0, 0), (3, 0), (0, 5), (-4, 2)], ["surface"])
+    return shifted.groupBy("surface", "dy", "dx").agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+
+
 COVER = """cover AS (SELECT *, unnest(range(x0 // 16, (x1 - 1) // 16 + 1)) AS kx
   FROM (SELECT *, unnest(range(y0 // 16, (y1 - 1) // 16 + 1)) AS ky FROM boxes)),
 area AS (SELECT *, (least(y1, (ky + 1) * 16) - greatest(y0, ky * 16)) * (least(x1, (kx + 1) * 16) - greatest(x0, kx * 16)) AS a FROM cover)"""

@@ -71,6 +71,18 @@ def e07(spark, sf):
     return wn.densest_window(px, height, b.WIDTH, 12)
 
 
+@register("e07_densest_by_surface", "surface:i y:i x:i total:i",
+          f"""WITH {b.SURFACES}, h AS (SELECT max(y) + 1 AS h FROM surfaces),
+o AS (SELECT * FROM (SELECT unnest(range(12)) AS dy) CROSS JOIN (SELECT unnest(range(12)) AS dx)),
+t AS (SELECT surface, y - dy AS y, x - dx AS x, count(*) AS total FROM surfaces CROSS JOIN o GROUP BY 1, 2, 3)
+SELECT surface, y, x, total FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY total DESC, y, x) AS r FROM t, h
+  WHERE y BETWEEN 0 AND h - 12 AND x BETWEEN 0 AND {b.WIDTH} - 12) WHERE r = 1""")
+def e07_by_surface(spark, sf):
+    px = b.surfaces(spark, sf)
+    height = px.agg(F.max("y") + 1).first()[0]  # canvas size, one number
+    return wn.densest_window(px, height, b.WIDTH, 12, ["surface"])
+
+
 @register("e08_rank_within", "o_custkey:i o_orderkey:i rank:i",
           """SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank
 FROM orders) WHERE rank <= 3""")

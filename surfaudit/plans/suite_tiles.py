@@ -28,6 +28,17 @@ def i05_close(spark, sf):
     return tl.close(b.mask(spark, sf), 2, b.canvas(spark, sf))
 
 
+@register("i05_close_by_surface", "surface:i y:i x:i",
+          f"""WITH {b.SURFACES}, {DISK}, cs AS (SELECT max(y) + 1 AS h, {b.WIDTH} AS w FROM surfaces),
+d AS (SELECT DISTINCT s.surface, s.y + dy AS y, s.x + dx AS x FROM surfaces s CROSS JOIN k CROSS JOIN cs
+WHERE s.y + dy >= 0 AND s.y + dy < h AND s.x + dx >= 0 AND s.x + dx < w)
+SELECT surface, y - dy AS y, x - dx AS x FROM d CROSS JOIN k GROUP BY 1, 2, 3 HAVING count(*) = 13""")
+def i05_close_by_surface(spark, sf):
+    px = b.surfaces(spark, sf)
+    height = px.agg(F.max("y") + 1).first()[0]  # canvas size, one number
+    return tl.close(px, 2, (height, b.WIDTH), ["surface"])
+
+
 def patches(spark, sf):
     """Voxels of 7 x 32 x 32 patches with a second field s marking the surface."""
     line = b.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
