@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit, vertex_valid
-from surfaudit.operators.prefix import exact_quantiles
+from surfaudit.operators.prefix import exact_quantiles, join_by
 from surfaudit.operators.windows import central_diff
 from surfaudit.session import cut_lineage
 
@@ -16,17 +16,17 @@ AXES = ("x", "y", "z")
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
-def stencil(points: DataFrame, values: Sequence[str], corners=CORNERS) -> DataFrame:
-    """(v, u, <value>_<dv><du>): each lattice point with its right, lower and diagonal neighbours.
+def stencil(points: DataFrame, values: Sequence[str], corners=CORNERS, by: Sequence[str] = ()) -> DataFrame:
+    """(by, v, u, <value>_<dv><du>): each lattice point with its right, lower and diagonal neighbours on its surface.
 
     One hash aggregate over shifted copies; a missing neighbour leaves NULLs.
     """
     shifts = F.array(*[F.struct(F.lit(a).alias("dv"), F.lit(b).alias("du")) for a, b in corners])
-    moved = points.select("v", "u", *values, F.explode(shifts).alias("o")).select(
-        (F.col("v") - F.col("o.dv")).alias("v"), (F.col("u") - F.col("o.du")).alias("u"), "o.*", *values
+    moved = points.select(*by, "v", "u", *values, F.explode(shifts).alias("o")).select(
+        *by, (F.col("v") - F.col("o.dv")).alias("v"), (F.col("u") - F.col("o.du")).alias("u"), "o.*", *values
     )
     pick = lambda c, a, b: F.max(F.when((F.col("dv") == a) & (F.col("du") == b), F.col(c))).alias(f"{c}_{a}{b}")
-    return moved.groupBy("v", "u").agg(*[pick(c, a, b) for c in values for a, b in corners])
+    return moved.groupBy(*by, "v", "u").agg(*[pick(c, a, b) for c in values for a, b in corners])
 
 
 def valid_vertices(grid: DataFrame, mode: str) -> DataFrame:
@@ -45,20 +45,21 @@ def _edge(corner: str) -> list[Column]:
     return [F.col(f"{c}_{corner}") - F.col(f"{c}_00") for c in AXES]
 
 
-def neighbour_edges(grid: DataFrame, mode: str = "strict") -> DataFrame:
-    """(v, u, direction, distance) of valid vertex pairs to the right (u) and below (v)."""
-    table = stencil(valid_vertices(grid, mode), AXES, ((0, 0), (0, 1), (1, 0)))
+def neighbour_edges(grid: DataFrame, mode: str = "strict", by: Sequence[str] = ()) -> DataFrame:
+    """(by, v, u, direction, distance) of valid vertex pairs to the right (u) and below (v)."""
+    table = stencil(valid_vertices(grid, mode), AXES, ((0, 0), (0, 1), (1, 0)), by)
     both = F.array(
         F.struct(F.lit("u").alias("direction"), length(_edge("01")).alias("distance")),
         F.struct(F.lit("v").alias("direction"), length(_edge("10")).alias("distance")),
     )
-    return table.select("v", "u", F.explode(both).alias("e")).select("v", "u", "e.*").where("distance is not null")
+    return table.select(*by, "v", "u", F.explode(both).alias("e")).select(*by, "v", "u", "e.*").where("distance is not null")
 
 
-def grid_continuity(grid: DataFrame, spacing: float, tolerance: float, jump: float) -> DataFrame:
+def grid_continuity(grid: DataFrame, spacing: float, tolerance: float, jump: float, by: Sequence[str] = ()) -> DataFrame:
+    """Edge lengths per surface and direction against the expected spacing."""
     jumps = F.sum(F.when(F.col("value") > lit(spacing * jump), F.col("n")).otherwise(0))
     q = exact_quantiles(
-        neighbour_edges(grid), "distance", {"min": 0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "max": 1}, ["direction"],
+        neighbour_edges(grid, by=by), "distance", {"min": 0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "max": 1}, [*by, "direction"],
         abrupt_jumps=jumps,
     )
     error = F.abs(F.col("p50") - lit(spacing)) / lit(spacing)
@@ -67,35 +68,35 @@ def grid_continuity(grid: DataFrame, spacing: float, tolerance: float, jump: flo
     ).withColumnRenamed("n", "edges")
 
 
-def grid_vertices(grid: DataFrame) -> DataFrame:
-    """Vertex counts by state and the bounds of the valid ones."""
+def grid_vertices(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Vertex counts by state and the bounds of the valid ones, per surface."""
     x, y, z = (F.col(c) for c in AXES)
     every = (x == -1) & (y == -1) & (z == -1)
     some = ((x == -1) | (y == -1) | (z == -1)) & ~every
     ok = vertex_valid(x, y, z)
-    return grid.agg(
+    return grid.groupBy(*by).agg(
         F.count(F.lit(1)).alias("vertices"), F.count_if(ok).alias("valid"), F.count_if(some).alias("partial_sentinel"),
         *[F.min(F.when(ok, F.col(c))).alias(f"{c}_min") for c in AXES],
         *[F.max(F.when(ok, F.col(c))).alias(f"{c}_max") for c in AXES],
     )
 
 
-def quad_cells(grid: DataFrame, mode: str = "strict") -> DataFrame:
-    """(v, u, area, nx, ny, nz): valid quads, their parallelogram area and normal."""
-    table = stencil(valid_vertices(grid, mode), AXES)
+def quad_cells(grid: DataFrame, mode: str = "strict", by: Sequence[str] = ()) -> DataFrame:
+    """(by, v, u, area, nx, ny, nz): valid quads, their parallelogram area and normal."""
+    table = stencil(valid_vertices(grid, mode), AXES, by=by)
     whole = F.lit(True)
     for a, b in CORNERS:
         whole = whole & F.col(f"x_{a}{b}").isNotNull()
     normal = cross(_edge("01"), _edge("10"))
     return table.where(whole).select(
-        "v", "u", length(normal).alias("area"), *[c.alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))]
+        *by, "v", "u", length(normal).alias("area"), *[c.alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))]
     )
 
 
-def _unit_dots(quads: DataFrame) -> DataFrame:
-    """(v, u, direction, dot) of unit normals of adjacent quads."""
-    unit = quads.where("area > 0").select("v", "u", *[(F.col(n) / F.col("area")).alias(n) for n in ("nx", "ny", "nz")])
-    table = stencil(unit, ("nx", "ny", "nz"), ((0, 0), (0, 1), (1, 0)))
+def _unit_dots(quads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, v, u, direction, dot) of unit normals of adjacent quads."""
+    unit = quads.where("area > 0").select(*by, "v", "u", *[(F.col(n) / F.col("area")).alias(n) for n in ("nx", "ny", "nz")])
+    table = stencil(unit, ("nx", "ny", "nz"), ((0, 0), (0, 1), (1, 0)), by)
     dot = lambda corner: sum(
         (F.col(f"{n}_00") * F.col(f"{n}_{corner}") for n in ("ny", "nz")), F.col("nx_00") * F.col(f"nx_{corner}")
     )
@@ -103,24 +104,26 @@ def _unit_dots(quads: DataFrame) -> DataFrame:
         F.struct(F.lit("u").alias("direction"), dot("01").alias("dot")),
         F.struct(F.lit("v").alias("direction"), dot("10").alias("dot")),
     )
-    return table.select("v", "u", F.explode(both).alias("e")).select("v", "u", "e.*").where("dot is not null")
+    return table.select(*by, "v", "u", F.explode(both).alias("e")).select(*by, "v", "u", "e.*").where("dot is not null")
 
 
-def grid_topology(grid: DataFrame) -> DataFrame:
-    """Quads, degenerate ones, and flips between neighbouring unit normals, one row."""
-    quads = cut_lineage(quad_cells(grid))  # one row per quad, read four times below
-    median = exact_quantiles(quads, "area", {"q": 0.5}).select("q").scalar()
-    base = quads.withColumn("_m", median).agg(
-        F.count(F.lit(1)).alias("quads"),
-        F.count_if(F.col("area") <= F.col("_m") * lit(0.01)).alias("degenerate"),
-        F.max("_m").alias("median_area"),
-    )
+def grid_topology(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Quads, degenerate ones, and flips between neighbouring unit normals: one row, or one per surface."""
+    by = list(by)
+    quads = cut_lineage(quad_cells(grid, by=by))  # one row per quad, read four times below
+    medians = exact_quantiles(quads, "area", {"_m": 0.5}, by)
+    degenerate = F.count_if(F.col("area") <= F.col("_m") * lit(0.01)).alias("degenerate")
     flips = F.sum(F.when(F.col("value") < 0, F.col("n")).otherwise(0))
-    dots = exact_quantiles(_unit_dots(quads), "dot", {"p01": 0.01}, flips=flips).select(
-        F.struct("n", "p01", "flips").alias("d")
-    ).scalar()
-    return base.withColumn("_d", dots).select(
-        "quads", "degenerate", "median_area", F.col("_d.n").alias("normal_pairs"),
+    dots = exact_quantiles(_unit_dots(quads, by), "dot", {"p01": 0.01}, by, flips=flips)
+    total = F.count(F.lit(1)).alias("quads")
+    if by:
+        base = join_by(quads.select(*by, "area"), medians.select(*by, "_m"), by).groupBy(*by).agg(total, degenerate, F.max("_m").alias("median_area"))
+        found = join_by(base, dots.select(*by, F.struct("n", "p01", "flips").alias("_d")), by, "left")
+    else:
+        base = quads.withColumn("_m", medians.select("_m").scalar()).agg(total, degenerate, F.max("_m").alias("median_area"))
+        found = base.withColumn("_d", dots.select(F.struct("n", "p01", "flips").alias("d")).scalar())
+    return found.select(
+        *by, "quads", "degenerate", "median_area", F.col("_d.n").alias("normal_pairs"),
         F.col("_d.flips").alias("normal_flips"), F.col("_d.p01").alias("dot_p01"),
     )
 

@@ -249,6 +249,49 @@ def i09(spark, sf):
     return gr.grid_topology(b.grid(spark, sf))
 
 
+def grid_surfaces(spark, sf):
+    """The grid cut into strips whose coordinates overlap; one has no name."""
+    strip = F.floor(F.col("u") / 40).cast("int")
+    return b.grid(spark, sf).select(F.when(strip < 3, strip).alias("surface"), "v", (F.col("u") % 40).alias("u"), "x", "y", "z")
+
+
+STRIPS = f"{b.GRID.replace('grid AS (', 'one AS (', 1)}, grid AS (SELECT CASE WHEN u // 40 < 3 THEN u // 40 END AS surface, v, u % 40 AS u, x, y, z FROM one)"
+STRIP_EDGES = f"""gv AS (SELECT * FROM grid WHERE {b.STRICT}),
+edges AS (SELECT a.surface, 'u' AS direction, sqrt((r.x - a.x) * (r.x - a.x) + (r.y - a.y) * (r.y - a.y) + (r.z - a.z) * (r.z - a.z)) AS distance
+  FROM gv a JOIN gv r ON r.surface IS NOT DISTINCT FROM a.surface AND r.v = a.v AND r.u = a.u + 1
+UNION ALL SELECT a.surface, 'v', sqrt((r.x - a.x) * (r.x - a.x) + (r.y - a.y) * (r.y - a.y) + (r.z - a.z) * (r.z - a.z))
+  FROM gv a JOIN gv r ON r.surface IS NOT DISTINCT FROM a.surface AND r.v = a.v + 1 AND r.u = a.u)"""
+
+
+@register("i08_continuity_by_surface", "surface:i direction:s edges:i min:d p50:d max:d within_tolerance:b abrupt_jumps:i",
+          f"""WITH {STRIPS}, {STRIP_EDGES}
+SELECT surface, direction, count(*) AS edges, min(distance) AS "min", quantile_cont(distance, 0.5) AS p50, max(distance) AS "max",
+ abs(quantile_cont(distance, 0.5) - 20) / 20 <= cast(0.05 AS DOUBLE) AS within_tolerance,
+ count(*) FILTER (WHERE distance > cast(21.5 AS DOUBLE)) AS abrupt_jumps FROM edges GROUP BY surface, direction""")
+def i08_by_surface(spark, sf):
+    return gr.grid_continuity(grid_surfaces(spark, sf), 20, 0.05, 1.075, ["surface"])
+
+
+@register("i09_topology_by_surface", "surface:i quads:i degenerate:i median_area:d normal_pairs:i normal_flips:i",
+          f"""WITH {STRIPS}, gq AS (SELECT * FROM grid WHERE {b.STRICT}),
+qn AS (SELECT a.surface, a.v, a.u, (r.y - a.y) * (d.z - a.z) - (r.z - a.z) * (d.y - a.y) AS nx, (r.z - a.z) * (d.x - a.x) - (r.x - a.x) * (d.z - a.z) AS ny,
+   (r.x - a.x) * (d.y - a.y) - (r.y - a.y) * (d.x - a.x) AS nz
+  FROM gq a JOIN gq r ON r.surface IS NOT DISTINCT FROM a.surface AND r.v = a.v AND r.u = a.u + 1
+  JOIN gq d ON d.surface IS NOT DISTINCT FROM a.surface AND d.v = a.v + 1 AND d.u = a.u
+  JOIN gq e ON e.surface IS NOT DISTINCT FROM a.surface AND e.v = a.v + 1 AND e.u = a.u + 1),
+quads AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS area FROM qn),
+un AS (SELECT surface, v, u, nx / area AS nx, ny / area AS ny, nz / area AS nz FROM quads WHERE area > 0),
+dots AS (SELECT a.surface, a.nx * c.nx + a.ny * c.ny + a.nz * c.nz AS dot FROM un a JOIN un c ON c.surface IS NOT DISTINCT FROM a.surface
+  AND (c.v = a.v AND c.u = a.u + 1 OR c.v = a.v + 1 AND c.u = a.u)),
+m AS (SELECT surface, median(area) AS m FROM quads GROUP BY surface),
+q AS (SELECT quads.surface, count(*) AS quads, count(*) FILTER (WHERE area <= m * cast(0.01 AS DOUBLE)) AS degenerate, max(m) AS median_area
+  FROM quads JOIN m ON m.surface IS NOT DISTINCT FROM quads.surface GROUP BY quads.surface),
+n AS (SELECT surface, count(*) AS normal_pairs, count(*) FILTER (WHERE dot < 0) AS normal_flips FROM dots GROUP BY surface)
+SELECT q.*, normal_pairs, normal_flips FROM q LEFT JOIN n ON n.surface IS NOT DISTINCT FROM q.surface""")
+def i09_by_surface(spark, sf):
+    return gr.grid_topology(grid_surfaces(spark, sf), ["surface"])
+
+
 @register("i10_pixel_area", "y:i x:i area_um2:d",
           f"""WITH {b.GRID}, {quads_sql(b.NOT_ALL)}, {b.TRUTH}
 SELECT t.y, t.x, q.area * cast(4 AS DOUBLE) / 25 AS area_um2 FROM truth t LEFT JOIN quads q ON q.v = t.y // 5 AND q.u = t.x // 5 WHERE t.valid""")
