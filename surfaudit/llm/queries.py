@@ -14,28 +14,32 @@ from surfaudit.llm.resampling import clean_ids, resample, target_share
 from surfaudit.llm.sharding import shard_documents
 from surfaudit.llm.simhash import simhash_components
 from surfaudit.llm.spelling import spelling_variants
-from surfaudit.llm.substring import dedup_substrings
+from surfaudit.llm.substring import GRAM, WINDOW, cut_spans
 from surfaudit.llm.toxicity import score_toxicity
 from surfaudit.llm.turn_trie import conversation_trie
 from surfaudit.llm.vectors import near_vectors
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of `documents`; null texts and texts without a letter are `und`, rows of one id are judged apart."""
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    """Repeated 20-word windows of `documents`, first places kept; a null text has no word, rows of one id are ordered by their text."""
+    cut = cut_spans(table(spark, sf_dir, "documents"), ["doc_id"], WINDOW, GRAM, "doc_id", "text")
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every text of `documents`; null texts have no word, repeated rows give a row each."""
     found = contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, "contaminated")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text of `documents` and their decoding; null and empty texts have no token."""
     coded = encode_texts(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
@@ -45,28 +49,34 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight and Gumbel key of every text of `documents`; texts without words have no weight, ties go by key."""
     labels = table(spark, sf_dir, "labels")
     return resample(table(spark, sf_dir, "documents"), clean_ids(labels), target_share(labels))
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text of `documents` and its component; texts without words share fingerprint zero."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page of `pages`; null and empty html give an empty text."""
     return page_texts(table(spark, sf_dir, "pages"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of every whole text of `documents` under the clean and the whole corpus; empty texts have none."""
     return score_documents(table(spark, sf_dir, "documents"), clean_ids(table(spark, sf_dir, "labels")))
 
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector of `embeddings`; vectors that are null, zero or not finite stay alone."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of `documents` under the law `bytes`; a null text has one byte, copies stay together below a grain."""
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=16)
     none = F.lit(None).cast("int").alias("grown_shard")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
