@@ -11,7 +11,8 @@ from surfaudit.llm.bpe import RANKS
 from surfaudit.llm.common import table
 from surfaudit.llm.language import Packer, held_out, learn_dictionaries
 from surfaudit.llm.queries import ORACLES, QUERIES
-from tests.llm.test_operators import SF, brute_contamination, brute_substrings, roots, slow_fingerprint
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import SF, brute_contamination, brute_substrings
 
 
 def brute_pipeline(spark, sf):
@@ -19,9 +20,8 @@ def brute_pipeline(spark, sf):
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     packer = Packer(learn_dictionaries(docs.where(~held_out())))  # the sample is drawn by Spark, the judging is not
     rows = [(i, t) for i, t in rows if packer.judge(t)[3]]
-    prints = [slow_fingerprint(t) for _, t in rows]
-    close = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
-    rows = [r for k, (r, root) in enumerate(zip(rows, roots(len(rows), close))) if k == root]
+    first = brute_kept(rows)
+    rows = [(i, t) for i, t in rows if i in first]
     cut = brute_substrings(rows)
     rows = [(i, kept if gone else t) for (i, t), (n, gone, kept) in zip(rows, cut) if gone < n or not n]
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
@@ -56,5 +56,5 @@ def test_stages_take_empty_and_odd_documents(spark, odd_docs):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
