@@ -138,7 +138,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, margin, accepted) per row, learned from rows not held out."""
+    """(doc_id, held_out, lang_pred, score, margin, accepted) per row, learned from rows not held out.
+
+    Rows that repeat a doc_id are judged one by one, each on its whole text however long; a null
+    doc_id is not held out.  Only the three columns named are read, so others may have any name.
+    An empty table gives no row, one without a label gives ``und`` throughout.
+    """
     learned = learn_dictionaries(docs.where(~held_out(id_col)), text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), language_of(F.col(text_col), learned).alias("p"))
     return found.select("doc_id", "held_out", "p.*")
