@@ -182,14 +182,13 @@ def draw_weights(blocks: DataFrame, key: str, reps: int, seed: int) -> DataFrame
     """
     p = 2147483647
     numbered = dense_index(blocks, key)
-    n = numbered.agg(F.max("n_keys")).scalar()
-    slots = (
-        blocks.sparkSession.range(reps).withColumnRenamed("id", "rep").withColumn("_n", n)
-        .select("rep", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("slot"))
-    )
-    k = F.pmod(F.col("rep") * 7919 + F.col("slot") * 104729 + seed, F.lit(p))
-    idx = (((k * k) % p) * 48271 % p) % F.col("_n")
-    weights = slots.select("rep", idx.alias("idx")).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
+    n = numbered.agg(F.max("n_keys")).first()[0] or 0
+    # A range has a known size; draws made by exploding a few rows would be taken for few, and broadcast.
+    drawn = blocks.sparkSession.range(reps * n)
+    rep, slot = F.floor(F.col("id") / F.lit(n)).cast("bigint"), F.col("id") % n
+    k = F.pmod(rep * 7919 + slot * 104729 + seed, F.lit(p))
+    idx = (((k * k) % p) * 48271 % p) % F.lit(n)
+    weights = drawn.select(rep.alias("rep"), idx.alias("idx")).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
     return weights.join(numbered.select("idx", key), "idx").select("rep", key, "w")
 
 

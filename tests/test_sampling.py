@@ -138,3 +138,39 @@ def test_single_class_replicates_are_skipped(rows):
 def test_top_fraction_keeps_ties(rows):
     df = rows("s double", [(1.0,), (2.0,), (3.0,), (3.0,)])
     assert rk.top_fraction(df, "s", 0.25).count() == 2
+
+
+def broadcast_rows(spark, first):
+    """Row counts of all broadcasts of the executions numbered from ``first`` on."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(first, runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                found = values.get(m.accumulatorId())
+                if node.name().startswith("BroadcastExchange") and m.name() == "number of output rows" and found.isDefined():
+                    out.append(int(found.get().replace(",", "")))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["mean", "metric"])
+def test_bootstrap_draws_are_not_broadcast(spark, rows, kind):
+    """Draws grow as blocks times replicates; made by exploding a short range they were taken for few."""
+    df = rows("block int, s double, positive boolean", [(b, (b * 7 % 11) / 10 + v / 100, (b + v) % 3 == 0) for b in range(100) for v in range(3)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        r = (sp.mean_bootstrap(df, "block", "s", 400, 3) if kind == "mean" else sp.block_bootstrap(df, "positive", "s", "block", 400, 3)).first()
+        assert r["valid_replicates"] == 400
+        assert max(broadcast_rows(spark, first), default=0) <= 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_resample_deals_a_hot_block_into_parts(rows):
+    counts = rows("block int, score int, n long, pos long", [(b, s, 1 + s % 3, s % 2) for b, top in ((0, 500), (1, 3), (2, 1)) for s in range(top)])
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(sp.resample(counts, "block", ["score"], 6, 3, at_once=16)) == key(sp.resample(counts, "block", ["score"], 6, 3))
