@@ -193,17 +193,18 @@ def draw_weights(blocks: DataFrame, key: str, reps: int, seed: int) -> DataFrame
 
 
 def resample(
-    counts: DataFrame, block: str, keys: Sequence[str], reps: int, seed: int, salts: int = 8
+    counts: DataFrame, block: str, keys: Sequence[str], reps: int, seed: int, at_once: int = 1024
 ) -> DataFrame:
     """(rep, keys, n, pos): collapsed block counts added up with their draw weights.
 
-    A hot block is spread over ``salts`` tasks: its count rows are split by a hash of their
-    keys and its weights, at most one per replicate, are repeated.
+    The count rows of a hot block are dealt by a hash of their keys into parts of about
+    ``at_once``, and its weights, at most one per replicate, are repeated for each part.
     """
     counts = cut_lineage(counts)
-    weights = draw_weights(counts.select(block).distinct(), block, reps, seed)
-    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
-    spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    parts = counts.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / at_once).cast("int").alias("_parts"))
+    weights = draw_weights(parts.select(block), block, reps, seed)
+    salted = counts.join(parts, block).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.col("_parts")).cast("int")).drop("_parts")
+    spread = weights.join(parts, block).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return spread.join(salted, [block, "_salt"]).groupBy("rep", *keys).agg(
         F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")
     )
