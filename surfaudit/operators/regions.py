@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit, region_id
 from surfaudit.operators.prefix import exact_quantiles, join_by
+from surfaudit.session import scratch
+
+HOT_BIN = 1 << 14  # points of a bin that are gathered to be sorted
 
 
 def summarize_regions(px: DataFrame, size: int, min_valid: float, canvas: tuple[int, int], score: str = "score") -> DataFrame:
@@ -148,22 +151,44 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def density_bins(points: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Points per occupied bin and the median of each axis (a bin may be hot, so no collect)."""
+def density_bins(points: DataFrame, sizes: dict[str, int], hot: int = HOT_BIN) -> DataFrame:
+    """Points per occupied bin and the median of each axis; NULL and NaN coordinates count for neither.
+
+    The values of a bin of up to ``hot`` points are sorted as short arrays, in one shuffle of the
+    points; the medians of bins with more, found by a count first, are read off distributed
+    cumulative counts.
+    """
     axes = list(sizes)
-    binned = points.select(
-        *[floor_div(F.floor(a), s).alias(f"b{a}") for a, s in sizes.items()], *axes
-    )
     keys = [f"b{a}" for a in axes]
-    long = binned.select(
+    place = [floor_div(F.floor(a), s).alias(f"b{a}") for a, s in sizes.items()]
+    value = lambda a: F.when(~F.isnan(F.col(a).cast("double")), F.col(a).cast("double"))
+    binned = points.select(*place, *[value(a).alias(a) for a in axes])
+    many = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).drop("_n")
+    # One bin per ``hot`` points at most; written, so that its size is known.
+    folder = scratch(points.sparkSession, "hot-bins")
+    many.write.parquet(folder)
+    many = points.sparkSession.read.parquet(folder)
+
+    some_hot = not many.isEmpty()
+    few = join_by(binned, many, keys, "left_anti") if some_hot else binned
+    sorted_ = few.groupBy(*keys).agg(*[F.sort_array(F.collect_list(a)).alias(f"_{a}") for a in axes])
+    middle = lambda a, n: F.get(f"_{a}", F.floor(n / 2).cast("int"))
+    low, high = ({a: middle(a, F.size(f"_{a}") - d) for a in axes} for d in (1, 0))
+    meds = sorted_.select(
+        *keys, F.greatest(*[F.size(f"_{a}") for a in axes]).cast("bigint").alias("points"),
+        *[(low[a] + (high[a] - low[a]) * lit(0.5)).alias(f"{a}_med") for a in axes],
+    ).where("points > 0")
+    if not some_hot:
+        return meds
+    long = join_by(binned, many, keys, "left_semi").select(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("c")) for a in axes])).alias("p"),
     ).select(*keys, "p.*")
     med = exact_quantiles(long, "c", {"med": 0.5}, [*keys, "axis"])
-    return med.groupBy(*keys).agg(
+    return meds.unionByName(med.groupBy(*keys).agg(
         F.max("n").alias("points"),
         *[F.max(F.when(F.col("axis") == a, F.col("med"))).alias(f"{a}_med") for a in axes],
-    )
+    ))
 
 
 # -- ledgers --------------------------------------------------------------------------------

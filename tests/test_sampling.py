@@ -174,3 +174,76 @@ def test_resample_deals_a_hot_block_into_parts(rows):
     counts = rows("block int, score int, n long, pos long", [(b, s, 1 + s % 3, s % 2) for b, top in ((0, 500), (1, 3), (2, 1)) for s in range(top)])
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(sp.resample(counts, "block", ["score"], 6, 3, at_once=16)) == key(sp.resample(counts, "block", ["score"], 6, 3))
+
+
+def shuffled_rows(spark, first):
+    """Rows written to shuffles by the executions numbered from ``first`` on."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(first, runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                found = values.get(m.accumulatorId())
+                if m.name() == "shuffle records written" and found.isDefined():
+                    total += int(found.get().replace(",", ""))
+    return total
+
+
+def test_density_bins_of_sparse_points_shuffle_each_point_twice(spark):
+    pts = spark.range(3000).select((F.col("id") * 100.0).alias("z"), (F.col("id") % 70 * 1.0).alias("y"), F.lit(1.5).alias("x"))
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert len(rg.density_bins(pts, {"z": 100, "y": 10, "x": 10}).collect()) == 3000
+    assert shuffled_rows(spark, first) <= 2.1 * 3000
+
+
+@pytest.mark.parametrize("hot", [3, 10, 1000])
+def test_density_bins_equal_plain_medians_around_the_hot_limit(rows, hot):
+    rng, nan, bins = random.Random(3), float("nan"), {}
+    pts = [tuple(rng.choice([None, nan, round(rng.random() * 9, 1)]) if rng.random() < 0.1 else round(rng.random() * 40, 1) for _ in "zyx") for _ in range(150)]
+    floor = lambda v: None if v is None else 0 if math.isnan(v) else int(v // 20)
+    for p in pts:
+        bins.setdefault(tuple(map(floor, p)), []).append(p)
+    want = {}
+    for key, held in bins.items():
+        values = [[v for v in axis if v is not None and not math.isnan(v)] for axis in zip(*held)]
+        if max(map(len, values)):
+            want[key] = (max(map(len, values)), *[float(np.median(v)) if v else None for v in values])
+    got = rg.density_bins(rows("z double, y double, x double", pts), {a: 20 for a in "zyx"}, hot).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, *meds = want[r["bz"], r["by"], r["bx"]]
+        assert r["points"] == n
+        for a, m in zip("zyx", meds):
+            assert r[f"{a}_med"] is None if m is None else math.isclose(r[f"{a}_med"], m)
+
+
+def test_suppression_looks_only_at_the_best_points(spark, monkeypatch):
+    """Far down the order nothing can be kept once the limit is reached: those points stay out of the rounds."""
+    held, cut = [], rk.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(rk, "cut_lineage", counted)
+    pts = spark.range(20000).select(F.col("id").alias("prio"), (F.col("id") * 7 % 199 * 1.0).alias("y"), (F.col("id") * 11 % 101 * 1.0).alias("x"))
+    got = rk.suppress_close(pts, ["y", "x"], "prio", 30.0, 3).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: r["prio"])] == [1, 2, 3]
+    assert sum(held[1:]) < 20000
+
+
+@pytest.mark.parametrize("limit", [2, 60])
+def test_suppression_in_batches_equals_the_greedy_loop(rows, monkeypatch, limit):
+    monkeypatch.setattr(rk, "_batch_bounds", lambda *_: [19, 20, 90, 299])
+    rng = random.Random(limit)
+    pts = [(i, float(rng.randrange(90) if i > 25 else rng.randrange(4)), float(rng.randrange(90) if i > 25 else 1)) for i in range(300)]
+    kept = []
+    for i, y, x in pts:
+        if all(math.hypot(y - b, x - c) >= 9 for _, b, c in kept):
+            kept.append((i, y, x))
+    got = rk.suppress_close(rows("prio int, y double, x double", pts), ["y", "x"], "prio", 9.0, limit).collect()
+    assert sorted(r["prio"] for r in got) == [k[0] for k in kept[:limit]]
