@@ -81,6 +81,22 @@ def top_fraction(df: DataFrame, score: str, fraction: float) -> DataFrame:
     return df.withColumn("cutoff", cut).where(F.col(score) >= F.col("cutoff"))
 
 
+FIRST_BATCH, BATCH_GROWTH = 1 << 12, 8  # best points that suppression looks at first, and how much more each time
+
+
+def _batch_bounds(df: DataFrame, order: str, first: int) -> list:
+    """Ascending values of ``order``, the last its maximum, with about ``first`` rows up to the first
+    and BATCH_GROWTH times as many up to each further one."""
+    n, top = df.agg(F.count(order), F.max(order)).first()
+    shares = []
+    while first < n:
+        shares.append(first / n)
+        first *= BATCH_GROWTH
+    # A few numbers; where they lie decides how much is looked at, not the result.
+    cuts = df.agg(F.percentile_approx(order, shares, 10000)).first()[0] if shares else []
+    return sorted({*cuts, top} - {None})
+
+
 def suppress_close(
     ranked: DataFrame, axes: Sequence[str], priority: str, distance: float, limit: int
 ) -> DataFrame:
@@ -91,6 +107,10 @@ def suppress_close(
     leader, can be next.  A leader better than every leader in reach is kept, as the greedy loop
     would; the open points around it go.  Work per round is linear in cells and open points: no
     pairs of points are listed, however dense a cell is.
+
+    What the greedy loop keeps of the best points does not depend on the others.  So the points
+    come in batches, each BATCH_GROWTH times the one before, the best first, less those around what
+    is kept already; the rest is left alone once ``limit`` points are kept.
     """
     dims = len(axes)
     side = distance / dims**0.5 * (1 - 1e-9)
@@ -107,25 +127,38 @@ def suppress_close(
         return df
 
     gap = reduce(lambda t, a: t + (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")), axes, lit(0))
-    open_points, kept = cut_lineage(points), None
-    while True:
-        first_open = open_points.agg(F.min("p")).first()[0]
-        if first_open is None:
-            break
-        # Everything better than the first open point is final.
-        if kept is not None and kept.where(F.col("p") < first_open).count() >= limit:
-            break
-        leaders = open_points.groupBy(*cells).agg(F.min("p").alias("p"))
-        best_near = around(leaders).groupBy(*cells).agg(F.min("p").alias("best"))
-        chosen = leaders.join(best_near, cells).where("p = best").select("p")
-        chosen = cut_lineage(points.join(chosen, "p", "left_semi"))
+
+    def without(df: DataFrame, chosen: DataFrame) -> DataFrame:
+        """The points of ``df`` that lie around none of ``chosen``."""
         shadow = around(chosen.select(*[F.col(a).alias(f"_{a}") for a in axes], *cells))
-        hit = open_points.join(shadow, cells).where(F.sqrt(gap) < lit(distance)).select("p").distinct()
-        kept = chosen.select("p") if kept is None else kept.unionAll(chosen.select("p"))
-        open_points = cut_lineage(open_points.join(hit, "p", "left_anti"))
+        hit = df.join(shadow, cells).where(F.sqrt(gap) < lit(distance)).select("p").distinct()
+        return cut_lineage(df.join(hit, "p", "left_anti"))
+
+    kept, last = None, None
+    for bound in _batch_bounds(points, "p", max(FIRST_BATCH, 16 * limit)):
+        batch = points.where(F.col("p") <= bound)
+        if last is not None:
+            batch = batch.where(F.col("p") > last)
+        batch, last = cut_lineage(batch), bound
+        open_points = batch if kept is None else without(batch, kept)
+        while True:
+            first_open = open_points.agg(F.min("p")).first()[0]
+            if first_open is None:
+                break
+            # Everything better than the first open point is final.
+            if kept is not None and kept.where(F.col("p") < first_open).count() >= limit:
+                break
+            leaders = open_points.groupBy(*cells).agg(F.min("p").alias("p"))
+            best_near = around(leaders).groupBy(*cells).agg(F.min("p").alias("best"))
+            chosen = leaders.join(best_near, cells).where("p = best").select("p")
+            chosen = cut_lineage(open_points.join(chosen, "p", "left_semi"))
+            kept = chosen if kept is None else kept.unionAll(chosen)
+            open_points = without(open_points, chosen)
+        if kept is not None and kept.count() >= limit:
+            break
     if kept is None:
         return ranked.withColumn("rank", F.lit(1)).limit(0)
-    return top_ranked(ranked.join(kept.withColumnRenamed("p", priority), priority), [F.asc(priority)], limit)
+    return top_ranked(ranked.join(kept.select(F.col("p").alias(priority)), priority), [F.asc(priority)], limit)
 
 
 # -- sets -----------------------------------------------------------------------------------
