@@ -358,6 +358,12 @@ def _contenders(rated: DataFrame, cells: Sequence[str], k: int) -> DataFrame:
     return rated.join(limit, list(cells)).where(keep).drop("_min", "_max", "_last", "_n")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: int, side: float) -> DataFrame:
     """The k nearest boxes of every point, ties by smaller volume and then by id.
 
@@ -365,10 +371,12 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
     each cell that still has open points: cells and boxes meet on a grid of that radius, a cell
     drops every box that k others beat for all of its points, and only then do points and boxes
     meet.  A point with k boxes within the radius is finished; the rest go on with four times
-    the radius until it spans everything.
+    the radius until it spans everything.  Points at one place have the same boxes, so places are
+    looked up in their stead, and of boxes with equal bounds the k first by id are enough.
     """
     from surfaudit.operators.windows import rank_within
 
+    axes = list(axes)
     lo, hi = [F.col(f"{a}0") for a in axes], [F.col(f"{a}1") for a in axes]
     spans = boxes.agg(*[F.min(f"{a}0").alias(f"l{a}") for a in axes], *[F.max(f"{a}1").alias(f"h{a}") for a in axes]).first()
     reach = points.agg(*[F.min(a).alias(f"l{a}") for a in axes], *[F.max(a).alias(f"h{a}") for a in axes]).first()
@@ -382,8 +390,12 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
     least = norm([F.greatest(F.col(f"{a}0") - stop[a], start[a] - F.col(f"{a}1"), lit(0)) for a in axes])
     most = norm([F.greatest(F.col(f"{a}0") - start[a], stop[a] - F.col(f"{a}1"), lit(0)) for a in axes])
 
-    open_points = points.select("point_id", *axes, *[floor_div(F.col(a), side).alias(c) for a, c in zip(axes, cells)])
-    boxes, radius, done = boxes.withColumn("_vol", box_volume(lo, hi)), side, []
+    bounds = [f"{a}{i}" for a in axes for i in (0, 1)]
+    distinct = rank_within(boxes.select("box_id", *bounds), bounds, ["box_id"], k).drop("rank")
+    places = points.select(*axes).distinct().select(*axes, *[floor_div(F.col(a), side).alias(c) for a, c in zip(axes, cells)])
+    # Written, so that their size is known when they are joined.
+    open_points, boxes = _written(places, "places"), _written(distinct.withColumn("_vol", box_volume(lo, hi)), "boxes")
+    radius, done = side, []
     while True:
         # A box lies on the grid whose cells are as wide as itself, so it covers a few of them
         # whatever its extent; a cell of points looks on each grid that holds boxes.
@@ -408,20 +420,21 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
         met = open_points.join(_contenders(rated, cells, k), cells).withColumn(
             "distance", box_distance([F.col(a) for a in axes], lo, hi)
         ).where(F.col("distance") <= lit(radius))
-        best = rank_within(met, ["point_id"], ["distance", "_vol", "box_id"], k).select(
-            "point_id", "box_id", "distance", F.col("_vol").alias("volume"), "rank"
-        )
+        best = _written(rank_within(met, axes, ["distance", "_vol", "box_id"], k).select(
+            *axes, "box_id", "distance", F.col("_vol").alias("volume"), "rank"
+        ), "nearest")
         if radius >= diameter:
             done.append(best)
             break
-        best = cut_lineage(best)
-        full = best.where(F.col("rank") == k).select("point_id")
-        done.append(best.join(full, "point_id", "left_semi"))
-        open_points = cut_lineage(open_points.join(full, "point_id", "left_anti"))
+        full = best.where(F.col("rank") == k).select(*axes)
+        done.append(best.join(full, axes, "left_semi"))
+        open_points = _written(open_points.join(full, axes, "left_anti"), "places")
         if open_points.isEmpty():
             break
         radius *= 4
-    return reduce(DataFrame.unionByName, done)
+    # The points are the long side: they are never broadcast, whatever their file is taken for.
+    held = points.select("point_id", *axes).hint("merge")
+    return held.join(reduce(DataFrame.unionByName, done), axes).select("point_id", "box_id", "distance", "volume", "rank")
 
 
 def validate_reviews(queue: DataFrame, reviews: DataFrame, key: str, options: Sequence[str]) -> DataFrame:

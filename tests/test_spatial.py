@@ -315,3 +315,27 @@ def test_window_sums_equal_numpy(rows, monkeypatch):
     none = rows(YX, cells).where("false")
     assert tuple(wn.densest_window(none, 20, 60, 3).first()) == (0, 0, 0)
     assert tuple(wn.densest_window(none, 2, 60, 3).first()) == (None, None, None)
+
+
+def test_nearest_boxes_meet_copies_of_points_and_boxes_once(spark):
+    """3,000 points at 10 places and 600 boxes of 6 shapes: only places and the first boxes of a shape meet."""
+    from tests.test_sampling import broadcast_rows
+
+    pts = spark.range(3000).select(F.col("id").alias("point_id"), (F.col("id") % 10 * 9.0).alias("y"), (F.col("id") % 5 * 7.0).alias("x"))
+    kind = F.col("id") % 6
+    boxes = spark.range(600).select(F.col("id").alias("box_id"), (kind * 13).alias("y0"), (kind * 13 + 5).alias("y1"), (kind * 4).alias("x0"), (kind * 4 + 3).alias("x1"))
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {(r["point_id"], r["rank"]): (r["box_id"], r["distance"], r["volume"]) for r in jn.nearest_boxes(pts, boxes, ["y", "x"], 4, 8.0).collect()}
+    assert max(broadcast_rows(spark, first), default=0) <= 10 * 6 * 4
+    shapes = [(b, b % 6 * 13, b % 6 * 13 + 5, b % 6 * 4, b % 6 * 4 + 3) for b in range(600)]
+    want = {}
+    for p in range(3000):
+        y, x = p % 10 * 9.0, p % 5 * 7.0
+        if p < 10:
+            best = sorted((math.hypot(max(y0 - y, y - y1, 0), max(x0 - x, x - x1, 0)), (y1 - y0) * (x1 - x0), b) for b, y0, y1, x0, x1 in shapes)[:4]
+        else:
+            best = [(d, v, b) for b, d, v in (want[p % 10, r] for r in range(1, 5))]
+        for rank, (d, v, b) in enumerate(best, 1):
+            want[p, rank] = (b, d, v)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == w[0] and math.isclose(got[k][1], w[1]) and got[k][2] == w[2] for k, w in want.items())
