@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import box_distance, box_volume, floor_div, lit
 from surfaudit.operators.prefix import join_by
 from surfaudit.session import cut_lineage, scratch
 
+VOLUME_CHUNK = 32  # side of the chunks in which points of a volume are sampled
+POINTS_AT_ONCE = 1 << 16  # points of a chunk that one group looks up
 CHUNK = 64  # side of the chunks by which sparse looks are pruned
 
 
@@ -189,15 +194,23 @@ class VoxelReader(Protocol):
     def sample(self, points: DataFrame, key: Sequence[str], how: str) -> DataFrame: ...
 
 
-def sample_volume(points: DataFrame, vox: DataFrame | VoxelReader, key: Sequence[str], how: str = "trilinear") -> DataFrame:
+def sample_volume(
+    points: DataFrame, vox: DataFrame | VoxelReader, key: Sequence[str], how: str = "trilinear", along: Sequence[float] = ()
+) -> DataFrame:
     """(key, sample): value of a sparse volume at fractional (pz, py, px); absent voxels are zero.
 
-    ``vox`` is a table (z, y, x, v) or a reader.
+    ``vox`` is a table (z, y, x, v) or a reader.  ``key`` identifies a point.  With ``along`` each
+    point is sampled at these offsets along its unit vector (nz, ny, nx): (key, offset, sample).
 
-    ``key`` identifies a point.  Samples follow a surface and are few next to the volume, so each one is spread over its
-    corners and the volume is read once, without a copy of it; chunks without a corner are left out while it is scanned.
+    A point goes once to the chunk of the volume it lies in, which has a border as wide as its
+    samples reach, so neither corners nor offsets are shuffled.  The points of a chunk are dealt
+    into groups of bounded size; chunks without a point are left out while the volume is scanned.
     """
     axes = ("z", "y", "x")
+    if along and (how == "nearest" or not isinstance(vox, DataFrame)):
+        moved = points.withColumn("offset", F.explode(F.array(*[lit(o) for o in along])))
+        moved = moved.select(*key, "offset", *[(F.col(f"p{a}") + F.col(f"n{a}") * F.col("offset")).alias(f"p{a}") for a in axes])
+        return sample_volume(moved, vox, [*key, "offset"], how)
     if not isinstance(vox, DataFrame):
         return vox.sample(points, key, "nearest" if how == "nearest" else "linear")
     if how == "nearest":
@@ -205,19 +218,62 @@ def sample_volume(points: DataFrame, vox: DataFrame | VoxelReader, key: Sequence
         return at.join(chunks_wanted(vox.select(*axes, "v"), at, axes), list(axes), "left").select(
             *key, F.coalesce(F.col("v").cast("double"), lit(0)).alias("sample")
         )
-    corners = F.array(*[F.lit(i) for i in range(8)])
-    spread = points.select(*key, "pz", "py", "px", F.explode(corners).alias("_i"))
-    weight = lit(1)
-    cols = []
-    for bit, a in enumerate(axes):
-        on = F.getbit(F.col("_i"), F.lit(bit)) == 1
-        frac = F.col(f"p{a}") - F.floor(f"p{a}")
-        weight = weight * F.when(on, frac).otherwise(1 - frac)
-        cols.append((F.floor(f"p{a}") + on.cast("int")).cast("int").alias(a))
-    # Corners of weight zero are never read.
-    spread = spread.select(*key, *cols, weight.alias("_w")).where("_w > 0")
-    joined = spread.join(chunks_wanted(vox.select(*axes, "v"), spread, axes), list(axes), "left")
-    return joined.groupBy(*key).agg(F.sum(F.col("_w") * F.coalesce("v", F.lit(0))).alias("sample"))
+    key, names = list(key), [f"_k{a}" for a in axes]
+    reach = math.ceil(max(map(abs, along), default=0))
+    held = [*[f"p{a}" for a in axes], *([f"n{a}" for a in axes] if along else [])]
+    home = [floor_div(F.floor(f"p{a}"), VOLUME_CHUNK).alias(n) for a, n in zip(axes, names)]
+    known = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in held])
+    placed = points.where(known).select(*key, *[F.col(c).cast("double").alias(c) for c in held], *home)
+    counts = placed.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / POINTS_AT_ONCE).cast("int").alias("_blocks"))
+    # Few next to points and voxels; written, so that their size and numbers are fixed.
+    blocks = written(counts.withColumn("_chunk", F.monotonically_increasing_id()), "chunk-keys")
+    deal = F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int").alias("_block")
+    dealt = placed.join(blocks, names).select(*key, *held, "_chunk", deal)
+    cells = vox.where("v is not null").select(*[F.col(a).cast("bigint").alias(a) for a in axes], F.col("v").cast("double").alias("v"))
+    for a, n in zip(axes, names):
+        chunk, last = floor_div(F.col(a), VOLUME_CHUNK), floor_div(F.col(a) - reach - 1, VOLUME_CHUNK)
+        cells = cells.withColumn(n, F.explode(F.sequence(last, floor_div(F.col(a) + reach, VOLUME_CHUNK))))
+    cells = cells.join(blocks, names).select(
+        F.col("_chunk").alias("_chunk"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
+        *[(F.col(a) - F.col(n) * VOLUME_CHUNK + reach).cast("int").alias(a) for a, n in zip(axes, names)], "v",
+    )
+    look = _sampler(key, reach, along)
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], *(["offset double"] if along else []), "sample double"])
+    group = ["_chunk", "_block"]
+    return dealt.groupBy(*group).cogroup(cells.groupBy(*group)).applyInArrow(look, schema)
+
+
+def _sampler(key: list[str], reach: int, along: Sequence[float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Trilinear samples of the points of one chunk, from its cells, counted from ``reach`` before the chunk."""
+    side = VOLUME_CHUNK + 2 * reach + 1
+
+    def look(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        take = lambda t, names: np.stack([t.column(n).to_numpy() for n in names], axis=1)
+        dense = np.zeros(side**3)
+        if len(theirs):
+            np.add.at(dense, take(theirs, "zyx").astype(np.int64) @ [side * side, side, 1], theirs.column("v").to_numpy())
+        start = take(mine, ("pz", "py", "px"))
+        # NaN lies in chunk 0, as its floor does, and has the sample NaN.
+        first = np.floor(np.nan_to_num(start[:1])) // VOLUME_CHUNK * VOLUME_CHUNK - reach
+        sums = []
+        for offset in along or (0.0,):
+            places = start + take(mine, ("nz", "ny", "nx")) * offset if along else start
+            base = np.floor(places)
+            part, low = places - base, np.nan_to_num(base - first).astype(np.int64)
+            total = np.where(np.isnan(places).any(axis=1), np.nan, 0.0)
+            for corner in range(8):
+                on = np.array([corner & 1, corner >> 1 & 1, corner >> 2 & 1])
+                weight = np.where(on, part, 1 - part).prod(axis=1)
+                used = np.flatnonzero(weight > 0)  # a corner of weight zero is not read
+                total[used] += weight[used] * dense[(low[used] + on) @ [side * side, side, 1]]
+            sums.append(total)
+        out = pa.concat_tables([mine.select(key)] * len(sums)) if sums else mine.select(key)
+        if along:
+            out = out.append_column("offset", pa.array(np.repeat(np.array(along, dtype="float64"), len(mine))))
+        return out.append_column("sample", pa.array(np.concatenate(sums)))
+
+    return look
 
 
 def resample_mask(mask: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -358,7 +414,8 @@ def _contenders(rated: DataFrame, cells: Sequence[str], k: int) -> DataFrame:
     return rated.join(limit, list(cells)).where(keep).drop("_min", "_max", "_last", "_n")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own below the checkpoint folder, of known size."""
     folder = scratch(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
@@ -394,7 +451,7 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
     distinct = rank_within(boxes.select("box_id", *bounds), bounds, ["box_id"], k).drop("rank")
     places = points.select(*axes).distinct().select(*axes, *[floor_div(F.col(a), side).alias(c) for a, c in zip(axes, cells)])
     # Written, so that their size is known when they are joined.
-    open_points, boxes = _written(places, "places"), _written(distinct.withColumn("_vol", box_volume(lo, hi)), "boxes")
+    open_points, boxes = written(places, "places"), written(distinct.withColumn("_vol", box_volume(lo, hi)), "boxes")
     radius, done = side, []
     while True:
         # A box lies on the grid whose cells are as wide as itself, so it covers a few of them
@@ -420,7 +477,7 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
         met = open_points.join(_contenders(rated, cells, k), cells).withColumn(
             "distance", box_distance([F.col(a) for a in axes], lo, hi)
         ).where(F.col("distance") <= lit(radius))
-        best = _written(rank_within(met, axes, ["distance", "_vol", "box_id"], k).select(
+        best = written(rank_within(met, axes, ["distance", "_vol", "box_id"], k).select(
             *axes, "box_id", "distance", F.col("_vol").alias("volume"), "rank"
         ), "nearest")
         if radius >= diameter:
@@ -428,7 +485,7 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str], k: i
             break
         full = best.where(F.col("rank") == k).select(*axes)
         done.append(best.join(full, axes, "left_semi"))
-        open_points = _written(open_points.join(full, axes, "left_anti"), "places")
+        open_points = written(open_points.join(full, axes, "left_anti"), "places")
         if open_points.isEmpty():
             break
         radius *= 4

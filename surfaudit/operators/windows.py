@@ -39,9 +39,9 @@ def _segmented(df: DataFrame, along: str, size: int, before: int, after: int) ->
 
 
 def central_diff(
-    grid: DataFrame, col: str, along: str, across: str, half: bool = False, alias: str | None = None, by: Sequence[str] = ()
+    grid: DataFrame, col: str | Sequence[str], along: str, across: str, half: bool = False, alias: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Central difference along one axis.
+    """Central difference of one or more columns along one axis; ``alias`` names the result, ``{}`` in it is the column.
 
     Inside it is next - previous, at an edge twice the one-sided difference; ``half`` halves
     both, which is the usual numerical gradient.  A missing cell is an edge to its neighbours,
@@ -50,15 +50,16 @@ def central_diff(
     """
     w = W.partitionBy(*by, across, "_seg").orderBy(along)
     cells = _segmented(grid, along, SEGMENT, 1, 1)
-    here = F.col(col)
-    prev = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(col).over(w))
-    nxt = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(col).over(w))
-    diff = (
-        F.when(prev.isNull(), (nxt - here) * lit(2))
-        .when(nxt.isNull(), (here - prev) * lit(2))
-        .otherwise(nxt - prev)
-    )
-    out = cells.withColumn(alias or f"d{col}", diff / lit(2) if half else diff)
+    before, after = (F.lag(along).over(w) == F.col(along) - 1), (F.lead(along).over(w) == F.col(along) + 1)
+    out = cells
+    for c in [col] if isinstance(col, str) else col:
+        here, prev, nxt = F.col(c), F.when(before, F.lag(c).over(w)), F.when(after, F.lead(c).over(w))
+        diff = (
+            F.when(prev.isNull(), (nxt - here) * lit(2))
+            .when(nxt.isNull(), (here - prev) * lit(2))
+            .otherwise(nxt - prev)
+        )
+        out = out.withColumn((alias or "d{}").format(c), diff / lit(2) if half else diff)
     return out.where("_seg = _own").drop("_seg", "_own")
 
 

@@ -339,3 +339,51 @@ def test_nearest_boxes_meet_copies_of_points_and_boxes_once(spark):
             want[p, rank] = (b, d, v)
     assert got.keys() == want.keys()
     assert all(got[k][0] == w[0] and math.isclose(got[k][1], w[1]) and got[k][2] == w[2] for k, w in want.items())
+
+
+def volume(rng, n=400, span=90):
+    return {(rng.randrange(-2, 4), rng.randrange(-40, span), rng.randrange(-40, span)): float(rng.randrange(256)) for _ in range(n)}
+
+
+def trilinear(cells, p):
+    total = 0.0
+    for corner in range(8):
+        at, weight = [], 1.0
+        for d in range(3):
+            on, base = corner >> d & 1, math.floor(p[d])
+            weight *= (p[d] - base) if on else 1 - (p[d] - base)
+            at.append(base + on)
+        total += weight * cells.get(tuple(at), 0.0)
+    return total
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 16])
+def test_samples_along_normals_equal_brute_force(rows, monkeypatch, at_once):
+    monkeypatch.setattr(jn, "POINTS_AT_ONCE", at_once)
+    rng = random.Random(8)
+    cells = volume(rng, 6000)
+    vox = rows("z int, y int, x int, v int", [(*k, int(v)) for k, v in cells.items()])
+    pts = [(i, rng.uniform(-3, 5), rng.choice([31.0, 31.5, 32.0, -0.5, 63.9, rng.uniform(-45, 95)]), rng.uniform(-45, 95)) for i in range(120)]
+    pts = [(*p, *rng.choice([(0.6, 0.0, -0.8), (0.0, -0.6, 0.8), (1.0, 0.0, 0.0)])) for p in pts]
+    pts.append((500, None, 1.0, 1.0, 0.6, 0.0, -0.8))
+    df = rows("id int, pz double, py double, px double, nz double, ny double, nx double", pts)
+    got = {(r["id"], r["offset"]): r["sample"] for r in jn.sample_volume(df, vox, ["id"], along=[-2.5, 0.0, 1.0]).collect()}
+    want = {(i, o): trilinear(cells, [a + n * o for a, n in zip(p, ns)]) for i, *rest in pts[:-1] for p, ns in [(rest[:3], rest[3:])] for o in (-2.5, 0.0, 1.0)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], w, abs_tol=1e-9) for k, w in want.items())
+    plain = {r["id"]: r["sample"] for r in jn.sample_volume(df, vox, ["id"]).collect()}
+    assert len(plain) == 120 and all(math.isclose(plain[i], want[i, 0.0], abs_tol=1e-9) for i in plain)
+
+
+def test_a_point_is_shuffled_once_not_for_each_corner(spark, rows):
+    from tests.test_sampling import broadcast_rows, shuffled_rows
+
+    pts = spark.range(4000).select("id", *[(F.col("id") % m + F.lit(0.25)).alias(f"p{a}") for a, m in (("z", 3), ("y", 31), ("x", 29))])
+    vox = spark.range(2000).select((F.col("id") % 3).alias("z"), (F.floor(F.col("id") / 3) % 30).alias("y"), F.floor(F.col("id") / 90).alias("x"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    try:
+        first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        assert len(jn.sample_volume(pts, vox, ["id"]).collect()) == 4000
+        assert shuffled_rows(spark, first) < 2 * (4000 + 2000)
+        assert max(broadcast_rows(spark, first), default=0) <= 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
