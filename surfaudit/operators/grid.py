@@ -243,10 +243,12 @@ def registration_report(pairs: DataFrame, block: int, folds: int, holdout: int,
     return q.withColumn("passes", (F.col("p50") <= lit(max_p50)) & (F.col("p90") <= lit(max_p90)))
 
 
-def candidate_geometry(candidates: DataFrame, grid: DataFrame, ratio: tuple[float, float], cell: int = 64) -> DataFrame:
+def candidate_geometry(candidates: DataFrame, grid: DataFrame, ratio: tuple[float, float], cell: int = 8) -> DataFrame:
     """XYZ box of the valid vertices under each candidate's raster bounds.
 
-    Candidates and vertices meet on coarse grid cells, an equi-join in place of a range join.
+    Candidates and vertices meet on grid cells, an equi-join in place of a range join.  The cells
+    are small, so a candidate meets few vertices that it does not hold, and candidates of equal
+    bounds meet them once.
     """
     to = lambda c, r, f: f(F.col(c).cast("double") / lit(r)).cast("int")
     boxes = candidates.select(
@@ -254,18 +256,24 @@ def candidate_geometry(candidates: DataFrame, grid: DataFrame, ratio: tuple[floa
         F.greatest(to("y0", ratio[0], F.floor), F.lit(0)).alias("v0"), to("y1", ratio[0], F.ceil).alias("v1"),
         F.greatest(to("x0", ratio[1], F.floor), F.lit(0)).alias("u0"), to("x1", ratio[1], F.ceil).alias("u1"),
     )
+    bounds = ["v0", "v1", "u0", "u1"]
+    spans = boxes.select(*bounds).distinct()
     for a in ("v", "u"):
-        boxes = boxes.withColumn(
+        spans = spans.where(f"{a}0 < {a}1").withColumn(
             f"_k{a}", F.explode(F.sequence(floor_div(F.col(f"{a}0"), cell), floor_div(F.col(f"{a}1") - 1, cell)))
         )
     points = valid_vertices(grid, "strict").withColumn("_kv", floor_div(F.col("v"), cell)).withColumn(
         "_ku", floor_div(F.col("u"), cell)
     )
-    inside = points.join(boxes, ["_kv", "_ku"]).where("v >= v0 and v < v1 and u >= u0 and u < u1")
-    return inside.groupBy("box_id").agg(
+    inside = points.join(spans, ["_kv", "_ku"]).where("v >= v0 and v < v1 and u >= u0 and u < u1")
+    found = inside.groupBy(*bounds).agg(
         F.count(F.lit(1)).alias("vertices"),
         *[F.min(c).alias(f"{c}_min") for c in AXES], *[F.max(c).alias(f"{c}_max") for c in AXES],
     )
+    return boxes.join(found, bounds).groupBy("box_id").agg(
+        F.sum("vertices").alias("vertices"),
+        *[F.min(f"{c}_min").alias(f"{c}_min") for c in AXES], *[F.max(f"{c}_max").alias(f"{c}_max") for c in AXES],
+    )
 
 
 def out_of_bounds(grid: DataFrame, shape_zyx: tuple[int, int, int]) -> DataFrame:

@@ -387,3 +387,33 @@ def test_a_point_is_shuffled_once_not_for_each_corner(spark, rows):
         assert max(broadcast_rows(spark, first), default=0) <= 10
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def joined_rows(spark, first):
+    """Rows that came out of joins in the executions numbered from ``first`` on."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(first, runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                found = values.get(m.accumulatorId())
+                if "Join" in node.name() and m.name() == "number of output rows" and found.isDefined():
+                    total += int(found.get().replace(",", ""))
+    return total
+
+
+def test_candidates_of_equal_bounds_meet_the_grid_once(spark):
+    vertices = spark.range(2500).select((F.col("id") % 50).alias("v"), F.floor(F.col("id") / 50).alias("u")).withColumn("x", F.col("v") + 1.0).withColumn(
+        "y", F.col("u") + 2.0).withColumn("z", F.lit(5.0))
+    k = F.col("id") % 5
+    boxes = spark.range(2000).select(F.col("id").alias("box_id"), (k * 6).alias("y0"), (k * 6 + 9 + k).alias("y1"), (k * 3).alias("x0"), (k * 3 + 20).alias("x1"))
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {r["box_id"]: tuple(r)[1:] for r in gr.candidate_geometry(boxes, vertices, (2.0, 2.0)).collect()}
+    assert len(got) == 2000 and joined_rows(spark, first) < 4000
+    for b in range(5):
+        v0, v1, u0, u1 = b * 3, -(-(b * 7 + 9) // 2), b * 3 // 2, -(-(b * 3 + 20) // 2)
+        want = ((v1 - v0) * (u1 - u0), v0 + 1.0, u0 + 2.0, 5.0, float(v1), u1 + 1.0, 5.0)
+        assert got[b] == want and got[b + 1995] == want
