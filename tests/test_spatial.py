@@ -417,3 +417,22 @@ def test_candidates_of_equal_bounds_meet_the_grid_once(spark):
         v0, v1, u0, u1 = b * 3, -(-(b * 7 + 9) // 2), b * 3 // 2, -(-(b * 3 + 20) // 2)
         want = ((v1 - v0) * (u1 - u0), v0 + 1.0, u0 + 2.0, 5.0, float(v1), u1 + 1.0, 5.0)
         assert got[b] == want and got[b + 1995] == want
+
+
+def test_closing_shuffles_a_pixel_about_once_and_crosses_tiles(rows, spark):
+    """Two surfaces, one without a name, on a canvas of several tiles with pixels off it; equal to the footprints counted."""
+    from tests.test_sampling import shuffled_rows
+
+    rng = np.random.default_rng(9)
+    px = [(s, int(y), int(x)) for s in (1, None) for y, x in np.argwhere(rng.random((150, 140)) < 0.2) - 3]
+    df = rows("surface int, y int, x int", px)
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = [tuple(r) for r in tl.close(df, 2, (140, 133), ["surface"]).collect()]
+    assert shuffled_rows(spark, first) < 1.4 * len(px)
+    steps = tl.disk(2)
+    for s in (1, None):
+        grown = {(y + a, x + b) for t, y, x in px if t == s for a, b in steps}
+        grown = {(y, x) for y, x in grown if 0 <= y < 140 and 0 <= x < 133}
+        want = {p for p in grown if all((p[0] + a, p[1] + b) in grown for a, b in steps)}
+        mine = [(y, x) for t, y, x in got if t == s]
+        assert set(mine) == want and len(mine) == len(want)
