@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit
@@ -62,47 +63,55 @@ def annulus_pairs(
     """Local control per positive: distance in [dmin, dmax], same block, each control once.
 
     Every positive draws ``attempts`` seeded offsets in order and takes its first free control;
-    earlier positives (hash order) go first.  All positives propose at once, a control keeps
-    its earliest proposer, the others move to their next draw: the fixpoint is the sequential
-    result.  At most max_n pairs per block, the earliest ones.
+    earlier positives (hash order) go first.  At most max_n pairs per block, the earliest ones.
+    Pairs never leave a block, so blocks are served apart: a task holds the pixels of one block,
+    block * block at most, and a positive is shuffled once with the places it draws.
     """
-    span = 2 * dmax + 1
-    drawn = positives.select(
-        "y", "x", hash_order(seed, F.col("y"), F.col("x")).alias("ord"),
-        F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"),
-    ).withColumn("_r", hash_order(seed + 1, F.col("y"), F.col("x"), F.col("attempt")))
-    moved = drawn.select(
-        "y", "x", "ord", "attempt",
-        (F.col("y") + F.col("_r") % span - dmax).cast("int").alias("cy"),
-        (F.col("x") + F.floor(F.col("_r") / span) % span - dmax).cast("int").alias("cx"),
-    ).withColumn("distance", F.sqrt((F.col("cy") - F.col("y")) ** 2 + (F.col("cx") - F.col("x")) ** 2))
-    same = (floor_div(F.col("y"), block) == floor_div(F.col("cy"), block)) & (
-        floor_div(F.col("x"), block) == floor_div(F.col("cx"), block)
+    span, place = 2 * dmax + 1, {"by": "y", "bx": "x"}
+    known = F.col("y").isNotNull() & F.col("x").isNotNull()
+    keys = [floor_div(F.col(c), block).cast("bigint").alias(k) for k, c in place.items()]
+
+    def code(r: Column) -> Column:
+        """The place that a draw leads to, counted within the block; NULL if it is no place for a control."""
+        cy = F.col("y") + r % span - dmax
+        cx = F.col("x") + F.floor(r / span) % span - dmax
+        same = (floor_div(cy, block) == F.col("by")) & (floor_div(cx, block) == F.col("bx"))
+        distance = F.sqrt((cy - F.col("y")) ** 2 + (cx - F.col("x")) ** 2)
+        return F.when(distance.between(dmin, dmax) & same, (cy - F.col("by") * block) * block + cx - F.col("bx") * block)
+
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(attempts - 1)), lambda i: code(hash_order(seed + 1, F.col("y"), F.col("x"), i)).cast("bigint")
     )
-    wishes = moved.where(F.col("distance").between(dmin, dmax) & same).join(
-        controls.select(F.col("y").alias("cy"), F.col("x").alias("cx")).distinct(), ["cy", "cx"]
+    wishes = positives.where(known).select("y", "x", *keys).select(
+        "*", hash_order(seed, F.col("y"), F.col("x")).alias("ord"), F.array_compact(draws).alias("wishes")
+    ).where(F.size("wishes") > 0)
+    free = controls.where(known).select("y", "x", *keys).select(
+        "by", "bx", ((F.col("y") - F.col("by") * block) * block + F.col("x") - F.col("bx") * block).cast("bigint").alias("at")
     )
-    wishes = cut_lineage(wishes)
-    while True:
-        # A positive proposes its first remaining draw; ids make every order strict.
-        best = wishes.groupBy("y", "x").agg(
-            F.min_by(F.struct("cy", "cx"), "attempt").alias("c"), F.min("attempt").alias("attempt"), F.first("ord").alias("ord")
-        ).select("y", "x", "attempt", "ord", "c.cy", "c.cx")
-        winner = best.groupBy("cy", "cx").agg(F.min(F.struct("ord", "y", "x")).alias("w"), F.count(F.lit(1)).alias("n"))
-        losers = best.join(winner.where("n > 1"), ["cy", "cx"]).where(
-            F.struct("ord", "y", "x") != F.col("w")
-        ).select("y", "x", "attempt")
-        losers = cut_lineage(losers)
-        if losers.isEmpty():
-            break
-        wishes = cut_lineage(wishes.join(losers, ["y", "x", "attempt"], "left_anti"))
-    final = wishes.groupBy("y", "x").agg(
-        F.min_by(F.struct("cy", "cx", "distance"), "attempt").alias("c"), F.first("ord").alias("ord")
-    ).select("y", "x", "ord", "c.*")
-    from surfaudit.operators.windows import rank_within
 
-    keyed = final.withColumn("by", floor_div(F.col("y"), block)).withColumn("bx", floor_div(F.col("x"), block))
-    return rank_within(keyed, ["by", "bx"], ["ord", "y", "x"], max_n).drop("ord", "rank")
+    def serve(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        """The sequential rule in one block."""
+        left, served, rows, places = set(theirs.column("at").to_pylist()), set(), [], []
+        ys, xs, lists = (mine.column(c).to_pylist() for c in ("y", "x", "wishes"))
+        for i in sorted(range(len(mine)), key=list(zip(mine.column("ord").to_pylist(), ys, xs)).__getitem__):
+            if len(rows) == max_n or not left:
+                break
+            found = None if (ys[i], xs[i]) in served else next((w for w in lists[i] if w in left), None)
+            served.add((ys[i], xs[i]))
+            if found is not None:
+                left.remove(found)
+                rows.append(i)
+                places.append(found)
+        out = mine.select(["y", "x", "by", "bx"]).take(pa.array(rows, pa.int64()))
+        return out.append_column("at", pa.array(places, pa.int64()))
+
+    kinds = dict(positives.dtypes)
+    schema = f"y {kinds['y']}, x {kinds['x']}, by bigint, bx bigint, at bigint"
+    pairs = wishes.groupBy("by", "bx").cogroup(free.groupBy("by", "bx")).applyInArrow(serve, schema)
+    cy, cx = F.floor(F.col("at") / block) + F.col("by") * block, F.col("at") % block + F.col("bx") * block
+    return pairs.select("y", "x", cy.cast("int").alias("cy"), cx.cast("int").alias("cx"), "by", "bx").withColumn(
+        "distance", F.sqrt((F.col("cy") - F.col("y")) ** 2 + (F.col("cx") - F.col("x")) ** 2)
+    ).select("y", "x", "cy", "cx", "distance", "by", "bx")
 
 
 def caliper_match(a: DataFrame, b: DataFrame, col: str, caliper: float, key: str = "id") -> DataFrame:

@@ -247,3 +247,16 @@ def test_suppression_in_batches_equals_the_greedy_loop(rows, monkeypatch, limit)
             kept.append((i, y, x))
     got = rk.suppress_close(rows("prio int, y double, x double", pts), ["y", "x"], "prio", 9.0, limit).collect()
     assert sorted(r["prio"] for r in got) == [k[0] for k in kept[:limit]]
+
+
+def test_annulus_pairs_shuffle_each_pixel_once(spark):
+    px = spark.range(6400).select((F.col("id") % 80).cast("int").alias("y"), F.floor(F.col("id") / 80).cast("int").alias("x"), (F.col("id") % 3 == 0).alias("ink"))
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = sp.annulus_pairs(px.where("ink"), px.where("not ink"), 32, 2, 6, 50, 8, 4).collect()
+    assert shuffled_rows(spark, first) <= 6400
+    per = {}
+    for r in got:
+        assert 2 <= r["distance"] <= 6 and (r["cy"] // 32, r["cx"] // 32) == (r["y"] // 32, r["x"] // 32) == (r["by"], r["bx"])
+        per[r["by"], r["bx"]] = per.get((r["by"], r["bx"]), 0) + 1
+    assert len({(r["cy"], r["cx"]) for r in got}) == len({(r["y"], r["x"]) for r in got}) == len(got)
+    assert len(per) == 9 and all(n == 50 for n in per.values())
