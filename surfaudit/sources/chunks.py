@@ -72,14 +72,14 @@ class ChunkStore:
         return sample_store(points, self, key, how, shape)
 
 
-def _window_cells(keys: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, content: bytes | None, dims: int) -> Iterator[list[np.ndarray]]:
+def _window_cells(keys: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, chunk: np.ndarray | None, dims: int) -> Iterator[list[np.ndarray]]:
     """Columns (axes..., value, covered) of the part of a window that lies in a chunk, some cells at a time."""
     first, last = np.maximum(low, keys * size), np.minimum(high, (keys + 1) * size)
     shape = tuple((last - first).tolist())
     total = int(np.prod(shape))
     cut = None
-    if content is not None:
-        cut = _decoded(content)[tuple(slice(a, b) for a, b in zip(first - keys * size, last - keys * size))].ravel()
+    if chunk is not None:
+        cut = chunk[tuple(slice(a, b) for a, b in zip(first - keys * size, last - keys * size))].ravel()
     for i in range(0, total, CELLS_AT_ONCE):
         flat = np.arange(i, min(total, i + CELLS_AT_ONCE))
         places = [p + o for p, o in zip(np.unravel_index(flat, shape), first)]
@@ -112,16 +112,32 @@ def assemble_pixels(boxes: DataFrame, chunks: DataFrame, size: int, axes: Sequen
 
     def paste(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["box_id", *axes, "value", "covered"]
+
+        def joined(batch: pa.RecordBatch, rows: list[int], held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            """One batch of the cells of several windows, whose rows in ``batch`` are ``rows``."""
+            box = batch.column("box_id").take(pa.array(np.repeat(rows, [len(c[-1]) for c in held])))
+            columns = [np.concatenate(c) for c in zip(*held)]
+            places = [pa.array(c.astype("int64")) for c in columns[:dims]]
+            return pa.RecordBatch.from_arrays([box, *places, pa.array(columns[dims], from_pandas=True), pa.array(columns[-1])], names)
+
         for batch in batches:
             at = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
             low, high = (np.stack([batch.column(f"{a}{i}").to_numpy() for a in axes], axis=1) for i in (0, 1))
+            rows, held, total, last, chunk = [], [], 0, None, None
             for r in range(len(batch)):
+                # Rows of one chunk mostly follow each other; it is decoded once for them.
                 content = batch.column("content")[r].as_py()
-                for columns in _window_cells(at[r], low[r], high[r], size, content, dims):
-                    n = len(columns[-1])
-                    box = batch.column("box_id").take(pa.array(np.full(n, r)))
-                    places = [pa.array(c.astype("int64")) for c in columns[:dims]]
-                    yield pa.RecordBatch.from_arrays([box, *places, pa.array(columns[dims], from_pandas=True), pa.array(columns[-1])], names)
+                if content != last:
+                    last, chunk = content, None if content is None else _decoded(content)
+                for columns in _window_cells(at[r], low[r], high[r], size, chunk, dims):
+                    rows.append(r)
+                    held.append(columns)
+                    total += len(columns[-1])
+                    if total >= CELLS_AT_ONCE:
+                        yield joined(batch, rows, held)
+                        rows, held, total = [], [], 0
+            if rows:
+                yield joined(batch, rows, held)
 
     kind = dict(boxes.dtypes)["box_id"]
     schema = ", ".join([f"box_id {kind}", *[f"{a} bigint" for a in axes], "value double", "covered boolean"])

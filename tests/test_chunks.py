@@ -1,5 +1,6 @@
 """Chunk stores: assembly over chunk borders, samples against NumPy, pruning; banded array files."""
 
+import io
 import os
 import subprocess
 import sys
@@ -200,3 +201,21 @@ def test_maps_of_one_surface_are_many_compact_files(spark, tmp_path):
     pairs = [(0, 0), (1, 2), (5, 9), (2**31 - 1, 0), (123456789, 987654321)]
     got = spark.createDataFrame(pairs, "y int, x int").select("y", "x", interleaved(F.col("y"), F.col("x")).alias("m")).collect()
     assert all(r.m == code(r.y, r.x) for r in got)
+
+
+def test_windows_of_a_chunk_are_pasted_together_into_few_batches(rows, spark, monkeypatch):
+    """One batch of rows for each window was slow; the cells of 500 small windows are a few batches."""
+    import surfaudit.sources.chunks as module
+
+    content = io.BytesIO()
+    np.save(content, np.arange(256, dtype="float64").reshape(16, 16))
+    made = []
+    boxes = rows("box_id int, y0 int, y1 int, x0 int, x1 int", [(i, i % 7, i % 7 + 3, i % 5, i % 5 + 2) for i in range(500)])
+    chunks = rows("ky int, kx int, content binary", [(0, 0, bytearray(content.getvalue()))])
+    monkeypatch.setattr(type(boxes), "mapInArrow", lambda df, fn, schema: made.append((df, fn)) or df)
+    module.assemble_pixels(boxes, chunks, 16)
+    df, paste = made[0]
+    out = list(paste(iter(df.toArrow().combine_chunks().to_batches())))
+    assert len(out) <= 3 and sum(len(b) for b in out) == 3000
+    got = {(b, y, x): v for batch in out for b, y, x, v in zip(*[batch.column(i).to_pylist() for i in range(4)])}
+    assert got == {(i, y, x): 16.0 * y + x for i in range(500) for y in range(i % 7, i % 7 + 3) for x in range(i % 5, i % 5 + 2)}
