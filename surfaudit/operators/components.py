@@ -16,6 +16,7 @@ from surfaudit.session import cut_lineage
 # Strides that turn coordinates into one row-major id; rasters stay below 2^31 columns and
 # volumes below 2^21 rows and columns.
 PLANE = {2: (1 << 31, 1), 3: (1 << 42, 1 << 21, 1)}
+BLOCK = {2: 256, 3: 32}  # cells a side that one group labels
 
 
 def forward_offsets(dims: int, full: bool) -> list[tuple[int, ...]]:
@@ -54,8 +55,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def tile_labels(coords: np.ndarray, offsets: Sequence[tuple[int, ...]]) -> np.ndarray:
-    """Component of each cell of one tile, named by its first cell in the given order."""
+def tile_labels(coords: np.ndarray, offsets: Sequence[tuple[int, ...]], clip: int | None = None) -> np.ndarray:
+    """Component of each cell of one block, named by its first cell in the given order; ``clip`` is the side of tiles whose borders separate."""
     n = len(coords)
     lo = coords.min(axis=0)
     index = np.full(tuple(coords.max(axis=0) - lo + 3), -1, dtype=np.int64)
@@ -66,6 +67,9 @@ def tile_labels(coords: np.ndarray, offsets: Sequence[tuple[int, ...]]) -> np.nd
         other = index[tuple((at + np.asarray(o)).T)]
         links.append(np.column_stack((np.flatnonzero(other >= 0), other[other >= 0])))
     a, b = np.concatenate(links).T
+    if clip is not None:
+        same = (coords[a] // clip == coords[b] // clip).all(axis=1)
+        a, b = a[same], b[same]
     root = np.arange(n)
     while True:
         ra, rb = root[a], root[b]
@@ -87,19 +91,21 @@ def components(
     """Adds ``component`` to mask cells: the row-major id of the component's first cell.
 
     ``by`` names the surface (or volume) a cell lies on; surfaces never touch, so a component is
-    (by, component), and a NULL is a surface of its own.  Cells are labelled inside tiles of
-    fixed size (at most tile ** dims cells per group: 256 in two dimensions and 32 in three
-    unless given), then only labels that touch across tile borders enter the component graph.
-    With ``clip`` tiles are chunks whose borders separate components.  ``full`` joins diagonal
-    neighbours too.  Coordinates outside the range of the ids raise.
+    (by, component), and a NULL is a surface of its own.  Cells are labelled inside blocks of
+    whole tiles (a tile, or as many as fit into 256 cells a side in two dimensions and 32 in three),
+    then only labels that touch across block borders enter the component graph, so small tiles
+    make neither many groups nor many border cells.  With ``clip`` tiles are chunks whose borders
+    separate components.  ``full`` joins diagonal neighbours too.  Coordinates outside the range
+    of the ids raise.
     """
     by, axes = list(by), list(axes)
-    tile = tile or (256 if len(axes) == 2 else 32)
+    tile = tile or BLOCK[len(axes)]
+    block = tile * max(1, BLOCK[len(axes)] // tile)
     offsets = forward_offsets(len(axes), full)
     strides = PLANE[len(axes)]
     tiles = [f"_t{a}" for a in axes]
     cells = mask.select(
-        *by, *[F.col(a).cast("int").alias(a) for a in axes], *[floor_div(F.col(a), tile).alias(t) for a, t in zip(axes, tiles)]
+        *by, *[F.col(a).cast("int").alias(a) for a in axes], *[floor_div(F.col(a), block).alias(t) for a, t in zip(axes, tiles)]
     )
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +113,7 @@ def components(
         coords = pdf[axes].to_numpy(dtype=np.int64)
         if coords.min() < 0 or any(coords[:, k].max() >= strides[k - 1] // strides[k] for k in range(1, len(axes))):
             raise ValueError(f"coordinates {axes} are beyond the range of component ids")
-        first = coords[tile_labels(coords, offsets)]
+        first = coords[tile_labels(coords, offsets, tile if clip else None)]
         pdf["label"] = first @ np.asarray(strides, dtype=np.int64)
         return pdf[[*by, *axes, "label"]]
 
@@ -120,8 +126,8 @@ def components(
     labelled = cut_lineage(labelled)  # the labels are read three times below
     edge_cell = None
     for a in axes:
-        rest = F.pmod(F.col(a), F.lit(tile))
-        hit = (rest == 0) | (rest == tile - 1)
+        rest = F.pmod(F.col(a), F.lit(block))
+        hit = (rest == 0) | (rest == block - 1)
         edge_cell = hit if edge_cell is None else edge_cell | hit
     border = labelled.where(edge_cell)
     node = F.struct(*by, "label") if by else F.col("label")

@@ -463,3 +463,24 @@ def test_shells_equal_brute_force_across_tiles_in_few_shuffled_rows(rows, spark)
         for name, (lo, hi) in tl.SHELLS.items():
             values = [v for d2, v in held.values() if lo < d2 <= hi]
             assert math.isclose(got[g][name], sum(values) / len(values)) if values else got[g][name] is None
+
+
+def test_small_tiles_are_labelled_in_blocks(spark, rows, monkeypatch):
+    draw = np.random.default_rng(23)
+    cells = [(int(s), int(y), int(x)) for s in range(2) for y, x in np.argwhere(draw.random((40, 40)) < 0.55)]
+    df = rows("surface int, y int, x int", cells)
+    groups = spark.sparkContext.accumulator(0)
+    plain = cc.tile_labels
+
+    def counted(*a):
+        groups.add(1)
+        return plain(*a)
+
+    monkeypatch.setattr(cc, "tile_labels", counted)
+    label = lambda **kind: {(r.surface, r.y, r.x): r.component for r in cc.components(df, by=["surface"], **kind).collect()}
+    one, clipped = label(tile=4), label(tile=4, clip=True)
+    assert 0 < groups.value <= 4  # one block a surface; tiles of 4 alone would be 200 groups a run
+    monkeypatch.setattr(cc, "BLOCK", {2: 4, 3: 4})
+    assert one == label(tile=4) and clipped == label(tile=4, clip=True)
+    monkeypatch.setattr(cc, "BLOCK", {2: 10, 3: 4})  # blocks of two tiles, with borders inside
+    assert one == label(tile=4) and clipped == label(tile=4, clip=True)
