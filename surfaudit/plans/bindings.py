@@ -121,14 +121,14 @@ SCORED = """scored AS (
 SCORED_ALL = f"{CELLS},\n{TWO_VIEWS},\n{TRUTH},\n{SCORED}"
 
 
+def mask_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of a sparse pixel set, which may repeat: y, x."""
+    return table(spark, sf, "lineitem").where(F.col("l_discount") >= F.lit(0.09)).select(*_yx("l_orderkey"))
+
+
 def mask(spark: SparkSession, sf: str) -> DataFrame:
     """A sparse pixel set: y, x."""
-    return (
-        table(spark, sf, "lineitem")
-        .where(F.col("l_discount") >= F.lit(0.09))
-        .select(*_yx("l_orderkey"))
-        .distinct()
-    )
+    return mask_readings(spark, sf).distinct()
 
 
 MASK = f"""mask AS (

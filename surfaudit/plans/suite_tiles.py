@@ -25,7 +25,7 @@ def i05(spark, sf):
 WHERE s.y + dy >= 0 AND s.y + dy < h AND s.x + dx >= 0 AND s.x + dx < w)
 SELECT y - dy AS y, x - dx AS x FROM d CROSS JOIN k GROUP BY 1, 2 HAVING count(*) = 13""")
 def i05_close(spark, sf):
-    return tl.close(b.mask(spark, sf), 2, b.canvas(spark, sf))
+    return tl.close(b.mask_readings(spark, sf), 2, b.canvas(spark, sf))
 
 
 @register("i05_close_by_surface", "surface:i y:i x:i",

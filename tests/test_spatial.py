@@ -484,3 +484,13 @@ def test_small_tiles_are_labelled_in_blocks(spark, rows, monkeypatch):
     assert one == label(tile=4) and clipped == label(tile=4, clip=True)
     monkeypatch.setattr(cc, "BLOCK", {2: 10, 3: 4})  # blocks of two tiles, with borders inside
     assert one == label(tile=4) and clipped == label(tile=4, clip=True)
+
+
+def test_closing_takes_repeats_and_packs_the_pixels_of_a_tile(rows, monkeypatch):
+    monkeypatch.setattr(tl, "PIXELS_AT_ONCE", 50)
+    cells = [(int(y), int(x)) for y, x in np.argwhere(np.random.default_rng(5).random((30, 150)) < 0.3)]
+    want = {(r.y, r.x) for r in tl.erode(tl.dilate(rows(YX, cells), 2, (30, 150)), 2).collect()}
+    got = [(r.y, r.x) for r in tl.close(rows(YX, cells * 3).repartition(3), 2, (30, 150)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = tl.close(rows(YX, cells), 2, (30, 150))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan[plan.index("Exchange"):]  # packed before the shuffle
