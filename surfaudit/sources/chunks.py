@@ -1,13 +1,15 @@
 """A store of array chunks, read chunk by chunk: assembly of windows and samples at points.
 
-A chunk is one row: its keys and its cells as .npy bytes.  Chunks lie in slabs, the folders of the
-store, so a look that is confined to some slabs never lists the files of the others.  What is
-shuffled are chunks that are looked at, and points; cells become rows only in the result.
+A chunk is one row: its keys and its cells as deflated .npy bytes.  Chunks lie in slabs, which are
+dealt to a bounded number of folders, so a look that is confined to some slabs never lists the files
+of the others.  What is shuffled are chunks that are looked at, and points; cells become rows only
+in the result.
 """
 
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,17 +18,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from surfaudit.functions.scalar import floor_div
-from surfaudit.operators.joins import explode_chunks
-from surfaudit.session import scratch
-from surfaudit.sources.arrays import encode_chunks
+from surfaudit.functions.scalar import floor_div, lit
+from surfaudit.operators.joins import explode_chunks, written
 
+FOLDERS = 1024  # of a store at most
+POINTS_A_TASK = 1 << 19  # points that one task sorts by chunk
 POINTS_AT_ONCE = 1 << 16  # points of a chunk that one group looks up
 CELLS_AT_ONCE = 1 << 16  # cells of a window that become rows at once
 
 
+def _encoded(dense: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, dense)
+    return zlib.compress(out.getvalue(), 1)
+
+
 def _decoded(content: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(content), allow_pickle=False)
+    """Cells of a chunk, deflated or as they are in a .npy file."""
+    plain = content if content.startswith(b"\x93NUMPY") else zlib.decompress(content)
+    return np.load(io.BytesIO(plain), allow_pickle=False)
 
 
 @dataclass(frozen=True)
@@ -43,34 +53,74 @@ class ChunkStore:
         return [f"k{a}" for a in self.axes]
 
     def slab_of(self) -> Column:
-        """Name of the slab of a chunk."""
-        return F.concat_ws("_", *[floor_div(F.col(k), self.slab).cast("string") for k in self.keys])
+        """Folder of the slab of a chunk; slabs far apart share one, so folders do not grow with the store."""
+        side = int(FOLDERS ** (1 / len(self.axes)) + 1e-9)
+        return F.concat_ws("_", *[F.pmod(floor_div(F.col(k), self.slab), F.lit(side)).cast("string") for k in self.keys])
 
     def write(self, cells: DataFrame, value: str) -> ChunkStore:
         """Stores ``cells`` (axes, value); a cell that is absent, or null, has no value there.
 
-        Chunks are written in the order of their slabs, so a slab is few files whatever its size.
+        Cells are dealt in the order of their slabs and chunks before they are encoded, so a folder
+        is few files whatever its size, and no chunk is shuffled or encoded twice.
         """
-        chunks = encode_chunks(cells, value, self.size, self.axes).drop("path").withColumn("slab", self.slab_of())
-        chunks.repartitionByRange("slab", *self.keys).write.partitionBy("slab").parquet(self.path)
+        axes, keys, size = list(self.axes), self.keys, self.size
+        placed = cells.select(*axes, F.col(value).cast("double").alias("_v"), *[floor_div(F.col(a), size).cast("int").alias(k) for a, k in zip(axes, keys)])
+        cell = reduce(lambda i, a: i * size + F.pmod(F.col(a), F.lit(size)), axes, F.lit(0)).cast("int")
+        ordered = placed.select(self.slab_of().alias("slab"), *keys, cell.alias("_cell"), "_v").repartitionByRange("slab", *keys).sortWithinPartitions("slab", *keys)
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One chunk after another, as their cells come; a chunk may go on in the next batch."""
+            last, dense = None, None
+
+            def rows(done: list[tuple[tuple[int, ...], bytes]]) -> pa.RecordBatch:
+                columns = [pa.array([k[i] for k, _ in done], pa.int32()) for i in range(len(keys))]
+                return pa.RecordBatch.from_arrays([*columns, pa.array([c for _, c in done], pa.binary())], [*keys, "content"])
+
+            for batch in batches:
+                at = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+                cells_at, values = batch.column("_cell").to_numpy(), batch.column("_v").to_numpy(zero_copy_only=False)
+                cuts, done = (np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), []
+                for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                    if a < b and last != tuple(at[a].tolist()):
+                        if last is not None:
+                            done.append((last, _encoded(dense)))
+                        last, dense = tuple(at[a].tolist()), np.full((size,) * len(axes), np.nan)
+                    if a < b:
+                        dense.ravel()[cells_at[a:b]] = values[a:b]
+                if done:
+                    yield rows(done)
+            if last is not None:
+                yield rows([(last, _encoded(dense))])
+
+        schema = ", ".join([*[f"{k} int" for k in keys], "content binary"])
+        stored = ordered.select(*keys, "_cell", "_v").mapInArrow(encode, schema).withColumn("slab", self.slab_of())
+        stored.write.partitionBy("slab").parquet(self.path)
         return self
 
     def chunks(self, wanted: DataFrame) -> DataFrame:
         """(keys, content) of the stored chunks among the keys of ``wanted``.
 
-        Slabs are listed first: their names, as many as the store has folders at most, prune the
-        scan, and chunks are then matched by key.
+        Folders are listed first: their names, a bounded number, prune the scan, the bounds of the
+        keys prune inside of them, and chunks are then matched by key.
         """
         stored = wanted.sparkSession.read.parquet(self.path)
         keys = wanted.select(*self.keys).distinct()
-        slabs = keys.select(self.slab_of().alias("slab")).distinct().join(stored.select("slab").distinct(), "slab", "left_semi")
-        names = [r[0] for r in slabs.collect()]  # folders of the store at most
-        return stored.where(F.col("slab").isin(names)).select(*self.keys, "content").join(keys, self.keys, "left_semi")
+        slabs = keys.withColumn("slab", self.slab_of()).join(stored.select("slab").distinct(), "slab", "left_semi")
+        ends = [f(k).alias(f"{k}{i}") for k in self.keys for i, f in enumerate((F.min, F.max))]
+        look = slabs.agg(F.collect_set("slab").alias("names"), *ends).first()
+        found = stored.where(F.col("slab").isin(look["names"]))
+        if look["names"]:
+            found = found.where(reduce(lambda p, q: p & q, [F.col(k).between(look[f"{k}0"], look[f"{k}1"]) for k in self.keys]))
+        return found.select(*self.keys, "content").join(keys, self.keys, "left_semi")
 
     def sample(self, points: DataFrame, key: Sequence[str], how: str = "linear", shape: Sequence[int] | None = None) -> DataFrame:
         """(key, sample) of the stored array at points: see ``sample_store``."""
         return sample_store(points, self, key, how, shape)
 
+    def sample_along(self, points: DataFrame, key: Sequence[str], offsets: Sequence[float], how: str = "linear") -> DataFrame:
+        """(key, samples) of the stored array at offsets along n<axis> of points, in their order: see ``sample_store``."""
+        return sample_store(points, self, key, how, along=offsets)
+
 
 def _window_cells(keys: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, chunk: np.ndarray | None, dims: int) -> Iterator[list[np.ndarray]]:
     """Columns (axes..., value, covered) of the part of a window that lies in a chunk, some cells at a time."""
@@ -159,47 +209,76 @@ def _corners(places: np.ndarray, how: str, shape: Sequence[int] | None) -> Itera
 
 
 def sample_store(
-    points: DataFrame, store: ChunkStore, key: Sequence[str], how: str = "linear", shape: Sequence[int] | None = None
+    points: DataFrame, store: ChunkStore, key: Sequence[str], how: str = "linear", shape: Sequence[int] | None = None,
+    along: Sequence[float] = (),
 ) -> DataFrame:
     """(key, sample): value of a stored array at fractional p<axis> of each point.
 
     ``how`` is linear (bi- or trilinear) or nearest (half to even).  Cells without a value are
     zero; with ``shape`` corners clamp to the border, without it they lie outside and are zero.
-    ``key`` identifies a point.  A point goes to the chunks its corners lie in, one as a rule; the
-    points of a chunk are dealt into groups of bounded size, each with a copy of the chunk.
+    ``key`` identifies a point.  With ``along`` a point is sampled at these offsets along its
+    vector n<axis>: (key, samples), an array in their order.
+
+    A point goes to the chunks that its samples lie in, one as a rule, whatever the number of
+    samples; the points of a chunk are dealt into groups of bounded size, each with a copy of the
+    chunk, and tasks hold a bounded number of points.
     """
     if how not in ("linear", "nearest"):
         raise ValueError("how must be linear or nearest")
-    key, axes, keys, size = list(key), store.axes, store.keys, store.size
-    placed = points.select(*key, *[F.col(f"p{a}").cast("double").alias(f"p{a}") for a in axes])
+    key, axes, keys, size = list(key), list(store.axes), store.keys, store.size
+    held = [*[f"p{a}" for a in axes], *([f"n{a}" for a in axes] if along else [])]
+    placed = points.select(*key, *[F.col(c).cast("double").alias(c) for c in held])
+
+    whole = F.lit(True)
     for d, a in enumerate(axes):
-        p = F.col(f"p{a}")
+        p, n = F.col(f"p{a}"), F.col(f"n{a}")
         clamp = lambda c, d=d: c if shape is None else F.greatest(F.lit(0), F.least(c, F.lit(int(shape[d]) - 1)))
-        ends = [F.rint(p)] if how == "nearest" else [F.floor(p), F.ceil(p)]
-        reach = F.array_distinct(F.array(*[floor_div(clamp(e.cast("bigint")), size).cast("int") for e in ends]))
-        placed = placed.withColumn(f"k{a}", F.explode(reach))
+        # Offsets are values of an array: Spark 4.1 gave wrong ends for sums of n = 0 and literals.
+        spots = F.transform(F.array(*[lit(o) for o in along]), lambda o: p + n * o) if along else F.array(p)
+        low, high = F.array_min(spots), F.array_max(spots)
+        ends = [F.rint(low), F.rint(high)] if how == "nearest" else [F.floor(low), F.ceil(high)]
+        placed = placed.withColumn(f"_k{a}", F.sequence(*[floor_div(clamp(e.cast("bigint")), size).cast("int") for e in ends]))
+        whole = whole & (F.size(f"_k{a}") == 1)
+    placed = placed.withColumn("_whole", whole)
+    for a in axes:
+        placed = placed.withColumn(f"k{a}", F.explode(f"_k{a}")).drop(f"_k{a}")
     counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    blocks = counts.select(*keys, F.ceil(F.col("n") / POINTS_AT_ONCE).cast("int").alias("blocks"))
     # The keys are few next to points and cells; written, their size is known when they are joined.
-    folder = scratch(points.sparkSession, "chunk-keys")
-    blocks.write.parquet(folder)
-    blocks = points.sparkSession.read.parquet(folder)
+    # A chunk gets one number: where an axis is the same for all points, Spark takes its key for a constant.
+    named = counts.withColumn("blocks", F.ceil(F.col("n") / POINTS_AT_ONCE).cast("int")).withColumn("_chunk", F.monotonically_increasing_id())
+    blocks = written(named, "chunk-keys")
+    tasks = -(-(blocks.agg(F.sum("n")).first()[0] or 1) // POINTS_A_TASK)
+    tasks = max(tasks, points.sparkSession.sparkContext.defaultParallelism)
+    blocks, group = blocks.drop("n"), ["_chunk", "block"]
     dealt = placed.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
-    held = store.chunks(blocks).join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*key, *held, "_whole", *group).repartition(tasks, *group)
+    stored = store.chunks(blocks).join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    stored = stored.select(*keys, *group, "content").repartition(tasks, *group)
 
     def look(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        sums = np.zeros(len(mine))
+        offsets = along or (0.0,)
+        sums = np.zeros((len(mine), len(offsets)))
         if len(mine) and len(theirs):
-            cells = _decoded(theirs.column("content")[0].as_py())
+            take = lambda kind: np.stack([mine.column(f"{kind}{a}").to_numpy() for a in axes], axis=1)
+            cells, start = _decoded(theirs.column("content")[0].as_py()), take("p")
             first = np.array([theirs.column(k)[0].as_py() for k in keys]) * size
-            places = np.stack([mine.column(f"p{a}").to_numpy() for a in axes], axis=1)
-            for at, weight in _corners(places, how, shape):
-                inside = np.flatnonzero(((at >= first) & (at < first + size)).all(axis=1) & (weight > 0))
-                sums[inside] += np.nan_to_num(cells[tuple((at[inside] - first).T)]) * weight[inside]
-        return mine.select(key).append_column("part", pa.array(sums))
+            for i, offset in enumerate(offsets):
+                places = start + take("n") * offset if along else start
+                for at, weight in _corners(places, how, shape):
+                    inside = np.flatnonzero(((at >= first) & (at < first + size)).all(axis=1) & (weight > 0))
+                    sums[inside, i] += np.nan_to_num(cells[tuple((at[inside] - first).T)]) * weight[inside]
+        out = mine.select([*key, "_whole"] if along else key)
+        if not along:
+            return out.append_column("part", pa.array(sums[:, 0]))
+        ends = pa.array(np.arange(len(mine) + 1, dtype=np.int32) * len(offsets))
+        return out.append_column("samples", pa.ListArray.from_arrays(ends, pa.array(sums.ravel())))
 
     kinds = dict(points.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], "part double"])
-    group = [*keys, "block"]
-    parts = dealt.groupBy(*group).cogroup(held.select(*group, "content").groupBy(*group)).applyInArrow(look, schema)
-    return parts.groupBy(*key).agg(F.sum("part").alias("sample"))
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], *(["_whole boolean", "samples array<double>"] if along else ["part double"])])
+    parts = dealt.groupBy(*group).cogroup(stored.groupBy(*group)).applyInArrow(look, schema)
+    if not along:
+        return parts.groupBy(*key).agg(F.sum("part").alias("sample"))
+    # Only points near a border of their chunk are put together.
+    parts = written(parts, "samples")
+    rest = parts.where("not _whole").groupBy(*key).agg(F.array(*[F.sum(F.get("samples", F.lit(i))) for i in range(len(along))]).alias("samples"))
+    return parts.where("_whole").select(*key, "samples").unionAll(rest)

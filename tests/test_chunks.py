@@ -219,3 +219,14 @@ def test_windows_of_a_chunk_are_pasted_together_into_few_batches(rows, spark, mo
     assert len(out) <= 3 and sum(len(b) for b in out) == 3000
     got = {(b, y, x): v for batch in out for b, y, x, v in zip(*[batch.column(i).to_pylist() for i in range(4)])}
     assert got == {(i, y, x): 16.0 * y + x for i in range(500) for y in range(i % 7, i % 7 + 3) for x in range(i % 5, i % 5 + 2)}
+
+
+def test_folders_do_not_grow_with_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "FOLDERS", 4)  # two names along an axis
+    image = np.arange(40.0 * 12).reshape(40, 12)
+    store = ChunkStore(str(tmp_path / "store"), ("y", "x"), 4, 1).write(sparse(spark, image, "yx"), "v")
+    assert len([d for d in os.listdir(store.path) if d.startswith("slab=")]) == 4
+    wanted = spark.createDataFrame([(0, 0), (9, 2), (4, 1), (10, 0), (-2, 0)], "ky int, kx int")
+    assert sorted((r.ky, r.kx) for r in store.chunks(wanted).collect()) == [(0, 0), (4, 1), (9, 2)]
+    points = spark.createDataFrame([(int(y * 12 + x), float(y), float(x)) for y in range(40) for x in range(12)], "id int, py double, px double")
+    assert all(r["sample"] == r.id for r in store.sample(points, ["id"]).collect())
