@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surfaudit.operators.joins import chunk_cover, sample_volume
+from surfaudit.operators import probe
 from surfaudit.sources import bands, chunks
 from surfaudit.sources.bands import read_array_bands, write_array_files
 from surfaudit.sources.chunks import ChunkStore, assemble_pixels
@@ -230,3 +231,26 @@ def test_folders_do_not_grow_with_the_store(spark, tmp_path, monkeypatch):
     assert sorted((r.ky, r.kx) for r in store.chunks(wanted).collect()) == [(0, 0), (4, 1), (9, 2)]
     points = spark.createDataFrame([(int(y * 12 + x), float(y), float(x)) for y in range(40) for x in range(12)], "id int, py double, px double")
     assert all(r["sample"] == r.id for r in store.sample(points, ["id"]).collect())
+
+
+def test_profiles_equal_single_samples_and_shuffle_a_point_once(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    image = volume(draw, (7, 20, 40))
+    store = ChunkStore(str(tmp_path / "store"), size=16, slab=2).write(sparse(spark, image, "zyx"), "v")
+    rows = [(i, *map(float, draw.random(3) * [7, 20, 40]), 1.0, float(i % 3) / 4, 0.0) for i in range(200)]
+    points = spark.createDataFrame(rows, "point_id int, pz double, py double, px double, nz double, ny double, nx double")
+    points = points.withColumn("nx", F.lit(0.0)).withColumn("nz", F.lit(1.0)).withColumn("pz", F.lit(3.0))
+    places = probe._places([1, 2, 3])
+    got = {r.point_id: r.samples for r in probe.probe_profiles(points, store, [1, 2, 3]).collect()}
+    assert len(got) == 200 and any(any(s) for s in got.values())
+    for i, s in [(r.point_id, r) for r in probe.probe_samples(points, store, [1, 2, 3]).collect()]:
+        assert got[i][places.index((s.step, s.side))] == s["sample"]
+    table = sparse(spark, image, "zyx")
+    score = [probe.seating_score(points, v, [1, 2, 3], 20, 0.05).first() for v in (store, table)]
+    assert score[0].gap == score[1].gap and np.allclose(score[0], score[1])
+    moved = []
+    plain = chunks.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chunks, "written", lambda df, name: moved.append((name, plain(df, name))) or moved[-1][1])
+        store.sample_along(points, ["point_id"], [0.0, 1.0, -1.0, 2.0, -2.0, 3.0, -3.0], "nearest").count()
+    assert sum(df.count() for name, df in moved if name == "samples") < 2 * 200  # places would be 1,400 rows
