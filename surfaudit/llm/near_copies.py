@@ -1,13 +1,14 @@
 """Near copies as the pipeline has them: word-shingle sets with a Jaccard similarity of LEAST or more.
 
-Two texts at similarity 0.8 have SimHashes about 15 % of their bits apart, whatever the width, and
-no blocks of equal bits cover that and still tell texts apart.  So candidates come from MinHash
-bands, and every candidate is checked on the whole sets.
+Two texts at similarity 0.8 have SimHashes about 15 % of their bits apart, whatever the width, so no
+few blocks of one print cover that.  Here a print has as many blocks as it takes: texts meet where
+a block of bits is equal, stay if their check bits are near enough, and are checked on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -21,13 +22,36 @@ from surfaudit.operators.components import connected_components
 
 SHINGLE = 5
 LEAST = (4, 5)  # similarity as a fraction
-BANDS, DEPTH = 20, 4  # a pair right at the threshold shares no band with a chance of 3 in 100,000
+BLOCKS, BLOCK_BITS = 56, 8  # a pair right at the threshold has no equal block with a chance of 3 in 10 million, one of 8 and 9 words of 3 in 100,000
+APART = 0.1515  # share of bits in which two long texts right at the threshold differ
+CHECK_WORDS, CHECK_APART = 2, 40  # check bits, none of them in a block: 64 a word, and how many may differ; a chance of 1 in a million to 1 in 5,000
+FULL = 512  # texts in a block's bucket, on average, from which blocks get longer
+PAIRED = 4096  # texts of a bucket up to which its pairs are held against the check bits
+SLOT = 1 << 15  # texts of a block that one group opens
 PARITY_LONGS = 16  # 1,024 bits, named by the upper ten of a shingle's hash
-AT_ONCE = 1 << 12  # shingles whose hashes are held at once
+AT_ONCE = 255  # shingles whose bits are counted at once, in single bytes
 SLICE = 1 << 20  # bytes of text whose shingles are held at once
-_DRAW = np.random.default_rng(42)
-_FLIP, _FACTOR = (_DRAW.integers(0, 1 << 64, size=(BANDS * DEPTH, 1), dtype=np.uint64) for _ in range(2))
-_FACTOR |= np.uint64(1)
+ENTRY = np.dtype([("key", "<u2"), ("node", "<i8"), ("n", "<u4"), ("check", "<u8", CHECK_WORDS)])
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """How many blocks of how many bits a print has; ``low`` bits of a block's value order a slot, the others name it."""
+
+    count: int
+    bits: int
+    low: int
+
+    @staticmethod
+    def of(texts: int) -> Blocks:
+        """Blocks of equal recall at any number of texts: longer ones are equal less often, so there are more."""
+        bits = max(BLOCK_BITS, int(np.ceil(np.log2(max(texts, 1) / FULL))))
+        slots = max(0, int(np.ceil(np.log2(max(texts, 1) / SLOT))))
+        return Blocks(int(np.ceil(BLOCKS / (1 - APART) ** (bits - BLOCK_BITS))), bits, bits - min(slots, bits))
+
+    @property
+    def words(self) -> int:
+        return CHECK_WORDS - -self.count * self.bits // 64
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[np.ndarray]]]:
@@ -49,15 +73,23 @@ def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[np.ndarray
         yield part, held
 
 
-def _bands(held: np.ndarray) -> np.ndarray:
-    """One hash per band over the minima of its DEPTH hash functions."""
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
+def simhash(held: np.ndarray, words: int) -> np.ndarray:
+    """Majority bits over the hashes of distinct shingles, 64 a word, as zeros and ones."""
+    draw = np.random.default_rng(42).integers(0, 1 << 64, size=(2, words), dtype=np.uint64)
+    flip, factor = draw[0], draw[1] | np.uint64(1)
+    counts = np.zeros(64 * words, dtype=np.int64)
     for i in range(0, len(held), AT_ONCE):
-        np.minimum(least, ((held[i : i + AT_ONCE] ^ _FLIP) * _FACTOR).min(axis=1), out=least)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, DEPTH).T:
-        out = mix(out ^ column) * np.uint64(SpanHashes.BASE)
-    return out
+        hashes = mix((held[i : i + AT_ONCE, None] ^ flip) * factor)
+        counts += np.add.reduce(np.unpackbits(hashes.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * counts > len(held)).astype(np.uint8)
+
+
+def _print(held: np.ndarray, blocks: Blocks) -> tuple[bytes, bytes]:
+    """(blocks, check): the values of the blocks of a set's SimHash, and its check bits."""
+    bits = simhash(held, blocks.words)
+    check = 64 * CHECK_WORDS
+    values = bits[check : check + blocks.count * blocks.bits].reshape(blocks.count, blocks.bits).astype(np.uint32) @ (1 << np.arange(blocks.bits, dtype=np.uint32))
+    return values.astype("<u4").tobytes(), np.packbits(bits[:check]).tobytes()
 
 
 def _parity(held: np.ndarray) -> np.ndarray:
@@ -66,20 +98,84 @@ def _parity(held: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, node, n, bands): ``node`` is a hash of the whole set of n shingles."""
+def _sketches(docs: DataFrame, blocks: Blocks) -> DataFrame:
+    """(doc_id, mark, node, n, blocks, check): ``node`` is a hash of the whole set of n shingles, the rest its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in shingle_sets(batch):
                 node = np.array([xxhash.xxh64_intdigest(held.tobytes()) for held in sets], dtype=np.uint64)
-                bands = pa.array([signed(_bands(held)) if len(held) else None for held in sets], pa.list_(pa.int64()))
+                prints = [_print(held, blocks) if len(held) else (None, None) for held in sets]
                 rows = batch.slice(part.start, len(sets))
-                columns = [rows.column("doc_id"), rows.column("mark"), pa.array(signed(node)), pa.array(list(map(len, sets)), pa.int64()), bands]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", "bands"])
+                columns = [rows.column("doc_id"), rows.column("mark"), pa.array(signed(node)), pa.array(list(map(len, sets)), pa.int64())]
+                columns += [pa.array(x, pa.binary()) for x in zip(*prints)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", "blocks", "check"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size"), "text")
-    return materialize(rows.mapInArrow(run, "doc_id bigint, mark bigint, node bigint, n bigint, bands array<bigint>"))
+    return materialize(rows.mapInArrow(run, "doc_id bigint, mark bigint, node bigint, n bigint, blocks binary, check binary"))
+
+
+def in_sight(entries: np.ndarray) -> np.ndarray:
+    """For each of ``entries``, in order of their keys, the first that it reaches in its bucket.
+
+    Two of a key see each other if their sizes and check bits are near enough; in a bucket of
+    more than PAIRED all do.
+    """
+    p, q = LEAST
+    key, check, n = entries["key"], entries["check"], entries["n"].astype(np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    large = np.repeat(size > PAIRED, size)
+    root = np.where(large, np.repeat(first, size), np.arange(len(key)))
+    at = np.flatnonzero(~large)
+    step = 1
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        a, b = n[at], n[at + step]
+        met = at[q * np.minimum(a, b) >= p * np.maximum(a, b)]
+        met = met[np.bitwise_count(check[met] ^ check[met + step]).sum(axis=1, dtype=np.int64) <= CHECK_APART]
+        while True:
+            a, b = root[met], root[met + step]
+            met, a, b = (x[a != b] for x in (met, a, b))
+            if not len(met):
+                break
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        step += 1
+    return root
+
+
+def shared_blocks(classes: DataFrame, blocks: Blocks) -> DataFrame:
+    """(band, node, rows): a band holds those nodes of a bucket, a block and its value, that reach each other by sight, ``rows`` of them."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column("blocks").to_pylist()), dtype="<u4").reshape(-1, blocks.count)
+            entries = np.empty(len(values), dtype=ENTRY)
+            entries["node"], entries["n"] = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            entries["check"] = np.frombuffer(b"".join(batch.column("check").to_pylist()), dtype="<u8").reshape(-1, CHECK_WORDS)
+            for k in range(blocks.count):
+                entries["key"] = values[:, k] & ((1 << blocks.low) - 1)
+                slot = (values[:, k] >> blocks.low).astype(np.int64)
+                order = np.argsort(slot, kind="stable")
+                cuts = np.flatnonzero(np.diff(slot[order])) + 1
+                parts = np.split(entries[order], cuts)
+                names = slot[order][np.append(0, cuts)] + (k << (blocks.bits - blocks.low))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in parts], pa.binary())], ["slot", "entries"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        entries = np.frombuffer(b"".join(group.column("entries").to_pylist()), dtype=ENTRY)
+        entries = entries[np.argsort(entries["key"], kind="stable")]
+        _, back, size = np.unique(in_sight(entries), return_inverse=True, return_counts=True)
+        met = size[back] > 1
+        band = (group.column("slot")[0].as_py() << 32) + back[met]
+        return pa.table({"band": band, "node": np.ascontiguousarray(entries["node"][met]), "rows": size[back][met].astype(np.int64)})
+
+    printed = classes.where("blocks is not null").select("node", "n", "blocks", "check")
+    dealt = printed.mapInArrow(deal, "slot bigint, entries binary")
+    return materialize(dealt.groupBy("slot").applyInArrow(meet, "band bigint, node bigint, rows bigint"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,19 +242,17 @@ def _leaders(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("band").agg(F.max(F.struct("degree", "node", "n", "part")).alias("lead"))
 
 
-def near_copy_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (src, dst) between nodes that give the components of all similar pairs that share a band.
+def near_copy_links(classes: DataFrame, docs: DataFrame, blocks: Blocks) -> DataFrame:
+    """Edges (src, dst) between nodes that give the components of all similar pairs with an equal block.
 
-    ``classes`` has (node, n, bands, first).  First the nodes of a bucket meet its leader, so a
+    ``classes`` has (node, n, blocks, check, first).  First the nodes of a bucket meet its leader, so a
     large group of copies costs one pair per copy.  Nodes of a bucket that are still in several
     components meet if the parities of their sets allow it and they share one of their rarest shingles.
     """
-    keyed = classes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = materialize(keyed.join(buckets, "band").select("band", "node", "n", "rows"))
-    degree = materialize(shared.groupBy("node").agg(F.sum("rows").alias("degree"), F.first("n").alias("n")))
+    shared = shared_blocks(classes, blocks)
+    degree = materialize(shared.groupBy("node").agg(F.sum("rows").alias("degree")).join(classes.select("node", "n"), "node"))
     sets = _sets(docs, classes.join(degree, "node", "left_semi").select("node", "first"))
-    named = materialize(shared.select("band", "node", "n").join(degree.select("node", "degree"), "node").withColumn("part", F.col("node")))
+    named = materialize(shared.select("band", "node").join(degree, "node").withColumn("part", F.col("node")))
 
     links, leaders = None, _leaders(named)
     for _ in range(2):
@@ -190,12 +284,13 @@ def near_copy_components(docs: DataFrame) -> DataFrame:
     copies of each other.  A null doc_id counts as larger than all others; rows that repeat a
     doc_id are told apart by a hash of their text.  An empty table gives no row.
     """
-    rows = _sketches(docs)
+    blocks = Blocks.of(docs.count())
+    rows = _sketches(docs, blocks)
     classes = rows.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.first("check").alias("check"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"),
     )
-    merged = connected_components(near_copy_links(materialize(classes), docs))
+    merged = connected_components(near_copy_links(materialize(classes), docs, blocks))
     return rows.join(merged, "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("node"))
 
 

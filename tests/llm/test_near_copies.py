@@ -4,7 +4,10 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
+from surfaudit.llm import near_copies
 from surfaudit.llm.common import table
 from surfaudit.llm.near_copies import drop_near_copies
 from tests.llm.test_operators import SF, roots
@@ -74,3 +77,42 @@ def test_internal_names_as_columns(spark):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         for r in out.collect():
             assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+
+
+def test_pairs_at_the_threshold_share_a_block():
+    """SimHashes of sets at 0.8 differ in about 15 % of their bits, and have an equal block at any number of texts."""
+    draw = np.random.default_rng(3)
+    for texts in (10, 10 ** 6, 10 ** 8):
+        blocks = near_copies.Blocks.of(texts)
+        bits = 64 * near_copies.CHECK_WORDS + np.arange(blocks.count * blocks.bits)
+        for both, own in ((400, 50), (80, 10), (4, 0)):  # in common, and in each alone; of the last one has one more
+            apart, equal, checks = [], [], []
+            for _ in range(40):
+                held = draw.integers(0, 1 << 64, both + 2 * own + 1, dtype=np.uint64)
+                one, two = held[: both + own], np.append(held[:both], held[both + own : both + 2 * own + (own == 0)])
+                a, b = (near_copies.simhash(x, blocks.words) for x in (one, two))
+                differ = (a != b)[bits].reshape(blocks.count, blocks.bits)
+                apart.append(differ.mean())
+                equal.append((~differ.any(axis=1)).sum())
+                checks.append((a != b)[: bits[0]].sum())
+            assert abs(np.mean(apart) - near_copies.APART) < 0.045 and min(equal) > 0 and max(checks) <= near_copies.CHECK_APART
+
+
+def test_sight_in_buckets(monkeypatch):
+    """Groups of a bucket against all pairs; those of a large bucket are one."""
+    draw = np.random.default_rng(4)
+    entries = np.zeros(300, dtype=near_copies.ENTRY)
+    entries["key"], entries["n"] = np.sort(draw.integers(0, 9, 300)), draw.integers(80, 120, 300)
+    base = draw.integers(0, 1 << 64, (20, near_copies.CHECK_WORDS), dtype=np.uint64)
+    flips = np.packbits(draw.random((300, 128)) < 0.14, axis=1).view(np.uint64)
+    entries["check"] = base[draw.integers(0, 20, 300)] ^ flips
+
+    def see(i, j):
+        a, b = entries[i], entries[j]
+        return a["key"] == b["key"] and 5 * min(a["n"], b["n"]) >= 4 * max(a["n"], b["n"]) and int(np.bitwise_count(a["check"] ^ b["check"]).sum()) <= near_copies.CHECK_APART
+
+    want = roots(300, [(i, j) for i, j in combinations(range(300), 2) if see(i, j)])
+    assert near_copies.in_sight(entries).tolist() == list(want)
+    assert 20 < len(set(want)) < 250
+    monkeypatch.setattr(near_copies, "PAIRED", 1)
+    assert len(set(near_copies.in_sight(entries).tolist())) == len(set(entries["key"].tolist()))
