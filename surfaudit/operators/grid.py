@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surfaudit.functions.scalar import floor_div, lit, vertex_valid
@@ -14,19 +15,53 @@ from surfaudit.session import cut_lineage
 
 AXES = ("x", "y", "z")
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
+TILE = 256  # lattice points a side that a task looks at together
 
 
 def stencil(points: DataFrame, values: Sequence[str], corners=CORNERS, by: Sequence[str] = ()) -> DataFrame:
     """(by, v, u, <value>_<dv><du>): each lattice point with its right, lower and diagonal neighbours on its surface.
 
-    One hash aggregate over shifted copies; a missing neighbour leaves NULLs.
+    A point goes to its tile once, and from a tile's edge to the neighbour that looks at it; corners are
+    looked up in the task.  A missing neighbour leaves NULLs; of points at one place each value is the largest.
     """
-    shifts = F.array(*[F.struct(F.lit(a).alias("dv"), F.lit(b).alias("du")) for a, b in corners])
-    moved = points.select(*by, "v", "u", *values, F.explode(shifts).alias("o")).select(
-        *by, (F.col("v") - F.col("o.dv")).alias("v"), (F.col("u") - F.col("o.du")).alias("u"), "o.*", *values
-    )
-    pick = lambda c, a, b: F.max(F.when((F.col("dv") == a) & (F.col("du") == b), F.col(c))).alias(f"{c}_{a}{b}")
-    return moved.groupBy(*by, "v", "u").agg(*[pick(c, a, b) for c in values for a, b in corners])
+    by, values, kinds = list(by), list(values), dict(points.dtypes)
+    reach = F.array(*[F.struct(floor_div(F.col("v") - a, TILE).alias("tv"), floor_div(F.col("u") - b, TILE).alias("tu")) for a, b in corners])
+    dealt = points.where("v is not null and u is not null").select(*by, "v", "u", *values, F.explode(F.array_distinct(reach)).alias("_t")).select(*by, "v", "u", *values, "_t.*")
+    high, wide = (max(o[k] for o in corners) + TILE for k in (0, 1))
+
+    def look(group: pa.Table) -> pa.Table:
+        tv, tu, v, u = (group.column(c).to_numpy().astype(np.int64) for c in ("tv", "tu", "v", "u"))
+        v0, u0 = int(tv[0]) * TILE, int(tu[0]) * TILE
+        cell = (v - v0) * wide + (u - u0)
+        inside = np.flatnonzero((v >= v0) & (v < v0 + high) & (u >= u0) & (u < u0 + wide))
+        repeated = len(np.unique(cell[inside])) < len(inside)
+        at = {}
+        for c in values if repeated else values[:1]:
+            held = group.column(c).combine_chunks()
+            order = inside
+            if repeated:  # the last to be put to a cell stays: NULL before all numbers, NaN after them
+                number = held.fill_null(0).to_numpy(zero_copy_only=False)[inside]
+                order = inside[np.lexsort((number, held.is_valid().to_numpy(zero_copy_only=False)[inside]))]
+            at[c] = np.full(high * wide, -1, dtype=np.int64)
+            at[c][cell[order]] = order
+        whole = {c: at.get(c, at[values[0]]).reshape(high, wide) for c in values}
+        seen = lambda c, a, b: whole[c][a : a + TILE, b : b + TILE]
+        some = np.zeros((TILE, TILE), dtype=bool)
+        for a, b in corners:
+            some |= seen(values[0], a, b) >= 0
+        y, x = np.nonzero(some)
+        out = {c: group.column(c).take(pa.array(np.zeros(len(y), dtype=np.int64))) for c in by}
+        for c, place in (("v", y + v0), ("u", x + u0)):
+            out[c] = pa.array(place).cast(group.schema.field(c).type)
+        for c in values:
+            for a, b in corners:
+                rows = seen(c, a, b)[y, x]
+                out[f"{c}_{a}{b}"] = group.column(c).take(pa.array(rows, mask=rows < 0))
+        return pa.table(out)
+
+    names = [(c, f"{c}_{a}{b}") for c in values for a, b in corners]
+    schema = ", ".join(f"`{n}` {kinds[c]}" for c, n in [*[(c, c) for c in [*by, "v", "u"]], *names])
+    return dealt.groupBy(*by, "tv", "tu").applyInArrow(look, schema)
 
 
 def valid_vertices(grid: DataFrame, mode: str) -> DataFrame:

@@ -46,3 +46,28 @@ def test_faults_beside_the_grid(rows):
     assert list(r.blockers) == ["grid_checks"] and r.integer_aligned is False and r.supervised is None
     r = audited(rows, {(0, 0): (-1.0, -1.0, -1.0)}, pixels=[])
     assert r.tier == "G1" and set(r.blockers) == {"volume_bounds", "ct_support", "grid_checks"} and r.valid == 0
+
+
+def test_stencil_equals_shifted_copies_across_tiles(spark, monkeypatch):
+    """Every place from which a point is seen, with repeated points, NULLs, NaNs and tile borders; a point is dealt about once."""
+    from pyspark.sql import functions as F
+    from surfaudit.operators import grid
+
+    shape = "k string, v int, u int, a double, b bigint"
+    data = [(k, v, u, float("nan") if (v + u) % 7 == 0 else None if (v + u) % 5 == 0 else v * 0.5 - u, v * u if v % 3 else None)
+            for k in ("s", None) for v in range(9) for u in range(11) if (v * 5 + u) % 6]
+    data += [("s", 4, 4, 99.0, None), ("s", 4, 4, None, 7), (None, 8, 3, -1.0, 1)]
+    points = spark.createDataFrame(data, shape)
+    want = None
+    for dv, du in grid.CORNERS:
+        moved = points.select("k", (F.col("v") - dv).alias("v"), (F.col("u") - du).alias("u"), *[
+            (F.col(c) if (a, b) == (dv, du) else F.lit(None)).cast(t).alias(f"{c}_{a}{b}") for c, t in (("a", "double"), ("b", "bigint")) for a, b in grid.CORNERS])
+        want = moved if want is None else want.unionAll(moved)
+    want = want.groupBy("k", "v", "u").agg(*[F.max(c).alias(c) for c in want.columns[3:]])
+    for tile in (3, 256):
+        monkeypatch.setattr(grid, "TILE", tile)
+        got = grid.stencil(points, ["a", "b"], by=["k"])
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert grid.stencil(points.where("false"), ["a", "b"], by=["k"]).count() == 0
